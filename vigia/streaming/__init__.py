@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming sources, watermarks, stream windows or stateful
+operators — every pipeline is a monthly batch — so nothing is built here.
+"""
