@@ -10,8 +10,9 @@ from __future__ import annotations
 from vigia.sources.fixtures import oracle_ctes
 
 from oracle import quality as _quality
+from oracle import sales as _sales
 
-_MODULES = [_quality]
+_MODULES = [_quality, _sales]
 
 
 def _compose(stages: dict[str, str], final: str) -> str:

@@ -203,3 +203,72 @@ def _q(spark, d):
 @register("error_history")
 def _q(spark, d):
     return quality_month(spark, d).errors
+
+
+# ----------------------------------------------------------------- sales marts
+
+def _sales_args(spark, d):
+    return Roles(spark, d), FIXTURE_PERIOD
+
+
+@register("sales_card")
+def _q(spark, d):
+    from vigia.operators import sales as SA
+    R, p = _sales_args(spark, d)
+    return SA.sales_card(R.src("TC"), R.src("SEG"), R.r_agent, p)
+
+
+@register("sales_loan")
+def _q(spark, d):
+    from vigia.operators import sales as SA
+    R, p = _sales_args(spark, d)
+    return SA.sales_loan(R.src("PP"), R.r_agent, p)
+
+
+@register("sales_cash_line")
+def _q(spark, d):
+    from vigia.operators import sales as SA
+    R, p = _sales_args(spark, d)
+    return SA.sales_cash_line(R.src("EC"), R.r_agent, p)
+
+
+@register("sales_debt_purchase")
+def _q(spark, d):
+    from vigia.operators import sales as SA
+    R, p = _sales_args(spark, d)
+    return SA.sales_debt_purchase(R.src("CD"), R.r_debt_lines, R.r_agent, p)
+
+
+@register("sales_agreement")
+def _q(spark, d):
+    from vigia.operators import sales as SA
+    R, p = _sales_args(spark, d)
+    return SA.sales_agreement(R.src("CON"), R.r_agent, p)
+
+
+@register("sales_upgrade")
+def _q(spark, d):
+    from vigia.operators import sales as SA
+    R, p = _sales_args(spark, d)
+    return SA.sales_upgrade(R.src("UPG"), R.r_agent, p)
+
+
+@register("sales_line_increase")
+def _q(spark, d):
+    from vigia.operators import sales as SA
+    R, p = _sales_args(spark, d)
+    return SA.sales_line_increase(R.src("IL"), R.r_agent, p)
+
+
+@register("sales_autopay")
+def _q(spark, d):
+    from vigia.operators import sales as SA
+    R, p = _sales_args(spark, d)
+    return SA.sales_autopay(R.src("PA"), R.r_agent, p)
+
+
+@register("sales_insurance")
+def _q(spark, d):
+    from vigia.operators import sales as SA
+    R, p = _sales_args(spark, d)
+    return SA.sales_insurance(R.src("SEG"), R.r_agent, p)

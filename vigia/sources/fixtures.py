@@ -53,9 +53,11 @@ ROLE_SQL: dict[str, str] = {}
 ROLE_SQL["r_agent"] = f"""
 SELECT {_agent('c_custkey')} AS REG_EJECUTIVO,
        c_name AS NOM_EJECUTIVO,
-       CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'TC' WHEN 'BUILDING' THEN 'PP'
-            WHEN 'FURNITURE' THEN 'EC' WHEN 'HOUSEHOLD' THEN 'CD'
-            WHEN 'MACHINERY' THEN 'SELECT' END AS SUB_EQUIPO,
+       CASE WHEN c_custkey % 10 = 7 THEN 'PRT' WHEN c_custkey % 10 = 8 THEN 'SEG'
+            WHEN c_custkey % 10 = 9 THEN 'CONV_TLV'
+            ELSE CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'TC' WHEN 'BUILDING' THEN 'PP'
+                 WHEN 'FURNITURE' THEN 'EC' WHEN 'HOUSEHOLD' THEN 'CD'
+                 WHEN 'MACHINERY' THEN 'SELECT' END END AS SUB_EQUIPO,
        'S' || lpad(CAST(n_nationkey AS STRING), 5, '0') AS REG_SUPERVISOR,
        n_name AS NOM_SUPERVISOR,
        'JEFE_' || CAST(n_regionkey AS STRING) AS NOM_JEFE,
@@ -245,6 +247,74 @@ SELECT CASE WHEN c_custkey % 2 = 0 THEN '{_PREV}' ELSE '200001' END AS PERIODO,
 FROM customer
 """
 
+# Raw product feeds: every order belongs to one of nine source feeds (by key);
+# each mart filters its own feed by month, team and status rules.
+ROLE_SQL["r_src"] = f"""
+SELECT o_orderkey AS ID,
+       CASE WHEN o_orderkey % 10 <> 0 AND c_custkey % 10 = 7
+                 THEN CASE o_orderkey % 3 WHEN 0 THEN 'UPG' WHEN 1 THEN 'IL' ELSE 'PA' END
+            WHEN o_orderkey % 10 <> 0 AND c_custkey % 10 = 8 THEN 'SEG'
+            WHEN o_orderkey % 10 <> 0 AND c_custkey % 10 = 9 THEN 'CON'
+            WHEN o_orderkey % 10 <> 0 AND c_mktsegment = 'AUTOMOBILE' THEN 'TC'
+            WHEN o_orderkey % 10 <> 0 AND c_mktsegment = 'BUILDING' THEN 'PP'
+            WHEN o_orderkey % 10 <> 0 AND c_mktsegment = 'FURNITURE' THEN 'EC'
+            WHEN o_orderkey % 10 <> 0 AND c_mktsegment = 'HOUSEHOLD' THEN 'CD'
+            ELSE CASE o_orderkey % 9 WHEN 0 THEN 'TC' WHEN 1 THEN 'PP' WHEN 2 THEN 'EC' WHEN 3 THEN 'CD'
+                 WHEN 4 THEN 'CON' WHEN 5 THEN 'UPG' WHEN 6 THEN 'IL' WHEN 7 THEN 'PA' ELSE 'SEG' END
+       END AS FUENTE,
+       CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) AS PERIODO_VAL,
+       CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS PERIODO_NUM,
+       CASE WHEN o_custkey % 2 = 0
+            THEN CAST(year(o_orderdate - INTERVAL '1' MONTH) * 100 + month(o_orderdate - INTERVAL '1' MONTH) AS STRING)
+            ELSE CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) END AS CARGA_PERIODO_VAL,
+       {_agent('o_custkey')} AS PROMOTOR_CD,
+       'AGENTE ' || CAST(o_custkey AS STRING) AS PROMOTOR_NM,
+       'SUPERVISOR ' || CAST(o_custkey % 25 AS STRING) AS SUPERVISOR_NM,
+       CASE o_orderkey % 3 WHEN 0 THEN 'TLV TARJETAS' WHEN 1 THEN 'Televentas' ELSE 'CANAL DIGITAL' END AS EQUIPO_DSC,
+       'SUB ' || o_orderpriority AS SUBEQUIPO_DSC,
+       o_orderdate AS FECHA_FC,
+       {_doc('o_custkey')} || CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE '' END AS DOCUMENTO_NUM,
+       'CLIENTE ' || CAST(o_custkey AS STRING) AS CLIENTE_NM,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS MONTO_AMT,
+       CASE o_orderstatus WHEN 'F' THEN 'Aprobado' WHEN 'O' THEN 'Rechazado' END AS ESTADO_DSC,
+       CASE o_orderstatus WHEN 'O' THEN 2 ELSE 3 END AS ESTADO_NUM,
+       CASE o_orderstatus WHEN 'F' THEN 'PF' WHEN 'O' THEN 'A' ELSE 'P' END AS ESTADO_CD,
+       CASE o_orderkey % 7 WHEN 0 THEN 'MIGRACIÓN TC' WHEN 1 THEN NULL ELSE 'NUEVA' END AS TIPOTRAMITE_DSC,
+       CAST(o_orderkey % 3 AS INT) AS OPERACION_CD,
+       CASE WHEN o_orderkey % 13 = 0 THEN NULL
+            ELSE CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) END AS PERIODO_DESEMBOLSO_VAL,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'N' ELSE 'S' END AS VALIDO_FLG,
+       CASE WHEN o_orderkey % 5 = 1 THEN '0' ELSE '1' END AS VALIDO_IL,
+       CASE WHEN o_custkey % 6 = 0 THEN 'X' END AS TIPONOCOMISION,
+       'SOL' || lpad(CAST(o_orderkey AS STRING), 12, '0') AS NRO_SOLICITUD,
+       CAST(round(1.0 + (o_totalprice % 300) / 100.0, 2) AS DOUBLE) AS TASA_MENSUAL,
+       CAST(6 + o_orderkey % 30 AS INT) AS CANT_CUOTAS,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'TOTAL' ELSE 'PARCIAL' END AS TIPO_CD,
+       '4' || lpad(CAST(o_custkey AS STRING), 15, '0') AS NUM_TARJETA,
+       CASE o_custkey % 5 WHEN 0 THEN 'ADICIONAL' WHEN 1 THEN NULL ELSE 'TITULAR' END AS BENEFICIARIO_DSC,
+       CAST(o_custkey % 25 AS STRING) AS RUBRO_CD,
+       CAST(CAST(o_orderdate AS DATE) AS STRING) AS SOLICITUD_FC,
+       substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2) || '/' ||
+       substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2) || '/' ||
+       substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) AS FECVENTA,
+       CASE o_custkey % 4 WHEN 0 THEN 'SEGURO PROTECCION DE TARJETAS 360' WHEN 1 THEN 'VIVE SALUD'
+            WHEN 2 THEN 'PROGRAMA ONCOLOGICO' ELSE 'OTRO SEGURO' END AS PRODUCTO_SEG,
+       CASE WHEN o_custkey % 3 = 0 THEN 'NUEVO' ELSE 'RECURRENTE' END AS TIPO_VENTA,
+       'FAMILIA ' || CAST(o_custkey % 4 AS STRING) AS FAMILIA_DSC
+FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+
+# Debt-purchase lines (one per line item; the application key is the order).
+ROLE_SQL["r_debt_lines"] = """
+SELECT lpad(CAST(l_orderkey AS STRING), 8, '0') AS NE_COD_EXPE,
+       l_extendedprice AS ND_MONTO,
+       CASE WHEN l_linenumber = 3 THEN NULL ELSE '4' || lpad(CAST(l_partkey AS STRING), 15, '0') END
+           AS CA_NRO_TARJ_PREST,
+       'ENTIDAD ' || CAST(l_suppkey % 5 AS STRING) AS CA_ENTIDAD,
+       CAST(year(l_shipdate) * 100 + month(l_shipdate) AS STRING) AS CA_ANIOMES_CARGA
+FROM lineitem
+"""
+
 
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
@@ -268,6 +338,10 @@ class Roles:
             return self.spark.table(name)
         raise AttributeError(name)
 
+    def src(self, feed: str) -> DataFrame:
+        from pyspark.sql import functions as F
+        return self.spark.table("r_src").where(F.col("FUENTE") == feed)
+
     def sales(self, product: str) -> DataFrame:
         from pyspark.sql import functions as F
         return self.spark.table("r_sales").where(F.col("PRODUCTO") == product)
