@@ -10,9 +10,10 @@ from __future__ import annotations
 from vigia.sources.fixtures import oracle_ctes
 
 from oracle import quality as _quality
+from oracle import kri as _kri
 from oracle import sales as _sales
 
-_MODULES = [_quality, _sales]
+_MODULES = [_quality, _sales, _kri]
 
 
 def _compose(stages: dict[str, str], final: str) -> str:

@@ -272,3 +272,61 @@ def _q(spark, d):
     from vigia.operators import sales as SA
     R, p = _sales_args(spark, d)
     return SA.sales_insurance(R.src("SEG"), R.r_agent, p)
+
+
+# ----------------------------------------------------------------- consumption: risk indicators
+
+def consumption_month(spark: SparkSession, sf_dir: str):
+    from vigia.plans.consumption import ConsumptionInputs, ConsumptionMonth
+    R = Roles(spark, sf_dir)
+    feeds = {f: R.src(f) for f in ("TC", "PP", "EC", "CD", "CON", "UPG", "IL", "PA", "SEG")}
+    inp = ConsumptionInputs(feeds=feeds, debt_lines=R.r_debt_lines, agents=R.r_agent, leads=R.r_leads,
+                            leads_digital=R.r_leads_digital, registry=R.r_registry,
+                            traffic_batch=R.r_traffic_batch, traffic_platform=R.r_traffic_platform,
+                            traffic_derived=R.r_traffic_derived)
+    return ConsumptionMonth(inp, FIXTURE_PERIOD)
+
+
+@register("sales_union_kri")
+def _q(spark, d):
+    return consumption_month(spark, d).kri_sales
+
+
+@register("traffic_agent_type")
+def _q(spark, d):
+    return consumption_month(spark, d).platform_typed
+
+
+@register("traffic_backfill_document")
+def _q(spark, d):
+    return consumption_month(spark, d).platform_doc
+
+
+@register("traffic_backfill_registry")
+def _q(spark, d):
+    return consumption_month(spark, d).platform_final
+
+
+@register("traffic_unify")
+def _q(spark, d):
+    return consumption_month(spark, d).batch_unified
+
+
+@register("traffic_drop_blank")
+def _q(spark, d):
+    return consumption_month(spark, d).batch_traffic
+
+
+@register("sale_call_origin")
+def _q(spark, d):
+    return consumption_month(spark, d).sales_origin
+
+
+@register("kri_sales_no_audio")
+def _q(spark, d):
+    return consumption_month(spark, d).kri_no_audio("management")
+
+
+@register("kri_sales_no_audio_quality")
+def _q(spark, d):
+    return consumption_month(spark, d).kri_no_audio("quality")

@@ -315,6 +315,53 @@ SELECT lpad(CAST(l_orderkey AS STRING), 8, '0') AS NE_COD_EXPE,
 FROM lineitem
 """
 
+# Call traffic (events shifted into the fixture month).
+ROLE_SQL["r_traffic_batch"] = f"""
+SELECT CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '0' || {_doc('user_id')} WHEN 2 THEN '00000000'
+            WHEN 3 THEN {_doc('user_id')} || '1234' ELSE {_doc('user_id')} END AS NUM_DOCUMENTO,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE {_phone('user_id')} END AS TELEFONO_CONTACTO,
+       CASE WHEN event_id % 17 = 0 THEN '' ELSE {_agent('user_id')} || ' NOMBRE' END AS NOMBRE_AGENTE,
+       {_EV_TS} AS FEC_LLAMADA,
+       CAST(floor(value * 3) AS INT) AS DURACION_LLAMADA,
+       CASE event_type WHEN 'view' THEN 'TC' WHEN 'click' THEN 'PP' WHEN 'purchase' THEN ''
+            WHEN 'signup' THEN NULL
+            ELSE CASE event_id % 4 WHEN 0 THEN 'CD' WHEN 1 THEN 'CON' WHEN 2 THEN 'RET' ELSE 'IL' END
+       END AS TIP_CLIENTE,
+       'R' || CAST(event_id % 4 AS STRING) AS RESULTADO_LLAMADA
+FROM events
+"""
+
+ROLE_SQL["r_traffic_platform"] = f"""
+SELECT event_id AS ID_LLAMADA,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE {_doc('user_id')} END AS DNI,
+       {_agent('user_id')} AS USERNAME,
+       CASE WHEN event_id % 11 = 0 THEN NULL ELSE {_phone('user_id')} END AS ANI,
+       {_phone('user_id + 7')} AS DNIS,
+       CASE event_type WHEN 'view' THEN 'TC' WHEN 'click' THEN 'PP' WHEN 'purchase' THEN 'EC'
+            WHEN 'signup' THEN 'PRT' ELSE 'CD' END AS TIP_CLIENTE,
+       {_EV_TS} AS sessionstarttime,
+       {_EV_TS} + INTERVAL '1' SECOND * CAST(floor(value * 3) AS BIGINT) AS sessionendtime
+FROM events
+"""
+
+ROLE_SQL["r_traffic_derived"] = f"""
+SELECT event_id AS ID_LLAMADA,
+       {_doc('user_id + 1')} AS DNI,
+       {_agent('user_id + 1')} AS REG_EJECUTIVO,
+       {_phone('user_id + 1')} AS TELF_ANI,
+       CASE WHEN event_id % 7 = 0 THEN 'localhost' ELSE {_phone('user_id + 2')} END AS TELF_DNIS,
+       {_EV_TS} AS sessionstarttime,
+       {_EV_TS} + INTERVAL '1' SECOND * CAST(floor(value * 2) AS BIGINT) AS sessionendtime
+FROM events
+"""
+
+# Validated phone registry (customers' phones shifted by 3; a quarter unvalidated).
+ROLE_SQL["r_registry"] = f"""
+SELECT {_doc('c_custkey + 1')} AS CODDOC, {_phone('c_custkey + 3')} AS NUMTELEFONO,
+       CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 1 END AS FLG_VALIDADO
+FROM customer
+"""
+
 
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
