@@ -11,9 +11,10 @@ from vigia.sources.fixtures import oracle_ctes
 
 from oracle import quality as _quality
 from oracle import kri as _kri
+from oracle import phone as _phone
 from oracle import sales as _sales
 
-_MODULES = [_quality, _sales, _kri]
+_MODULES = [_quality, _sales, _kri, _phone]
 
 
 def _compose(stages: dict[str, str], final: str) -> str:

@@ -36,11 +36,11 @@ WHERE A.PERIODO_VAL = '{P}' AND A.PROMOTOR_CD IN {_team('TC')}
   AND A.EQUIPO_DSC IN ('TLV TARJETAS', 'Televentas') AND A.ESTADO_DSC = 'Aprobado'
   AND A.TIPOTRAMITE_DSC <> 'MIGRACIÓN TC' AND A.OPERACION_CD IN (1, 2) AND A.ESTADO_NUM IN (3)"""
 STAGES["s_pp"] = f"""
-SELECT {_std('DPP')} FROM {_src('PP')} A
+SELECT {_std('DPP')}, A.SEGURO_FLG FROM {_src('PP')} A
 WHERE A.PERIODO_VAL = '{P}' AND A.PROMOTOR_CD IN {_team('PP')}
   AND A.MONTO_AMT IS NOT NULL AND A.PERIODO_DESEMBOLSO_VAL IS NOT NULL"""
 STAGES["s_ec"] = f"""
-SELECT {_std('DEC', doc='A.DOCUMENTO_NUM')}, A.TASA_MENSUAL, A.CANT_CUOTAS FROM {_src('EC')} A
+SELECT {_std('DEC', doc='A.DOCUMENTO_NUM')}, A.TASA_MENSUAL, A.CANT_CUOTAS, A.SEGURO_FLG AS FLAGSEGURO FROM {_src('EC')} A
 WHERE A.PERIODO_VAL = '{P}' AND A.PROMOTOR_CD IN {_team('EC')} AND A.VALIDO_FLG = 'S'
   AND A.MONTO_AMT IS NOT NULL"""
 STAGES["s_cd_keys"] = f"SELECT right(NRO_SOLICITUD, 8) AS K FROM {_src('CD')} WHERE PERIODO_NUM = {PNUM}"

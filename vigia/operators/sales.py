@@ -91,7 +91,7 @@ def sales_loan(src: DataFrame, agents: DataFrame, period: Period) -> DataFrame:
     return _std(df, "DPP", mes=F.col("PERIODO_VAL"), nompromot=F.col("PROMOTOR_NM"),
                 nomsuper=F.col("SUPERVISOR_NM"), equipo=F.col("EQUIPO_DSC"), sub=F.col("SUBEQUIPO_DSC"),
                 fec=F.col("FECHA_FC"), dia=F.dayofmonth("FECHA_FC"), doc=F.trim("DOCUMENTO_NUM"),
-                monto=F.col("MONTO_AMT"))
+                monto=F.col("MONTO_AMT"), extra=[F.col("SEGURO_FLG")])
 
 
 def sales_cash_line(src: DataFrame, agents: DataFrame, period: Period) -> DataFrame:
@@ -102,7 +102,8 @@ def sales_cash_line(src: DataFrame, agents: DataFrame, period: Period) -> DataFr
     return _std(df, "DEC", mes=F.col("PERIODO_VAL"), nompromot=F.col("PROMOTOR_NM"),
                 nomsuper=F.col("SUPERVISOR_NM"), equipo=F.col("EQUIPO_DSC"), sub=F.col("SUBEQUIPO_DSC"),
                 fec=F.col("FECHA_FC"), dia=F.dayofmonth("FECHA_FC"), doc=F.col("DOCUMENTO_NUM"),
-                monto=F.col("MONTO_AMT"), extra=[F.col("TASA_MENSUAL"), F.col("CANT_CUOTAS")])
+                monto=F.col("MONTO_AMT"), extra=[F.col("TASA_MENSUAL"), F.col("CANT_CUOTAS"),
+                                                  F.col("SEGURO_FLG").alias("FLAGSEGURO")])
 
 
 def sales_debt_purchase(src: DataFrame, debt_lines: DataFrame, agents: DataFrame, period: Period) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from vigia.operators import kri_audio as KA
+from vigia.operators import kri_phone as KP
 from vigia.operators import sales as SA
 from vigia.params import Period
 
@@ -23,6 +24,10 @@ class ConsumptionInputs:
     traffic_batch: DataFrame
     traffic_platform: DataFrame
     traffic_derived: DataFrame
+    extra_sales: dict[str, DataFrame] | None = None   # products no mart builds (additional cards)
+    campaigns: DataFrame | None = None
+    ivr: DataFrame | None = None
+    evaluated: DataFrame | None = None
 
 
 class ConsumptionMonth:
@@ -76,3 +81,43 @@ class ConsumptionMonth:
 
     def kri_no_audio(self, shape: str = "management") -> DataFrame:
         return KA.kri_sales_no_audio(self.sales_origin, self.i.agents, self.p, shape)
+
+    # ---------------------------------------------------------------- phones
+    @cached_property
+    def phone_sales(self) -> DataFrame:
+        marts = dict(self.marts)
+        marts.update(self.i.extra_sales or {})
+        return KP.product_sales(marts)
+
+    @cached_property
+    def talk_time(self) -> DataFrame:
+        src = KP.traffic_sources(self.batch_traffic, self.platform_final, self.i.traffic_derived)
+        return KP.phone_talk_time(self.phone_sales, src)
+
+    @cached_property
+    def longest(self) -> DataFrame:
+        return KP.phone_longest(self.talk_time)
+
+    @cached_property
+    def authorised(self) -> DataFrame:
+        return KP.phone_authorisation(self.longest, self.i.registry, self.i.leads, self.i.campaigns, self.p)
+
+    @cached_property
+    def with_amount(self) -> DataFrame:
+        return KP.sale_amount_attach(self.authorised, self.phone_sales)
+
+    @cached_property
+    def phones_all(self) -> DataFrame:
+        return KP.phone_union_all(self.with_amount)
+
+    @cached_property
+    def phones_flagged(self) -> DataFrame:
+        return KP.phone_flags(self.phones_all, self.marts, self.i.ivr, self.i.evaluated)
+
+    @cached_property
+    def kri_phone_nominal(self) -> DataFrame:
+        return KP.kri_phone_nominal(self.phones_flagged, self.p)
+
+    @cached_property
+    def kri_phone_quality(self) -> DataFrame:
+        return KP.kri_phone_quality(self.phones_flagged, self.i.agents)

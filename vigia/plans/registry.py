@@ -283,7 +283,10 @@ def consumption_month(spark: SparkSession, sf_dir: str):
     inp = ConsumptionInputs(feeds=feeds, debt_lines=R.r_debt_lines, agents=R.r_agent, leads=R.r_leads,
                             leads_digital=R.r_leads_digital, registry=R.r_registry,
                             traffic_batch=R.r_traffic_batch, traffic_platform=R.r_traffic_platform,
-                            traffic_derived=R.r_traffic_derived)
+                            traffic_derived=R.r_traffic_derived,
+                            extra_sales={"TCA": R.sales("TCA").select("CODDOC", "CODPROMOT", "MONTO_APROB",
+                                                                      "FECDESEMB", "DIA")},
+                            campaigns=R.r_campaign, ivr=R.r_ivr, evaluated=R.r_evaluated)
     return ConsumptionMonth(inp, FIXTURE_PERIOD)
 
 
@@ -330,3 +333,51 @@ def _q(spark, d):
 @register("kri_sales_no_audio_quality")
 def _q(spark, d):
     return consumption_month(spark, d).kri_no_audio("quality")
+
+
+@register("phone_talk_time")
+def _q(spark, d):
+    return consumption_month(spark, d).talk_time
+
+
+@register("phone_longest")
+def _q(spark, d):
+    return consumption_month(spark, d).longest
+
+
+@register("talk_time_band")
+def _q(spark, d):
+    from vigia.operators.kri_phone import talk_time_band
+    return consumption_month(spark, d).talk_time.select(
+        "PRODUCTO", "SRC", "NUM_DOCUMENTO", "REG_EJECUTIVO", "NUM_TELEFONO", "TIEMPO",
+        talk_time_band(F.col("TIEMPO")).alias("RANGO_TIEMPO"))
+
+
+@register("phone_authorisation")
+def _q(spark, d):
+    return consumption_month(spark, d).authorised
+
+
+@register("sale_amount_attach")
+def _q(spark, d):
+    return consumption_month(spark, d).with_amount
+
+
+@register("phone_union_all")
+def _q(spark, d):
+    return consumption_month(spark, d).phones_all
+
+
+@register("phone_flags")
+def _q(spark, d):
+    return consumption_month(spark, d).phones_flagged
+
+
+@register("kri_phone_nominal")
+def _q(spark, d):
+    return consumption_month(spark, d).kri_phone_nominal
+
+
+@register("kri_phone_quality")
+def _q(spark, d):
+    return consumption_month(spark, d).kri_phone_quality

@@ -46,6 +46,8 @@ def _phone(key: str) -> str:
 
 
 _EV_TS = f"(ts - INTERVAL '{EVENT_SHIFT_MONTHS}' MONTH)"
+# Customer key an event is attributed to (spreads 150 users over all customers).
+_EVK = "(user_id * 10 + event_id % 10)"
 
 # Ordered: a role may reference any role defined above it.
 ROLE_SQL: dict[str, str] = {}
@@ -300,7 +302,8 @@ SELECT o_orderkey AS ID,
        CASE o_custkey % 4 WHEN 0 THEN 'SEGURO PROTECCION DE TARJETAS 360' WHEN 1 THEN 'VIVE SALUD'
             WHEN 2 THEN 'PROGRAMA ONCOLOGICO' ELSE 'OTRO SEGURO' END AS PRODUCTO_SEG,
        CASE WHEN o_custkey % 3 = 0 THEN 'NUEVO' ELSE 'RECURRENTE' END AS TIPO_VENTA,
-       'FAMILIA ' || CAST(o_custkey % 4 AS STRING) AS FAMILIA_DSC
+       'FAMILIA ' || CAST(o_custkey % 4 AS STRING) AS FAMILIA_DSC,
+       CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS SEGURO_FLG
 FROM orders JOIN customer ON o_custkey = c_custkey
 """
 
@@ -317,10 +320,10 @@ FROM lineitem
 
 # Call traffic (events shifted into the fixture month).
 ROLE_SQL["r_traffic_batch"] = f"""
-SELECT CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '0' || {_doc('user_id')} WHEN 2 THEN '00000000'
-            WHEN 3 THEN {_doc('user_id')} || '1234' ELSE {_doc('user_id')} END AS NUM_DOCUMENTO,
-       CASE WHEN event_id % 13 = 0 THEN NULL ELSE {_phone('user_id')} END AS TELEFONO_CONTACTO,
-       CASE WHEN event_id % 17 = 0 THEN '' ELSE {_agent('user_id')} || ' NOMBRE' END AS NOMBRE_AGENTE,
+SELECT CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '0' || {_doc(_EVK)} WHEN 2 THEN '00000000'
+            WHEN 3 THEN {_doc(_EVK)} || '1234' ELSE {_doc(_EVK)} END AS NUM_DOCUMENTO,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE {_phone(_EVK)} END AS TELEFONO_CONTACTO,
+       CASE WHEN event_id % 17 = 0 THEN '' ELSE {_agent(_EVK)} || ' NOMBRE' END AS NOMBRE_AGENTE,
        {_EV_TS} AS FEC_LLAMADA,
        CAST(floor(value * 3) AS INT) AS DURACION_LLAMADA,
        CASE event_type WHEN 'view' THEN 'TC' WHEN 'click' THEN 'PP' WHEN 'purchase' THEN ''
@@ -333,10 +336,10 @@ FROM events
 
 ROLE_SQL["r_traffic_platform"] = f"""
 SELECT event_id AS ID_LLAMADA,
-       CASE WHEN event_id % 5 = 0 THEN NULL ELSE {_doc('user_id')} END AS DNI,
-       {_agent('user_id')} AS USERNAME,
-       CASE WHEN event_id % 11 = 0 THEN NULL ELSE {_phone('user_id')} END AS ANI,
-       {_phone('user_id + 7')} AS DNIS,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE {_doc(_EVK)} END AS DNI,
+       {_agent(_EVK)} AS USERNAME,
+       CASE WHEN event_id % 11 = 0 THEN NULL ELSE {_phone(_EVK)} END AS ANI,
+       {_phone(_EVK + ' + 7')} AS DNIS,
        CASE event_type WHEN 'view' THEN 'TC' WHEN 'click' THEN 'PP' WHEN 'purchase' THEN 'EC'
             WHEN 'signup' THEN 'PRT' ELSE 'CD' END AS TIP_CLIENTE,
        {_EV_TS} AS sessionstarttime,
@@ -346,10 +349,10 @@ FROM events
 
 ROLE_SQL["r_traffic_derived"] = f"""
 SELECT event_id AS ID_LLAMADA,
-       {_doc('user_id + 1')} AS DNI,
-       {_agent('user_id + 1')} AS REG_EJECUTIVO,
-       {_phone('user_id + 1')} AS TELF_ANI,
-       CASE WHEN event_id % 7 = 0 THEN 'localhost' ELSE {_phone('user_id + 2')} END AS TELF_DNIS,
+       {_doc(_EVK)} AS DNI,
+       {_agent(_EVK)} AS REG_EJECUTIVO,
+       {_phone(_EVK + ' + 1')} AS TELF_ANI,
+       CASE WHEN event_id % 7 = 0 THEN 'localhost' ELSE {_phone(_EVK + ' + 2')} END AS TELF_DNIS,
        {_EV_TS} AS sessionstarttime,
        {_EV_TS} + INTERVAL '1' SECOND * CAST(floor(value * 2) AS BIGINT) AS sessionendtime
 FROM events
@@ -362,6 +365,29 @@ SELECT {_doc('c_custkey + 1')} AS CODDOC, {_phone('c_custkey + 3')} AS NUMTELEFO
 FROM customer
 """
 
+# Campaign phone lists by product campaign and month.
+ROLE_SQL["r_campaign"] = f"""
+SELECT CASE c_custkey % 7 WHEN 0 THEN 'TC' WHEN 1 THEN 'PP' WHEN 2 THEN 'EC' WHEN 3 THEN 'CON' WHEN 4 THEN 'IL'
+            WHEN 5 THEN 'UPG' ELSE 'TCA' END AS CAMPANA,
+       {_doc('c_custkey')} AS CODDOC,
+       {_phone('c_custkey + 2')} AS NRO_TELEFONO1,
+       CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE {_phone('c_custkey + 5')} END AS NRO_TELEFONO2,
+       CASE WHEN c_custkey % 2 = 0 THEN 200003 ELSE 200002 END AS CODMES
+FROM customer
+"""
+
+# IVR validations and evaluated documents (inputs no script fills).
+ROLE_SQL["r_ivr"] = f"""
+SELECT {_doc('s_suppkey')} AS CODDOC, {_agent('s_suppkey')} AS CODPROMOT,
+       CAST(s_suppkey % 2 AS INT) AS REQUIERE_VAL, CAST(s_suppkey % 3 AS INT) AS TIENE_VAL_EXITOSA,
+       CAST(s_suppkey % 5 AS INT) AS SIN_VAL, CAST(s_suppkey % 7 AS INT) AS SIN_VAL_FALLIDA
+FROM supplier
+"""
+
+ROLE_SQL["r_evaluated"] = """
+SELECT DISTINCT lpad(CAST(c_custkey % 50 + 25 AS STRING), 8, '0') AS DOCUMENTO FROM customer
+"""
+
 
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
