@@ -381,3 +381,83 @@ def _q(spark, d):
 @register("kri_phone_quality")
 def _q(spark, d):
     return consumption_month(spark, d).kri_phone_quality
+
+
+# ----------------------------------------------------------------- "Not To Do" incidents
+
+NTD_REPORT_FROM = 200001
+
+
+def _ntd(spark, d):
+    from vigia.operators import incidents as I
+    R = Roles(spark, d)
+    p = FIXTURE_PERIOD
+    base = I.incident_base(R.r_eval_ntd, p)
+    piv = I.incident_pivot(base, R.r_eval_ntd, p)
+    return R, p, I, base, piv
+
+
+@register("feed_freshness")
+def _q(spark, d):
+    R, p, I, *_ = _ntd(spark, d)
+    return I.feed_freshness(R.r_eval_ntd, R.r_observation, I.observation_standardise(R.r_observation))
+
+
+@register("incident_base")
+def _q(spark, d):
+    return _ntd(spark, d)[3]
+
+
+@register("incident_pivot")
+def _q(spark, d):
+    return _ntd(spark, d)[4]
+
+
+@register("incident_level")
+def _q(spark, d):
+    R, p, I, base, piv = _ntd(spark, d)
+    return I.incident_level(piv, R.r_ntd_level)
+
+
+@register("incident_category")
+def _q(spark, d):
+    R, p, I, base, piv = _ntd(spark, d)
+    return I.incident_category(I.incident_level(piv, R.r_ntd_level))
+
+
+@register("incident_final")
+def _q(spark, d):
+    R, p, I, base, piv = _ntd(spark, d)
+    return I.incident_final(I.incident_category(I.incident_level(piv, R.r_ntd_level)))
+
+
+@register("observation_severity_dedup")
+def _q(spark, d):
+    R, p, I, *_ = _ntd(spark, d)
+    return I.observation_severity_dedup(R.r_observation)
+
+
+@register("observation_standardise")
+def _q(spark, d):
+    R, p, I, *_ = _ntd(spark, d)
+    return I.observation_standardise(R.r_observation)
+
+
+@register("incident_action_flag")
+def _q(spark, d):
+    R, p, I, *_ = _ntd(spark, d)
+    return I.incident_table(R.r_eval_ntd, R.r_ntd_level, I.observation_standardise(R.r_observation), p)
+
+
+@register("incident_report")
+def _q(spark, d):
+    R, p, I, *_ = _ntd(spark, d)
+    inc = I.incident_table(R.r_eval_ntd, R.r_ntd_level, I.observation_standardise(R.r_observation), p)
+    return I.incident_report(inc, NTD_REPORT_FROM)
+
+
+@register("incident_detail")
+def _q(spark, d):
+    R, p, I, *_ = _ntd(spark, d)
+    inc = I.incident_table(R.r_eval_ntd, R.r_ntd_level, I.observation_standardise(R.r_observation), p)
+    return I.incident_detail(inc, NTD_REPORT_FROM)

@@ -388,6 +388,89 @@ ROLE_SQL["r_evaluated"] = """
 SELECT DISTINCT lpad(CAST(c_custkey % 50 + 25 AS STRING), 8, '0') AS DOCUMENTO FROM customer
 """
 
+def _stamp(ts: str) -> str:
+    """yyyymmddhhmi text of a timestamp, in the shared dialect."""
+    return (f"CAST(CAST(year({ts}) AS BIGINT) * 100000000 + month({ts}) * 1000000 + day({ts}) * 10000"
+            f" + hour({ts}) * 100 + minute({ts}) AS STRING)")
+
+
+def _eval_doc(key: str) -> str:
+    return (f"CASE WHEN {key} % 2 = 0 THEN lpad(CAST({key} AS STRING), 8, '0') "
+            f"WHEN {key} % 3 = 0 THEN lpad(CAST({key} AS STRING), 11, '0') END")
+
+
+# "Not To Do" evaluation form: every order is an evaluated call, one row per question.
+ROLE_SQL["r_eval_ntd"] = f"""
+SELECT CAST(o.o_orderkey AS STRING) AS conversationId,
+       o.o_orderdate + INTERVAL '9' HOUR + INTERVAL '1' MINUTE * CAST(o.o_orderkey % 60 AS BIGINT) AS assignedDate,
+       o.o_orderdate + INTERVAL '10' HOUR AS changedDate,
+       o.o_orderdate + INTERVAL '3' HOUR AS conversationStartTime,
+       {_agent('o.o_custkey')} || ' AGENTE' AS agentName,
+       'E' || lpad(CAST(o.o_custkey % 97 AS STRING), 5, '0') || ' EVALUADOR' AS evaluatorName,
+       CASE WHEN o.o_custkey % 2 = 0 THEN 'obs DNI ' || lpad(CAST(o.o_custkey AS STRING), 8, '0')
+            WHEN o.o_custkey % 3 = 0 THEN 'RUC ' || lpad(CAST(o.o_custkey AS STRING), 11, '0') END AS evaluationComments,
+       'NTD ' || o.o_orderpriority AS evaluationFormName,
+       q.GRP AS questionGroupName,
+       q.QTXT AS questionText,
+       CASE q.IDX
+         WHEN 1 THEN CASE o.o_orderkey % 4 WHEN 0 THEN 'No' WHEN 1 THEN 'Sí' WHEN 2 THEN 'SI' ELSE 'Si' END
+         WHEN 2 THEN CASE o.o_orderkey % 9 WHEN 0 THEN '1' WHEN 1 THEN 'EVAL2' WHEN 2 THEN 'ADIC 1' WHEN 3 THEN '0'
+                     WHEN 4 THEN '3' WHEN 5 THEN 'ADI 2' WHEN 6 THEN '4' WHEN 7 THEN '6' ELSE 'eval x' END
+         WHEN 3 THEN CASE o.o_orderkey % 3 WHEN 0 THEN 'Calidad (Eval/Aud)' WHEN 1 THEN 'Reclamos' ELSE 'Monitoreo' END
+         WHEN 4 THEN CASE (o.o_orderkey + q.IDX) % 5 WHEN 0 THEN 'SI' WHEN 1 THEN 'NO' WHEN 2 THEN '-' WHEN 3 THEN '' ELSE 'si' END
+         WHEN 5 THEN CASE (o.o_orderkey + q.IDX) % 5 WHEN 0 THEN 'SI' WHEN 1 THEN 'NO' WHEN 2 THEN '-' WHEN 3 THEN '' ELSE 'si' END
+         WHEN 6 THEN CASE (o.o_orderkey + q.IDX) % 5 WHEN 0 THEN 'SI' WHEN 1 THEN 'NO' WHEN 2 THEN '-' WHEN 3 THEN '' ELSE 'si' END
+         WHEN 7 THEN CASE (o.o_orderkey + q.IDX) % 4 WHEN 0 THEN 'Sí' WHEN 1 THEN 'NO' WHEN 2 THEN '-' ELSE 'Si' END
+         WHEN 8 THEN CASE (o.o_orderkey + q.IDX) % 4 WHEN 0 THEN 'Sí' WHEN 1 THEN 'NO' WHEN 2 THEN '-' ELSE 'Si' END
+         WHEN 9 THEN CASE (o.o_orderkey + q.IDX) % 4 WHEN 0 THEN 'Sí' WHEN 1 THEN 'NO' WHEN 2 THEN '-' ELSE 'Si' END
+         WHEN 13 THEN CASE (o.o_custkey + q.IDX) % 7 WHEN 0 THEN 'NL_No informa tasa' WHEN 1 THEN 'CO_Omite caracteristicas'
+                      WHEN 2 THEN 'ER_Registro incorrecto' WHEN 3 THEN 'GR_Fraude' WHEN 4 THEN 'SE_Seguro no ofrecido'
+                      WHEN 5 THEN 'VI_Validacion omitida' ELSE '-' END
+         WHEN 14 THEN CASE (o.o_custkey + q.IDX) % 7 WHEN 0 THEN 'NL_No informa tasa' WHEN 1 THEN 'CO_Omite caracteristicas'
+                      WHEN 2 THEN 'ER_Registro incorrecto' WHEN 3 THEN 'GR_Fraude' WHEN 4 THEN 'SE_Seguro no ofrecido'
+                      WHEN 5 THEN 'VI_Validacion omitida' ELSE 'XX_Otro' END
+         WHEN 15 THEN CASE (o.o_custkey + q.IDX) % 7 WHEN 0 THEN 'NL_No informa tasa' WHEN 1 THEN 'CO_Omite caracteristicas'
+                      WHEN 2 THEN 'ER_Registro incorrecto' WHEN 3 THEN 'GR_Fraude' WHEN 4 THEN 'SE_Seguro no ofrecido'
+                      WHEN 5 THEN 'VI_Validacion omitida' ELSE '' END
+         ELSE CASE (o.o_orderkey + q.IDX) % 4 WHEN 0 THEN 'CO_Brindar informacion falsa, incompleta o ambigua.'
+                   WHEN 1 THEN 'NL_Grupo legal' WHEN 2 THEN '-'
+                   ELSE 'CO_No solicita EECC >40K para desembolso (CD).' END
+       END AS answerText
+FROM orders o CROSS JOIN (VALUES
+  (1, 'DATOS EVALUACION', 'NTD'), (2, 'DATOS EVALUACION', 'NumEvaluacion'), (3, 'NOT TO DO', 'ORIGEN'),
+  (4, 'NOT TO DO', 'APLICA_NTD_1'), (5, 'NOT TO DO', 'APLICA_NTD_2'), (6, 'NOT TO DO', 'APLICA_NTD_3'),
+  (7, 'NOT TO DO', 'REINCIDENCIA_NTD_1'), (8, 'NOT TO DO', 'REINCIDENCIA_NTD_2'), (9, 'NOT TO DO', 'REINCIDENCIA_NTD_3'),
+  (10, 'NOT TO DO', 'NTD_01_CASUISTICA_GRUPO'), (11, 'NOT TO DO', 'NTD_02_CASUISTICA_GRUPO'),
+  (12, 'NOT TO DO', 'NTD_03_CASUISTICA_GRUPO'), (13, 'NOT TO DO', 'NTD_01_CASUISTICA_DETALLE'),
+  (14, 'NOT TO DO', 'NTD_02_CASUISTICA_DETALLE'), (15, 'NOT TO DO', 'NTD_03_CASUISTICA_DETALLE')
+) AS q(IDX, GRP, QTXT)
+"""
+
+ROLE_SQL["r_ntd_level"] = """
+SELECT upper(trim('NTD ' || f.P)) AS PLANTILLA_NORM, upper(trim(d.D)) AS CASUISTICA_NORM, d.L AS NIVEL_NTD
+FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) AS f(P)
+CROSS JOIN (VALUES ('NL_No informa tasa', 'N3'), ('CO_Omite caracteristicas', 'N2'),
+                   ('ER_Registro incorrecto', 'N1'), ('GR_Fraude', 'N3'), ('SE_Seguro no ofrecido', 'EO'),
+                   ('VI_Validacion omitida', 'N1')) AS d(D, L)
+"""
+
+# Supervisor observations: two versions per incident code (different action and date).
+ROLE_SQL["r_observation"] = f"""
+SELECT {_agent('o.o_custkey')} || '_' || coalesce({_eval_doc('o.o_custkey')}, '') || '_' ||
+       {_stamp("o.o_orderdate + INTERVAL '9' HOUR + INTERVAL '1' MINUTE * CAST(o.o_orderkey % 60 AS BIGINT)")}
+           AS CODIGO_NTD,
+       {_agent('o.o_custkey')} AS REGISTRO_EV,
+       CASE WHEN v.V = 1 THEN ' ' ELSE '' END || coalesce({_eval_doc('o.o_custkey')}, '') AS DNI_CLIENTE,
+       CASE (o.o_orderkey + v.V) % 12 WHEN 0 THEN 'FEEDBACK' WHEN 1 THEN 'Feedback' WHEN 2 THEN '-'
+            WHEN 3 THEN 'ENVIADO A GDH' WHEN 4 THEN 'Ll. atencion severa' WHEN 5 THEN 'CARTA DE LLAMADA DE ATENCION SIMPLE'
+            WHEN 6 THEN 'DESVINCULACION' WHEN 7 THEN 'Suspensión' WHEN 8 THEN 'Ll. atencion verbal'
+            WHEN 9 THEN 'ACTA DE LLAMADA DE ATENCION' WHEN 10 THEN NULL ELSE 'Otra accion' END AS ACCION_TOMADA,
+       CASE WHEN v.V = 1 THEN 'CERRADO' ELSE 'ABIERTO' END AS STATUS,
+       'obs ' || CAST(o.o_orderkey AS STRING) AS OBSERVACIONES,
+       o.o_orderdate + INTERVAL '1' DAY * CAST(v.V + o.o_orderkey % 3 AS BIGINT) AS FECHA_CREADO
+FROM orders o CROSS JOIN (VALUES (1), (2)) AS v(V)
+"""
+
 
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
