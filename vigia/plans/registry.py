@@ -461,3 +461,46 @@ def _q(spark, d):
     R, p, I, *_ = _ntd(spark, d)
     inc = I.incident_table(R.r_eval_ntd, R.r_ntd_level, I.observation_standardise(R.r_observation), p)
     return I.incident_detail(inc, NTD_REPORT_FROM)
+
+
+# ----------------------------------------------------------------- retention report
+
+def _ret(spark, d):
+    from vigia.operators import retention as RT
+    R = Roles(spark, d)
+    return R, RT
+
+
+@register("retention_enrich")
+def _q(spark, d):
+    R, RT = _ret(spark, d)
+    return RT.retention_enrich(R.r_ret_call, R.r_maverink, R.r_ret_outcome, R.r_maverik_clients, FIXTURE_PERIOD)
+
+
+@register("call_length_band")
+def _q(spark, d):
+    R, RT = _ret(spark, d)
+    return R.r_ret_call.select("conID", "TiempoLlamada", RT.call_length_band(F.col("TiempoLlamada")).alias("RANGO_LLAMADA"))
+
+
+@register("retention_durations")
+def _q(spark, d):
+    R, RT = _ret(spark, d)
+    e = RT.retention_durations(RT.retention_enrich(R.r_ret_call, R.r_maverink, R.r_ret_outcome,
+                                                   R.r_maverik_clients, FIXTURE_PERIOD))
+    keep = ["conID"] + [c for c in e.columns if c.startswith(("TiempoLlamada_", "Tiemposilencio_", "Tiempohablado_"))]
+    return e.select(*keep, "TOTAL_MOTIVOS_ANULACION")
+
+
+@register("retention_alert")
+def _q(spark, d):
+    R, RT = _ret(spark, d)
+    rep = RT.retention_report(R.r_ret_call, R.r_maverink, R.r_ret_outcome, R.r_maverik_clients, FIXTURE_PERIOD)
+    return rep.select("conID", "GESTION", "Direccion", "ALERTAS_RETENCIONES")
+
+
+@register("retention_view")
+def _q(spark, d):
+    R, RT = _ret(spark, d)
+    rep = RT.retention_report(R.r_ret_call, R.r_maverink, R.r_ret_outcome, R.r_maverik_clients, FIXTURE_PERIOD)
+    return RT.retention_view(rep)

@@ -472,6 +472,60 @@ FROM orders o CROSS JOIN (VALUES (1), (2)) AS v(V)
 """
 
 
+# Retention calls of agreement loans (speech-analytics flags per call).
+ROLE_SQL["r_ret_call"] = f"""
+SELECT
+       CASE WHEN (event_id + 0) % 3 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_COBRANZAS,
+       CASE WHEN (event_id + 1) % 4 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_COMPRA_DE_DEUDA,
+       CASE WHEN (event_id + 2) % 5 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_CONSULTAS_GENERALES,
+       CASE WHEN (event_id + 3) % 6 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_DEVOLUCION_CUOTAS,
+       CASE WHEN (event_id + 4) % 3 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_INFO_CAMPANAS,
+       CASE WHEN (event_id + 5) % 4 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_MAYOR_IMPORTE,
+       CASE WHEN (event_id + 6) % 5 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_MEDIOS_PROPIOS,
+       CASE WHEN (event_id + 7) % 6 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_OFF_MAVERICK,
+       CASE WHEN (event_id + 8) % 3 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_PEDIDOS_RECLAMOS,
+       CASE WHEN (event_id + 9) % 4 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_RET_AMPLIACION,
+       CASE WHEN (event_id + 10) % 5 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_RET_BAJA_TASA,
+       CASE WHEN (event_id + 11) % 6 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_SOL_CANCELACION,
+       CASE WHEN (event_id + 12) % 3 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_SOL_CRONOGRAMA,
+       CASE WHEN (event_id + 13) % 4 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_SOL_DEUDA_TOTAL,
+       CASE WHEN (event_id + 14) % 5 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_SOL_TASA_INTERES,
+       CASE WHEN (event_id + 15) % 6 = 0 THEN 1 ELSE 0 END AS RET_CONVENIOS_TASA_INTERES,
+       CAST(floor(value * 3) AS INT) AS TiempoLlamada,
+       CAST(floor(value) AS INT) % 60 AS TIEMPO_SILENCIO,
+       {_doc(_EVK)} AS DniCliente, {_agent(_EVK)} AS RegistroAgente, {_EV_TS} AS FechaLlamada,
+       {_phone(_EVK)} AS NUM_TELEF, {_phone(_EVK + ' + 4')} AS DNIS, CAST(event_id % 3 AS INT) AS Attemps,
+       'C' || CAST(event_id AS STRING) AS conID, event_type AS Tipificacion, 'IDC' || CAST(user_id AS STRING) AS IDContacto,
+       'SEG' || CAST(user_id % 4 AS STRING) AS cti_BT_Segmento,
+       CASE event_id % 5 WHEN 0 THEN 'A_BE_CONVENIOS' WHEN 1 THEN 'C_CONVENIOS' WHEN 2 THEN 'C_CONVENIOS_PRV'
+            WHEN 3 THEN 'TLV_CON_RET' ELSE 'OTRA AREA' END AS Area
+FROM events
+"""
+
+ROLE_SQL["r_ret_outcome"] = f"""
+SELECT {_doc('o_custkey')} AS nro_documento, {_agent('o_custkey')} AS primer_registro,
+       CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) AS mes,
+       'SEGMENTO ' || CAST(o_custkey % 3 AS STRING) AS SEGMENTO, 'FAMILIA ' || CAST(o_orderkey % 4 AS STRING) AS FAMILIA,
+       'MOTIVO ' || CAST(o_orderkey % 5 AS STRING) AS MOTIVO_DSC, 'RESP ' || o_orderstatus AS respuesta_val,
+       CASE o_orderkey % 7 WHEN 0 THEN '2.Solicita cancelación' WHEN 1 THEN '5.Deuda Total al día'
+            WHEN 2 THEN '6.Baja de Tasa - P' WHEN 3 THEN '1.Liquidación de Deuda - P'
+            WHEN 4 THEN '3.Retención Derivada Gestor CxC' WHEN 5 THEN '4.Otra gestion' ELSE NULL END AS GESTION,
+       'PLAZA ' || CAST(o_custkey % 6 AS STRING) AS PLAZA_TIENDA_CANCELACION_DSC,
+       CASE o_orderkey % 3 WHEN 0 THEN 'tasa' WHEN 1 THEN 'venta' ELSE 'ninguna' END AS TIPO_RETEN,
+       CAST(o_orderkey % 2 AS INT) AS CAMP_RETEN, CASE WHEN o_orderkey % 4 >= 2 THEN 1 ELSE 0 END AS CANCELACION_FLG,
+       CAST(o_custkey % 2 AS INT) AS FLG_XTASA, CAST((o_custkey + 1) % 2 AS INT) AS FLG_XMONTO
+FROM orders
+"""
+
+ROLE_SQL["r_maverink"] = f"""
+SELECT '{_P}' AS PERIODO_VAL, {_agent('c_custkey')} AS REGISTRO, c_name AS NOMBRE_REGISTRO FROM customer
+"""
+
+ROLE_SQL["r_maverik_clients"] = f"""
+SELECT DISTINCT lpad(CAST(c_custkey % 35 AS STRING), 8, '0') AS DNI, '{_P}' AS PERIODO FROM customer
+"""
+
+
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
     for t in BASE_TABLES:
