@@ -10,13 +10,14 @@ from __future__ import annotations
 from vigia.sources.fixtures import oracle_ctes
 
 from oracle import quality as _quality
+from oracle import consent as _consent
 from oracle import incidents as _incidents
 from oracle import kri as _kri
 from oracle import retention as _retention
 from oracle import phone as _phone
 from oracle import sales as _sales
 
-_MODULES = [_quality, _sales, _kri, _phone, _incidents, _retention]
+_MODULES = [_quality, _sales, _kri, _phone, _incidents, _retention, _consent]
 
 
 def _compose(stages: dict[str, str], final: str) -> str:

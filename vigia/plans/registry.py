@@ -504,3 +504,19 @@ def _q(spark, d):
     R, RT = _ret(spark, d)
     rep = RT.retention_report(R.r_ret_call, R.r_maverink, R.r_ret_outcome, R.r_maverik_clients, FIXTURE_PERIOD)
     return RT.retention_view(rep)
+
+
+# ----------------------------------------------------------------- consent history
+
+@register("consent_increment")
+def _q(spark, d):
+    from vigia.operators.consent import consent_increment
+    R = Roles(spark, d)
+    return consent_increment(R.r_leads, R.r_leads_digital, R.r_consent_hist, FIXTURE_PERIOD)
+
+
+@register("consent_reset")
+def _q(spark, d):
+    from vigia.operators.consent import consent_reset
+    R = Roles(spark, d)
+    return consent_reset(R.r_leads, R.r_leads_digital, R.r_consent_hist, FIXTURE_PERIOD, start_of_month=True)

@@ -213,8 +213,9 @@ FROM (
 ROLE_SQL["r_leads"] = f"""
 SELECT {_doc('c_custkey')} AS NUMERO_DOCUMENTO,
        {_phone('c_custkey')} AS TELEFONO,
-       CASE c_nationkey % 9 WHEN 0 THEN 'C' WHEN 1 THEN 'NC' WHEN 2 THEN '2DA' WHEN 3 THEN 'PP'
-            WHEN 4 THEN 'CON' WHEN 5 THEN 'EC' WHEN 6 THEN 'BPE' WHEN 7 THEN 'IL' ELSE 'UPG' END AS TIP_CLIENTE,
+       CASE c_nationkey % 10 WHEN 0 THEN 'C' WHEN 1 THEN 'NC' WHEN 2 THEN '2DA' WHEN 3 THEN 'PP'
+            WHEN 4 THEN 'CON' WHEN 5 THEN 'EC' WHEN 6 THEN 'BPE' WHEN 7 THEN 'IL' WHEN 8 THEN 'UPG'
+            ELSE 'CD' END AS TIP_CLIENTE,
        CASE WHEN c_custkey % 7 = 2 THEN 'V3' END AS VARIABLE_3,
        CASE WHEN c_custkey % 7 = 1 THEN 'V4' END AS VARIABLE_4,
        CASE WHEN c_custkey % 3 = 0 THEN 'S' ELSE 'N' END AS VARIABLE_26,
@@ -226,9 +227,10 @@ FROM customer
 """
 
 ROLE_SQL["r_leads_digital"] = f"""
-SELECT {_doc('s_suppkey')} AS NUMERO_DOCUMENTO,
+SELECT CASE WHEN s_suppkey % 13 = 0 THEN 'callback' ELSE {_doc('s_suppkey')} END AS NUMERO_DOCUMENTO,
        {_phone('s_suppkey')} AS TELEFONO,
-       CASE s_nationkey % 5 WHEN 0 THEN 'DTC' WHEN 1 THEN 'DPP' WHEN 2 THEN 'DEC' WHEN 3 THEN 'DCO' ELSE 'DIG' END AS TIP_CLIENTE,
+       CASE s_nationkey % 8 WHEN 0 THEN 'DTC' WHEN 1 THEN 'DPP' WHEN 2 THEN 'DEC' WHEN 3 THEN 'DCO'
+            WHEN 4 THEN 'DCD' WHEN 5 THEN 'DIL' WHEN 6 THEN 'DUPG' ELSE 'DIG' END AS TIP_CLIENTE,
        CASE WHEN s_suppkey % 6 = 2 THEN 'V3' END AS VARIABLE_3,
        CASE WHEN s_suppkey % 6 = 1 THEN 'V4' END AS VARIABLE_4,
        CASE WHEN s_suppkey % 2 = 0 THEN 'S' ELSE 'N' END AS VARIABLE_26,
@@ -525,6 +527,17 @@ ROLE_SQL["r_maverik_clients"] = f"""
 SELECT DISTINCT lpad(CAST(c_custkey % 35 AS STRING), 8, '0') AS DNI, '{_P}' AS PERIODO FROM customer
 """
 
+# Consent history already stored (a third of the lead codes, as from an earlier run).
+ROLE_SQL["r_consent_hist"] = """
+SELECT CASE WHEN TIP_CLIENTE IN ('C', 'NC', '2DA') THEN 'TC' ELSE TIP_CLIENTE END AS TABLA,
+       CASE WHEN TIP_CLIENTE IN ('C', 'NC', '2DA') THEN 'TC' ELSE TIP_CLIENTE END || '_' || NUMERO_DOCUMENTO || '_'
+       || CASE WHEN ID_LEAD % 3 = 0 THEN coalesce(VARIABLE_26, '') ELSE 'X' END || '_' || USERFIELD5 AS CODE
+FROM r_leads
+UNION ALL
+SELECT 'DPP', TIP_CLIENTE || '_' || NUMERO_DOCUMENTO || '_' || coalesce(VARIABLE_26, '') || '_' || USERFIELD5
+FROM r_leads_digital WHERE TIP_CLIENTE = 'DPP'
+"""
+
 
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
