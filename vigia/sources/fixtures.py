@@ -548,13 +548,18 @@ def register_base(spark: SparkSession, sf_dir: str) -> None:
 class Roles:
     """Lazy accessor: ``Roles(spark, sf_dir).r_eval`` → DataFrame of that role."""
 
+    _registered: dict[int, str] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        register_base(spark, sf_dir)
-        # Roles reference earlier roles by name, so register them all as views.
-        for name, sql in ROLE_SQL.items():
-            spark.sql(sql).createOrReplaceTempView(name)
+        key = id(spark._jsparkSession)
+        if Roles._registered.get(key) != sf_dir or not spark.catalog.tableExists(next(reversed(ROLE_SQL))):
+            register_base(spark, sf_dir)
+            # Roles reference earlier roles by name, so register them all as views.
+            for name, sql in ROLE_SQL.items():
+                spark.sql(sql).createOrReplaceTempView(name)
+            Roles._registered[key] = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLE_SQL:
