@@ -1,4 +1,10 @@
-"""Consumption month: product marts → risk indicators (sales without audio, phones)."""
+"""Consumption month: product marts → risk indicators (sales without audio, phones).
+
+The marts, the unified batch traffic and the back-filled platform traffic are
+the tables the reference stores between scripts; each is read by several later
+steps, so they are materialised once with a reliable checkpoint (lineage cut,
+executor-loss safe) instead of being recomputed inside every consumer's plan.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +17,7 @@ from vigia.operators import kri_audio as KA
 from vigia.operators import kri_phone as KP
 from vigia.operators import sales as SA
 from vigia.params import Period
+from vigia.session import cut_lineage
 
 
 @dataclass
@@ -38,7 +45,7 @@ class ConsumptionMonth:
     @cached_property
     def marts(self) -> dict[str, DataFrame]:
         f, a, p = self.i.feeds, self.i.agents, self.p
-        return {
+        marts = {
             "TC": SA.sales_card(f["TC"], f["SEG"], a, p),
             "PP": SA.sales_loan(f["PP"], a, p),
             "EC": SA.sales_cash_line(f["EC"], a, p),
@@ -49,6 +56,7 @@ class ConsumptionMonth:
             "PA": SA.sales_autopay(f["PA"], a, p),
             "SEG": SA.sales_insurance(f["SEG"], a, p),
         }
+        return {k: cut_lineage(v) for k, v in marts.items()}
 
     @cached_property
     def kri_sales(self) -> DataFrame:
@@ -64,7 +72,7 @@ class ConsumptionMonth:
 
     @cached_property
     def platform_final(self) -> DataFrame:
-        return KA.traffic_backfill_registry(self.platform_doc, self.i.registry)
+        return cut_lineage(KA.traffic_backfill_registry(self.platform_doc, self.i.registry))
 
     @cached_property
     def batch_unified(self) -> DataFrame:
@@ -73,7 +81,7 @@ class ConsumptionMonth:
 
     @cached_property
     def batch_traffic(self) -> DataFrame:
-        return KA.traffic_drop_blank(self.batch_unified)
+        return cut_lineage(KA.traffic_drop_blank(self.batch_unified))
 
     @cached_property
     def sales_origin(self) -> DataFrame:
@@ -87,7 +95,7 @@ class ConsumptionMonth:
     def phone_sales(self) -> DataFrame:
         marts = dict(self.marts)
         marts.update(self.i.extra_sales or {})
-        return KP.product_sales(marts)
+        return cut_lineage(KP.product_sales(marts))
 
     @cached_property
     def talk_time(self) -> DataFrame:
@@ -96,7 +104,7 @@ class ConsumptionMonth:
 
     @cached_property
     def longest(self) -> DataFrame:
-        return KP.phone_longest(self.talk_time)
+        return cut_lineage(KP.phone_longest(self.talk_time))
 
     @cached_property
     def authorised(self) -> DataFrame:

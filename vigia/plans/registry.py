@@ -520,3 +520,164 @@ def _q(spark, d):
     from vigia.operators.consent import consent_reset
     R = Roles(spark, d)
     return consent_reset(R.r_leads, R.r_leads_digital, R.r_consent_hist, FIXTURE_PERIOD, start_of_month=True)
+
+
+# ----------------------------------------------------------------- cleaning and profiling
+
+def _up(spark, d):
+    from vigia.operators import cleaning as CL
+    from vigia.sources.fixtures import UPLOAD_TEMPLATE
+    return Roles(spark, d).r_upload, CL, UPLOAD_TEMPLATE
+
+
+@register("template_project")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return CL.template_project(df, T)
+
+
+@register("column_completeness")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return CL.column_completeness(df)
+
+
+@register("drop_empty_unnamed")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return CL.drop_empty_unnamed(df).select("ID_DOC", *[c for c in CL.drop_empty_unnamed(df).columns
+                                                         if c.startswith("Unnamed")])
+
+
+@register("null_indicator")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return df.select("ID_DOC", CL.null_indicator(F.col("OBS")).alias("OBS"))
+
+
+@register("null_literals")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return df.select("ID_DOC", CL.null_literals(F.col("ESTADO")).alias("ESTADO"))
+
+
+@register("latin1_truncate")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return df.select("ID_DOC", CL.latin1_truncate(F.col("TEXTO"), 3000).alias("TEXTO"))
+
+
+@register("strip_accents")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return df.select("ID_DOC", CL.strip_accents(F.col("TEXTO")).alias("TEXTO"))
+
+
+@register("char1")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return df.select("ID_DOC", CL.char1(F.col("IDIOMA")).alias("IDIOMA"))
+
+
+@register("lenient_numeric")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return df.select("ID_DOC", CL.lenient_numeric(F.col("MONTO"), "FLOAT").alias("MONTO"),
+                     CL.lenient_numeric(F.col("MONTO"), "INTEGER").alias("MONTO_INT"))
+
+
+@register("lenient_temporal")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    sch = df.schema
+    return df.select("ID_DOC", CL.lenient_temporal(F.col("FECHA"), "DATE", sch["FECHA"].dataType).alias("FECHA"),
+                     CL.lenient_temporal(F.col("FECHA_HORA"), "TIMESTAMP", sch["FECHA_HORA"].dataType)
+                     .alias("FECHA_HORA"))
+
+
+@register("clean_frame")
+def _q(spark, d):
+    df, CL, T = _up(spark, d)
+    return CL.clean_frame(df, CL.selections_from_template(df, T), strip_accents_flag=True, latin=True, max_len=3000)
+
+
+# ----------------------------------------------------------------- month close and manual patches
+
+PATCH_PARAMS = {"new_reg": "B00002", "base_reg": "B00024", "product": "TC", "nevaluacion": 1}
+ANSWER_FIX = {"conversation": "7", "group": "Protocolo", "question_like": "%pregunta%", "answer": "SI"}
+
+
+@register("close_month")
+def _q(spark, d):
+    from vigia.operators.patches import close_month
+    qm = quality_month(spark, d)
+    R = Roles(spark, d)
+    return close_month(qm.final, R.r_agent_month, FIXTURE_PERIOD.periodo_prev)
+
+
+@register("copy_evaluation")
+def _q(spark, d):
+    from vigia.operators.patches import copy_evaluation
+    qm = quality_month(spark, d)
+    return copy_evaluation(qm.sa_patched, period=FIXTURE_PERIOD.periodo, **PATCH_PARAMS)
+
+
+@register("correct_answer")
+def _q(spark, d):
+    from vigia.operators.patches import correct_answer
+    R = Roles(spark, d)
+    return correct_answer(R.r_eval, **ANSWER_FIX).select("conversationId", "questionid", "questionGroupName",
+                                                        "questionText", "answerText")
+
+
+# ----------------------------------------------------------------- premium channel, claims, sweep, large debt
+
+def _ch(spark, d):
+    from vigia.operators import channel as CH
+    return Roles(spark, d), CH, FIXTURE_PERIOD
+
+
+@register("retention_claims")
+def _q(spark, d):
+    R, CH, p = _ch(spark, d)
+    return CH.retention_claims(R.r_claim, R.r_claim_detail, R.r_typology, R.r_area, R.r_claim_extra, R.r_agent,
+                               R.r_evaluated, R.r_claim_state, p)
+
+
+@register("insurance_portfolio")
+def _q(spark, d):
+    R, CH, p = _ch(spark, d)
+    return CH.insurance_portfolio(R.src("SEG"), R.r_agent, p)
+
+
+@register("channel_agents")
+def _q(spark, d):
+    R, CH, p = _ch(spark, d)
+    ec = CH.channel_agents(R.r_contact, R.r_portfolio, p.periodo_prev, p.periodo).withColumn("RAMA", F.lit("EC"))
+    pp = CH.channel_agents(R.r_contact, R.r_portfolio, p.periodo, p.periodo).withColumn("RAMA", F.lit("PP"))
+    return ec.unionByName(pp)
+
+
+@register("sales_select_cash_loan")
+def _q(spark, d):
+    R, CH, p = _ch(spark, d)
+    return CH.sales_select_cash_loan(R.src("EC"), R.src("PP"), R.r_contact, R.r_portfolio, p)
+
+
+@register("sales_channel_select")
+def _q(spark, d):
+    R, CH, p = _ch(spark, d)
+    return CH.sales_channel_select(R.r_consolidated, R.r_portfolio, p)
+
+
+@register("agent_calls_view")
+def _q(spark, d):
+    R, CH, p = _ch(spark, d)
+    return CH.agent_calls_view(R.r_sweep, p)
+
+
+@register("large_debt_detail")
+def _q(spark, d):
+    R, CH, p = _ch(spark, d)
+    cm = consumption_month(spark, d)
+    return CH.large_debt_detail(cm.marts["CD"], R.r_debt_lines, R.r_sp_cd40k, R.r_evaluated)

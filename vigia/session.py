@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,7 +68,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) into the shared checkpoint dir."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    Computed once (a reliable RDD checkpoint would run the plan twice), safe
+    against executor loss (the files live in the cluster's shared
+    ``spark.checkpoint.dir``), and the re-read scan carries real file sizes, so
+    AQE/CBO size checks (broadcast or not) see the true size of the stage.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/vigia-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

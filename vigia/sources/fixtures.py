@@ -305,7 +305,13 @@ SELECT o_orderkey AS ID,
             WHEN 2 THEN 'PROGRAMA ONCOLOGICO' ELSE 'OTRO SEGURO' END AS PRODUCTO_SEG,
        CASE WHEN o_custkey % 3 = 0 THEN 'NUEVO' ELSE 'RECURRENTE' END AS TIPO_VENTA,
        'FAMILIA ' || CAST(o_custkey % 4 AS STRING) AS FAMILIA_DSC,
-       CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS SEGURO_FLG
+       CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS SEGURO_FLG,
+       'CUC' || lpad(CAST(o_custkey AS STRING), 9, '0') AS CUC_NUM,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'S' ELSE 'N' END AS REENGANCHE_FLG,
+       CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END AS REENGANCHE_NUM,
+       CASE WHEN o_orderkey % 6 = 0 THEN 'AF/CD' ELSE 'AF' END AS OPERACION_DSC,
+       CAST(round(10.0 + (o_totalprice % 4000) / 100.0, 2) AS DOUBLE) AS TASA_PE,
+       CAST(o_custkey % 2 AS INT) AS CAMP_FLG
 FROM orders JOIN customer ON o_custkey = c_custkey
 """
 
@@ -538,6 +544,126 @@ SELECT 'DPP', TIP_CLIENTE || '_' || NUMERO_DOCUMENTO || '_' || coalesce(VARIABLE
 FROM r_leads_digital WHERE TIP_CLIENTE = 'DPP'
 """
 
+# A raw upload (all text, as the feeds arrive) derived from the documents table.
+ROLE_SQL["r_upload"] = """
+SELECT CAST(doc_id AS STRING) AS ID_DOC, text AS TEXTO, lang AS IDIOMA, source AS FUENTE,
+       CAST(n_chars AS STRING) AS NUM_CHARS,
+       CASE doc_id % 6 WHEN 0 THEN 'nan' WHEN 1 THEN 'None' WHEN 2 THEN '<NA>' WHEN 3 THEN 'NULL' WHEN 4 THEN NULL
+            ELSE 'Válido ' || lang END AS ESTADO,
+       CASE WHEN doc_id % 7 = 0 THEN 'n/a' ELSE CAST(doc_id * 1.5 AS STRING) END AS MONTO,
+       CAST(DATE '2000-03-01' + CAST(doc_id % 28 AS INT) AS STRING) AS FECHA,
+       CASE WHEN doc_id % 5 = 0 THEN 'no es fecha'
+            ELSE CAST(DATE '2000-03-01' + CAST(doc_id % 28 AS INT) AS STRING) || ' 10:'
+                 || lpad(CAST(doc_id % 60 AS STRING), 2, '0') || ':00' END AS FECHA_HORA,
+       CAST(doc_id * 7 AS STRING) AS CLAVE_SID,
+       CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'x' END AS OBS,
+       CAST(NULL AS STRING) AS Unnamed_1,
+       CASE WHEN doc_id % 4 = 0 THEN 'v' END AS Unnamed_2
+FROM documents
+"""
+
+# Upload template for r_upload (the reference's template JSON shape).
+UPLOAD_TEMPLATE = {
+    "ID_DOC": {"Añadir": True, "Nuevo nombre": "Id Documento", "Null:0/No Null:1": False, "Tipo de dato": "INTEGER"},
+    "TEXTO": {"Añadir": True, "Nuevo nombre": "Texto", "Null:0/No Null:1": False, "Tipo de dato": "VARCHAR(255)"},
+    "IDIOMA": {"Añadir": True, "Nuevo nombre": "Idioma", "Null:0/No Null:1": False, "Tipo de dato": "CHAR(1)"},
+    "FUENTE": {"Añadir": False, "Nuevo nombre": "Fuente", "Null:0/No Null:1": False, "Tipo de dato": "VARCHAR(255)"},
+    "NUM_CHARS": {"Añadir": True, "Nuevo nombre": "2 Caracteres", "Null:0/No Null:1": False, "Tipo de dato": "FLOAT"},
+    "ESTADO": {"Añadir": True, "Nuevo nombre": "Estado (actual)", "Null:0/No Null:1": False,
+               "Tipo de dato": "VARCHAR(255)"},
+    "MONTO": {"Añadir": True, "Nuevo nombre": "Monto S/.", "Null:0/No Null:1": False, "Tipo de dato": "FLOAT"},
+    "FECHA": {"Añadir": True, "Nuevo nombre": "Fecha", "Null:0/No Null:1": False, "Tipo de dato": "DATE"},
+    "FECHA_HORA": {"Añadir": True, "Nuevo nombre": "Fecha Hora", "Null:0/No Null:1": False, "Tipo de dato": "TIMESTAMP"},
+    "CLAVE_SID": {"Añadir": True, "Nuevo nombre": "Clave SID", "Null:0/No Null:1": False, "Tipo de dato": "INTEGER"},
+    "OBS": {"Añadir": True, "Nuevo nombre": "Obs", "Null:0/No Null:1": True, "Tipo de dato": "VARCHAR(255)"},
+}
+
+# Premium-channel contacts and customer portfolio (two months).
+ROLE_SQL["r_contact"] = f"""
+SELECT {_agent('c_custkey')} AS REGEJECUTIVO,
+       CASE WHEN c_custkey % 5 = 0 THEN 'CANAL SELECT' ELSE 'CANAL MASIVO' END AS MODELO
+FROM customer
+"""
+
+ROLE_SQL["r_portfolio"] = f"""
+SELECT lpad(CAST(c_custkey AS STRING), 10, '0') AS codunico, m.M AS codmes,
+       {_agent('c_custkey + 3')} AS regejecutivo,
+       'S' || lpad(CAST(c_nationkey AS STRING), 5, '0') AS regsupervisor,
+       CASE WHEN (c_custkey + m.M) % 4 = 0 THEN 'CANAL SELECT' ELSE 'CANAL MASIVO' END AS MODELO,
+       {_doc('c_custkey')} AS CODDOC, c_name AS nomcliente, 'EJEC ' || CAST(c_custkey % 97 AS STRING) AS NOMCORTO
+FROM customer CROSS JOIN (VALUES (200002), (200003)) AS m(M)
+"""
+
+# Consolidated sales of all channels (premium team label is configuration).
+ROLE_SQL["r_consolidated"] = """
+SELECT 'CU' || lpad(CAST(o_custkey AS STRING), 12, '0') AS codunicocli,
+       year(o_orderdate) * 100 + month(o_orderdate) AS CODMES,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'BANCA SELECT' ELSE 'BANCA MASIVA' END AS EQUIPO,
+       CASE o_orderkey % 8 WHEN 0 THEN 'TARJETAS ACTIVADAS' WHEN 1 THEN 'TARJETAS APROBADAS'
+            WHEN 2 THEN 'TARJETAS ENTREGADAS' WHEN 3 THEN 'UPGRADE TARJETA DE CREDITO' WHEN 4 THEN 'TARJETAS ADICIONALES'
+            WHEN 5 THEN 'TLV COMPRA DE DEUDA' WHEN 6 THEN 'SEGUROS VIDA' ELSE 'PRESTAMO PERSONAL' END AS PRODUCTO,
+       CAST(o_orderdate AS DATE) AS FEC_VENTA, 'SUB ' || o_orderstatus AS NUEVO_SUBPRODUCTO,
+       o_totalprice AS MONTO, CAST(o_orderkey % 2 AS INT) AS FLG_CAMP
+FROM orders
+"""
+
+# Card-cancellation claims (claim = order, detail = line, typology = part, area = nation).
+ROLE_SQL["r_claim"] = f"""
+SELECT o_orderkey AS ID_RECLAMO, {_doc('o_custkey')} AS NRO_DOCUMENTO,
+       CASE WHEN o_orderkey % 3 = 0 THEN {_agent('o_custkey')} ELSE 'U' || lpad(CAST(o_custkey AS STRING), 5, '0') END
+           AS USUARIO_ALTA,
+       'USUARIO ' || CAST(o_custkey AS STRING) AS NOMBRE_USUARIO_ALTA,
+       CASE o_orderkey % 5 WHEN 0 THEN 'EP' WHEN 1 THEN 'PF' WHEN 2 THEN 'DP' ELSE 'NF' END AS estado_reclamo,
+       o_orderdate AS FECHA_ALTA, o_orderdate + INTERVAL '2' DAY AS FECHA_RESPUESTA,
+       CAST(o_custkey % 25 AS INT) AS AREA_ACTUAL, CAST(o_orderkey % 25 AS INT) AS SUCURSAL_ALTA,
+       {_agent('o_custkey + 11')} AS CODIGO_USUARIO_ACTUAL
+FROM orders
+"""
+
+ROLE_SQL["r_claim_detail"] = "SELECT l_orderkey AS id_reclamo, l_partkey AS id_tipologia FROM lineitem"
+
+ROLE_SQL["r_typology"] = """
+SELECT p_partkey AS id_tipologia,
+       CASE p_partkey % 3 WHEN 0 THEN 'Finalización de tarjeta de crédito' WHEN 1 THEN 'Anulación de tarjeta de crédito'
+            ELSE 'Consulta de saldo' END AS DESC_TIPO
+FROM part
+"""
+
+ROLE_SQL["r_area"] = "SELECT n_nationkey AS CODIGO, 'AREA ' || n_name AS DESCRIPCION FROM nation"
+
+ROLE_SQL["r_claim_extra"] = """
+SELECT l_orderkey AS id_reclamo, CASE WHEN l_linenumber % 2 = 1 THEN 'cardNumber' ELSE 'phone' END AS nombre,
+       '4' || lpad(CAST(l_partkey AS STRING), 15, '0') AS valor
+FROM lineitem
+"""
+
+ROLE_SQL["r_claim_state"] = """
+SELECT o_orderkey AS ID_RECLAMO, o_orderdate + INTERVAL '1' DAY AS FECHA_CREACION,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'DERIVACIONPROCESOAUTOMATICO' ELSE 'REVISION' END AS ACTIVIDAD
+FROM orders
+"""
+
+# Outbound sweep calls of one campaign (agent "code name" text).
+ROLE_SQL["r_sweep"] = f"""
+SELECT CAST(year({_EV_TS}) * 100 + month({_EV_TS}) AS STRING) AS COD_MES, 'HIP' AS PRODUCTO,
+       CAST(event_id % 2 AS INT) AS CANT_CE, CASE WHEN event_id % 3 = 0 THEN 'S' ELSE 'N' END AS CONSENTIMIENTO,
+       'CARGA ' || CAST(event_id % 2 AS STRING) AS TIPO_CARGA, 'CAMP' || CAST(user_id % 3 AS STRING) AS VARIABLE_15,
+       event_type AS DES_RESULTLLAMADA_ININ, {_doc(_EVK)} AS NUM_DOCUMENTO, {_phone(_EVK)} AS NUM_TELEFONO,
+       {_EV_TS} AS FEC_LLAMADA, CAST(event_id % 4 AS INT) AS NRO_LLAMADA,
+       {_agent(_EVK)} || '  AGENTE ' || CAST(user_id AS STRING) || ' ' AS NOM_EJECUTIVO,
+       'FLUJO ' || CAST(event_id % 2 AS STRING) AS XFLUJO_ADQ
+FROM events
+"""
+
+# Statement checks of large debt purchases (card and parallel line per line item).
+ROLE_SQL["r_sp_cd40k"] = f"""
+SELECT {_doc('o.o_custkey')} AS DNI_CLIENTE, {_agent('o.o_custkey')} AS REG_EJECUTIVO,
+       '5' || lpad(CAST(l.l_partkey AS STRING), 15, '0') AS CD_NUMERO_TC,
+       CASE WHEN l.l_linenumber % 2 = 0 THEN '6' || lpad(CAST(l.l_partkey AS STRING), 15, '0')
+            ELSE '6' || lpad(CAST(l.l_suppkey AS STRING), 15, '0') END AS LINEA_PARALELA
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+"""
+
 
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
@@ -561,18 +687,28 @@ class Roles:
                 spark.sql(sql).createOrReplaceTempView(name)
             Roles._registered[key] = sf_dir
 
+    _stored: dict[tuple, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        """The role as a stored input table (built from the driver tables once per data dir)."""
+        from vigia.session import cut_lineage
+        key = (id(self.spark._jsparkSession), self.sf_dir, name)
+        if key not in Roles._stored:
+            Roles._stored[key] = cut_lineage(self.spark.table(name), name)
+        return Roles._stored[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLE_SQL:
-            return self.spark.table(name)
+            return self.table(name)
         raise AttributeError(name)
 
     def src(self, feed: str) -> DataFrame:
         from pyspark.sql import functions as F
-        return self.spark.table("r_src").where(F.col("FUENTE") == feed)
+        return self.table("r_src").where(F.col("FUENTE") == feed)
 
     def sales(self, product: str) -> DataFrame:
         from pyspark.sql import functions as F
-        return self.spark.table("r_sales").where(F.col("PRODUCTO") == product)
+        return self.table("r_sales").where(F.col("PRODUCTO") == product)
 
 
 def oracle_ctes() -> str:
