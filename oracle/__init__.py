@@ -10,6 +10,7 @@ from __future__ import annotations
 from vigia.sources.fixtures import oracle_ctes
 
 from oracle import quality as _quality
+from oracle import requests as _requests
 from oracle import channel as _channel
 from oracle import cleaning as _cleaning
 from oracle import consent as _consent
@@ -19,7 +20,7 @@ from oracle import retention as _retention
 from oracle import phone as _phone
 from oracle import sales as _sales
 
-_MODULES = [_quality, _sales, _kri, _phone, _incidents, _retention, _consent, _cleaning, _channel]
+_MODULES = [_quality, _sales, _kri, _phone, _incidents, _retention, _consent, _cleaning, _channel, _requests]
 
 
 def _compose(stages: dict[str, str], final: str) -> str:

@@ -681,3 +681,176 @@ def _q(spark, d):
     R, CH, p = _ch(spark, d)
     cm = consumption_month(spark, d)
     return CH.large_debt_detail(cm.marts["CD"], R.r_debt_lines, R.r_sp_cd40k, R.r_evaluated)
+
+
+# ----------------------------------------------------------------- recording requests, transcripts, audits
+
+import datetime as _dt  # noqa: E402
+
+REPORT_TODAY = _dt.date(2000, 3, 20)
+
+
+def _rq(spark, d):
+    from vigia.operators import requests as RQ
+    return Roles(spark, d), RQ
+
+
+@register("html_to_text")
+def _q(spark, d):
+    R, RQ = _rq(spark, d)
+    return spark.table("pages").select("page_id", RQ.html_to_text(F.col("html")).alias("TEXTO"))
+
+
+@register("subject_product")
+def _q(spark, d):
+    R, RQ = _rq(spark, d)
+    return R.r_mail.select("MSG_ID", "SUBJECT", RQ.subject_product(F.col("SUBJECT")).alias("PREFIJO"))
+
+
+@register("subject_match")
+def _q(spark, d):
+    R, RQ = _rq(spark, d)
+    return R.r_mail.select("MSG_ID", "SUBJECT", RQ.subject_match(F.col("SUBJECT")).alias("COINCIDE"))
+
+
+def _table_requests(R, RQ):
+    mail = R.r_mail.select(F.col("MSG_ID").alias("_M"), RQ.subject_product(F.col("SUBJECT")).alias("_PRE"))
+    rows = R.r_req_rows.join(mail, F.col("MSG_ID") == F.col("_M"))
+    a = RQ.request_from_table(rows, ["PROMOTOR_CD", "DNI_CLIENTE", "FECHA_DESEMBOLSO"], F.col("_PRE"),
+                              keep=["MSG_ID", "ROW_NO"]).withColumn("ORIGEN", F.lit("COLUMNAS"))
+    cells = R.r_req_cells.join(mail, F.col("MSG_ID") == F.col("_M"))
+    b = RQ.request_from_table(cells, ["COL_A", "COL_B", "COL_C"], F.col("_PRE"),
+                              keep=["MSG_ID", "ROW_NO"]).withColumn("ORIGEN", F.lit("CELDAS"))
+    return a.unionByName(b)
+
+
+@register("request_from_table")
+def _q(spark, d):
+    return _table_requests(*_rq(spark, d))
+
+
+@register("request_from_text")
+def _q(spark, d):
+    R, RQ = _rq(spark, d)
+    m = R.r_mail.select("MSG_ID", RQ.html_to_text(F.col("BODY_HTML")).alias("TEXTO"),
+                        RQ.subject_product(F.col("SUBJECT")).alias("_PRE"))
+    return RQ.request_from_text(m, "TEXTO", F.col("_PRE"), keep=["MSG_ID"])
+
+
+@register("request_from_lines")
+def _q(spark, d):
+    R, RQ = _rq(spark, d)
+    return RQ.request_from_lines(R.r_paste, "PASTE_ID", "TEXT")
+
+
+def _all_requests(R, RQ):
+    t = _table_requests(R, RQ).select("reg_ev", "dni", "nombre_archivo", "prefijo", F.lit(1).alias("SRC"),
+                                      F.col("MSG_ID").alias("ID"), F.col("ROW_NO").cast("long").alias("POS"))
+    p = RQ.request_from_lines(R.r_paste, "PASTE_ID", "TEXT").select(
+        "reg_ev", "dni", "nombre_archivo", "prefijo", F.lit(2).alias("SRC"), F.col("PASTE_ID").alias("ID"),
+        F.col("LINE_NO").cast("long").alias("POS"))
+    return t.unionByName(p)
+
+
+@register("request_dedup")
+def _q(spark, d):
+    R, RQ = _rq(spark, d)
+    return RQ.request_dedup(_all_requests(R, RQ), ["SRC", "ID", "POS"])
+
+
+@register("request_pending")
+def _q(spark, d):
+    R, RQ = _rq(spark, d)
+    return RQ.request_pending(RQ.request_dedup(_all_requests(R, RQ), ["SRC", "ID", "POS"]), R.r_tracking)
+
+
+@register("tracking_upsert")
+def _q(spark, d):
+    R, RQ = _rq(spark, d)
+    return RQ.tracking_upsert(R.r_tracking, R.r_tracking_events)
+
+
+@register("phones_recent_campaigns")
+def _q(spark, d):
+    R, RQ = _rq(spark, d)
+    req = RQ.request_dedup(_all_requests(R, RQ), ["SRC", "ID", "POS"]).select("reg_ev", "dni", "nombre_archivo")
+    return RQ.phones_recent_campaigns(req, R.r_feedback)
+
+
+@register("longest_recording")
+def _q(spark, d):
+    from vigia.functions.core import keep_first
+    R, RQ = _rq(spark, d)
+    lines = RQ.request_from_lines(R.r_paste, "PASTE_ID", "TEXT")
+    req = keep_first(lines, ["PASTE_ID"], order=[F.col("LINE_NO")]).withColumnRenamed("PASTE_ID", "REQ_ID")
+    return RQ.longest_recording(req, R.r_interactions, R.r_recordings)
+
+
+def _tr(spark, d):
+    from vigia.operators import transcripts as TR
+    return Roles(spark, d), TR
+
+
+@register("pending_transcripts")
+def _q(spark, d):
+    R, TR = _tr(spark, d)
+    return TR.pending_transcripts(quality_month(spark, d).manual_detail, R.r_agent, FIXTURE_PERIOD)
+
+
+@register("transcript_skip_done")
+def _q(spark, d):
+    R, TR = _tr(spark, d)
+    pend = TR.pending_transcripts(quality_month(spark, d).manual_detail, R.r_agent, FIXTURE_PERIOD)
+    return TR.transcript_skip_done(pend, R.r_done_files)
+
+
+@register("transcript_lines")
+def _q(spark, d):
+    R, TR = _tr(spark, d)
+    return TR.transcript_lines(R.r_turns)
+
+
+def _call_meta(spark):
+    return spark.table("orders").select(
+        F.col("o_orderkey").alias("CALL_ID"), F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("dni"),
+        F.concat(F.lit("B"), F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0")).alias("ejecutivo"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("fecha"))
+
+
+@register("transcript_clean")
+def _q(spark, d):
+    R, TR = _tr(spark, d)
+    return TR.transcript_clean(TR.transcript_lines(R.r_turns), _call_meta(spark))
+
+
+@register("audit_source_counts")
+def _q(spark, d):
+    from vigia.operators.audit import audit_source_counts
+    R = Roles(spark, d)
+    p = FIXTURE_PERIOD
+    day = F.col("DIA").between(p.corte_dia_inicio_1, p.corte_dia_fin_2)
+    srcs = [("SPEECH", R.r_speech, None), ("EVALUACIONES", R.r_eval, None),
+            ("VENTAS_TC", R.sales("TC"), day), ("VENTAS_PP", R.sales("PP"), day), ("VENTAS_CON", R.sales("CON"), day),
+            ("VENTAS_BNB", R.sales("BNB"), day), ("VENTAS_BNC", R.sales("BNC"), F.col("DIA").between(1, 31)),
+            ("VENTAS_EC", R.sales("EC"), F.col("DIA").between(1, 31)),
+            ("VENTAS_CHIP", R.sales("CHIP"), F.col("MESDESEMBOLSO") == p.periodo),
+            ("VENTAS_XX", R.sales("XX"), None)]
+    return audit_source_counts(srcs)
+
+
+@register("audit_feed_period")
+def _q(spark, d):
+    from vigia.operators.audit import audit_feed_period
+    R = Roles(spark, d)
+    p = FIXTURE_PERIOD
+    return (audit_feed_period(R.r_eval, "conversationStartTime", p, "EVALUACIONES")
+            .unionByName(audit_feed_period(R.r_observation, "FECHA_CREADO", p, "OBSERVACIONES"))
+            .unionByName(audit_feed_period(R.r_traffic_batch, "FEC_LLAMADA", p, "TRAFICO")))
+
+
+@register("reporting_window")
+def _q(spark, d):
+    from vigia.operators.audit import reporting_window
+    R = Roles(spark, d)
+    return reporting_window(R.r_traffic_batch, "FEC_LLAMADA", FIXTURE_PERIOD, REPORT_TODAY).select(
+        "NUM_DOCUMENTO", "TELEFONO_CONTACTO", "FEC_LLAMADA", "DURACION_LLAMADA")

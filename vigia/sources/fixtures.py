@@ -664,6 +664,112 @@ SELECT {_doc('o.o_custkey')} AS DNI_CLIENTE, {_agent('o.o_custkey')} AS REG_EJEC
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 
+# Recording requests: mail bodies, table attachments (known and unknown headers), pasted lines.
+ROLE_SQL["r_mail"] = f"""
+SELECT o_orderkey AS MSG_ID, o_orderdate AS RECEIVED,
+       CASE o_orderkey % 8 WHEN 0 THEN 'Solicitud de audio EXTRACASH' WHEN 1 THEN 'RE: solicitud de audios convenio'
+            WHEN 2 THEN 'Solicitud de Audio - Seguros' WHEN 3 THEN 'Solicitud audio hipotecario'
+            WHEN 4 THEN 'Fwd: pedido de audio prestamo' WHEN 5 THEN 'Solicitud de audio tarjeta'
+            WHEN 6 THEN 'Reunion semanal' ELSE 'SOLICITUD-DE-AUDIO' END AS SUBJECT,
+       '<div>Hola,<br/>audio del asesor ' || {_agent('o_custkey')} || ' cliente '
+       || CASE WHEN o_orderkey % 3 = 0 THEN 'DNI: ' ELSE 'doc ' END || lpad(CAST(o_custkey AS STRING), 8, '0')
+       || ' &amp; gracias</div><p>Tambi&eacute;n <b>' || lower({_agent('o_custkey + 1')}) || '</b> con '
+       || lpad(CAST(o_custkey + 1 AS STRING), 8, '0') || ' y ref ' || lpad(CAST(o_orderkey % 100000000 AS STRING), 8, '0')
+       || '</p>' AS BODY_HTML
+FROM orders
+"""
+
+ROLE_SQL["r_req_rows"] = f"""
+SELECT l_orderkey AS MSG_ID, l_linenumber AS ROW_NO,
+       CASE WHEN l_linenumber = 5 THEN 'sin codigo' ELSE {_agent('l_suppkey')} || ' - ASESOR' END AS PROMOTOR_CD,
+       CAST(l_partkey * 3701 % 100000000 AS STRING) AS DNI_CLIENTE,
+       CAST(day(l_shipdate) AS STRING) || '/' || CAST(month(l_shipdate) AS STRING) || '/'
+       || CASE WHEN l_linenumber % 2 = 0 THEN substring(CAST(year(l_shipdate) AS STRING), 3, 2)
+               ELSE CAST(year(l_shipdate) AS STRING) END AS FECHA_DESEMBOLSO
+FROM lineitem
+"""
+
+ROLE_SQL["r_req_cells"] = f"""
+SELECT l_orderkey AS MSG_ID, l_linenumber AS ROW_NO,
+       CASE WHEN l_linenumber % 3 = 0 THEN 'cliente ' || CAST(l_partkey * 3701 % 100000000 AS STRING)
+            ELSE 'obs ' || l_returnflag END AS COL_A,
+       CASE WHEN l_linenumber % 2 = 0 THEN lower({_agent('l_partkey')}) ELSE 'n/a' END AS COL_B,
+       CAST(l_partkey * 17 % 10000000 AS STRING) || ' el ' || CAST(day(l_shipdate) AS STRING) || '-'
+       || CAST(month(l_shipdate) AS STRING) || '-' || CAST(year(l_shipdate) AS STRING) AS COL_C
+FROM lineitem
+"""
+
+ROLE_SQL["r_paste"] = f"""
+SELECT o_orderkey AS PASTE_ID,
+       {_agent('o_custkey')} || ' ' || lpad(CAST(o_custkey AS STRING), 7, '0') || chr(10) || 'linea sin codigo'
+       || chr(10) || lower({_agent('o_custkey + 2')}) || ' dni ' || lpad(CAST(o_custkey + 2 AS STRING), 8, '0')
+       || chr(10) || '   ' || chr(10) || {_agent('o_custkey')} || ' ' || lpad(CAST(o_custkey AS STRING), 7, '0')
+       || ' repetido' AS TEXT
+FROM orders
+"""
+
+ROLE_SQL["r_tracking"] = f"""
+SELECT {_agent('c_custkey')} AS reg_ev, lpad(CAST(c_custkey AS STRING), 8, '0') AS dni,
+       CASE c_custkey % 3 WHEN 0 THEN 'descargado' WHEN 1 THEN 'pendiente' ELSE 'no_encontrado' END AS estado,
+       '2000-03-' || lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0') || 'T10:00:00' AS timestamp
+FROM customer
+"""
+
+ROLE_SQL["r_tracking_events"] = f"""
+SELECT {_agent('o_custkey')} AS reg_ev, lpad(CAST(o_custkey AS STRING), 8, '0') AS dni,
+       CASE o_orderkey % 3 WHEN 0 THEN 'descargado' WHEN 1 THEN 'pendiente' ELSE 'no_encontrado' END AS estado,
+       '2000-03-' || lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0') || 'T' || lpad(CAST(o_orderkey % 24 AS STRING), 2, '0')
+       || ':00:00' AS timestamp
+FROM orders
+"""
+
+# Contact history: phones by document and campaign date.
+ROLE_SQL["r_feedback"] = f"""
+SELECT lpad(CAST({_EVK} AS STRING), 8, '0') AS NUM_DOCUMENTO,
+       CAST(year({_EV_TS}) * 10000 + month({_EV_TS}) * 100 + day({_EV_TS}) AS STRING) AS GESTION,
+       CASE WHEN event_id % 9 = 0 THEN NULL ELSE {_phone(_EVK + ' + event_id % 3')} END AS NUM_TELEFONO
+FROM events
+"""
+
+# Telephony interactions of a request (rows) and their recordings.
+ROLE_SQL["r_interactions"] = """
+SELECT l_orderkey AS REQ_ID, l_linenumber AS ROW_NO,
+       CASE WHEN l_returnflag = 'A' THEN 'Acepta campaña - ' WHEN l_returnflag = 'R' THEN 'ACEPTA CAMPANA ' ELSE 'No desea ' END
+       || CAST(day(l_shipdate) AS STRING) || ' DE '
+       || CASE month(l_shipdate) WHEN 1 THEN 'ENE' WHEN 2 THEN 'FEB' WHEN 3 THEN 'MAR' WHEN 4 THEN 'ABR' WHEN 5 THEN 'MAY'
+               WHEN 6 THEN 'JUN' WHEN 7 THEN 'JUL' WHEN 8 THEN 'AGO' WHEN 9 THEN 'SEP' WHEN 10 THEN 'OCT'
+               WHEN 11 THEN 'NOV' ELSE 'DIC' END || '. DE ' || CAST(year(l_shipdate) AS STRING) AS ROW_TEXT
+FROM lineitem
+"""
+
+ROLE_SQL["r_recordings"] = """
+SELECT l_orderkey AS REQ_ID, l_linenumber AS ROW_NO, r.R AS REC_NO,
+       CASE WHEN (l_partkey + r.R) % 4 = 0
+            THEN CAST(CAST(floor(l_quantity / 10) AS BIGINT) AS STRING) || ':' || lpad(CAST((l_partkey * r.R) % 60 AS STRING), 2, '0')
+                 || ':' || lpad(CAST((l_suppkey + r.R) % 60 AS STRING), 2, '0')
+            ELSE lpad(CAST((l_partkey + 7 * r.R) % 45 AS STRING), 2, '0') || ':' || lpad(CAST((l_suppkey * r.R) % 60 AS STRING), 2, '0')
+       END AS DURACION
+FROM lineitem CROSS JOIN (VALUES (1), (2), (3)) AS r(R)
+"""
+
+# Transcript turns (one line per turn; counters and UI phrases injected) and finished output files.
+ROLE_SQL["r_turns"] = """
+SELECT conv_id AS CALL_ID, turn AS TURN,
+       CASE role WHEN 'assistant' THEN 'agent' WHEN 'user' THEN 'customer' ELSE role END AS SPEAKER,
+       CASE WHEN turn % 9 = 8 THEN NULL
+            ELSE lpad(CAST(CAST(floor(turn * 7 / 60) AS BIGINT) AS STRING), 2, '0') || ':'
+                 || lpad(CAST(turn * 7 % 60 AS STRING), 2, '0') END AS TS,
+       CASE turn % 5 WHEN 3 THEN '00:12 / 03:45' WHEN 4 THEN text || ' Exportar datos'
+            WHEN 2 THEN CASE WHEN turn % 2 = 0 THEN 'ok' ELSE '  ' || text || '  ' END ELSE text END AS TEXT
+FROM conversations
+"""
+
+ROLE_SQL["r_done_files"] = """
+SELECT 'TC_' || lpad(CAST(o_custkey AS STRING), 8, '0') || '_' || CAST(o_orderkey AS STRING)
+       || CASE WHEN o_orderkey % 3 = 0 THEN '.txt' ELSE '.wav' END AS FILE_NAME
+FROM orders
+"""
+
 
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
