@@ -15,12 +15,13 @@ from oracle import channel as _channel
 from oracle import cleaning as _cleaning
 from oracle import consent as _consent
 from oracle import incidents as _incidents
+from oracle import io as _io
 from oracle import kri as _kri
 from oracle import retention as _retention
 from oracle import phone as _phone
 from oracle import sales as _sales
 
-_MODULES = [_quality, _sales, _kri, _phone, _incidents, _retention, _consent, _cleaning, _channel, _requests]
+_MODULES = [_quality, _sales, _kri, _phone, _incidents, _retention, _consent, _cleaning, _channel, _requests, _io]
 
 
 def _compose(stages: dict[str, str], final: str) -> str:

@@ -94,3 +94,30 @@ def test_speech_unpivot_single_scan(spark):
     assert long.count() == 2                      # NULL averages are kept
     plan = long._jdf.queryExecution().executedPlan().toString()
     assert "Expand" in plan and "Union" not in plan
+
+
+def test_request_from_text_matches_brute_force(spark):
+    """Prose requests against a plain re-implementation over the same texts."""
+    import re
+    from vigia.operators.requests import request_from_text
+    texts = [("m1", "Audio de B00012 cliente DNI: 00000345 y también b00013 con 12345678 ok"),
+             ("m2", "sin codigos aqui 87654321"),
+             ("m3", "x" * 150 + " 11112222 " + "B00099" + " y " + "y" * 30 + " 33334444")]
+    df = spark.createDataFrame(texts, "MSG_ID string, TEXTO string")
+    got = sorted((r["MSG_ID"], r["reg_ev"], r["dni"]) for r in
+                 request_from_text(df, "TEXTO", F.lit("AUDIO"), keep=["MSG_ID"]).collect())
+    exp = []
+    for mid, t in texts:
+        for m in re.finditer(r"\b(B\d{5})\b", t, re.I):
+            lo, hi = max(0, m.start() - 120), min(len(t), m.end() + 200)
+            w = t[lo:hi]
+            lab = re.search(r"\b(?:DNI|dni)\s*[:#-]?\s*(\d{8})\b", w)
+            if lab:
+                exp.append((mid, m.group(1).upper(), lab.group(1)))
+                continue
+            cands = [(abs(lo + x.start() - m.start()), x.group(1)) for x in re.finditer(r"\b(\d{8})\b", w)]
+            if cands:
+                exp.append((mid, m.group(1).upper(), min(cands, key=lambda c: c[0])[1]))
+    assert got == sorted(exp)
+    assert ("m1", "B00013", "00000345") in got      # label wins inside the window
+    assert ("m3", "B00099", "11112222") in got      # nearest number when no label

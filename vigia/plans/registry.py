@@ -854,3 +854,154 @@ def _q(spark, d):
     R = Roles(spark, d)
     return reporting_window(R.r_traffic_batch, "FEC_LLAMADA", FIXTURE_PERIOD, REPORT_TODAY).select(
         "NUM_DOCUMENTO", "TELEFONO_CONTACTO", "FEC_LLAMADA", "DURACION_LLAMADA")
+
+
+# ----------------------------------------------------------------- sources and sinks
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from vigia.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/vigia-io/{name}-{uuid.uuid4().hex}"
+
+
+def _orders_text(spark):
+    o = spark.table("orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("ID"), F.col("o_orderstatus").alias("ESTADO"),
+                    F.col("o_orderpriority").alias("PRIORIDAD"),
+                    F.col("o_orderdate").cast("date").cast("string").alias("FECHA"), F.col("o_orderkey").alias("_K"))
+
+
+def _write_text_files(spark, lines, name: str, files: int = 4) -> str:
+    """Write ``lines`` (R = file number, ORD = order within the file, value) as ``files`` text files."""
+    keys = {r[1]: r[0] for r in spark.range(0, 64).select(
+        "id", F.expr(f"pmod(hash(id), {files})").alias("pp")).collect()}
+    key_map = F.create_map(*[x for i in range(files) for x in (F.lit(i), F.lit(keys[i]).cast("bigint"))])
+    path = _scratch(spark, name)
+    (lines.withColumn("PK", key_map[F.col("R")]).repartition(files, "PK").sortWithinPartitions("R", "ORD")
+          .select("value").write.text(path))
+    return path
+
+
+@register("read_csv_tolerant")
+def _q(spark, d):
+    from vigia.sources.readers import read_csv_tolerant
+    Roles(spark, d)
+    o = _orders_text(spark)
+    # Every fifth line carries two more fields than the header.
+    line = F.concat_ws(",", "ID", "ESTADO", "PRIORIDAD",
+                       F.when(F.col("_K") % 5 == 0, F.lit("x,sobra1,sobra2")).otherwise(F.lit("x")))
+    data = o.select((F.col("_K") % 4).alias("R"), F.col("_K").alias("ORD"), line.alias("value"))
+    head = spark.range(4).select(F.col("id").alias("R"), F.lit(-1).cast("bigint").alias("ORD"),
+                                 F.lit("ID,ESTADO,PRIORIDAD,EXTRA").alias("value"))
+    return read_csv_tolerant(spark, _write_text_files(spark, data.unionByName(head), "csv"))
+
+
+@register("read_tsv_all_string")
+def _q(spark, d):
+    from vigia.sources.readers import read_tsv_all_string
+    Roles(spark, d)
+    path = _scratch(spark, "tsv")
+    _orders_text(spark).drop("_K").write.option("header", True).option("sep", "\t").csv(path)
+    return read_tsv_all_string(spark, path)
+
+
+REPORT_FILES = 4
+
+
+@register("read_report_with_preamble")
+def _q(spark, d):
+    from vigia.sources.readers import read_report_with_preamble
+    Roles(spark, d)
+    o = _orders_text(spark)
+    data_line = F.concat_ws(
+        ",", "ID", "ESTADO", F.when(F.col("_K") % 5 == 0, F.lit(" ")).otherwise(F.lit("v")), "PRIORIDAD",
+        F.when(F.col("_K") % 7 == 0, F.lit(None)).otherwise(F.col("FECHA")),
+        F.when(F.col("_K") % 11 == 0, F.lit("sobra")).otherwise(F.lit(None)))
+    data_line = F.when(F.col("_K") % 7 == 0, F.concat_ws(",", "ID", "ESTADO", F.lit("v"), "PRIORIDAD")) \
+        .otherwise(data_line)
+    data = o.select((F.col("_K") % REPORT_FILES).alias("R"), F.col("_K").alias("ORD"), data_line.alias("value"))
+    pre = spark.range(REPORT_FILES).select(F.col("id").alias("R"), F.explode(F.sequence(F.lit(1), F.lit(29))).alias("N"))
+    pre = pre.select("R", (F.col("N") - 100).alias("ORD"),
+                     F.when(F.col("N") == 29, F.lit("ID,ESTADO,,PRIORIDAD,FECHA"))
+                      .otherwise(F.concat(F.lit("Reporte de gestion - linea "), F.col("N").cast("string"))).alias("value"))
+    path = _write_text_files(spark, data.unionByName(pre), "report", REPORT_FILES)
+    return read_report_with_preamble(spark, path, header_line=29)
+
+
+@register("read_many_append")
+def _q(spark, d):
+    from vigia.sources.readers import read_many_append
+    Roles(spark, d)
+    folder = _scratch(spark, "feeds")
+    o = _orders_text(spark).drop("_K")
+    o.where(F.col("FECHA") < "2000-03-01").write.option("header", True).option("sep", "\t").csv(folder + "/export_20000201")
+    o.where(F.col("FECHA") >= "2000-03-01").write.option("header", True).option("sep", "\t").csv(folder + "/export_20000301")
+    return read_many_append(spark, folder, r"^export_\d{8}$")
+
+
+@register("jdbc_period_extract")
+def _q(spark, d):
+    from vigia.sources.readers import disbursements_reshape
+    R = Roles(spark, d)
+    src = R.r_bpe_raw.where(F.col("periodo") >= FIXTURE_PERIOD.periodo_num)   # the pushed-down JDBC predicate
+    return disbursements_reshape(src, R.r_evaluated, FIXTURE_PERIOD.run_ts)
+
+
+@register("align_to_target")
+def _q(spark, d):
+    from pyspark.sql import types as T
+    from vigia.operators.sinks import align_to_target
+    R = Roles(spark, d)
+    target = T.StructType([T.StructField("ID_DOC", T.LongType()), T.StructField("TEXTO", T.StringType()),
+                           T.StructField("COLUMNA_NUEVA", T.DoubleType()), T.StructField("ORIGEN", T.StringType()),
+                           T.StructField("IDIOMA", T.StringType())])
+    return align_to_target(R.r_upload, target, renames={"FUENTE": "ORIGEN"})
+
+
+@register("sanitize_charset")
+def _q(spark, d):
+    from vigia.operators.sinks import sanitize_charset
+    Roles(spark, d)
+    docs = spark.table("documents").select(
+        "doc_id", F.concat(F.lit("“"), F.col("lang"), F.lit("” — "), F.col("source"), F.lit(" ‘ok’")).alias("T1"),
+        F.col("text").alias("T2"))
+    return sanitize_charset(docs)
+
+
+@register("sink_append_or_replace")
+def _q(spark, d):
+    from vigia.operators.sinks import sink_append_or_replace
+    R = Roles(spark, d)
+    path = _scratch(spark, "sink")
+    src = R.r_upload.select("ID_DOC", "IDIOMA", "FUENTE")
+    sink_append_or_replace(src, path, replace=True)
+    sink_append_or_replace(src, path, replace=False)
+    return spark.read.parquet(path)
+
+
+@register("sink_replace_period")
+def _q(spark, d):
+    from vigia.operators.sinks import sink_replace_period
+    qm = quality_month(spark, d)
+    path = _scratch(spark, "notes")
+    final = qm.final
+    sink_replace_period(final, path)
+    sink_replace_period(final.where(F.col("PERIODO") == FIXTURE_PERIOD.periodo), path)   # rerun of the month
+    return spark.read.schema(final.schema).parquet(path).select(*final.columns)
+
+
+@register("load_ledger")
+def _q(spark, d):
+    from vigia.operators.sinks import load_ledger
+    R = Roles(spark, d)
+    cand = R.r_done_files.select(F.col("FILE_NAME").alias("ARCHIVO"), F.lit("TRANSCRIPCIONES").alias("DESTINO"))
+    return load_ledger(cand, R.r_ledger)
+
+
+@register("export_distinct_keys")
+def _q(spark, d):
+    from vigia.operators.sinks import export_distinct_keys
+    R = Roles(spark, d)
+    path = _scratch(spark, "keys")
+    export_distinct_keys(R.r_agent, "REG_EJECUTIVO", path)
+    return spark.read.option("header", True).csv(path)

@@ -770,6 +770,25 @@ SELECT 'TC_' || lpad(CAST(o_custkey AS STRING), 8, '0') || '_' || CAST(o_orderke
 FROM orders
 """
 
+# Disbursements of another database (the JDBC source), and a load ledger.
+ROLE_SQL["r_bpe_raw"] = f"""
+SELECT o_orderdate AS FECHA_DESEMBOLSADO, 'CU' || CAST(o_custkey AS STRING) AS COD_UNICO,
+       lpad(CAST(o_custkey AS STRING), 8, '0') AS COD_DOC, 'CLIENTE ' || CAST(o_custkey AS STRING) AS CLIENTE,
+       CASE o_orderkey % 3 WHEN 0 THEN lpad(CAST(o_custkey AS STRING), 8, '0')
+            WHEN 1 THEN ' ' || lpad(CAST(o_custkey AS STRING), 11, '0') ELSE CAST(o_custkey AS STRING) END AS NUM_RUC,
+       'CANAL ' || o_orderstatus AS CANAL, {_agent('o_custkey')} || 'XYZ' AS REG_EJECUTIVO,
+       'EJECUTIVO ' || CAST(o_custkey % 97 AS STRING) AS NOM_EJECUTIVO, o_totalprice AS COLOCACION_NETA,
+       'VPC' || CAST(o_orderkey % 4 AS STRING) AS CAMPANA_VPC,
+       CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS periodo
+FROM orders
+"""
+
+ROLE_SQL["r_ledger"] = """
+SELECT 'TC_' || lpad(CAST(o_custkey AS STRING), 8, '0') || '_' || CAST(o_orderkey AS STRING) || '.txt' AS ARCHIVO,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'TRANSCRIPCIONES' ELSE 'OTRO' END AS DESTINO
+FROM orders
+"""
+
 
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
