@@ -36,7 +36,7 @@ FINAL = {
     "latin1_truncate": f"SELECT ID_DOC, {_lat('TEXTO')} AS TEXTO FROM r_upload",
     "strip_accents": "SELECT ID_DOC, strip_accents(TEXTO) AS TEXTO FROM r_upload",
     "char1": "SELECT ID_DOC, substring(IDIOMA, 1, 1) AS IDIOMA FROM r_upload",
-    "lenient_numeric": "SELECT ID_DOC, TRY_CAST(MONTO AS DOUBLE) AS MONTO, TRY_CAST(MONTO AS BIGINT) AS MONTO_INT FROM r_upload",
+    "lenient_numeric": "SELECT ID_DOC, TRY_CAST(MONTO AS DOUBLE) AS MONTO, CASE WHEN regexp_full_match(trim(MONTO), '[+-]?[0-9]+') THEN TRY_CAST(MONTO AS BIGINT) END AS MONTO_INT FROM r_upload",
     "lenient_temporal": f"SELECT ID_DOC, {_date('FECHA')} AS FECHA, {_ts('FECHA_HORA')} AS FECHA_HORA FROM r_upload",
     "clean_frame": f"""SELECT TRY_CAST(ID_DOC AS BIGINT) AS Id_Documento,
         strip_accents({_lat(_nl('TEXTO'))}) AS Texto,
