@@ -85,9 +85,9 @@ def error_flag_expr(answer: str = "RESPUESTA"):
     return F.when(fold(answer).isin(*K.ERROR_ANSWERS), 1).otherwise(0)
 
 
-def eval_scored(mapped: DataFrame, period: Period) -> DataFrame:
-    """Regroup, period code, document, evaluation number (as text), error flag."""
-    df = mapped.select(
+def _scored_rows(mapped: DataFrame, period: Period) -> DataFrame:
+    """Regroup, period code, document and error flag (row-level part of the scoring)."""
+    return mapped.select(
         "CONID", "FECHA_CREADO", "FECHA_MODIFICADO", "FECHA_PUBLICADO", "FECHA_VENTA", "COLA",
         "REG_EJECUTIVO", "REG_EVALUADOR", "COMENTARIO", "PLANTILLA", "ID_PREGUNTA", "ID_RESPUESTA",
         F.col("MAP_PREGUNTA").alias("PREGUNTA"), F.col("MAP_RESPUESTA").alias("RESPUESTA"),
@@ -95,11 +95,16 @@ def eval_scored(mapped: DataFrame, period: Period) -> DataFrame:
         F.lit(period.periodo).alias("PERIODO"),
         F.substring(F.concat(F.lit(period.periodo + "_"), F.col("REG_EJECUTIVO")), 1, 13).alias("CODIGO"),
         doc_from_comment().alias("DNI"),
+        error_flag_expr().alias("ES_ERROR"),
     )
+
+
+def eval_scored(mapped: DataFrame, period: Period) -> DataFrame:
+    """Row-level scoring plus the evaluation number (as text) of the conversation."""
+    df = _scored_rows(mapped, period)
     is_num = fold("PREGUNTA") == K.EVAL_NUMBER_QUESTION
-    df = with_group_aggs(df, ["CONID"], {
+    return with_group_aggs(df, ["CONID"], {
         "NUM_EVALUACION_TXT": F.max(F.when(is_num, F.col("RESPUESTA")))})
-    return df.withColumn("ES_ERROR", error_flag_expr())
 
 
 def master_homologated(qmaster: DataFrame, syn_group: DataFrame, syn_question: DataFrame) -> DataFrame:
@@ -156,12 +161,31 @@ DETAIL_COLUMNS = [
 
 def eval_detail(evals: DataFrame, syn_group: DataFrame, syn_question: DataFrame, syn_answer: DataFrame,
                 qmaster: DataFrame, period: Period) -> DataFrame:
-    """End-to-end manual-evaluation detail table."""
+    """End-to-end manual-evaluation detail table.
+
+    The two group-level values (evaluation number per conversation; critical
+    error and valid-answer count per conversation and group) come from one
+    aggregation per (conversation, group) plus a small roll-up per
+    conversation, joined back once: the evaluation rows are shuffled a single
+    time instead of once per window.
+    """
     mapped = eval_homologate(eval_normalise(evals), syn_group, syn_question, syn_answer)
-    scored = eval_scored(mapped, period)
-    weighted = eval_weights(scored, master_homologated(qmaster, syn_group, syn_question))
-    final = eval_critical_penalty(weighted)
-    return final.select(
+    rows = _scored_rows(mapped, period)
+    w = eval_weights(rows, master_homologated(qmaster, syn_group, syn_question))
+    crit = (F.col("PREG_CRITICA") == 1) & (F.col("PREG_VALIDA") == 1) & (F.col("ES_ERROR") == 1)
+    is_num = fold("PREGUNTA") == K.EVAL_NUMBER_QUESTION
+    g = w.groupBy(F.col("CONID").alias("_C"), F.col("GRUPO_PREGUNTAS").alias("_G")).agg(
+        F.max(F.when(crit, 1).otherwise(0)).alias("HAS_CRITICAL_ERROR"),
+        F.sum(F.when(F.col("PREG_VALIDA") == 1, 1).otherwise(0)).alias("CANT_RESPUESTAS"),
+        F.max(F.when(is_num, F.col("RESPUESTA"))).alias("_NUMG"))
+    conv = g.groupBy(F.col("_C").alias("_CC")).agg(F.max("_NUMG").alias("NUM_EVALUACION_TXT"))
+    g = g.join(conv, g["_C"].eqNullSafe(conv["_CC"])).drop("_CC", "_NUMG")
+    df = w.join(g, w["CONID"].eqNullSafe(g["_C"]) & w["GRUPO_PREGUNTAS"].eqNullSafe(g["_G"]), "left").drop("_C", "_G")
+    hit = F.col("HAS_CRITICAL_ERROR") == 1
+    df = (df.withColumn("PESO_GRUPO_OBT", F.when(hit, F.lit(0.0)).otherwise(F.col("PESO_GRUPO")))
+            .withColumn("PESO_GRUPO", F.when(hit, F.lit(0.0)).otherwise(F.col("PESO_GRUPO")))
+            .withColumn("PESO_PREGUNTA_OBT", F.when(hit, F.lit(0.0)).otherwise(F.col("PESO_PREGUNTA_OBT"))))
+    return df.select(
         *[F.expr("try_cast(NUM_EVALUACION_TXT AS INT)").alias("NUM_EVALUACION") if c == "NUM_EVALUACION"
           else F.lit(None).cast("string").alias("AGRUPACION") if c == "AGRUPACION"
           else F.col(c) for c in DETAIL_COLUMNS])

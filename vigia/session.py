@@ -76,13 +76,16 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     ``spark.checkpoint.dir``), and the re-read scan carries real file sizes, so
     AQE/CBO size checks (broadcast or not) see the true size of the stage.
 
-    Row groups are kept moderate (``vigia.stage.rowGroupBytes``, 8 MiB by
-    default): parquet splits by row group, so a stage table that AQE wrote
-    from a few coalesced partitions is still read back by many tasks.
+    Row groups are kept moderate (``vigia.stage.rowGroupBytes``; 64 MiB on a
+    cluster, 4 MiB in local sessions whose stage tables are small): parquet
+    splits by row group, so a stage table that AQE wrote from a few coalesced
+    partitions is still read back by many tasks.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/vigia-tables/{name}-{uuid.uuid4().hex}"
-    block = int(spark.conf.get("vigia.stage.rowGroupBytes", str(8 * 1024 * 1024)))
+    local = (spark.sparkContext.master or "").startswith("local")
+    default_block = (4 if local else 64) * 1024 * 1024
+    block = int(spark.conf.get("vigia.stage.rowGroupBytes", str(default_block)))
     df.write.mode("overwrite").option("parquet.block.size", block).parquet(path)
     return spark.read.parquet(path)
