@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigia.functions.core import keep_first
 from vigia.operators.sales import _of_team, agent_names
-from vigia.params import Period
+from vigia.params import Period, run_timestamp
 
 # FIXED VALUES — labels and codes used by these reports.
 PREMIUM_MODEL = "CANAL SELECT"
@@ -74,7 +74,7 @@ def retention_claims(claims: DataFrame, detail: DataFrame, typology: DataFrame,
         F.when(opener, F.col("_EAS")).otherwise(F.col("_EUS")).alias("NOM_SUPERVISOR"),
         F.when(opener, F.lit("IN")).otherwise(F.lit("OUT")).alias("ORIGEN"),
         F.when(F.col("_EV").isNotNull(), F.lit("SI")).otherwise(F.lit("NO")).alias("EVALUADO"),
-        F.lit(period.run_ts).cast("timestamp_ntz").alias("FECHA_UPDATE"))
+        run_timestamp(period).alias("FECHA_UPDATE"))
 
 
 def insurance_portfolio(seg_feed: DataFrame, agents: DataFrame, period: Period) -> DataFrame:

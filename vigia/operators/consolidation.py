@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigia import constants as K
 from vigia.operators.speech import unique_agents
-from vigia.params import Period
+from vigia.params import Period, run_timestamp
 
 
 def manual_note(manual_detail: DataFrame) -> DataFrame:
@@ -71,4 +71,4 @@ def error_history(manual_detail: DataFrame, period: Period) -> DataFrame:
     """Errors outside the excluded groups, stamped with the run time (NULL groups drop, as NOT IN does)."""
     return (manual_detail.where((F.col("ES_ERROR") == 1)
                                 & ~F.col("GRUPO_PREGUNTAS").isin(*K.ERROR_HISTORY_EXCLUDED_GROUPS))
-                         .select(*ERROR_HISTORY_COLUMNS, F.lit(period.run_ts).cast("timestamp_ntz").alias("FECHA_CARGA")))
+                         .select(*ERROR_HISTORY_COLUMNS, run_timestamp(period).alias("FECHA_CARGA")))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vigia.functions.core import keep_first
 from vigia.operators.sales import agent_names
 from vigia.operators.speech import unique_agents
-from vigia.params import Period
+from vigia.params import Period, run_timestamp
 
 # FIXED VALUES — product classes of lead types and traffic types.
 LEAD_CLASS_PLATFORM = (
@@ -229,7 +229,7 @@ def kri_sales_no_audio(with_origin: DataFrame, agents: DataFrame, period: Period
         return a.select(*base, "NOM_EJECUTIVO", "REG_SUPERVISOR", "NOM_SUPERVISOR", "ORIGEN_LLAMADA",
                         *[nul(n, t) for n, t in _NULLS_MGMT], F.lit(1).alias("DATAS"),
                         *[nul(n, t) for n, t in _NULLS_TAIL], nul("FLAG_EVALUADO", "string"),
-                        F.lit(period.run_ts).cast("timestamp_ntz").alias("DATE_BK"))
+                        run_timestamp(period).alias("DATE_BK"))
     return a.select(*base, "NOM_EJECUTIVO", "NOM_SUPERVISOR", *[nul(n, t) for n, t in _NULLS_TAIL],
                     nul("TRANSFER_IVR", "string"), nul("RANGO_TIEMPO", "string"), nul("FLAG_EVALUADO", "string"),
                     nul("FLAG_REGISTRO", "string"), nul("PRT_SEG", "string"))

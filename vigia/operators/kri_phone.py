@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions.core import keep_first
-from vigia.params import Period
+from vigia.params import Period, run_timestamp
 
 
 @dataclass(frozen=True)
@@ -258,7 +258,7 @@ def kri_phone_nominal(flagged: DataFrame, period: Period) -> DataFrame:
     return flagged.select("PRODUCTO", "NUM_DOCUMENTO", "REG_EJECUTIVO", "NUM_TELEFONO", "TIEMPO", "RANGO_TIEMPO",
                           F.lit(1).alias("X1"), "GD_VAL", "CA_VAL", "DE_VAL", "TIPO_VAL", "FB_VAL", "GRUPO_ORIGEN",
                           "ORIGEN", "MONTO_APROB", "FECDESEMB", F.lit(None).cast("string").alias("MONTO_RANGO"),
-                          F.lit(period.run_ts).cast("timestamp_ntz").alias("DATE_BK"))
+                          run_timestamp(period).alias("DATE_BK"))
 
 
 def kri_phone_quality(flagged: DataFrame, agents: DataFrame) -> DataFrame:

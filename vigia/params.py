@@ -56,3 +56,9 @@ class Period:
     @property
     def history_from(self) -> str:
         return self.hist_from or self.periodo_prev
+
+
+def run_timestamp(period: Period):
+    """The run's wall-clock stamp as a TIMESTAMP_NTZ literal, independent of the session time zone."""
+    from pyspark.sql import functions as F
+    return F.lit(period.run_ts.isoformat(sep=" ")).cast("timestamp_ntz")

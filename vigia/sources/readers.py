@@ -117,4 +117,4 @@ def disbursements_reshape(df: DataFrame, evaluated: DataFrame, run_ts) -> DataFr
     x = x.join(ev, x["CODDOC"] == ev["_EV"], "left")
     return x.select(*[c for c in x.columns if c != "_EV"],
                     F.when(F.col("_EV").isNotNull(), "SI").otherwise("NO").alias("EVALUADO"),
-                    F.lit(run_ts).cast("timestamp_ntz").alias("FECHA_UPDATE"))
+                    F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz").alias("FECHA_UPDATE"))
