@@ -121,3 +121,15 @@ def test_request_from_text_matches_brute_force(spark):
     assert got == sorted(exp)
     assert ("m1", "B00013", "00000345") in got      # label wins inside the window
     assert ("m3", "B00099", "11112222") in got      # nearest number when no label
+
+
+def test_run_timestamp_ignores_session_time_zone(spark):
+    from vigia.params import run_timestamp
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/Lima", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = spark.range(1).select(run_timestamp(P).alias("t")).first()["t"]
+            assert got == dt.datetime(2000, 4, 1, 8, 0, 0), tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
