@@ -68,24 +68,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
+# Row groups of stage tables: parquet splits by row group, so a table that AQE wrote from a few
+# coalesced partitions is still read back by many tasks. The same on a laptop and a cluster.
+_STAGE_ROW_GROUP = 16 * 1024 * 1024
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
     Computed once (a reliable RDD checkpoint would run the plan twice), safe
     against executor loss (the files live in the cluster's shared
     ``spark.checkpoint.dir``), and the re-read scan carries real file sizes, so
-    AQE/CBO size checks (broadcast or not) see the true size of the stage.
-
-    Row groups are kept moderate (``vigia.stage.rowGroupBytes``; 64 MiB on a
-    cluster, 4 MiB in local sessions whose stage tables are small): parquet
-    splits by row group, so a stage table that AQE wrote from a few coalesced
-    partitions is still read back by many tasks.
+    AQE/CBO size checks (broadcast or not) see the true size of the stage. The
+    folder goes when the application ends; ``vigia.stage.rowGroupBytes``
+    overrides the row-group size.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/vigia-tables/{name}-{uuid.uuid4().hex}"
-    local = (spark.sparkContext.master or "").startswith("local")
-    default_block = (4 if local else 64) * 1024 * 1024
-    block = int(spark.conf.get("vigia.stage.rowGroupBytes", str(default_block)))
-    df.write.mode("overwrite").option("parquet.block.size", block).parquet(path)
-    return spark.read.parquet(path)
+    block = int(spark.conf.get("vigia.stage.rowGroupBytes", str(_STAGE_ROW_GROUP)))
+    df.write.mode("overwrite").option("parquet.block.size", block).option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
