@@ -39,23 +39,23 @@ def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered for the frequent words (bounded)."""
+    """word (bytes) -> 64-bit hash, remembered for the frequent words (bounded)."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < self.LIMIT and len(word) < 64:
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) < 64:
             self[word] = h
         return h
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) >= self.LIMIT:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,13 +65,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` words; fewer words make one shingle of all of them; none makes none."""
-    n = len(words)
-    if not n:
-        return words
-    take = min(size, n)
-    acc = np.full(n - take + 1, take, np.uint64)
-    for k in range(take):
-        acc = mix(acc ^ words[k : n - take + 1 + k]) + np.uint64(0x9E3779B97F4A7C15)
-    return acc
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` consecutive words, composed from runs of powers of two."""
+    n, out, done, power, at = len(words), None, 0, words, 1
+    if size < 1 or n < size:
+        return words[:0]
+    while True:
+        if size & at:
+            part = power[done : done + n - size + 1]
+            out = part if out is None else mix(out * _STEP + part + np.uint64(at))
+            done += at
+        if 2 * at > size:
+            return out
+        power = mix(power[:-at] * _STEP + power[at:] + np.uint64(at))
+        at *= 2
+
+
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """Distinct hashes of runs of ``size`` words, sorted; fewer words make one shingle; none makes none."""
+    return np.unique(run_hashes(words, min(size, len(words))))
+
+
+def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of every ``size`` consecutive values (at least ``size`` are given)."""
+    at = 1
+    while 2 * at <= size:
+        x, at = np.minimum(x[:-at], x[at:]), 2 * at
+    rest = size - at
+    return np.minimum(x[:-rest], x[rest:]) if rest else x
+
+
+def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """An Arrow list column of numpy arrays."""
+    ends = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(x) for x in arrays], out=ends[1:])
+    flat = np.concatenate(arrays) if arrays else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype(), copy=False), kind))
+
+
+def prune_scans_at_run_time(df: DataFrame) -> DataFrame:
+    """Let Spark filter a scan by a Bloom filter of a selective join side, whatever the scan's size.
+
+    Texts are wide, so a join that keeps few documents should not shuffle the others. The filter has a
+    fixed size; beyond its capacity it prunes less and results stay the same.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "512m")
+    return df
