@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators, and DuckDB SQL for those that SQL expresses."""
 
-from vigia.llm import bpe, near_dedup, sharding
+from vigia.llm import bpe, near_dedup, sharding, substring_dedup
 
 QUERIES = {
     "op4_bpe_codec": bpe.op4,
+    "op6_repeated_phrases": substring_dedup.op6,
     "op7_minhash_near_dedup": near_dedup.op7,
     "op9_extendible_shards": sharding.op9,
 }
