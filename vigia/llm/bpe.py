@@ -32,7 +32,7 @@ from vigia.llm.common import small_batches, table, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker remembers; on reaching one, that table starts anew.
-MAX_STATES, MAX_PIECES, LONGEST_KEPT_PIECE = 100_000, 200_000, 40
+MAX_STATES, MAX_PIECES, LONGEST_KEPT_PIECE = 250_000, 300_000, 40
 
 
 def read_ranks(path: str) -> bytes:
@@ -45,106 +45,152 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
 
-class _State:
-    __slots__ = ("pending", "last", "moves", "final")
-
-    def __init__(self, pending: bytes, last: tuple[int, ...], final: tuple[int, ...]):
-        self.pending, self.last, self.final, self.moves = pending, last, final, {}
-
-
 class MergeTransducer(dict):
-    """piece (str) -> tuple of ids. A dict so that remembered pieces cost one lookup."""
+    """piece (str) -> tuple of ids. A dict so that remembered pieces cost one lookup.
+
+    A state is the set of readings still open: for each boundary from which a vocabulary entry may go
+    on, (trie node of the bytes since it, last token before it, tokens up to it not yet emitted), the
+    longest first; the last item is the boundary at the present byte.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.open = {t[:k] for t in ranks for k in range(len(t))}  # proper prefixes: a longer token may follow
-        self.reachable: dict[int, bool] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.child: dict[int, int] = {}  # node * 256 + byte -> node; the root is 0
+        self.token_at, self.inner = [-1], bytearray(1)
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = 1
+                at = node << 8 | byte
+                if (to := self.child.get(at)) is None:
+                    to = self.child[at] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(0)
+                node = to
+            self.token_at[node] = rank
+        self.spines: dict[int, tuple | None] = {}
+        self.compatible: dict[int, bool] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.start = self._state(b"", (-1,))
-
-    def merged(self, data: bytes) -> list[int]:
-        """The definition: repeatedly join the adjacent pair of lowest rank, leftmost first. For short strings."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+        self.number: dict[tuple, int] = {}  # state -> its number
+        self.states: list[tuple] = []
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # number * 256 + byte -> (number, tokens emitted)
+        self._state(((0, -1, ()),))
+
+    def _spine(self, token: int) -> tuple | None:
+        """How a token is merged: its parts along the left and the right edge, each with the rank at which
+        it is taken into the next larger one. None if merging its bytes never gives the token."""
+        if token in self.spines:
+            return self.spines[token]
+        parts, split = [bytes((b,)) for b in self.bytes_of[token]], None
         while len(parts) > 1:
             rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == 1 << 60:
                 break
+            split = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def _may_end(self, token: int) -> bool:
-        if (known := self.reachable.get(token)) is None:
-            known = self.reachable[token] = self.merged(self.bytes_of[token]) == [token]
-        return known
+        own = (self.bytes_of[token], 1 << 60)
+        if len(parts) > 1:
+            spine = None
+        elif split is None:
+            spine = ([own], [own])
+        else:
+            spine = tuple([own, (split[k], token), *self._spine(self.ranks[split[k]])[k][1:]] for k in (0, 1))
+        self.spines[token] = spine
+        return spine
 
     def _may_follow(self, before: int, token: int) -> bool:
-        if before < 0:
-            return True
-        if (known := self.compatible.get((before, token))) is None:
-            if len(self.compatible) > 4 * MAX_STATES:
-                self.compatible.clear()
-            known = self.compatible[before, token] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
-        return known
-
-    def _back(self, last: list[int] | tuple[int, ...], end: int) -> list[int]:
-        """Boundaries from ``end`` back to 0 along last tokens."""
-        path = [end]
-        while path[-1]:
-            path.append(path[-1] - len(self.bytes_of[last[path[-1]]]))
-        return path
-
-    def _state(self, pending: bytes, last: tuple[int, ...]) -> _State:
-        if (s := self.states.get((pending, last))) is None:
-            final = tuple(last[p] for p in reversed(self._back(last, len(pending))[:-1]))
-            s = self.states[pending, last] = _State(pending, last, final)
-        return s
-
-    def _move(self, s: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        if len(self.states) > MAX_STATES:
-            self._forget()
-        pending, n = s.pending + bytes((byte,)), len(s.pending) + 1
-        last = [*s.last, -1]
-        for k in range(n):
-            if k == 0 or last[k] >= 0:  # an open boundary
-                token = self.ranks.get(pending[k:])
-                if token is not None and self._may_end(token) and self._may_follow(last[k], token):
-                    last[n] = token
+        """Whether no merge crosses the border: one would join a part at the right edge of ``before`` and
+        one at the left edge of ``token`` while both exist (of equal ranks the left one goes first)."""
+        if len(self.compatible) > 4 * MAX_STATES:
+            self.compatible.clear()
+        after = self._spine(token)
+        left, right, apart = self._spine(before)[1], after[0] if after else (), after is not None
+        rank_of = self.ranks.get
+        for x, taken_x in left:
+            for y, taken_y in right:
+                r = rank_of(x + y)
+                if r is not None and r < taken_x and r <= taken_y:
+                    apart = False
                     break
-        # Later tokens start at boundaries from which a vocabulary entry goes on, or at the end.
-        paths = [self._back(last, k) for k in range(1, n + 1) if last[k] >= 0 and (k == n or pending[k:] in self.open)]
-        if pending in self.open:
-            paths.append([0])
-        agreed = set(paths[0]).intersection(*paths)
-        cut = max(agreed)
-        emitted = tuple(last[p] for p in reversed(next([q for q in path if q <= cut] for path in paths)) if p)
-        keep = set(chain.from_iterable(paths))
-        rest = tuple(last[p] if p == cut or p in keep else -1 for p in range(cut, n + 1))
-        move = s.moves[byte] = (self._state(pending[cut:], rest), emitted)
+            if not apart:
+                break
+        self.compatible[before << 20 | token] = apart
+        return apart
+
+    def _state(self, items: tuple) -> int:
+        if (n := self.number.get(items)) is None:
+            n = self.number[items] = len(self.states)
+            self.states.append(items)
+        return n
+
+    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        items, ended = [], None
+        child, token_at, inner = self.child.get, self.token_at, self.inner
+        for node, last, out in self.states[at]:
+            to = child(node << 8 | byte)
+            if to is None:
+                continue
+            if ended is None:
+                token = token_at[to]
+                if token >= 0:
+                    fits = self._spine(token) is not None if last < 0 else self.compatible.get(last << 20 | token)
+                    if fits or fits is None and self._may_follow(last, token):
+                        ended = (0, token, (*out, token))
+            if inner[to]:
+                items.append((to, last, out))
+        emitted = ()
+        if not items:  # settled up to here
+            emitted, items = ended[2], [(0, ended[1], ())]
+        else:
+            items.append(ended)
+            first = items[0][2]
+            n = 0  # emit what all open readings agree on
+            for token in first:
+                for _, _, out in items:
+                    if len(out) <= n or out[n] != token:
+                        break
+                else:
+                    n += 1
+                    continue
+                break
+            if n:
+                emitted, items = first[:n], [(a, b, out[n:]) for a, b, out in items]
+        move = self.moves[at << 8 | byte] = (self._state(tuple(items)), emitted)
         return move
 
-    def transduce(self, data: bytes) -> Iterator[int]:
-        """Ids of one piece, each as soon as it is settled."""
-        s = self.start
+    def transduce(self, data: bytes) -> list[int]:
+        """Ids of one piece, each taken as soon as it is settled."""
+        at, out, known = 0, [], self.moves.get
         for byte in data:
-            s, emitted = s.moves.get(byte) or self._move(s, byte)
+            at, emitted = known(at << 8 | byte) or self._move(at, byte)
             if emitted:
-                yield from emitted
-        yield from s.final
+                out += emitted
+        out += self.states[at][-1][2]
+        if len(self.states) > MAX_STATES:
+            self._forget()
+        return out
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.ranks.get(data)  # a piece that is itself an entry stays whole
-        ids = (whole,) if whole is not None else tuple(self.transduce(data))
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode()
+            whole = self.ranks.get(data)  # a piece that is itself an entry stays whole
+            ids = (whole,) if whole is not None else tuple(self.transduce(data))
         if len(piece) <= LONGEST_KEPT_PIECE:
             self[piece] = ids
         return ids
 
+    def trim(self) -> None:
+        """Bound what is remembered: two generations of pieces, the older one without those not met again."""
+        if len(self) > MAX_PIECES:
+            self.older = dict(self)
+            self.clear()
+
 
 def _utf8_classes() -> dict[str, dict[int, str]]:
     """Well-formed UTF-8 as an automaton: state -> byte -> state ('' is the start, between characters)."""
@@ -216,8 +262,7 @@ class Codec:
         self.decoder = Utf8Decoder(self.pieces.bytes_of)
 
     def encode(self, text: str) -> list[int]:
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
+        self.pieces.trim()
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
     def decode(self, ids: Iterable[int]) -> str:

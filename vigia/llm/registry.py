@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators, and DuckDB SQL for those that SQL expresses."""
 
-from vigia.llm import bpe, near_dedup, sharding, substring_dedup
+from vigia.llm import bpe, near_dedup, sharding, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op4_bpe_codec": bpe.op4,
     "op6_repeated_phrases": substring_dedup.op6,
     "op7_minhash_near_dedup": near_dedup.op7,
