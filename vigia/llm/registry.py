@@ -1,13 +1,16 @@
 """Registered queries of the training-data operators, and DuckDB SQL for those that SQL expresses."""
 
-from vigia.llm import bpe, near_dedup, sharding, substring_dedup, toxicity
+from vigia.llm import bpe, decontamination, fingerprints, near_dedup, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_section_tokens": token_counts.op2,
     "op4_bpe_codec": bpe.op4,
     "op6_repeated_phrases": substring_dedup.op6,
     "op7_minhash_near_dedup": near_dedup.op7,
+    "op8_fingerprints": fingerprints.op8,
     "op9_extendible_shards": sharding.op9,
+    "op10_decontamination": decontamination.op10,
 }
 
 ORACLE = {"op9_extendible_shards": sharding.ORACLE}
