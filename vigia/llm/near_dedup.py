@@ -3,12 +3,15 @@
 1. Documents with equal shingle sets form a class, led by its smallest id; only leaders go on.
 2. Leaders are banded: BANDS keys of ROWS minima each; at similarity 0.8 a pair shares no key with
    probability under 1e-5 (``missed``).
-3. Candidates of a bucket are compared with one hub of the bucket, not with each other: links form
-   components, and members of one component need no further comparison. Buckets that still hold
-   several components get another hub; when all remaining cross-component pairs are in proportion to
-   the bucket table they are compared one by one, and buckets that are too wide for that (unlike texts
-   with common passages) are split by further bands first. So no link between components is lost beyond
-   the banding's stated probability, and no bucket is expanded into all pairs.
+3. Of each candidate document, the shingles that no other candidate holds are counted; the others bound
+   its overlap with any text, in total and within each of CELLS parts of the hash range. A document with
+   too many of its own leaves, and a pair whose bounds and sizes exclude the threshold is not made. Both
+   tests are exact.
+   Then each row of a bucket is paired with one hub, the member with most partners; links form
+   components, and rows of one component need no further comparison. Another hub follows while that
+   halves the open pairs. The pairs between components that the bounds still allow are compared
+   one by one, so no link is lost beyond the banding's stated probability, and the copies of a group are
+   not paired with each other.
 4. A candidate's signatures are compared batch by batch; after each, it is dropped when the posterior
    probability of reaching the threshold (uniform prior) is under MISS. Survivors are confirmed exactly
    on the full shingle sets of the texts.
@@ -34,9 +37,9 @@ from vigia.llm.components import components
 SIZE, PERCENT = 5, 80
 BANDS, ROWS, BATCH, MISS = 30, 5, 30, 1e-6
 HASHES = BANDS * ROWS
-#: Pairs that are compared one by one: at most this many for each row of the bucket table.
+CELLS = 32
+#: Over so many open pairs for each row of the bucket table, another hub comes before comparing one by one.
 PAIRS_PER_ROW = 4
-SPLIT_BANDS, MOST_SPLITS = 40, 3
 
 
 def missed(similarity: float) -> float:
@@ -84,16 +87,17 @@ def _signed(size: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            counts, digests, bands, sigs = [], [], [], []
+            counts, digests, cells, bands, sigs = [], [], [], [], []
             for value in batch.column("t"):
                 items = shingles(hashes.of(word_list(value.as_py())), size)
                 counts.append(len(items))
                 digests.append(xxhash.xxh3_128_digest(items.tobytes()))
+                cells.append(np.bincount((items % np.uint64(CELLS)).astype(np.int64), minlength=CELLS))
                 low = minima(items) if len(items) else np.empty(0, np.uint32)
                 keys = low.reshape(-1, ROWS)
                 bands.append(np.array([xxhash.xxh3_64_intdigest(k.tobytes(), j) for j, k in enumerate(keys)], np.uint64).view(np.int64))
                 sigs.append((low & np.uint32(0xFFFF)).astype(np.uint16).view(np.int16))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists(bands, pa.int64()), lists(sigs, pa.int16())], ["id", "n", "digest", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists(cells, pa.int32()), lists(bands, pa.int64()), lists(sigs, pa.int16())], ["id", "n", "digest", "cells", "bands", "sig"])
 
     return run
 
@@ -163,66 +167,89 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each row with its bucket's hub: first the member with most bucket partners, later another one each turn."""
     if turn == 0:
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        weight = members.join(sizes, "bucket").groupBy("c").agg((-F.sum("n")).alias("w"))
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+        weight = members.join(sizes, "bucket").groupBy("c").agg((-F.sum("k")).alias("w"))
         members = members.join(weight, "c")
     else:
         members = members.withColumn("w", F.xxhash64("c", F.lit(turn)))
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("w", "c", "l")).alias("hub"))
-    pairs = members.join(hubs, "bucket").filter(F.col("l") != F.col("hub.l"))
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("w", "c", "l", "n", "m", "cells")).alias("hub"))
+    pairs = members.join(hubs, "bucket").filter((F.col("l") != F.col("hub.l")) & _allowed(("n", "m", "cells"), ("hub.n", "hub.m", "hub.cells"), percent))
     return pairs.select(*_ordered("c", "hub.c")).distinct()
 
 
-def _all_pairs_between(members: DataFrame) -> DataFrame:
-    """Every pair of rows of a bucket in different components (the caller has counted them)."""
-    one, two = members, members.select("bucket", F.col("c").alias("c2"), F.col("l").alias("l2"))
-    return one.join(two, "bucket").filter("l < l2").select(*_ordered("c", "c2")).distinct()
+def _allowed(one: tuple, two: tuple, percent: int):
+    """Whether two sets (n, m, cells) can reach the threshold, by the most they can share."""
+    (n1, m1, cells1), (n2, m2, cells2) = one, two
 
+    def enough(shared):
+        return 100 * shared >= percent * (F.col(n1) + F.col(n2) - shared)
 
-def _split(members: DataFrame, sigs: DataFrame, level: int) -> DataFrame:
-    """Rows of wide buckets dealt into narrower ones by SPLIT_BANDS draws of ROWS minima."""
-    draws = np.random.default_rng(100 + level).integers(1, HASHES + 1, (SPLIT_BANDS, ROWS)).tolist()
-    keys = F.array(*(F.xxhash64("bucket", F.lit(k), *(F.element_at("sig", i) for i in draw)) for k, draw in enumerate(draws)))
-    rows = members.join(sigs.withColumnRenamed("id", "c"), "c").select("c", "l", F.explode(keys).alias("bucket"))
-    kept = rows.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("bucket")
-    return stage(rows.join(kept, "bucket", "left_semi").select("bucket", "c"), "near-split")
+    by_cell = F.aggregate(F.zip_with(cells1, cells2, lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda t, v: t + v)
+    return enough(F.least(m1, m2)) & enough(by_cell)
+
+
+def _pairs_between(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket's rows in different components that their bounds allow."""
+    two = members.select("bucket", *(F.col(k).alias(f"{k}2") for k in ("c", "l", "n", "m", "cells")))
+    allowed = _allowed(("n", "m", "cells"), ("n2", "m2", "cells2"), percent)
+    return members.join(two, (members["bucket"] == two["bucket"]) & (F.col("l") < F.col("l2")) & allowed).select(*_ordered("c", "c2")).distinct()
+
+
+def _items(size: int):
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(hashes.of(word_list(t.as_py())), size).view(np.int64) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists(sets, pa.int64())], ["id", "items"])
+
+    return run
+
+
+def _bounded(members: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
+    """``members`` with n (shingles) and m (those that another candidate holds too), where m allows a link."""
+    some = prune_scans_at_run_time(stage(members.select(F.col("c").alias("id")).distinct(), "near-some")).filter("id >= 0 OR id < 0")
+    items = docs.select("id", "t").join(some, "id").mapInArrow(_items(size), "id long, items array<long>")
+    owners = items.select("id", F.explode("items").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("hi"))
+    # s is signed: its cell is that of the unsigned hash.
+    own = owners.filter("id = hi").groupBy("id", F.expr(f"int(pmod(s, {CELLS}))").alias("cell")).agg(F.count(F.lit(1)).cast("int").alias("u"))
+    own = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "u"))).alias("own"))
+    shared = F.transform("cells", lambda v, k: v - F.coalesce(F.col("own")[k], F.lit(0)))
+    bound = some.join(sizes, "id").join(own, "id", "left").withColumn("cells", F.when(F.col("own").isNull(), F.col("cells")).otherwise(shared))
+    bound = bound.withColumn("m", F.aggregate("cells", F.lit(0).cast("long"), lambda t, v: t + v))
+    bound = bound.filter(100 * F.col("m") >= percent * F.col("n")).select(F.col("id").alias("c"), "n", "m", "cells")
+    return stage(members.join(bound, "c"), "near-bounded")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``df``."""
     docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
-    signed = stage(small_batches(docs).mapInArrow(_signed(size), "id long, n long, digest binary, bands array<long>, sig array<smallint>"), "near-signed")
+    signed = stage(small_batches(docs).mapInArrow(_signed(size), "id long, n long, digest binary, cells array<int>, bands array<long>, sig array<smallint>"), "near-signed")
     full = signed.filter("n > 0 AND id IS NOT NULL")
     classes = stage(full.groupBy("n", "digest").agg(F.min("id").alias("c")), "near-classes")
-    leaders = stage(full.join(classes.select(F.col("c").alias("id"), "n", "digest"), ["id", "n", "digest"], "left_semi").select("id", "bands", "sig"), "near-leaders")
+    leaders = stage(full.join(classes.select(F.col("c").alias("id"), "n", "digest"), ["id", "n", "digest"], "left_semi").select("id", "n", "cells", "bands", "sig"), "near-leaders")
     sigs = leaders.select("id", "sig")
     rows = leaders.select(F.col("id").alias("c"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
     members = stage(rows.join(shared, "bucket", "left_semi").select("bucket", "c").distinct(), "near-members")
 
-    links, labels, tested, turn, level, before = None, None, None, 0, 0, float("inf")
+    known = docs.filter("id IS NOT NULL")
+    members = _bounded(members, known, leaders.select("id", "n", "cells"), size, percent)
+    links, labels, tested, turn, before = None, None, None, 0, float("inf")
     while True:
         live = stage(_open(_labelled(members, labels)), "near-open")
-        left, n = _crossing(live), live.count()
+        left = _crossing(live)
         if not left:
             break
-        if wide := left > PAIRS_PER_ROW * n and level < MOST_SPLITS:
-            if turn and left > before / 2:  # hubs no longer help
-                members, level, turn = _split(live, sigs, level), level + 1, 0
-                before = float("inf")
-                continue
-            pairs = _hub_pairs(live, turn)
-        else:
-            pairs = _all_pairs_between(live)
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "near-pairs")
-        found = _verify(pairs, sigs, docs.filter("id IS NOT NULL"), size, percent)
+        last = turn > 0 and (left > before / 2 or left <= PAIRS_PER_ROW * live.count())
+        pairs = _pairs_between(live, percent) if last else _hub_pairs(live, turn, percent)
+        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        found = _verify(pairs, sigs, known, size, percent)
         links = found if links is None else links.unionByName(found)
         labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if not wide:
+        if last:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         before, turn = left, turn + 1
