@@ -1,7 +1,37 @@
-"""DuckDB oracle for the consent history (one INSERT ... NOT EXISTS block per table)."""
+"""DuckDB oracle for the consent history: a rule row per lead type, candidates by one join with the rules."""
 
-STAGES = {}
+# FIXED VALUES: base, lead types, history table, label written instead of the type, document not accepted.
+_RULES = (
+    ("base", ("PP",), "PP", None, None), ("base", ("C", "NC", "2DA"), "TC", "TC", None), ("base", ("EC",), "EC", None, None),
+    ("base", ("CD",), "CD", None, None), ("base", ("CON",), "CON", None, None), ("base", ("IL",), "IL", None, None),
+    ("base", ("UPG",), "UPG", None, None),
+    ("digital", ("DPP",), "DPP", None, None), ("digital", ("DTC",), "DTC", None, "callback"), ("digital", ("DEC",), "DEC", None, None),
+    ("digital", ("DCD",), "DCD", None, None), ("digital", ("DIL", "DUPG", "DTCA", "DPA"), "DPRT", None, None),
+)
+
+
+def _text(x):
+    return "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'"
+
+
+_ROWS = ", ".join(f"({', '.join(_text(x) for x in (base, kind, table, label, refused))})"
+                  for base, kinds, table, label, refused in _RULES for kind in kinds)
+
+STAGES = {
+    "c_rule": f"SELECT * FROM (VALUES {_ROWS}) v(origin, kind, tabla, label, refused)",
+    "c_lead": """
+SELECT 'base' AS origin, TIP_CLIENTE, NUMERO_DOCUMENTO, VARIABLE_26, USERFIELD5 FROM r_leads
+UNION ALL SELECT 'digital', TIP_CLIENTE, NUMERO_DOCUMENTO, VARIABLE_26, USERFIELD5 FROM r_leads_digital""",
+    "c_tagged": """
+SELECT r.tabla AS TABLA, coalesce(r.label, l.TIP_CLIENTE) AS TIP_CLIENTE, l.NUMERO_DOCUMENTO AS NUM_DOCUMENTO,
+       l.VARIABLE_26 AS FLAG_CONS, l.USERFIELD5, r.refused
+FROM c_lead l JOIN c_rule r ON r.origin = l.origin AND r.kind = l.TIP_CLIENTE""",
+    "c_candidate": """
+SELECT DISTINCT TABLA, TIP_CLIENTE, NUM_DOCUMENTO, FLAG_CONS, USERFIELD5,
+       TIP_CLIENTE || '_' || NUM_DOCUMENTO || '_' || coalesce(FLAG_CONS, '') || '_' || USERFIELD5 AS CODE, DATE '2000-04-01' AS UPDATED
+FROM c_tagged WHERE refused IS NULL OR NUM_DOCUMENTO <> refused""",
+}
 FINAL = {
-    "consent_increment": "SELECT DISTINCT * FROM (SELECT DISTINCT 'PP' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('PP') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'PP' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'TC' AS TABLA, 'TC' AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, ('TC' || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('C','NC','2DA') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'TC' AND B.CODE = ('TC' || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'EC' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('EC') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'EC' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'CD' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('CD') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'CD' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'CON' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('CON') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'CON' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'IL' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('IL') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'IL' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'UPG' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('UPG') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'UPG' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'DPP' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DPP') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'DPP' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'DTC' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DTC') AND NUMERO_DOCUMENTO NOT IN ('callback') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'DTC' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'DEC' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DEC') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'DEC' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'DCD' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DCD') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'DCD' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5)) UNION ALL SELECT DISTINCT 'DPRT' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DIL','DUPG','DTCA','DPA') AND NOT EXISTS (SELECT 1 FROM r_consent_hist B WHERE B.TABLA = 'DPRT' AND B.CODE = (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5))) x",
-    "consent_reset": "SELECT DISTINCT * FROM (SELECT DISTINCT 'PP' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('PP') UNION ALL SELECT DISTINCT 'TC' AS TABLA, 'TC' AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, ('TC' || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('C','NC','2DA') UNION ALL SELECT DISTINCT 'EC' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('EC') UNION ALL SELECT DISTINCT 'CD' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('CD') UNION ALL SELECT DISTINCT 'CON' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('CON') UNION ALL SELECT DISTINCT 'IL' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('IL') UNION ALL SELECT DISTINCT 'UPG' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads A WHERE A.TIP_CLIENTE IN ('UPG') UNION ALL SELECT DISTINCT 'DPP' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DPP') UNION ALL SELECT DISTINCT 'DTC' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DTC') AND NUMERO_DOCUMENTO NOT IN ('callback') UNION ALL SELECT DISTINCT 'DEC' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DEC') UNION ALL SELECT DISTINCT 'DCD' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DCD') UNION ALL SELECT DISTINCT 'DPRT' AS TABLA, A.TIP_CLIENTE AS TIP_CLIENTE, A.NUMERO_DOCUMENTO AS NUM_DOCUMENTO, A.VARIABLE_26 AS FLAG_CONS, A.USERFIELD5, (A.TIP_CLIENTE || '_' || A.NUMERO_DOCUMENTO || '_' || coalesce(A.VARIABLE_26, '') || '_' || A.USERFIELD5) AS CODE, DATE '2000-04-01' AS UPDATED FROM r_leads_digital A WHERE A.TIP_CLIENTE IN ('DIL','DUPG','DTCA','DPA')) x",
+    "consent_increment": "SELECT c.* FROM c_candidate c ANTI JOIN r_consent_hist h ON h.TABLA = c.TABLA AND h.CODE = c.CODE",
+    "consent_reset": "SELECT * FROM c_candidate",
 }

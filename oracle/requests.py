@@ -127,7 +127,35 @@ SELECT CALL_ID, TURN, s AS LINE FROM (SELECT CALL_ID, TURN, trim(LINE) AS s FROM
 WHERE NOT (length(s) < 3 OR lower(s) IN ('transcripción', 'resumen de ia', 'transcripcion') OR regexp_matches(s, '^\d{2}:\d{2}\s*/\s*\d{2}:\d{2}')
            OR regexp_matches(s, '(?i)^\d{2}:\d{2}\s+Transcripci[oó]n') OR contains(s, 'Revisión de interacciones') OR contains(s, 'Término buscado') OR contains(s, 'Término etiquetado') OR contains(s, 'Categoría') OR contains(s, 'Proyecto') OR contains(s, 'Resumen de IA') OR contains(s, 'Descripción') OR contains(s, 'Hora local') OR contains(s, 'Duración') OR contains(s, 'Estado') OR contains(s, 'RESULTADOS DE BÚSQUEDA') OR contains(s, 'Mi conjunt') OR contains(s, 'ACCIONES ADICIONALES') OR contains(s, 'Exportar datos') OR contains(s, 'Comparar dos conjuntos') OR contains(s, 'Búsquedas guardadas') OR contains(s, 'Restablecer workspace') OR contains(s, 'Presione Intro') OR contains(s, 'Saltar para actualizar') OR contains(s, 'Enviar mensaje') OR contains(s, 'SPEECH ANALYTICS') OR contains(s, 'DETECTAR') OR contains(s, 'ANALIZAR') OR contains(s, 'INFORME') OR contains(s, 'DISEÑO') OR contains(s, 'SINTONIZACIÓN') OR contains(s, 'Categorías') OR contains(s, 'Contexto') OR contains(s, 'Gráficos') OR contains(s, 'Causa raíz') OR contains(s, 'Interacciones') OR contains(s, 'SUGERENCIAS ADICIONALES') OR contains(s, 'OPERADORES') OR contains(s, 'Empleados') OR contains(s, 'Dinámica de interacción') OR contains(s, 'Conmutadores') OR contains(s, 'Página actual') OR contains(s, 'Opciones de búsqueda') OR contains(s, 'Principales 1.000 por relevancia') OR contains(s, 'Relevancia') OR contains(s, 'Empleado') OR contains(s, 'Hora local de inicio') OR contains(s, 'Estado de redacción') OR contains(s, 'Palabras clave encontradas') OR contains(s, 'Finalizada correctamente') OR contains(s, 'Seleccionar todo') OR contains(s, 'Borrar todo') OR contains(s, 'Analizar interacciones') OR contains(s, 'Velocidad de reproducción') OR contains(s, 'Leyenda:') OR contains(s, 'Sentimiento:') OR contains(s, 'Encontrado') OR contains(s, 'No hay indicadores visuales') OR contains(s, 'La forma de onda no está disponible') OR contains(s, 'Datos personalizados') OR contains(s, 'Mis datos') OR contains(s, 'Contactos') OR contains(s, 'Aplicar') OR contains(s, 'Borrar') OR contains(s, 'TLV - Ventas') OR contains(s, 'TLV - Exp') OR contains(s, 'TLV_') OR contains(s, 'TRSV_') OR contains(s, 'CD_') OR contains(s, 'EC_') OR contains(s, 'PP_') OR contains(s, 'VR- Sentiment') OR contains(s, 'TC_GC_') OR contains(s, 'TRVS_') OR contains(s, 'SEG_'))"""
 
+# Prose requests: every position is tried for a code, then every window position for a number.
+_TEXT = """trim(regexp_replace(replace(replace(replace(replace(replace(
+         regexp_replace(regexp_replace(BODY_HTML, '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
+         '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&eacute;', 'é'), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+
+
+def _stands(text, at, size, pattern):
+    """The pattern of a fixed size stands at a 1-based position as a word of its own."""
+    return (f"regexp_full_match(substring({text}, {at}, {size}), '{pattern}') "
+            f"AND NOT regexp_matches(substring({text}, {at} + {size}, 1), '\\w') "
+            f"AND ({at} = 1 OR NOT regexp_matches(substring({text}, {at} - 1, 1), '\\w'))")
+
+
+STAGES["rq_prose"] = f"SELECT MSG_ID, {_PRE} AS prefijo, {_TEXT} AS T FROM r_mail"
+STAGES["rq_prose_at"] = "SELECT MSG_ID, prefijo, T, unnest(range(1, length(T) + 1)) AS P0 FROM rq_prose"
+STAGES["rq_prose_code"] = f"""
+SELECT MSG_ID, prefijo, P0, upper(substring(T, P0, 6)) AS reg_ev, greatest(P0 - 120, 1) AS S,
+       substring(T, greatest(P0 - 120, 1), P0 + 206 - greatest(P0 - 120, 1)) AS W
+FROM rq_prose_at WHERE {_stands('T', 'P0', 6, '(?i)B[0-9]{5}')}"""
+STAGES["rq_prose_number"] = f"""
+SELECT MSG_ID, P0, arg_min(substring(W, K, 8), abs(S + K - 1 - P0) * 1000 + K) AS near
+FROM (SELECT *, unnest(range(1, length(W) + 1)) AS K FROM rq_prose_code) x WHERE {_stands('W', 'K', 8, '[0-9]{8}')} GROUP BY 1, 2"""
+
 FINAL = {
+    "request_from_text": f"""
+SELECT MSG_ID, CAST(P0 - 1 AS INTEGER) AS POS, reg_ev, dni, {_name('prefijo', 'reg_ev', 'dni')} AS nombre_archivo, prefijo
+FROM (SELECT c.*, coalesce(nullif(regexp_extract(W, '\\b(?:DNI|dni)\\s*[:#-]?\\s*(\\d{{8}})\\b', 1), ''), near) AS dni
+      FROM rq_prose_code c LEFT JOIN rq_prose_number n USING (MSG_ID, P0)) z
+WHERE dni IS NOT NULL""",
     "html_to_text": r"""
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
          regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),

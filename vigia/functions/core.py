@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigia.params import Period
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -22,13 +24,9 @@ def fold(c: str | Column) -> Column:
     return F.upper(F.trim(col(c)))
 
 
-def blank_to_null(c: str | Column) -> Column:
-    c = col(c)
-    return F.when(F.trim(c) == "", None).otherwise(c)
-
-
-def yyyymm(c: str | Column) -> Column:
-    return F.date_format(col(c), "yyyyMM")
+def in_month(c: str | Column, period: Period) -> Column:
+    """The raw column lies in the run's month: a range of literals, which reaches the scan."""
+    return (col(c) >= F.lit(period.fec_inicio_mes)) & (col(c) < F.lit(period.fec_inicio_mes_sig))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = (),
@@ -38,7 +36,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     Expressed as ``groupBy(keys).agg(min(struct(...)))`` rather than a
     ``row_number`` window so the choice is made by partial (map-side)
     aggregation: a key holding a third of all rows is reduced inside every map
-    task before the shuffle, and no task ever sorts a whole hot group.
+    task before the shuffle. The struct makes it a sort aggregate, so each input
+    partition is sorted by key; no group is gathered to be sorted as a whole.
     ``order`` entries sort ascending with NULLs first (Spark's struct order);
     pass ``-col`` / ``F.desc``-like negations for descending numeric keys.
     """

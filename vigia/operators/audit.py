@@ -33,7 +33,7 @@ def audit_feed_period(feed: DataFrame, date_col: str, period: Period, name: str)
 
 def assert_feed_period(check: DataFrame) -> None:
     """Abort the run when a feed check fails (the check is one row per feed)."""
-    bad = check.where(~F.col("OK")).select("TABLA").limit(20).collect()
+    bad = check.where(~F.col("OK")).select("TABLA").collect()  # one row per configured feed
     if bad:
         raise ValueError(f"feeds not usable for the month: {[r[0] for r in bad]}")
 
@@ -48,5 +48,4 @@ def reporting_window_bounds(period: Period, today: dt.date) -> tuple[dt.date, dt
 
 def reporting_window(df: DataFrame, date_col: str, period: Period, today: dt.date) -> DataFrame:
     start, end = reporting_window_bounds(period, today)
-    d = F.to_date(F.col(date_col))
-    return df.where((d >= F.lit(start)) & (d <= F.lit(end)))
+    return df.where((F.col(date_col) >= F.lit(start)) & (F.col(date_col) < F.lit(end + dt.timedelta(days=1))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigia.functions.core import keep_first
+from vigia.functions.core import in_month, keep_first
 from vigia.operators.sales import _of_team, agent_names
 from vigia.params import Period, run_timestamp
 
@@ -36,9 +36,9 @@ def retention_claims(claims: DataFrame, detail: DataFrame, typology: DataFrame,
     Claims derived automatically in the month are removed (anti-join); the
     card number is the claim's first ``cardNumber`` field.
     """
-    start = period.fec_inicio_mes.strftime("%Y%m%d")
-    a = claims.where((F.date_format("FECHA_ALTA", "yyyyMMdd") >= start) & (F.col("estado_reclamo") == CLAIM_KEPT_STATUS))
-    deriv = (states.where((_yyyymm(F.col("FECHA_CREACION")) == period.periodo) & (F.col("ACTIVIDAD") == AUTO_DERIVATION))
+    start = F.lit(period.fec_inicio_mes)
+    a = claims.where((F.col("FECHA_ALTA") >= start) & (F.col("estado_reclamo") == CLAIM_KEPT_STATUS))
+    deriv = (states.where(in_month("FECHA_CREACION", period) & (F.col("ACTIVIDAD") == AUTO_DERIVATION))
                    .select(F.col("ID_RECLAMO").alias("_DV")).distinct())
     a = a.join(deriv, a["ID_RECLAMO"] == deriv["_DV"], "left_anti")
     b = detail.select(F.col("id_reclamo").alias("_BID"), "id_tipologia")
@@ -48,7 +48,7 @@ def retention_claims(claims: DataFrame, detail: DataFrame, typology: DataFrame,
     d = areas.select(F.col("CODIGO").alias("_DC"), F.col("DESCRIPCION").alias("DESCRIPCION_A_ACTUAL"))
     e = areas.select(F.col("CODIGO").alias("_EC"), F.col("DESCRIPCION").alias("DESCRIPCION_S_ALTA"))
     j = j.join(d, j["AREA_ACTUAL"] == d["_DC"], "left").join(e, j["SUCURSAL_ALTA"] == e["_EC"], "left")
-    recent = claims.where(F.date_format("FECHA_ALTA", "yyyyMMdd") >= start).select(F.col("ID_RECLAMO").alias("_R"))
+    recent = claims.where(F.col("FECHA_ALTA") >= start).select(F.col("ID_RECLAMO").alias("_R"))
     g = extra.where(F.col("nombre") == CARD_FIELD).join(recent, F.col("id_reclamo") == recent["_R"], "left_semi")
     g = keep_first(g.select(F.col("id_reclamo").alias("_GID"), F.col("valor").alias("NUM_TARJETA")), ["_GID"])
     j = j.join(g, j["ID_RECLAMO"] == g["_GID"], "left")
@@ -90,9 +90,9 @@ def insurance_portfolio(seg_feed: DataFrame, agents: DataFrame, period: Period)
 def channel_agents(contacts: DataFrame, portfolio: DataFrame, agents_month: str, supervisors_month: str) -> DataFrame:
     """Premium agents: contacts ∪ portfolio agents (``agents_month``) ∪ portfolio supervisors, distinct."""
     c = contacts.where(F.col("MODELO") == PREMIUM_MODEL).select("REGEJECUTIVO")
-    pa = portfolio.where((F.col("MODELO") == PREMIUM_MODEL) & (F.col("codmes").cast("string") == agents_month)) \
+    pa = portfolio.where((F.col("MODELO") == PREMIUM_MODEL) & (F.col("codmes") == F.lit(agents_month).cast(portfolio.schema["codmes"].dataType))) \
                   .select(F.col("regejecutivo").alias("REGEJECUTIVO"))
-    ps = portfolio.where((F.col("MODELO") == PREMIUM_MODEL) & (F.col("codmes").cast("string") == supervisors_month)) \
+    ps = portfolio.where((F.col("MODELO") == PREMIUM_MODEL) & (F.col("codmes") == F.lit(supervisors_month).cast(portfolio.schema["codmes"].dataType))) \
                   .select(F.col("regsupervisor").alias("REGEJECUTIVO"))
     return c.union(pa).union(ps).distinct()
 

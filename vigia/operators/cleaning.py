@@ -2,7 +2,8 @@
 
 Everything is a JVM column expression except Unicode NFKD accent stripping,
 which Spark has no built-in for; that one runs as an Arrow-batched pandas UDF
-and only on values that actually contain non-ASCII characters.
+that gets only the values that contain non-ASCII characters (the others arrive
+as NULL). The cleaner limits text to U+00FF first and needs no Python.
 """
 
 from __future__ import annotations
@@ -28,32 +29,28 @@ DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd")
 
 # --------------------------------------------------------------------------- names and types
 
+_WORD_RUN = re.compile(r"[A-Za-z0-9_]")
+# Spark type → upload type; anything else is text.
+_UPLOAD_TYPE = {T.ByteType: "INTEGER", T.ShortType: "INTEGER", T.IntegerType: "INTEGER", T.LongType: "INTEGER",
+                T.FloatType: "FLOAT", T.DoubleType: "FLOAT", T.DecimalType: "FLOAT",
+                T.DateType: "TIMESTAMP", T.TimestampType: "TIMESTAMP", T.TimestampNTZType: "TIMESTAMP",
+                T.BooleanType: "CHAR(1)"}
+
+
 def sanitize_identifier(name: str | None) -> str:
     """Non ``[A-Za-z0-9_]`` → ``_``; strip outer ``_``; leading digit gets ``_``; empty → ``column``."""
-    if not name:
-        return "column"
-    s = re.sub(r"[^a-zA-Z0-9_]", "_", name).strip("_")
-    if s and s[0].isdigit():
-        s = "_" + s
-    return s or "column"
+    kept = "".join(c if _WORD_RUN.match(c) else "_" for c in name or "").strip("_")
+    return f"_{kept}" if kept[:1].isdigit() else kept or "column"
 
 
 def is_sid_column(name: str | None, new_name: str | None = None) -> bool:
     """Identifier columns named like "clave … sid" always stay text."""
-    hay = " ".join(x for x in (name, new_name) if x).lower()
-    return "clave sid" in hay or ("sid" in hay and "clave" in hay)
+    words = f"{name or ''} {new_name or ''}".lower()
+    return all(part in words for part in ("clave", "sid"))
 
 
 def suggest_sql_type(dt: T.DataType) -> str:
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return "INTEGER"
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return "FLOAT"
-    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return "TIMESTAMP"
-    if isinstance(dt, T.BooleanType):
-        return "CHAR(1)"
-    return "VARCHAR(255)"
+    return _UPLOAD_TYPE.get(type(dt), UPLOAD_TYPES[0])
 
 
 @dataclass(frozen=True)
@@ -102,27 +99,35 @@ def latin1_truncate(c: Column, max_len: int = DEFAULT_MAX_LEN) -> Column:
     return F.substring(F.regexp_replace(c, "[^\\x{00}-\\x{FF}]", ""), 1, max_len)
 
 
-_MARKS = None
+@F.pandas_udf(T.StringType())
+def _nfkd(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKD")
+
 
+def strip_accents(c: Column) -> Column:
+    """NFKD-normalise and drop combining marks (``ñ→n``, ``ß`` stays, ``ﬁ→fi``).
 
-def _strip_one(s):
-    global _MARKS
-    if s is None:
-        return None
-    if _MARKS is None:
-        import regex
-        _MARKS = regex.compile(r"\p{M}")
-    return _MARKS.sub("", unicodedata.normalize("NFKD", s))
+    A Python function runs before the projection that holds it, so the condition is inside its
+    argument: only texts beyond ASCII reach it, the others pass as NULL. Marks are dropped in the JVM.
+    """
+    beyond = F.when(c.rlike("[^\\x{00}-\\x{7F}]"), c)
+    return F.coalesce(F.regexp_replace(_nfkd(beyond), r"\p{M}", ""), c)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd_strip(s: pd.Series) -> pd.Series:
-    return pd.Series([_strip_one(x) for x in s], dtype=object)
+def _latin1_forms() -> dict[str, str]:
+    """Characters U+0080 to U+00FF whose compatibility form without marks differs from themselves."""
+    forms = {chr(k): "".join(x for x in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(x)) for k in range(0x80, 0x100)}
+    return {c: form for c, form in forms.items() if c != form}
 
 
-def strip_accents(c: Column) -> Column:
-    """NFKD-normalise and drop combining marks (``ñ→n``, ``ß`` stays, ``ﬁ→fi``); ASCII passes through untouched."""
-    return F.when(c.rlike("[^\\x{00}-\\x{7F}]"), _nfkd_strip(c)).otherwise(c)
+def strip_accents_latin1(c: Column) -> Column:
+    """:func:`strip_accents` for text limited to U+00FF: plain JVM replacements."""
+    forms = _latin1_forms()
+    one = {k: v for k, v in forms.items() if len(v) == 1}
+    c = F.translate(c, "".join(one), "".join(one.values()))
+    for long, form in ((k, v) for k, v in forms.items() if len(v) != 1):
+        c = F.replace(c, F.lit(long), F.lit(form))
+    return c
 
 
 def char1(c: Column) -> Column:
@@ -153,7 +158,7 @@ def clean_column(df: DataFrame, sel: ColumnSelection, strip: bool, latin: bool,
         if latin:
             c = latin1_truncate(c, max_len)
         if strip:
-            c = strip_accents(c)
+            c = strip_accents_latin1(c) if latin else strip_accents(c)
         if dtype == "CHAR(1)":
             c = char1(c)
     elif dtype in ("INTEGER", "FLOAT"):

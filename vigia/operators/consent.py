@@ -48,19 +48,24 @@ def consent_code(tip: Column) -> Column:
                     F.lit("_"), F.col("USERFIELD5"))
 
 
+def _by_type(digital: bool, value) -> Column:
+    """Column that looks a value of the table up by the row's type (each type belongs to one table of its base)."""
+    pairs = [x for t in CONSENT_TABLES if t.digital == digital for k in t.types for x in (F.lit(k), F.lit(value(t)).cast("string"))]
+    return F.try_element_at(F.create_map(*pairs), F.col("TIP_CLIENTE"))
+
+
 def consent_candidates(leads: DataFrame, leads_digital: DataFrame, period: Period) -> DataFrame:
-    """All lead rows tagged with their target table and consent code (distinct per table)."""
+    """All lead rows tagged with their target table and consent code (distinct per table): one scan of each base."""
     out = None
-    for t in CONSENT_TABLES:
-        src = leads_digital if t.digital else leads
-        df = src.where(F.col("TIP_CLIENTE").isin(*t.types))
-        if t.bad_documents:
-            df = df.where(~F.col("NUMERO_DOCUMENTO").isin(*t.bad_documents))
-        tip = F.lit(t.label) if t.label else F.col("TIP_CLIENTE")
-        df = df.select(F.lit(t.table).alias("TABLA"), tip.alias("TIP_CLIENTE"),
+    for src, digital in ((leads, False), (leads_digital, True)):
+        df = src.where(F.col("TIP_CLIENTE").isin(*(k for t in CONSENT_TABLES if t.digital == digital for k in t.types)))
+        for t in CONSENT_TABLES:
+            if t.digital == digital and t.bad_documents:
+                df = df.where(~F.col("TIP_CLIENTE").isin(*t.types) | ~F.col("NUMERO_DOCUMENTO").isin(*t.bad_documents))
+        tip = F.coalesce(_by_type(digital, lambda t: t.label), F.col("TIP_CLIENTE"))
+        df = df.select(_by_type(digital, lambda t: t.table).alias("TABLA"), tip.alias("TIP_CLIENTE"),
                        F.col("NUMERO_DOCUMENTO").alias("NUM_DOCUMENTO"), F.col("VARIABLE_26").alias("FLAG_CONS"),
-                       "USERFIELD5", consent_code(tip).alias("CODE"),
-                       F.lit(period.run_date).alias("UPDATED"))
+                       "USERFIELD5", consent_code(tip).alias("CODE"), F.lit(period.run_date).alias("UPDATED"))
         out = df if out is None else out.unionByName(df)
     return out.distinct()
 

@@ -33,6 +33,8 @@ DETAIL_PREFIX_GROUPS = (("NL_", "NORMAS LEGALES"), ("CO_", "CARACTERISTICAS OBLI
                         ("ER_", "ERROR EN REGISTRO"), ("GR_", "GRAVE"), ("SE_", "SEGUROS"), ("VI_", "VALIDACION"))
 RECOMMENDED_ACTION = (("EO", "Feedback"), ("N1", "Feedback - Ll. atención verbal - Ll. atención simple"),
                       ("N2", "Ll. atención simple - Ll. atención severa"), ("N3", "Ll. atención severa - Suspensión"))
+# Action noted for an agent who has left (its spelling is a site parameter): standardised as a dismissal, rank 2.
+LEFT_COMPANY_ACTION = "EV YA NO LABORA"
 # Action spelling → standard label (observation_standardise).
 ACTION_SPELLINGS = (
     (("Ll. atencion simple", "CARTA DE LLAMADA DE ATENCION SIMPLE", "ACTA DE LLAMADA DE ATENCION"), "Ll. atención simple"),
@@ -40,13 +42,14 @@ ACTION_SPELLINGS = (
     (("-",), "Acción No Definida"),
     (("ENVIADO A GDH",), "Enviado a GDH"),
     (("CARTA DE LLAMADA DE ATENCION SEVERA", "Ll. atencion severa"), "Ll. atención severa"),
-    (("DESVINCULACION", "Desvinculación"), "Desvinculación"),
+    (("DESVINCULACION", "Desvinculación", LEFT_COMPANY_ACTION), "Desvinculación"),
     (("SUSPENSION", "Suspensión"), "Suspensión"),
     (("Ll. atencion verbal",), "Ll. atención verbal"),
 )
 # Severity rank of action spellings (1 = most severe); unknown 99, NULL counts as "-".
 SEVERITY_RANK = (
     (("DESVINCULACION", "DESVINCULACIÓN", "Desvinculación"), 1),
+    ((LEFT_COMPANY_ACTION,), 2),
     (("SUSPENSION", "SUSPENSIÓN", "Suspensión"), 3),
     (("ENVIADO A GDH",), 4),
     (("CARTA DE LLAMADA DE ATENCION SEVERA", "CARTA DE LLAMADA DE ATENCIÓN SEVERA"), 5),

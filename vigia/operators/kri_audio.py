@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigia.functions.core import keep_first
+from vigia.functions.core import in_month, keep_first
 from vigia.operators.sales import agent_names
 from vigia.operators.speech import unique_agents
 from vigia.params import Period, run_timestamp
@@ -160,8 +160,7 @@ def traffic_unify(batch: DataFrame, agents: DataFrame, leads: DataFrame, leads_d
     The type filter is ``NOT IN`` with SQL semantics: NULL types drop, empty ones stay.
     Lead matches keep their fan-out (one row per compatible lead type), as the reference does.
     """
-    b = batch.where((F.year("FEC_LLAMADA") == period.anio) & (F.month("FEC_LLAMADA") == period.mes)
-                    & ~F.col("TIP_CLIENTE").isin(*excluded_types))
+    b = batch.where(in_month("FEC_LLAMADA", period) & ~F.col("TIP_CLIENTE").isin(*excluded_types))
     b = b.withColumn("_REG6", F.substring("NOMBRE_AGENTE", 1, 6))
     ag = unique_agents(agents).select(F.col("REG_EJECUTIVO").alias("_AREG"), F.col("SUB_EQUIPO").alias("_ASE"))
     b = b.join(ag, b["_REG6"] == ag["_AREG"], "left")

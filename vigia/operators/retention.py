@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigia.functions.core import in_month
 from vigia.params import Period
 
 # FIXED VALUES — call areas, reason families, alert labels.
@@ -38,7 +39,7 @@ def _flag(name: str) -> Column:
 def retention_enrich(calls: DataFrame, names: DataFrame, outcome: DataFrame, offer_clients: DataFrame,
                      period: Period) -> DataFrame:
     """Month's calls + agent name, retention outcome and offer acceptance (left joins keyed by month)."""
-    c = calls.withColumn("Periodo", F.date_format("FechaLlamada", "yyyyMM")).where(F.col("Periodo") == period.periodo)
+    c = calls.where(in_month("FechaLlamada", period)).withColumn("Periodo", F.lit(period.periodo))
     m = names.select("PERIODO_VAL", "REGISTRO", "NOMBRE_REGISTRO").distinct()
     c = c.join(m, (c["RegistroAgente"] == m["REGISTRO"]) & (c["Periodo"] == m["PERIODO_VAL"]), "left")
     o = outcome.select(F.col("nro_documento").alias("_OD"), F.col("primer_registro").alias("_OR"),

@@ -49,6 +49,10 @@ class Period:
         y, m = (self.anio, self.mes - 1) if self.mes > 1 else (self.anio - 1, 12)
         return f"{y:04d}{m:02d}"
 
+    @property
+    def fec_inicio_mes_sig(self) -> _dt.date:
+        return self.fec_fin_mes + _dt.timedelta(days=1)
+
     @property
     def run_date(self) -> _dt.date:
         return self.run_ts.date()

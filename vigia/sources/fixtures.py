@@ -31,6 +31,7 @@ _P = FIXTURE_PERIOD.periodo
 _PREV = FIXTURE_PERIOD.periodo_prev
 _M0 = "DATE '2000-03-01'"
 _M1 = "DATE '2000-04-01'"
+_MONTH_NO = int(_P[:4]) * 12 + int(_P[4:])
 
 
 def _agent(key: str) -> str:
@@ -38,11 +39,11 @@ def _agent(key: str) -> str:
 
 
 def _doc(key: str) -> str:
-    return f"lpad(CAST({key} % 50 AS STRING), 8, '0')"
+    return f"lpad(CAST({key} AS STRING), 8, '0')"
 
 
 def _phone(key: str) -> str:
-    return f"('9' || lpad(CAST({key} * 37 % 1000 AS STRING), 8, '0'))"
+    return f"('9' || lpad(CAST(({key}) * 37 % 100000000 AS STRING), 8, '0'))"
 
 
 _EV_TS = f"(ts - INTERVAL '{EVENT_SHIFT_MONTHS}' MONTH)"
@@ -66,6 +67,7 @@ SELECT {_agent('c_custkey')} AS REG_EJECUTIVO,
        'EQ' || CAST(n_regionkey AS STRING) AS EQUIPO,
        '{_P}' AS PERIODO
 FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE c_custkey < 100000  -- an agent code has five digits: later customers share the agents, not the register
 """
 
 # Hierarchy by month: the fixture month and the previous one (a tenth of the
@@ -252,7 +254,8 @@ FROM customer
 """
 
 # Raw product feeds: every order belongs to one of nine source feeds (by key);
-# each mart filters its own feed by month, team and status rules.
+# each mart filters its own feed by month, team and status rules. A third of
+# the orders are moved into the fixture month, so that every mart has rows.
 ROLE_SQL["r_src"] = f"""
 SELECT o_orderkey AS ID,
        CASE WHEN o_orderkey % 10 <> 0 AND c_custkey % 10 = 7
@@ -268,7 +271,7 @@ SELECT o_orderkey AS ID,
        END AS FUENTE,
        CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) AS PERIODO_VAL,
        CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS PERIODO_NUM,
-       CASE WHEN o_custkey % 2 = 0
+       CASE WHEN o_custkey % 20 < 10
             THEN CAST(year(o_orderdate - INTERVAL '1' MONTH) * 100 + month(o_orderdate - INTERVAL '1' MONTH) AS STRING)
             ELSE CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) END AS CARGA_PERIODO_VAL,
        {_agent('o_custkey')} AS PROMOTOR_CD,
@@ -312,7 +315,11 @@ SELECT o_orderkey AS ID,
        CASE WHEN o_orderkey % 6 = 0 THEN 'AF/CD' ELSE 'AF' END AS OPERACION_DSC,
        CAST(round(10.0 + (o_totalprice % 4000) / 100.0, 2) AS DOUBLE) AS TASA_PE,
        CAST(o_custkey % 2 AS INT) AS CAMP_FLG
-FROM orders JOIN customer ON o_custkey = c_custkey
+FROM (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority,
+             CASE WHEN (o_orderkey + o_custkey) % 3 = 0 THEN o_orderdate + INTERVAL '1' MONTH *
+                       CAST({_MONTH_NO} - (year(o_orderdate) * 12 + month(o_orderdate)) AS BIGINT)
+                  ELSE o_orderdate END AS o_orderdate
+      FROM orders) o JOIN customer ON o_custkey = c_custkey
 """
 
 # Debt-purchase lines (one per line item; the application key is the order).
@@ -392,8 +399,8 @@ SELECT {_doc('s_suppkey')} AS CODDOC, {_agent('s_suppkey')} AS CODPROMOT,
 FROM supplier
 """
 
-ROLE_SQL["r_evaluated"] = """
-SELECT DISTINCT lpad(CAST(c_custkey % 50 + 25 AS STRING), 8, '0') AS DOCUMENTO FROM customer
+ROLE_SQL["r_evaluated"] = f"""
+SELECT DISTINCT {_doc('c_custkey')} AS DOCUMENTO FROM customer WHERE c_custkey % 2 = 1
 """
 
 def _stamp(ts: str) -> str:
@@ -469,10 +476,10 @@ SELECT {_agent('o.o_custkey')} || '_' || coalesce({_eval_doc('o.o_custkey')}, ''
            AS CODIGO_NTD,
        {_agent('o.o_custkey')} AS REGISTRO_EV,
        CASE WHEN v.V = 1 THEN ' ' ELSE '' END || coalesce({_eval_doc('o.o_custkey')}, '') AS DNI_CLIENTE,
-       CASE (o.o_orderkey + v.V) % 12 WHEN 0 THEN 'FEEDBACK' WHEN 1 THEN 'Feedback' WHEN 2 THEN '-'
+       CASE (o.o_orderkey + v.V) % 13 WHEN 0 THEN 'FEEDBACK' WHEN 1 THEN 'Feedback' WHEN 2 THEN '-'
             WHEN 3 THEN 'ENVIADO A GDH' WHEN 4 THEN 'Ll. atencion severa' WHEN 5 THEN 'CARTA DE LLAMADA DE ATENCION SIMPLE'
             WHEN 6 THEN 'DESVINCULACION' WHEN 7 THEN 'Suspensión' WHEN 8 THEN 'Ll. atencion verbal'
-            WHEN 9 THEN 'ACTA DE LLAMADA DE ATENCION' WHEN 10 THEN NULL ELSE 'Otra accion' END AS ACCION_TOMADA,
+            WHEN 9 THEN 'ACTA DE LLAMADA DE ATENCION' WHEN 10 THEN NULL WHEN 11 THEN 'EV YA NO LABORA' ELSE 'Otra accion' END AS ACCION_TOMADA,
        CASE WHEN v.V = 1 THEN 'CERRADO' ELSE 'ABIERTO' END AS STATUS,
        'obs ' || CAST(o.o_orderkey AS STRING) AS OBSERVACIONES,
        o.o_orderdate + INTERVAL '1' DAY * CAST(v.V + o.o_orderkey % 3 AS BIGINT) AS FECHA_CREADO
@@ -530,7 +537,7 @@ SELECT '{_P}' AS PERIODO_VAL, {_agent('c_custkey')} AS REGISTRO, c_name AS NOMBR
 """
 
 ROLE_SQL["r_maverik_clients"] = f"""
-SELECT DISTINCT lpad(CAST(c_custkey % 35 AS STRING), 8, '0') AS DNI, '{_P}' AS PERIODO FROM customer
+SELECT DISTINCT {_doc('c_custkey')} AS DNI, '{_P}' AS PERIODO FROM customer WHERE c_custkey % 3 <> 0
 """
 
 # Consent history already stored (a third of the lead codes, as from an earlier run).
