@@ -18,8 +18,8 @@ Defined results: null and empty texts have no ids; repeated rows are encoded eac
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,11 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import small_batches, table, texts
+from vigia.llm.common import mapped, table, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of what a worker remembers; on reaching one, that table starts anew.
-MAX_STATES, MAX_PIECES, LONGEST_KEPT_PIECE = 250_000, 300_000, 40
+#: Bounds of what a worker remembers (states, pieces): about 260 MB, or 140 MB where memory is shared with more.
+ROOM, SMALL_ROOM = (300_000, 400_000), (100_000, 150_000)
+LONGEST_KEPT_PIECE = 40
 
 
 def read_ranks(path: str) -> bytes:
@@ -46,16 +47,17 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class MergeTransducer(dict):
-    """piece (str) -> tuple of ids. A dict so that remembered pieces cost one lookup.
+    """piece (str) -> its ids, packed as 32-bit integers. A dict so that remembered pieces cost one lookup.
 
     A state is the set of readings still open: for each boundary from which a vocabulary entry may go
     on, (trie node of the bytes since it, last token before it, tokens up to it not yet emitted), the
     longest first; the last item is the boundary at the present byte.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], room: tuple[int, int] = ROOM):
         super().__init__()
         self.ranks = ranks
+        self.max_states, self.max_pieces = room
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}  # node * 256 + byte -> node; the root is 0
         self.token_at, self.inner = [-1], bytearray(1)
@@ -72,14 +74,21 @@ class MergeTransducer(dict):
             self.token_at[node] = rank
         self.spines: dict[int, tuple | None] = {}
         self.compatible: dict[int, bool] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[tuple, int] = {}  # state -> its number
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # number * 256 + byte -> (number, tokens emitted)
-        self._state(((0, -1, ()),))
+        self.moves: dict[int, tuple] = {}  # number * 256 + byte -> (number, tokens emitted)
+        self.asked = bytearray(1 << 22)  # hashes of moves asked for once: only a second request keeps a move
+        self._keep(((0, -1, ()),))
+
+    def _keep(self, items: tuple) -> int:
+        if (n := self.number.get(items)) is None:
+            n = self.number[items] = len(self.states)
+            self.states.append(items)
+        return n
 
     def _spine(self, token: int) -> tuple | None:
         """How a token is merged: its parts along the left and the right edge, each with the rank at which
@@ -106,7 +115,7 @@ class MergeTransducer(dict):
     def _may_follow(self, before: int, token: int) -> bool:
         """Whether no merge crosses the border: one would join a part at the right edge of ``before`` and
         one at the left edge of ``token`` while both exist (of equal ranks the left one goes first)."""
-        if len(self.compatible) > 4 * MAX_STATES:
+        if len(self.compatible) > 4 * self.max_states:
             self.compatible.clear()
         after = self._spine(token)
         left, right, apart = self._spine(before)[1], after[0] if after else (), after is not None
@@ -122,16 +131,11 @@ class MergeTransducer(dict):
         self.compatible[before << 20 | token] = apart
         return apart
 
-    def _state(self, items: tuple) -> int:
-        if (n := self.number.get(items)) is None:
-            n = self.number[items] = len(self.states)
-            self.states.append(items)
-        return n
-
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The state after a byte, and the tokens that this settles."""
         items, ended = [], None
         child, token_at, inner = self.child.get, self.token_at, self.inner
-        for node, last, out in self.states[at]:
+        for node, last, out in state:
             to = child(node << 8 | byte)
             if to is None:
                 continue
@@ -143,51 +147,63 @@ class MergeTransducer(dict):
                         ended = (0, token, (*out, token))
             if inner[to]:
                 items.append((to, last, out))
-        emitted = ()
         if not items:  # settled up to here
-            emitted, items = ended[2], [(0, ended[1], ())]
-        else:
-            items.append(ended)
-            first = items[0][2]
-            n = 0  # emit what all open readings agree on
-            for token in first:
-                for _, _, out in items:
-                    if len(out) <= n or out[n] != token:
-                        break
-                else:
-                    n += 1
-                    continue
-                break
-            if n:
-                emitted, items = first[:n], [(a, b, out[n:]) for a, b, out in items]
-        move = self.moves[at << 8 | byte] = (self._state(tuple(items)), emitted)
+            return ((0, ended[1], ()),), ended[2]
+        items.append(ended)
+        first = items[0][2]
+        if not first:
+            return tuple(items), ()
+        n = 0  # emit what all open readings agree on
+        for token in first:
+            for _, _, out in items:
+                if len(out) <= n or out[n] != token:
+                    break
+            else:
+                n += 1
+                continue
+            break
+        return tuple([(a, b, out[n:]) for a, b, out in items]), first[:n]
+
+    def _move(self, at: int, byte: int) -> tuple:
+        key = at << 8 | byte
+        state, emitted = self._step(self.states[at], byte)
+        bit = key * 0x9E3779B1 >> 7 & 0x3FFFFF
+        if not self.asked[bit]:
+            self.asked[bit] = 1
+            return state, emitted
+        move = self.moves[key] = (self._keep(state), emitted)
         return move
 
     def transduce(self, data: bytes) -> list[int]:
-        """Ids of one piece, each taken as soon as it is settled."""
-        at, out, known = 0, [], self.moves.get
+        """Ids of one piece, each taken as soon as it is settled. A state is a number, if kept, or its items."""
+        at, out, known, number = 0, [], self.moves.get, self.number.get
         for byte in data:
-            at, emitted = known(at << 8 | byte) or self._move(at, byte)
+            if at.__class__ is int:
+                at, emitted = known(at << 8 | byte) or self._move(at, byte)
+            else:
+                at, emitted = self._step(at, byte)
+            if at.__class__ is tuple:
+                at = number(at, at)
             if emitted:
                 out += emitted
-        out += self.states[at][-1][2]
-        if len(self.states) > MAX_STATES:
+        out += (self.states[at] if at.__class__ is int else at)[-1][2]
+        if len(self.states) > self.max_states:
             self._forget()
         return out
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             data = piece.encode()
             whole = self.ranks.get(data)  # a piece that is itself an entry stays whole
-            ids = (whole,) if whole is not None else tuple(self.transduce(data))
+            ids = array("i", (whole,) if whole is not None else self.transduce(data)).tobytes()
         if len(piece) <= LONGEST_KEPT_PIECE:
             self[piece] = ids
         return ids
 
     def trim(self) -> None:
         """Bound what is remembered: two generations of pieces, the older one without those not met again."""
-        if len(self) > MAX_PIECES:
+        if len(self) > self.max_pieces:
             self.older = dict(self)
             self.clear()
 
@@ -256,49 +272,51 @@ class Utf8Decoder:
 
 
 class Codec:
-    def __init__(self, content: bytes, pattern: str):
+    def __init__(self, content: bytes, pattern: str, room: tuple[int, int] = ROOM):
         self.split = regex.compile(pattern).findall
-        self.pieces = MergeTransducer(parse_ranks(content))
+        self.pieces = MergeTransducer(parse_ranks(content), room)
         self.decoder = Utf8Decoder(self.pieces.bytes_of)
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids as 32-bit integers one after another."""
         self.pieces.trim()
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.decoder.decode(ids)
 
 
-_codecs: dict[tuple[bytes, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(content: bytes, pattern: str) -> Codec:
+def codec(content: bytes, pattern: str, room: tuple[int, int]) -> Codec:
     """One codec per Python worker: its tables serve all batches and tasks."""
-    if (content, pattern) not in _codecs:
-        _codecs[content, pattern] = Codec(content, pattern)
-    return _codecs[content, pattern]
-
-
-_IDS = pa.list_(pa.int32())
+    if (content, pattern, room) not in _codecs:
+        _codecs.clear()
+        _codecs[content, pattern, room] = Codec(content, pattern, room)
+    return _codecs[content, pattern, room]
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
+def _lists(packed: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def _map(df: DataFrame, schema: str, work: Callable[[Codec, pa.RecordBatch], dict[str, pa.Array]], path: str | None, pattern: str) -> DataFrame:
+def _map(df: DataFrame, schema: str, work: Callable[[Codec, pa.RecordBatch], dict[str, pa.Array]], path: str | None, pattern: str, room: tuple[int, int] = ROOM) -> DataFrame:
     shipped = df.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def run(batches):
-        own = codec(shipped.value, pattern)
+        own = codec(shipped.value, pattern, room)
         for batch in batches:
             for part in range(0, batch.num_rows, 64):  # keeps the Python objects of few rows alive
                 rows = batch.slice(part, 64)
                 made = work(own, rows)
                 yield pa.RecordBatch.from_arrays([*(c for n, c in zip(rows.schema.names, rows.columns, strict=True) if n not in made), *made.values()], [*(n for n in rows.schema.names if n not in made), *made])
 
-    return small_batches(df).mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def _schema(df: DataFrame, **new: str) -> str:
@@ -307,7 +325,7 @@ def _schema(df: DataFrame, **new: str) -> str:
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``df`` with an array column of token ids (an own column of that name is replaced)."""
-    return _map(df, _schema(df, **{ids: "array<int>"}), lambda c, b: {ids: _lists([c.encode(t) for t in texts(b.column(text))])}, path, pattern)
+    return _map(df, _schema(df, **{ids: "array<int>"}), lambda c, b: {ids: _lists([c.packed(t) for t in texts(b.column(text))])}, path, pattern)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
@@ -315,14 +333,14 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | N
     return _map(df, _schema(df, **{text: "string"}), lambda c, b: {text: pa.array([c.decode(x.as_py() or ()) for x in b.column(ids)], pa.string())}, path, public_tokenizers.PATTERN)
 
 
-def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN, room: tuple[int, int] = ROOM) -> DataFrame:
     """encode() and decode() of the ids in one pass over the rows."""
 
     def both(c: Codec, batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = [c.encode(t) for t in texts(batch.column(text))]
-        return {ids: _lists(made), decoded: pa.array(map(c.decode, made), pa.string())}
+        made = [c.packed(t) for t in texts(batch.column(text))]
+        return {ids: _lists(made), decoded: pa.array([c.decode(array("i", x)) for x in made], pa.string())}
 
-    return _map(df, _schema(df, **{ids: "array<int>", decoded: "string"}), both, path, pattern)
+    return _map(df, _schema(df, **{ids: "array<int>", decoded: "string"}), both, path, pattern, room)
 
 
 def digests(df: DataFrame) -> list:
@@ -336,5 +354,5 @@ def op4(spark, sf_dir):
 
 def stage_encode(spark, docs, sf_dir):
     """Pipeline: the kept documents with their token ids."""
-    coded = round_trip(docs)
+    coded = round_trip(docs, room=SMALL_ROOM)
     return coded.select(*docs.columns, *digests(coded), "ids")
