@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from vigia import constants as K
@@ -133,3 +135,84 @@ def test_run_timestamp_ignores_session_time_zone(spark):
             assert got == dt.datetime(2000, 4, 1, 8, 0, 0), tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_python_gets_only_texts_that_need_it(spark, monkeypatch):
+    """A Python function runs before the projection that holds it: the condition must be in its argument."""
+    import pandas as pd
+    from pyspark.sql import types as T
+    from vigia.operators import cleaning, requests
+    seen = F.pandas_udf(lambda s: pd.Series([f"<{x}>" if x is not None else "NONE" for x in s]), T.StringType())
+    for module, name, column in ((cleaning, "_nfkd", cleaning.strip_accents), (requests, "_unescape", requests.html_to_text)):
+        monkeypatch.setattr(module, name, seen)
+        df = spark.createDataFrame([(f"plain {k}",) for k in range(9)] + [("ñ &amp;",)], "t string")
+        got = [r[0] for r in df.select(column(F.col("t"))).collect()]
+        assert got.count("NONE") == 9 and sum(x.startswith("<") for x in got) == 1, name
+
+
+def test_latin1_accents_match_the_general_rule(spark):
+    from vigia.operators.cleaning import strip_accents, strip_accents_latin1
+    df = spark.createDataFrame([("".join(map(chr, range(1, 256))),), (None,), ("¼ß´ñ",)], "t string")
+    assert all(r[0] == r[1] for r in df.select(strip_accents(F.col("t")), strip_accents_latin1(F.col("t"))).collect())
+
+
+def test_month_filters_reach_the_scan(spark):
+    from vigia.plans.registry import QUERIES
+    from tests.conftest import SF
+    for key, column in (("retention_enrich", "FechaLlamada"), ("traffic_unify", "FEC_LLAMADA"), ("retention_claims", "FECHA_ALTA")):
+        plan = QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert f"GreaterThanOrEqual({column}" in plan, key
+    plan = QUERIES["reporting_window"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(" in plan and "LessThan(" in plan
+
+
+def test_scans_per_query(spark):
+    from vigia.plans.registry import QUERIES
+    from tests.conftest import SF
+    for key, most in (("audit_source_counts", 4), ("incident_detail", 7), ("consent_increment", 4)):
+        plan = QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= most, (key, plan.count("FileScan"))
+
+
+def test_identities_grow_with_the_data(duck):
+    import duckdb
+    from vigia.sources.fixtures import BASE_TABLES, oracle_ctes
+    big = duckdb.connect()
+    for t in BASE_TABLES:
+        big.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    for sql in ("SELECT count(DISTINCT CODDOC) FROM r_sales", "SELECT count(DISTINCT TELEFONO) FROM r_leads",
+                "SELECT count(DISTINCT REG_EJECUTIVO) FROM r_agent", "SELECT count(*) FROM r_evaluated"):
+        small, large = (con.execute(oracle_ctes() + sql).fetchone()[0] for con in (duck, big))
+        assert large > 5 * small, (sql, small, large)
+
+
+def test_stale_feed_aborts_and_names_every_feed(spark):
+    from vigia.operators.audit import assert_feed_period, audit_feed_period
+    good = spark.createDataFrame([(dt.date(2000, 3, 5),)], "d date")
+    checks = [audit_feed_period(good, "d", P, "GOOD")] + [audit_feed_period(good.limit(0), "d", P, f"F{k}") for k in range(25)]
+    all_checks = checks[0]
+    for c in checks[1:]:
+        all_checks = all_checks.unionByName(c)
+    assert_feed_period(checks[0])
+    with pytest.raises(ValueError) as e:
+        assert_feed_period(all_checks)
+    assert all(f"'F{k}'" in str(e.value) for k in range(25)) and "GOOD" not in str(e.value)
+
+
+def test_feed_folder_newest_only_and_empty_files(spark, tmp_path):
+    from vigia.sources.readers import read_many_append
+    (tmp_path / "exp_20000301.tsv").write_text("a\tb\n1\t2\n")
+    (tmp_path / "exp_20000302.tsv").write_text("a\tb\n3\t4\n")
+    (tmp_path / "exp_20000303.tsv").write_text("")
+    read = lambda **k: sorted(tuple(r) for r in read_many_append(spark, str(tmp_path), r"^exp_.*\.tsv$", **k).collect())
+    assert read() == [("1", "2"), ("3", "4")] and read(newest_only=True) == [("3", "4")]
+    assert read_many_append(spark, str(tmp_path), "nothing") is None
+
+
+def test_each_report_keeps_its_own_header(spark, tmp_path):
+    from vigia.sources.readers import read_report_with_preamble
+    (tmp_path / "a.csv").write_text("pre\npre\nx,y,\n1,2,3,9\n4\n")
+    (tmp_path / "b.csv").write_text("pre\npre\ny,z\n5,6\n ,7\n")
+    df = read_report_with_preamble(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], header_line=3)
+    assert df.columns == ["x", "y", "column_3", "z"]
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, [("1", "2", "3", None), ("4", None, None, None), (None, "5", None, "6"), (None, None, None, "7")]))

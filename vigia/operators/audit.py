@@ -13,12 +13,16 @@ from vigia.params import Period
 def audit_source_counts(sources: list[tuple[str, DataFrame, Column | None]]) -> DataFrame:
     """Row count per configured source with its filter; status VACIA/OK (non-blocking).
 
-    All counts come from one union of single-row aggregates (one job).
+    The counts of one table, whatever their filters, come from one aggregate over one scan.
     """
-    out = None
+    tables: dict[int, tuple[DataFrame, list]] = {}
     for name, df, cond in sources:
-        d = df.where(cond) if cond is not None else df
-        x = d.agg(F.count(F.lit(1)).alias("FILAS")).select(F.lit(name).alias("TABLA"), "FILAS")
+        tables.setdefault(id(df), (df, []))[1].append((name, F.lit(True) if cond is None else cond))
+    out = None
+    for df, counts in tables.values():
+        x = df.agg(*[F.count_if(cond).alias(f"c{k}") for k, (_, cond) in enumerate(counts)])
+        x = x.select(F.explode(F.array(*[F.struct(F.lit(name).alias("TABLA"), F.col(f"c{k}").alias("FILAS"))
+                                         for k, (name, _) in enumerate(counts)])).alias("c")).select("c.*")
         out = x if out is None else out.unionByName(x)
     return out.withColumn("ESTADO", F.when(F.col("FILAS") == 0, F.lit("VACIA")).otherwise(F.lit("OK")))
 

@@ -254,19 +254,15 @@ def incident_report(incidents: DataFrame, report_from: int) -> DataFrame:
 
 def incident_detail(incidents: DataFrame, report_from: int) -> DataFrame:
     """Applied slots as rows, then the first slot per incident code (NULL codes collapse into one row)."""
-    rows = None
-    for k in SLOTS:
-        s = _SFX[k]
-        x = (incidents.where((F.upper(F.col(f"APLICA_NTD_{k}")) == "SI")
-                             & (F.col("PERIODO").cast("int") >= report_from))
-                      .select(*_REPORT_COLS, F.lit(k).alias("NTD_NUM"), F.col(f"APLICA_NTD_{k}").alias("APLICA_NTD"),
-                              F.col(f"NIVEL_NTD{s}").alias("NIVEL_NTD"),
-                              F.col(f"NIVEL_NTD_FINAL{s}").alias("NIVEL_NTD_FINAL"),
-                              F.col(f"CASUISTICA_GRUPO{s}").alias("CASUISTICA_GRUPO"),
-                              _strip_prefix(F.col(f"CASUISTICA_DETALLE{s}")).alias("CASUISTICA_DETALLE"),
-                              F.col(f"ACCION_RECOMENDADA{s}").alias("ACCION_RECOMENDADA"),
-                              F.col(f"REINCIDENCIA_NTD_{k}").alias("REINCIDENCIA_NTD"),
-                              F.col("ACCION_TOMADA").alias("ACCION_TOMADA_FLAG"), "PLANTILLA"))
-        rows = x if rows is None else rows.unionByName(x)
+    slots = F.array(*(F.struct(
+        F.lit(k).alias("NTD_NUM"), F.col(f"APLICA_NTD_{k}").alias("APLICA_NTD"), F.col(f"NIVEL_NTD{_SFX[k]}").alias("NIVEL_NTD"),
+        F.col(f"NIVEL_NTD_FINAL{_SFX[k]}").alias("NIVEL_NTD_FINAL"), F.col(f"CASUISTICA_GRUPO{_SFX[k]}").alias("CASUISTICA_GRUPO"),
+        _strip_prefix(F.col(f"CASUISTICA_DETALLE{_SFX[k]}")).alias("CASUISTICA_DETALLE"),
+        F.col(f"ACCION_RECOMENDADA{_SFX[k]}").alias("ACCION_RECOMENDADA"),
+        F.col(f"REINCIDENCIA_NTD_{k}").alias("REINCIDENCIA_NTD")) for k in SLOTS))
+    rows = (incidents.where(F.col("PERIODO").cast("int") >= report_from)
+                     .select(*_REPORT_COLS, F.explode(slots).alias("s"), F.col("ACCION_TOMADA").alias("ACCION_TOMADA_FLAG"), "PLANTILLA")
+                     .where(F.upper("s.APLICA_NTD") == "SI")
+                     .select(*_REPORT_COLS, "s.*", "ACCION_TOMADA_FLAG", "PLANTILLA"))
     cols = [c for c in rows.columns if c != "CODIGO_NTD"]
     return keep_first(rows, ["CODIGO_NTD"], order=[F.col("NTD_NUM")], cols=cols).select(*rows.columns)

@@ -9,7 +9,7 @@ partial aggregate joined back on its key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigia import constants as K
@@ -164,23 +164,20 @@ def eval_detail(evals: DataFrame, syn_group: DataFrame, syn_question: DataFrame,
     """End-to-end manual-evaluation detail table.
 
     The two group-level values (evaluation number per conversation; critical
-    error and valid-answer count per conversation and group) come from one
-    aggregation per (conversation, group) plus a small roll-up per
-    conversation, joined back once: the evaluation rows are shuffled a single
-    time instead of once per window.
+    error and valid-answer count per conversation and group) are windows that
+    share the partitioning by conversation: the evaluations are scanned and
+    shuffled once. A conversation has as many rows as its form has questions.
     """
     mapped = eval_homologate(eval_normalise(evals), syn_group, syn_question, syn_answer)
     rows = _scored_rows(mapped, period)
     w = eval_weights(rows, master_homologated(qmaster, syn_group, syn_question))
     crit = (F.col("PREG_CRITICA") == 1) & (F.col("PREG_VALIDA") == 1) & (F.col("ES_ERROR") == 1)
     is_num = fold("PREGUNTA") == K.EVAL_NUMBER_QUESTION
-    g = w.groupBy(F.col("CONID").alias("_C"), F.col("GRUPO_PREGUNTAS").alias("_G")).agg(
-        F.max(F.when(crit, 1).otherwise(0)).alias("HAS_CRITICAL_ERROR"),
-        F.sum(F.when(F.col("PREG_VALIDA") == 1, 1).otherwise(0)).alias("CANT_RESPUESTAS"),
-        F.max(F.when(is_num, F.col("RESPUESTA"))).alias("_NUMG"))
-    conv = g.groupBy(F.col("_C").alias("_CC")).agg(F.max("_NUMG").alias("NUM_EVALUACION_TXT"))
-    g = g.join(conv, g["_C"].eqNullSafe(conv["_CC"])).drop("_CC", "_NUMG")
-    df = w.join(g, w["CONID"].eqNullSafe(g["_C"]) & w["GRUPO_PREGUNTAS"].eqNullSafe(g["_G"]), "left").drop("_C", "_G")
+    conversation, group = Window.partitionBy("CONID"), Window.partitionBy("CONID", "GRUPO_PREGUNTAS")
+    df = w.select(
+        "*", F.max(F.when(crit, 1).otherwise(0)).over(group).alias("HAS_CRITICAL_ERROR"),
+        F.sum(F.when(F.col("PREG_VALIDA") == 1, 1).otherwise(0)).over(group).alias("CANT_RESPUESTAS"),
+        F.max(F.when(is_num, F.col("RESPUESTA"))).over(conversation).alias("NUM_EVALUACION_TXT"))
     hit = F.col("HAS_CRITICAL_ERROR") == 1
     df = (df.withColumn("PESO_GRUPO_OBT", F.when(hit, F.lit(0.0)).otherwise(F.col("PESO_GRUPO")))
             .withColumn("PESO_GRUPO", F.when(hit, F.lit(0.0)).otherwise(F.col("PESO_GRUPO")))

@@ -8,6 +8,7 @@ executor-loss safe) instead of being recomputed inside every consumer's plan.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -37,13 +38,31 @@ class ConsumptionInputs:
     evaluated: DataFrame | None = None
 
 
+class StoredMarts(Mapping):
+    """Marts by product, each written when it is first read: a query stores only what it uses."""
+
+    def __init__(self, plans: dict[str, DataFrame]):
+        self.plans, self.stored = plans, {}
+
+    def __getitem__(self, product: str) -> DataFrame:
+        if product not in self.stored:
+            self.stored[product] = cut_lineage(self.plans[product], f"mart-{product}")
+        return self.stored[product]
+
+    def __iter__(self):
+        return iter(self.plans)
+
+    def __len__(self) -> int:
+        return len(self.plans)
+
+
 class ConsumptionMonth:
     def __init__(self, inp: ConsumptionInputs, period: Period):
         self.i = inp
         self.p = period
 
     @cached_property
-    def marts(self) -> dict[str, DataFrame]:
+    def marts(self) -> Mapping[str, DataFrame]:
         f, a, p = self.i.feeds, self.i.agents, self.p
         marts = {
             "TC": SA.sales_card(f["TC"], f["SEG"], a, p),
@@ -56,7 +75,7 @@ class ConsumptionMonth:
             "PA": SA.sales_autopay(f["PA"], a, p),
             "SEG": SA.sales_insurance(f["SEG"], a, p),
         }
-        return {k: cut_lineage(v) for k, v in marts.items()}
+        return StoredMarts(marts)
 
     @cached_property
     def kri_sales(self) -> DataFrame:

@@ -828,13 +828,11 @@ def _q(spark, d):
     from vigia.operators.audit import audit_source_counts
     R = Roles(spark, d)
     p = FIXTURE_PERIOD
-    day = F.col("DIA").between(p.corte_dia_inicio_1, p.corte_dia_fin_2)
+    day, sales = F.col("DIA").between(p.corte_dia_inicio_1, p.corte_dia_fin_2), R.r_sales
     srcs = [("SPEECH", R.r_speech, None), ("EVALUACIONES", R.r_eval, None),
-            ("VENTAS_TC", R.sales("TC"), day), ("VENTAS_PP", R.sales("PP"), day), ("VENTAS_CON", R.sales("CON"), day),
-            ("VENTAS_BNB", R.sales("BNB"), day), ("VENTAS_BNC", R.sales("BNC"), F.col("DIA").between(1, 31)),
-            ("VENTAS_EC", R.sales("EC"), F.col("DIA").between(1, 31)),
-            ("VENTAS_CHIP", R.sales("CHIP"), F.col("MESDESEMBOLSO") == p.periodo),
-            ("VENTAS_XX", R.sales("XX"), None)]
+            *((f"VENTAS_{k}", sales, (F.col("PRODUCTO") == k) & cond) for k, cond in (
+                ("TC", day), ("PP", day), ("CON", day), ("BNB", day), ("BNC", F.col("DIA").between(1, 31)),
+                ("EC", F.col("DIA").between(1, 31)), ("CHIP", F.col("MESDESEMBOLSO") == p.periodo), ("XX", F.lit(True))))]
     return audit_source_counts(srcs)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.operators.cleaning import sanitize_identifier  # noqa: F401  (re-exported for callers)
@@ -32,33 +32,36 @@ def read_report_with_preamble(spark: SparkSession, paths: str | list[str], heade
                               sep: str = ",") -> DataFrame:
     """Delimited report whose header is on line ``header_line`` of every file.
 
-    Line numbers are only needed inside each file's first split: rows read from
-    a split are in file order, so a row number over the (file, first split)
-    rows ordered by a monotonically increasing id gives the line number, and
-    every row of a later split is data. Blank header cells become
-    ``column_{i}``; short rows are padded with NULL, long rows cut, blank
-    values become NULL.
+    Line numbers are only needed inside each file's first split: a split is read
+    in file order by one task, so ids that increase within a task, less the least
+    id of the (file, first split), are line numbers; every row of a later split
+    is data. Each file has its own header: columns are the names of all headers,
+    in order of first appearance by file, and a row's cells go to the names of
+    its file. Blank header cells become ``column_{i}``; missing cells and blank
+    values become NULL, cells beyond the header are cut.
     """
     raw = spark.read.text(paths).select(
         F.col("value").alias("_L"), F.col("_metadata.file_path").alias("_F"),
         F.col("_metadata.file_block_start").alias("_B"), F.monotonically_increasing_id().alias("_ID"))
-    first = raw.where(F.col("_B") == 0).withColumn(
-        "_N", F.row_number().over(Window.partitionBy("_F").orderBy("_ID")))
-    head = first.where(F.col("_N") == header_line).orderBy("_F").select("_L").first()
-    if head is None:
+    starts = raw.where(F.col("_B") == 0).groupBy(F.col("_F").alias("_SF")).agg(F.min("_ID").alias("_FIRST"))
+    numbered = raw.join(starts, raw["_F"] == starts["_SF"], "left").drop("_SF")
+    line = F.when(F.col("_B") == 0, F.col("_ID") - F.col("_FIRST") + 1)
+    cells = F.split(F.col("_L"), re.escape(sep))
+    names = F.transform(cells, lambda x, i: F.when(F.trim(x) == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(F.trim(x)))
+    # One row per file; the driver needs the names to make columns of them.
+    found = numbered.where(line == header_line).select(F.col("_F").alias("_HF"), names.alias("_H")).orderBy("_HF").collect()
+    if not found:
         raise ValueError(f"no line {header_line} in {paths}")
-    names = []
-    for i, cell in enumerate(head[0].split(sep), start=1):
-        cell = cell.strip()
-        names.append(cell if cell else f"column_{i}")
-    data = (first.where(F.col("_N") > header_line).select("_L")
-            .unionByName(raw.where(F.col("_B") > 0).select("_L")))
-    arr = F.split(F.col("_L"), re.escape(sep))
-    cols = []
-    for i, n in enumerate(names, start=1):
-        v = F.try_element_at(arr, F.lit(i))
-        cols.append(F.when(F.trim(v) == "", F.lit(None)).otherwise(v).alias(n))
-    return data.select(*cols)
+    order = list(dict.fromkeys(n for r in found for n in r["_H"]))
+    per_file = spark.createDataFrame([(r["_HF"], r["_H"]) for r in found], "_HF string, _H array<string>")
+    data = numbered.where(F.coalesce(line > header_line, F.lit(True)))
+    data = data.join(per_file, data["_F"] == per_file["_HF"]).select(cells.alias("_C"), "_H")
+    out = []
+    for n in order:
+        at = F.array_position("_H", F.lit(n)).cast("int")
+        v = F.when(at > 0, F.try_element_at("_C", at))
+        out.append(F.when(F.trim(v) == "", F.lit(None)).otherwise(v).alias(n))
+    return data.select(*out)
 
 
 def list_feed_files(spark: SparkSession, folder: str, pattern: str) -> list[tuple[str, int]]:
