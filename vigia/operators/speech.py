@@ -76,25 +76,20 @@ def consent_dedup(leads: DataFrame, leads_digital: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- marking
 
-def sale_hits(lookups: dict[str, DataFrame], period: Period) -> DataFrame:
-    """Deduplicated product lookups folded to one row per (document, agent).
+def sale_hits(sales: DataFrame, period: Period) -> DataFrame:
+    """Deduplicated sales of all products (column PRODUCTO) folded to one row per (document, agent).
 
-    ``HITS`` holds ``struct(PRIO, PeriodType)`` entries: at most two per product
-    (half-month products) so at most 20 entries per key.
+    The rules of :func:`sale_dedup_period` and :func:`sale_dedup_month` with the product in the grouping
+    key: one scan and one aggregate for all products. ``HITS`` holds ``struct(PRIO, PeriodType)`` entries:
+    at most two per product (half-month products) so at most 20 entries per key.
     """
-    parts = []
-    for prio, (prod, halves, _prt) in enumerate(K.SALE_PRIORITY):
-        src = lookups.get(prod)
-        if src is None:
-            continue
-        d = (sale_dedup_period(src, period) if halves
-             else sale_dedup_month(src).withColumn("PeriodType", F.lit(None).cast("int")))
-        parts.append(d.select("CODDOC", "CODPROMOT", F.lit(prio).alias("PRIO"), "PeriodType"))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    return hits.groupBy("CODDOC", "CODPROMOT").agg(
-        F.collect_list(F.struct("PRIO", "PeriodType")).alias("HITS"))
+    prio = F.try_element_at(F.create_map(*[F.lit(x) for k, (prod, _h, _t) in enumerate(K.SALE_PRIORITY) for x in (prod, k)]), F.col("PRODUCTO"))
+    halves = F.col("PRODUCTO").isin(*[prod for prod, h, _t in K.SALE_PRIORITY if h])
+    in_period = F.when(halves, F.col("DIA").between(period.corte_dia_inicio_1, period.corte_dia_fin_2)).otherwise(F.col("DIA").between(1, 31))
+    d = (sales.select("CODDOC", "CODPROMOT", "DIA", prio.alias("PRIO"), F.when(halves, half_of_month(F.col("DIA"), period)).alias("PeriodType"), in_period.alias("_in"))
+              .where(F.col("PRIO").isNotNull() & F.col("_in")))
+    first = keep_first(d, ["PRIO", "CODDOC", "PeriodType"], cols=["CODPROMOT", "DIA"])
+    return first.groupBy("CODDOC", "CODPROMOT").agg(F.collect_list(F.struct("PRIO", "PeriodType")).alias("HITS"))
 
 
 def consent_by_document(consent: DataFrame) -> DataFrame:
@@ -128,7 +123,9 @@ def sale_mark_priority(speech_clean: DataFrame, hits: DataFrame, consent_doc: Da
     """
     s = speech_clean.join(hits, (speech_clean["DNI"] == hits["CODDOC"])
                           & (speech_clean["REG_EV"] == hits["CODPROMOT"]), "left").drop("CODDOC", "CODPROMOT")
-    s = s.join(consent_doc, s["DNI"] == consent_doc["NUMERO_DOCUMENTO"], "left").drop("NUMERO_DOCUMENTO")
+    # Calls without a document match nothing; keys of their own keep them from meeting in one task.
+    s = s.withColumn("_DK", F.coalesce("DNI", F.concat(F.lit("no document "), F.xxhash64("CONID", "REG_EV").cast("string"))))
+    s = s.join(consent_doc, s["_DK"] == consent_doc["NUMERO_DOCUMENTO"], "left").drop("NUMERO_DOCUMENTO", "_DK")
 
     top = F.array_min(F.transform("HITS", lambda x: x["PRIO"]))
     s = s.withColumn("_TOP", top)
@@ -180,10 +177,10 @@ def sale_mark_priority(speech_clean: DataFrame, hits: DataFrame, consent_doc: Da
                     flag_prt.alias("FLAG_PRT"), flag_lpdp.alias("FLAG_LPDP"))
 
 
-def speech_marked(speech: DataFrame, lookups: dict[str, DataFrame], leads: DataFrame,
+def speech_marked(speech: DataFrame, sales: DataFrame, leads: DataFrame,
                   leads_digital: DataFrame, period: Period) -> DataFrame:
     """Final marked calls (unmarked calls are dropped)."""
-    marked = sale_mark_priority(speech_phone_clean(speech), sale_hits(lookups, period),
+    marked = sale_mark_priority(speech_phone_clean(speech), sale_hits(sales, period),
                                 consent_by_document(consent_dedup(leads, leads_digital)))
     return marked.where(F.col("VENTA").isNotNull())
 

@@ -34,7 +34,7 @@ class QualityInputs:
     qmaster: DataFrame
     speech: DataFrame
     speech_master: DataFrame
-    sales: dict[str, DataFrame]
+    sales: DataFrame
     leads: DataFrame
     leads_digital: DataFrame
     agents: DataFrame

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.functions.core import round_doubles
-from vigia.plans.quality import SALE_PRODUCTS, QualityInputs, QualityMonth
+from vigia.plans.quality import QualityInputs, QualityMonth
 from vigia.sources.fixtures import FIXTURE_PERIOD, SPEECH_METRICS, Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +32,7 @@ def quality_month(spark: SparkSession, sf_dir: str) -> QualityMonth:
     inp = QualityInputs(
         evals=R.r_eval, syn_group=R.r_syn_group, syn_question=R.r_syn_question, syn_answer=R.r_syn_answer,
         qmaster=R.r_qmaster, speech=R.r_speech, speech_master=R.r_speech_master,
-        sales={p: R.sales(p) for p in SALE_PRODUCTS}, leads=R.r_leads, leads_digital=R.r_leads_digital,
+        sales=R.r_sales, leads=R.r_leads, leads_digital=R.r_leads_digital,
         agents=R.r_agent, history=R.r_ger_hist, metrics=SPEECH_METRICS)
     return QualityMonth(inp, FIXTURE_PERIOD)
 
@@ -109,7 +109,7 @@ def _q(spark, d):
     qm = quality_month(spark, d)
     out = None
     for p in ("TC", "PP", "CON", "BNB", "SEG"):
-        x = sale_dedup_period(qm.i.sales[p], qm.p).withColumn("PRODUCTO", F.lit(p))
+        x = sale_dedup_period(qm.i.sales.where(F.col("PRODUCTO") == p), qm.p).withColumn("PRODUCTO", F.lit(p))
         out = x if out is None else out.unionByName(x)
     return out
 
@@ -120,7 +120,7 @@ def _q(spark, d):
     qm = quality_month(spark, d)
     out = None
     for p in ("EC", "CD", "IL", "TCA", "UPG", "PA", "BNC", "CHIP", "RTC", "RCO"):
-        x = sale_dedup_month(qm.i.sales[p]).withColumn("PRODUCTO", F.lit(p))
+        x = sale_dedup_month(qm.i.sales.where(F.col("PRODUCTO") == p)).withColumn("PRODUCTO", F.lit(p))
         out = x if out is None else out.unionByName(x)
     return out
 
