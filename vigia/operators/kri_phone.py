@@ -140,33 +140,23 @@ def phone_authorisation(best: DataFrame, registry: DataFrame, leads: DataFrame,
     docs = best.select(F.col("NUM_DOCUMENTO").alias("_D")).distinct()
     gd = (registry.where(F.col("FLG_VALIDADO") == 1).join(docs, F.col("CODDOC") == docs["_D"], "left_semi")
                   .select(F.col("CODDOC").alias("_GD"), F.col("NUMTELEFONO").alias("_GT")).distinct())
-    parts = []
-    for p in PHONE_PRODUCTS:
-        if p.lead_by_phone:
-            parts.append(leads.where(F.col("TIP_CLIENTE").isin(*p.lead_types)).select(
-                F.lit(p.product).alias("_P"), F.col("NUMERO_DOCUMENTO").alias("_K"), F.col("TELEFONO").alias("_T"),
-                F.lit(1).alias("_CA"), F.lit(None).cast("int").alias("_EN"), F.lit(None).cast("int").alias("_FB")))
-        parts.append(leads.where(F.col("TIP_CLIENTE").isin(*p.enrich_types)
-                                 & _numeric_at_least(F.col("CHANGE_N"), p.enrich_min)).select(
-            F.lit(p.product).alias("_P"), F.col("NUMERO_DOCUMENTO").alias("_K"), F.col("TELEFONO").alias("_T"),
-            F.lit(None).cast("int").alias("_CA"), F.lit(1).alias("_EN"), F.lit(None).cast("int").alias("_FB")))
-        camp = campaigns.where((F.col("CAMPANA") == p.campaign) & (F.col("CODMES") == period.periodo_num))
-        for i in range(1, p.campaign_phones + 1):
-            parts.append(camp.select(
-                F.lit(p.product).alias("_P"), F.col("CODDOC").alias("_K"), F.col(f"NRO_TELEFONO{i}").alias("_T"),
-                F.lit(None).cast("int").alias("_CA"), F.lit(None).cast("int").alias("_EN"), F.lit(1).alias("_FB")))
-    lk = parts[0]
-    for x in parts[1:]:
-        lk = lk.unionByName(x)
-    lk = lk.groupBy("_P", "_K", "_T").agg(F.max("_CA").alias("_CA"), F.max("_EN").alias("_EN"),
-                                          F.max("_FB").alias("_FB"))
-    doc_only = None
-    for p in PHONE_PRODUCTS:
-        if not p.lead_by_phone:
-            x = leads.where(F.col("TIP_CLIENTE").isin(*p.lead_types)).select(
-                F.lit(p.product).alias("_DP"), F.col("NUMERO_DOCUMENTO").alias("_DK"))
-            doc_only = x if doc_only is None else doc_only.unionByName(x)
-    doc_only = doc_only.distinct().withColumn("_CAD", F.lit(1))
+    # Every lead and campaign row is read once and tagged with each (product, kind of match) it serves.
+    def tags(pairs):
+        return F.explode(F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(p).alias("p"), *more)) for p, cond, more in pairs)))).alias("_tag")
+
+    kind = lambda k: [F.lit(k).alias("k")]
+    lead_pairs = [(p.product, F.col("TIP_CLIENTE").isin(*p.lead_types), kind("CA" if p.lead_by_phone else "CAD")) for p in PHONE_PRODUCTS]
+    lead_pairs += [(p.product, F.col("TIP_CLIENTE").isin(*p.enrich_types) & _numeric_at_least(F.col("CHANGE_N"), p.enrich_min), kind("EN"))
+                   for p in PHONE_PRODUCTS]
+    tagged = leads.select(F.col("NUMERO_DOCUMENTO").alias("_K"), F.col("TELEFONO").alias("_T"), tags(lead_pairs)).select(
+        F.col("_tag.p").alias("_P"), "_K", "_T", F.col("_tag.k").alias("_KIND"))
+    phones = [(p.product, F.col("CAMPANA") == p.campaign, [F.col(f"NRO_TELEFONO{i}").alias("phone")])
+              for p in PHONE_PRODUCTS for i in range(1, p.campaign_phones + 1)]
+    called = campaigns.where(F.col("CODMES") == period.periodo_num).select(F.col("CODDOC").alias("_K"), tags(phones)).select(
+        F.col("_tag.p").alias("_P"), "_K", F.col("_tag.phone").alias("_T"), F.lit("FB").alias("_KIND"))
+    lk = tagged.where(F.col("_KIND") != "CAD").unionByName(called).groupBy("_P", "_K", "_T").agg(
+        *[F.max(F.when(F.col("_KIND") == k, 1)).alias(f"_{k}") for k in ("CA", "EN", "FB")])
+    doc_only = tagged.where(F.col("_KIND") == "CAD").select(F.col("_P").alias("_DP"), F.col("_K").alias("_DK")).distinct().withColumn("_CAD", F.lit(1))
 
     b = best.join(gd, (best["NUM_DOCUMENTO"] == gd["_GD"]) & (best["NUM_TELEFONO"] == gd["_GT"]), "left")
     b = b.join(lk, (b["PRODUCTO"] == lk["_P"]) & (b["NUM_DOCUMENTO"] == lk["_K"]) & (b["NUM_TELEFONO"] == lk["_T"]),
