@@ -126,6 +126,7 @@ def prune_scans_at_run_time(df: DataFrame) -> DataFrame:
 
     Texts are wide, so a join that keeps few documents should not shuffle the others. The filter has a
     fixed size; beyond its capacity it prunes less and results stay the same.
+    Spark does so only for a side that has a filter, so callers add one that every row meets.
     """
     conf = df.sparkSession.conf
     conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import WordHashes, lists, prune_scans_at_run_time, shingles, small_batches, stage, table
+from vigia.llm.common import WordHashes, lists, mapped, prune_scans_at_run_time, shingles, stage, table
 from vigia.llm.components import components
 
 SIZE, PERCENT = 5, 80
@@ -136,12 +136,12 @@ def _confirmed(size: int, percent: int):
 def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold; staged."""
     left, right = (sigs.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    likely = stage(pairs.join(left, "a").join(right, "b").mapInArrow(_likely, "a long, b long").distinct(), "near-likely")
+    likely = stage(mapped(pairs.join(left, "a").join(right, "b"), _likely, "a long, b long").distinct(), "near-likely")
     likely = prune_scans_at_run_time(likely).filter("a < b")
     own = docs.select("id", "t")
     wide = likely.join(own.select(F.col("id").alias("a"), F.col("t").alias("text_a")), "a")
     wide = wide.join(own.select(F.col("id").alias("b"), F.col("t").alias("text_b")), "b")
-    return stage(wide.mapInArrow(_confirmed(size, percent), "a long, b long").distinct(), "near-links")
+    return stage(mapped(wide, _confirmed(size, percent), "a long, b long").distinct(), "near-links")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -211,7 +211,7 @@ def _items(size: int):
 def _bounded(members: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
     """``members`` with n (shingles) and m (those that another candidate holds too), where m allows a link."""
     some = prune_scans_at_run_time(stage(members.select(F.col("c").alias("id")).distinct(), "near-some")).filter("id >= 0 OR id < 0")
-    items = docs.select("id", "t").join(some, "id").mapInArrow(_items(size), "id long, items array<long>")
+    items = mapped(docs.select("id", "t").join(some, "id"), _items(size), "id long, items array<long>")
     owners = items.select("id", F.explode("items").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("hi"))
     # s is signed: its cell is that of the unsigned hash.
     own = owners.filter("id = hi").groupBy("id", F.expr(f"int(pmod(s, {CELLS}))").alias("cell")).agg(F.count(F.lit(1)).cast("int").alias("u"))
@@ -226,7 +226,7 @@ def _bounded(members: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, p
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``df``."""
     docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
-    signed = stage(small_batches(docs).mapInArrow(_signed(size), "id long, n long, digest binary, cells array<int>, bands array<long>, sig array<smallint>"), "near-signed")
+    signed = stage(mapped(docs, _signed(size), "id long, n long, digest binary, cells array<int>, bands array<long>, sig array<smallint>"), "near-signed")
     full = signed.filter("n > 0 AND id IS NOT NULL")
     classes = stage(full.groupBy("n", "digest").agg(F.min("id").alias("c")), "near-classes")
     leaders = stage(full.join(classes.select(F.col("c").alias("id"), "n", "digest"), ["id", "n", "digest"], "left_semi").select("id", "n", "cells", "bands", "sig"), "near-leaders")
@@ -272,10 +272,11 @@ def op7(spark, sf_dir):
 
 def stage_near_dedup(spark, docs, sf_dir):
     """Pipeline: one document of each group of near-duplicates stays (the smallest id)."""
-    found = near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    repeated = not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    out = docs.join(kept, "doc_id", "left_semi")
-    if repeated:
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    found = stage(near_duplicates(docs), "near-found")
+    # Stored first: its size then decides, before any text moves, whether the ids that go are broadcast.
+    gone = stage(found.filter("doc_id != component_id").select("doc_id").distinct(), "near-gone")
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+        out = kept.unionByName(out.filter("doc_id IS NULL"))
+    return out

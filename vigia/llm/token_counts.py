@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import small_batches, table
+from vigia.llm.common import mapped, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 RULES = ("first", "most", "split")
@@ -125,7 +125,7 @@ def section_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", sectio
             columns = [pa.array(np.concatenate([p[j] for p in parts]), t) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.concatenate(rows))), *columns], ["id", "section", "start", "end", "n_tokens", "n_crossing_doc"])
 
-    made = small_batches(wide).mapInArrow(run, f"id {kind}, section int, start long, end long, n_tokens double, n_crossing_doc long")
+    made = mapped(wide, run, f"id {kind}, section int, start long, end long, n_tokens double, n_crossing_doc long")
     return made.withColumnRenamed("id", id)
 
 

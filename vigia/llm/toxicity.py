@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import small_batches, table
+from vigia.llm.common import mapped, table
 
 ROWS_PER_CLASS, TRAIN_CHARS, EPOCHS = 2500, 20_000, 4
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
@@ -256,7 +256,7 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
             scores = [own.score(maxima_of(own, vocabulary, words_of(t.as_py()))) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "s"])
 
-    return small_batches(inner).mapInArrow(run, schema).toDF(*df.columns, name)
+    return mapped(inner, run, schema).toDF(*df.columns, name)
 
 
 def threshold(model: Model, lang: str = "lang"):
