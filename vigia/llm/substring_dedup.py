@@ -10,7 +10,9 @@ smaller id. Its method, linear in the text:
    as small as their shard's text, and every document is streamed once through its own shard's automaton,
    which locates every occurrence.
 3. Windows whose seed was located are confirmed across documents by (seed, window) hashes of 64 bits each
-   and the smallest id that holds them; the words they cover form the spans to remove.
+   and the smallest id that holds them; the words they cover form the spans to remove. Consecutive windows
+   of one seed travel as one row to the seed's task. Seeds of more than HOT documents go another way: their
+   windows are first reduced to one row each and joined back, which Spark can split over many tasks.
 
 Only documents with a recurring phrase have their text shuffled (a run-time Bloom filter prunes the
 rest). No list is longer than the document it belongs to.
@@ -27,12 +29,14 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigia.llm.common import WordHashes, lists, prune_scans_at_run_time, run_hashes, sliding_min, small_batches, stage, table
+from vigia.llm.common import WordHashes, lists, mapped, prune_scans_at_run_time, run_hashes, sliding_min, stage, table
 
 WINDOW, SEED = 50, 20
+#: Documents that hold a seed, from which on its windows are not gathered in one task.
+HOT = 1000
 
 
 def _seeds_of_windows(words: np.ndarray, window: int, seed: int) -> np.ndarray:
@@ -71,29 +75,39 @@ def _phrases(words: list[bytes], hashes: np.ndarray, wanted: np.ndarray, seed: i
 
 
 def _located(window: int, seed: int):
-    """Per document: the windows whose seed the shard's automaton locates in it."""
+    """(id, tag, key, hot, start, wins) for each run of windows whose common seed the shard's automaton locates."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             docs, machine = [], ahocorasick.Automaton()
-            for text, found in zip(batch.column("t"), batch.column("seeds"), strict=True):
+            for text, *seeds in zip(batch.column("t"), batch.column("seeds"), batch.column("hot"), strict=True):
                 words = (text.as_py() or b"").split()
-                docs.append((b" ".join(words), w := hashes.of(words)))
-                for phrase, h in _phrases(words, w, found.values.to_numpy(zero_copy_only=False).view(np.uint64), seed).items():
+                usual, hot = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in seeds)
+                docs.append((b" ".join(words), w := hashes.of(words), hot))
+                for phrase, h in _phrases(words, w, np.concatenate([usual, hot]), seed).items():
                     machine.add_word(phrase, h)
             if len(machine):
                 machine.make_automaton()
-            tags, starts, keys, wins = [], [], [], []
-            for joined, w in docs:
+            rows, tags, keys, hots, starts, wins = [], [], [], [], [], []
+            for k, (joined, w, hot) in enumerate(docs):
                 hits = {h for _, h in machine.iter(f" {joined.decode()} ")} if len(machine) else ()
                 key = _seeds_of_windows(w, window, seed) if len(w) >= window else w[:0]
-                at = np.flatnonzero(np.isin(key, np.fromiter(hits, np.uint64, len(hits))))
-                tags.append(_tag(hashlib.sha256(joined).digest()))
-                starts.append(at)
-                keys.append(key[at].view(np.int64))
-                wins.append(run_hashes(w, window)[at].view(np.int64) if len(at) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tags, pa.int64()), lists(starts, pa.int32()), lists(keys, pa.int64()), lists(wins, pa.int64())], ["id", "tag", "start", "key", "win"])
+                found = np.isin(key, np.fromiter(hits, np.uint64, len(hits)))
+                if not found.any():
+                    continue
+                tag, win, is_hot = _tag(hashlib.sha256(joined).digest()), run_hashes(w, window).view(np.int64), np.isin(key, hot)
+                cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+                for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
+                    if found[a]:
+                        rows.append(k)
+                        tags.append(tag)
+                        keys.append(key[a].astype(np.int64))
+                        hots.append(bool(is_hot[a]))
+                        starts.append(a)
+                        wins.append(win[a:b])
+            made = [pa.array(tags, pa.int64()), pa.array(keys, pa.int64()), pa.array(hots, pa.bool_()), pa.array(starts, pa.int32()), lists(wins, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *made], ["id", "tag", "key", "hot", "start", "wins"])
 
     return run
 
@@ -117,12 +131,12 @@ def _merged(window: int):
 
 
 def _narrow(df: DataFrame, id: str, text: str) -> DataFrame:
-    return small_batches(df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("t")))
+    return df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
 
 
 def scan(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(id, n, digest, tag, seeds) per row: word count, SHA-256 of the words joined by one space, seeds."""
-    return stage(_narrow(df, id, text).mapInArrow(_scanned(window, seed), "id long, n long, digest binary, tag long, seeds array<long>"), "repeat-scan")
+    return stage(mapped(_narrow(df, id, text), _scanned(window, seed), "id long, n long, digest binary, tag long, seeds array<long>"), "repeat-scan")
 
 
 def repeated_spans(df: DataFrame, scanned: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -135,17 +149,26 @@ def repeated_spans(df: DataFrame, scanned: DataFrame, id: str = "doc_id", text:
 
     # Phrases that different texts share, then by document.
     held = long.join(first.select(F.col("first").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", F.explode("seeds").alias("seed"))
-    recurring = held.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("seed")
-    wanted = stage(held.join(recurring, "seed").groupBy("id").agg(F.collect_set("seed").alias("seeds")), "repeat-seeds")
-    docs = _narrow(df, id, text).join(prune_scans_at_run_time(wanted).filter(F.size("seeds") > 0), "id")
-    located = docs.mapInArrow(_located(window, seed), "id long, tag long, start array<int>, key array<long>, win array<long>")
-    located = stage(located.filter(F.size("start") > 0), "repeat-located")
-
-    windows = located.select("id", "tag", F.explode(F.arrays_zip("start", "key", "win")).alias("w")).select("id", "tag", "w.start", "w.key", "w.win")
-    owners = windows.groupBy("key", "win").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "win", "lo")
-    later = windows.join(owners, ["key", "win"]).filter("id > lo")
+    held = stage(held, "repeat-held")
+    recurring = held.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    recurring = prune_scans_at_run_time(stage(recurring.select("seed", (F.col("n") > HOT).alias("is_hot"), "n"), "repeat-seeds")).filter("n > 1").drop("n")
+    by_heat = [F.collect_set(F.when(F.col("is_hot") == hot, F.col("seed"))).alias(name) for hot, name in ((False, "seeds"), (True, "hot"))]
+    wanted = stage(held.join(recurring, "seed").groupBy("id").agg(*by_heat), "repeat-wanted")
+    docs = _narrow(df, id, text).join(prune_scans_at_run_time(wanted).filter(F.size("seeds") + F.size("hot") > 0), "id")
+    located = mapped(docs, _located(window, seed), "id long, tag long, key long, hot boolean, start int, wins array<long>")
+    located = stage(located, "repeat-located")
+
+    def windows(runs: DataFrame) -> DataFrame:
+        return runs.select("id", "tag", "key", "start", F.posexplode("wins").alias("pos", "win")).select("id", "tag", "key", "win", (F.col("start") + F.col("pos")).alias("start"))
+
+    # A seed's runs meet in one task, whose partitioning also serves its windows: one exchange of compact rows.
+    usual = windows(located.filter("NOT hot").drop("hot").repartition("key"))
+    usual = usual.withColumn("lo", F.min("id").over(Window.partitionBy("key", "win"))).filter("id > lo")
+    heated = windows(located.filter("hot"))
+    owners = heated.groupBy("key", "win").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "win", "lo")
+    later = usual.unionByName(heated.join(owners, ["key", "win"]).filter("id > lo"))
     later = later.groupBy("id", "tag").agg(F.collect_list("start").alias("starts"))
-    spans = later.mapInArrow(_merged(window), "id long, tag long, spans array<struct<start:int,end:int>>")
+    spans = mapped(later, _merged(window), "id long, tag long, spans array<struct<start:int,end:int>>")
     return stage(spans.join(copies, ["id", "tag"], "left_anti").unionByName(copies), "repeat-spans")
 
 
@@ -189,12 +212,15 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window
 
     ``n_gone`` (words taken out) is added as the last column; a text that loses all words becomes empty.
     """
-    spans = _by_id(repeated_spans(df, scan(df, id, text, window, seed), id, text, window, seed))
+    spans = stage(_by_id(repeated_spans(df, scan(df, id, text, window, seed), id, text, window, seed)), "repeat-by-id")
     names = {c: f"_{k}" for k, c in enumerate(df.columns) if c != text}
     wide = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(text).cast("binary").alias("t"), F.col(id).cast("long").alias("join_id"))
-    wide = small_batches(wide).join(spans, F.col("join_id") == F.col("span_id"), "left").drop("join_id", "span_id")
     schema = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for c, n in names.items()) + "t binary, n_gone long, tag long"
-    out = wide.mapInArrow(_shortened(True), schema)
+    # Only texts that lose words meet their spans; the others are told by the stored ids alone.
+    some = prune_scans_at_run_time(spans).filter(F.size("found") > 0)
+    touched = mapped(wide.join(some, F.col("join_id") == F.col("span_id")).drop("join_id", "span_id"), _shortened(True), schema).drop("tag")
+    others = wide.join(spans.select("span_id"), F.col("join_id") == F.col("span_id"), "left_anti").drop("join_id").withColumn("n_gone", F.lit(0).cast("long"))
+    out = touched.unionByName(others)
     return out.select(*((F.col("t").cast("string") if c == text else F.col(names[c])).alias(c) for c in df.columns), "n_gone")
 
 
@@ -204,9 +230,10 @@ def op6(spark, sf_dir):
     spans = repeated_spans(docs, scanned)
     at = scanned.join(spans, ["id", "tag"], "left").withColumn("n_removed", F.coalesce(removed(F.col("spans")), F.lit(0).cast("long")))
     # Texts are read again only where some words go and some stay.
-    part = stage(at.filter("n_removed > 0 AND n_removed < n").select("id", "tag", "spans").distinct(), "repeat-part")
-    wide = _narrow(docs, "doc_id", "text").join(prune_scans_at_run_time(_by_id(part)).filter(F.size("found") > 0), F.col("id") == F.col("span_id")).drop("span_id")
-    kept = wide.mapInArrow(_shortened(False), "id long, t binary, n_gone long, tag long").select("id", "tag", F.sha2("t", 256).alias("sha")).distinct()
+    part = stage(_by_id(at.filter("n_removed > 0 AND n_removed < n").select("id", "tag", "spans").distinct()), "repeat-part")
+    part = prune_scans_at_run_time(part).filter(F.size("found") > 0).hint("merge")
+    wide = _narrow(docs, "doc_id", "text").join(part, F.col("id") == F.col("span_id")).drop("span_id")
+    kept = mapped(wide, _shortened(False), "id long, t binary, n_gone long, tag long").select("id", "tag", F.sha2("t", 256).alias("sha")).distinct()
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     sha = F.when(F.col("n_removed") == 0, F.lower(F.hex("digest"))).when(F.col("n_removed") == F.col("n"), nothing).otherwise(F.col("sha"))
     return at.join(kept, ["id", "tag"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), "n_removed", sha.alias("kept_sha256"))
