@@ -17,6 +17,7 @@ ties are ordered by text; a table's only row is next to itself; extra columns ar
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigia.llm.common import WordHashes, mix, run_hashes, small_batches, stage, table
+from vigia.llm.common import WordHashes, mapped, mix, run_hashes, stage, table
 
 SIZE, BINS, BITS = 5, 512, 4
 _CHANCE = 2.0**-BITS
@@ -32,6 +33,13 @@ _SHIFT = np.uint64(64 - (BINS.bit_length() - 1))
 _FLOORS = np.arange(BINS, dtype=np.uint64) << _SHIFT
 
 
+@lru_cache(maxsize=256)
+def _tries(block: int) -> np.ndarray:
+    """The bins that each bin asks in 16 attempts, as a hash of bin and attempt."""
+    attempts = np.arange(16 * block + 1, 16 * block + 17, dtype=np.uint64)[:, None]
+    return (mix(np.arange(BINS, dtype=np.uint64) + attempts * np.uint64(BINS)) >> _SHIFT).astype(np.int64)
+
+
 def fingerprint(text: str, hashes: WordHashes, size: int = SIZE) -> np.ndarray:
     """BINS values of BITS bits (an empty array for a text without words)."""
     words = hashes.of(text.encode("utf-8", "surrogatepass").lower().split())
@@ -41,13 +49,13 @@ def fingerprint(text: str, hashes: WordHashes, size: int = SIZE) -> np.ndarray:
     at = np.searchsorted(items, _FLOORS)
     least = items[np.minimum(at, len(items) - 1)]
     filled = (at < len(items)) & ((least >> _SHIFT) == np.arange(BINS, dtype=np.uint64))
-    source = np.arange(BINS)
-    empty, attempt = np.flatnonzero(~filled), 1
+    source, empty, block = np.arange(BINS), np.flatnonzero(~filled), 0
     while len(empty):
-        tried = (mix(empty.astype(np.uint64) + np.uint64(attempt * BINS)) >> _SHIFT).astype(np.int64)
+        tried = _tries(block)[:, empty]
         hit = filled[tried]
-        source[empty[hit]] = tried[hit]
-        empty, attempt = empty[~hit], attempt + 1
+        first, found = hit.argmax(0), hit.any(0)
+        source[empty[found]] = tried[first[found], np.flatnonzero(found)]
+        empty, block = empty[~found], block + 1
     return (least[source] & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
@@ -134,8 +142,9 @@ def with_next_edited(df: DataFrame, id: str = "doc_id", text: str = "text", size
     """Fingerprints of each text and of its text edited with the next one by descending id."""
     wide = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
     order = [F.col("id").desc_nulls_last(), F.col("t").asc_nulls_first()]
-    ranged = small_batches(wide).repartitionByRange(*order).sortWithinPartitions(*order)
-    made = stage(ranged.mapInArrow(_streamed(size), _ddl(_OUT + _EDGES)), "prints")
+    # Ranges of ids alone: equal ids share a range, and Spark's sample of the keys holds no texts.
+    ranged = wide.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    made = stage(mapped(ranged, _streamed(size), _ddl(_OUT + _EDGES)), "prints")
 
     # One first and one last row a partition: their order is one small table.
     edges = made.filter("head OR tail").select("part", "head", "tail", "fingerprint", "t")
@@ -144,7 +153,7 @@ def with_next_edited(df: DataFrame, id: str = "doc_id", text: str = "text", size
     nexts = edges.select("part").distinct().select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(around)).alias("next_part"))
     heads = edges.filter("head").select(F.col("part").alias("next_part"), F.col("t").alias("next_text"), F.col("fingerprint").alias("next_print"))
     tails = made.filter("tail").join(nexts, "part").join(heads, "next_part")
-    last = tails.select("id", "t", "fingerprint", "next_text", "next_print").mapInArrow(_completed(size), _ddl(_OUT))
+    last = mapped(tails.select("id", "t", "fingerprint", "next_text", "next_print"), _completed(size), _ddl(_OUT))
     names = [n for n, _ in _OUT]
     return made.filter("NOT tail").select(*names).unionByName(last).withColumnRenamed("id", id)
 
