@@ -54,6 +54,17 @@ def test_group_around_a_base_and_common_passage(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == linked_components(rows, 5)
 
 
+def test_bounds_are_of_one_text_where_an_id_has_several(spark):
+    """One text of id 94 is a near copy of document 5, the other a long unlike one: the link stays."""
+    base = prose(40, 300)
+    rows = [(5, base), (94, edited(base, 41, 0.01)), (94, prose(42, 330)), (6, prose(43, 280))]
+    # The unlike text is itself a candidate, and the pair's ids stand in both orders.
+    rows += [(95, edited(prose(42, 330), 44, 0.01)), (200, prose(45, 300)), (150, edited(prose(45, 300), 46, 0.01)), (150, prose(47, 400)), (150, prose(48, 20))]
+    want = linked_components(rows, 5)
+    assert want[94] == want[95] == 5 and want[200] == 150
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, rows)).collect()} == want
+
+
 def test_banding_and_verification_bounds():
     assert near_dedup.missed(0.8) < 1e-5
     need = near_dedup.least_matches(0.8)

@@ -3,10 +3,10 @@
 1. Documents with equal shingle sets form a class, led by its smallest id; only leaders go on.
 2. Leaders are banded: BANDS keys of ROWS minima each; at similarity 0.8 a pair shares no key with
    probability under 1e-5 (``missed``).
-3. Of each candidate document, the shingles that no other candidate holds are counted; the others bound
-   its overlap with any text, in total and within each of CELLS parts of the hash range. A document with
-   too many of its own leaves, and a pair whose bounds and sizes exclude the threshold is not made. Both
-   tests are exact.
+3. Of each candidate text, the shingles that no other candidate text holds are counted, also where one id
+   has several texts; the others bound its overlap with any text, in total and within each of CELLS parts
+   of the hash range. A text with too many of its own leaves, and a pair whose bounds and sizes exclude the
+   threshold is not made. Both tests are exact.
    Then each row of a bucket is paired with one hub, the member with most partners; links form
    components, and rows of one component need no further comparison. Another hub follows while that
    halves the open pairs. The pairs between components that the bounds still allow are compared
@@ -202,25 +202,30 @@ def _items(size: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(hashes.of(word_list(t.as_py())), size).view(np.int64) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists(sets, pa.int64())], ["id", "items"])
+            sets = [shingles(hashes.of(word_list(t.as_py())), size) for t in batch.column("t")]
+            digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([digests, lists([x.view(np.int64) for x in sets], pa.int64())], ["digest", "items"])
 
     return run
 
 
 def _bounded(members: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
-    """``members`` with n (shingles) and m (those that another candidate holds too), where m allows a link."""
-    some = prune_scans_at_run_time(stage(members.select(F.col("c").alias("id")).distinct(), "near-some")).filter("id >= 0 OR id < 0")
-    items = mapped(docs.select("id", "t").join(some, "id"), _items(size), "id long, items array<long>")
-    owners = items.select("id", F.explode("items").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("hi"))
+    """``members`` with n (shingles) and m (those that another candidate text holds too), where m allows a link.
+
+    All counts are of one text (d, from the digest of its shingles), never of all texts of an id.
+    """
+    some = stage(members.select("c", "d").distinct(), "near-some")
+    known = prune_scans_at_run_time(some.select(F.col("c").alias("id"))).filter("id >= 0 OR id < 0")
+    items = mapped(docs.select("id", "t").join(known, "id", "left_semi"), _items(size), "digest binary, items array<long>").select(F.xxhash64("digest").alias("d"), "items")
+    owners = items.select("d", F.explode("items").alias("s")).groupBy("s").agg(F.min("d").alias("d"), F.max("d").alias("hi"))
     # s is signed: its cell is that of the unsigned hash.
-    own = owners.filter("id = hi").groupBy("id", F.expr(f"int(pmod(s, {CELLS}))").alias("cell")).agg(F.count(F.lit(1)).cast("int").alias("u"))
-    own = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "u"))).alias("own"))
+    own = owners.filter("d = hi").groupBy("d", F.expr(f"int(pmod(s, {CELLS}))").alias("cell")).agg(F.count(F.lit(1)).cast("int").alias("u"))
+    own = own.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("cell", "u"))).alias("own"))
     shared = F.transform("cells", lambda v, k: v - F.coalesce(F.col("own")[k], F.lit(0)))
-    bound = some.join(sizes, "id").join(own, "id", "left").withColumn("cells", F.when(F.col("own").isNull(), F.col("cells")).otherwise(shared))
+    bound = some.select("d").join(sizes, "d").join(own, "d", "left").withColumn("cells", F.when(F.col("own").isNull(), F.col("cells")).otherwise(shared))
     bound = bound.withColumn("m", F.aggregate("cells", F.lit(0).cast("long"), lambda t, v: t + v))
-    bound = bound.filter(100 * F.col("m") >= percent * F.col("n")).select(F.col("id").alias("c"), "n", "m", "cells")
-    return stage(members.join(bound, "c"), "near-bounded")
+    bound = bound.filter(100 * F.col("m") >= percent * F.col("n")).select("d", "n", "m", "cells")
+    return stage(members.join(bound, "d").drop("d"), "near-bounded")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -229,14 +234,14 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", size:
     signed = stage(mapped(docs, _signed(size), "id long, n long, digest binary, cells array<int>, bands array<long>, sig array<smallint>"), "near-signed")
     full = signed.filter("n > 0 AND id IS NOT NULL")
     classes = stage(full.groupBy("n", "digest").agg(F.min("id").alias("c")), "near-classes")
-    leaders = stage(full.join(classes.select(F.col("c").alias("id"), "n", "digest"), ["id", "n", "digest"], "left_semi").select("id", "n", "cells", "bands", "sig"), "near-leaders")
+    leaders = stage(full.join(classes.select(F.col("c").alias("id"), "n", "digest"), ["id", "n", "digest"], "left_semi").select("id", F.xxhash64("digest").alias("d"), "n", "cells", "bands", "sig"), "near-leaders")
     sigs = leaders.select("id", "sig")
-    rows = leaders.select(F.col("id").alias("c"), F.explode("bands").alias("bucket"))
+    rows = leaders.select(F.col("id").alias("c"), "d", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    members = stage(rows.join(shared, "bucket", "left_semi").select("bucket", "c").distinct(), "near-members")
+    members = stage(rows.join(shared, "bucket", "left_semi").select("bucket", "c", "d").distinct(), "near-members")
 
     known = docs.filter("id IS NOT NULL")
-    members = _bounded(members, known, leaders.select("id", "n", "cells"), size, percent)
+    members = _bounded(members, known, leaders.select("d", "n", "cells"), size, percent)
     links, labels, tested, turn, before = None, None, None, 0, float("inf")
     while True:
         live = stage(_open(_labelled(members, labels)), "near-open")
