@@ -52,6 +52,27 @@ def test_toxicity_learns_and_generalises(spark):
     assert {r["doc_id"]: r["s"] for r in again} == {r["doc_id"]: r["score"] for r in scored}
 
 
+def test_thresholds_cover_a_rare_language_and_long_texts(spark):
+    """All labels that were not fitted calibrate, so a language far too rare for the sample has its cut."""
+    rows = [(d, t, "fi" if d % 12 == 0 else "is" if d % 300 == 1 else g, y) for d, t, g, y in toxic_rows(2400)]
+    rows = [(d, t + " " + prose(d, 300) if g == "fi" else t, g, y) for d, t, g, y in rows]
+    docs = spark.createDataFrame([(d, t, g) for d, t, g, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, y) for d, _, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, rows=120, chars=1000)  # no text of "fi" is short enough for the sample
+    assert set(model.thresholds) == {"en", "fr", "fi"}
+    got = toxicity.score(docs, model).filter("lang = 'fi'").withColumn("held", toxicity.held_out()).filter("NOT held").collect()
+    truth = {d: y for d, _, _, y in rows}
+    assert min(sum(truth[r["doc_id"]] == k for r in got) for k in (0, 1)) >= toxicity.LEAST_FOR_LANGUAGE
+
+    def f1(cut):
+        hits = sum(truth[r["doc_id"]] for r in got if r["score"] >= cut)
+        return 2 * hits / max(1, sum(r["score"] >= cut for r in got) + sum(truth[r["doc_id"]] for r in got))
+
+    assert f1(model.thresholds["fi"]) >= f1(toxicity.GLOBAL_THRESHOLD)
+    again = toxicity.train(docs, labels, rows=120, chars=1000)
+    assert again.thresholds == pytest.approx(model.thresholds)
+
+
 def test_toxicity_edges(spark):
     rows = corpus()
     one_class = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")

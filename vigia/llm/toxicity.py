@@ -4,16 +4,21 @@ A word's embedding is the sum of the hashed rows of the word, its first three to
 last four, so unseen forms of a known stem have a meaning. Filters of one to three words run over the
 whole text; each keeps its maximum, and a logistic unit turns the maxima into a score. Embeddings start
 from the smoothed log-odds of their rows among training documents and are fitted with the filters by
-Adagrad. A part of the sample, not fitted, calibrates the score (so that 0.3 is a sensible global cut)
-and one threshold per language.
+Adagrad. All labelled documents that were neither fitted nor held out calibrate the score (so that 0.3 is
+a sensible global cut) and one threshold per language: they are scored in Spark, whole and at any length,
+and counted by score bin, label and language; the driver gets these counts.
 
-The training sample is bounded: at most ROWS_PER_CLASS labelled documents of each class, the least by a
-hash of the id, none over TRAIN_CHARS characters. Scoring reads whole texts of all documents; the model
-has a fixed size and is broadcast. Labels, language, source and id are never inputs of a score; the
+Only the fit has a bounded sample: at most ROWS_PER_CLASS labelled documents of each class, the least by a
+hash of the id, none over TRAIN_CHARS characters, a CALIBRATION_SHARE of which is not fitted. Scoring reads
+whole texts of all documents; the model has a fixed size and is broadcast.
+
+A language needs LEAST_FOR_LANGUAGE calibrating documents of each class, else it has the global threshold.
+While a class has no more labels than the sample takes, those documents are a CALIBRATION_SHARE of them. Labels, language, source and id are never inputs of a score; the
 language only chooses the threshold.
 
 Defined results: null and empty texts get the score of no words; labels that are null, held out or
-without a document are not learned from; without labels of both classes every score is 0; a null or
+without a document are not learned from; without labels of both classes every score is 0; where the
+documents not fitted lack a class, the fitted ones calibrate; a null or
 unseen language has the global threshold; repeated rows score alike; extra columns stay.
 """
 
@@ -29,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import mapped, table
+from vigia.llm.common import mapped, stage, table
 
 ROWS_PER_CLASS, TRAIN_CHARS, EPOCHS = 2500, 20_000, 4
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 GLOBAL_THRESHOLD, CALIBRATION_SHARE, LEAST_FOR_LANGUAGE = 0.3, 0.2, 15
+#: Bins a unit of the score's logit, and the logit's limits: at most so many counts a language.
+BINS, LIMIT = 16, 30
 _WORDS = re.compile(r"\w+").findall
 _BLOCKS = sum(WIDTHS)
 _GRAMS = 5
@@ -60,6 +67,7 @@ class Model:
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
     empty: bool = False
+    fitted: list[int] = field(default_factory=list)  # places in the sample
 
     def responses(self, x: np.ndarray) -> list[np.ndarray]:
         """For each width, positions x FILTERS. ``x`` ends in three rows of zeros, so each width has a position."""
@@ -73,9 +81,14 @@ class Model:
             block += width
         return out
 
+    def logit(self, maxima: np.ndarray) -> float:
+        return float(np.maximum(maxima + self.bias, 0) @ self.out) + float(self.offset)
+
+    def chance(self, logit: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -LIMIT, LIMIT))))
+
     def score(self, maxima: np.ndarray) -> float:
-        logit = float(np.maximum(maxima + self.bias, 0) @ self.out) + self.offset
-        return 0.0 if self.empty else float(1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30))))
+        return 0.0 if self.empty else self.chance(self.logit(maxima))
 
 
 class Vocabulary(dict):
@@ -145,6 +158,7 @@ def fit(texts: list[str], labels: list[int], languages: list[str | None], weight
     if not all(0 < y[part].sum() < part.sum() for part in (held, ~held)):
         held[:] = False
     train = np.flatnonzero(~held)
+    model.fitted = train.tolist()
     model.table[:, 0] = _log_odds([rows[k] for k in train], y[train]) / _GRAMS
     model.filters[0, ::FILTERS] = 1 / np.repeat(WIDTHS, WIDTHS)  # one filter of each width reads the log-odds
     model.bias[::FILTERS], model.out[:] = -1.0, 0.1
@@ -197,30 +211,73 @@ def fit(texts: list[str], labels: list[int], languages: list[str | None], weight
 
 
 def _calibrate(model: Model, texts: list[str], y: np.ndarray, languages: list[str | None], weights: tuple[float, float]) -> None:
-    """Platt scaling with the classes' natural weights, then the best cut of each language."""
+    """Scale and thresholds from a sample in the driver: what holds where no other labels are known."""
     vocabulary = Vocabulary(model)
-    raw = np.array([np.maximum(maxima_of(model, vocabulary, words_of(t)) + model.bias, 0) @ model.out + model.offset for t in texts])
-    w = np.where(y > 0, weights[1], weights[0])
-    goal = np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, b = 1.0, 0.0
+    raw = np.array([model.logit(maxima_of(model, vocabulary, words_of(t))) for t in texts])
+    y = y.astype(np.float64)
+    _scale(model, raw, 1 - y, y, weights)
+    for language in {x for x in languages if x}:
+        own = np.array([x == language for x in languages])
+        _cut(model, language, raw[own], 1 - y[own], y[own], weights)
+
+
+def _scale(model: Model, raw: np.ndarray, clean: np.ndarray, toxic: np.ndarray, weights: tuple[float, float]) -> None:
+    """Platt scaling with the classes' natural weights, from how many rows of each class have a logit."""
+    goals = 1 / (clean.sum() + 2), 1 - 1 / (toxic.sum() + 2)
+    w, goal = np.concatenate([weights[0] * clean, weights[1] * toxic]), np.repeat(goals, len(raw))
+    raw, a, b = np.tile(raw, 2), 1.0, 0.0
     for _ in range(50):  # Newton steps, slightly damped
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -LIMIT, LIMIT)))
         g = np.array([(w * (p - goal) * raw).sum(), (w * (p - goal)).sum()])
         q = w * p * (1 - p)
         hess = np.array([[(q * raw * raw).sum(), (q * raw).sum()], [(q * raw).sum(), q.sum()]]) + np.eye(2) * 1e-3 * w.sum()
         move = np.linalg.solve(hess, g)
         a, b = a - move[0], b - move[1]
-    model.scale, model.shift = max(a, 1e-3), b
-    p = 1 / (1 + np.exp(-np.clip(model.scale * raw + model.shift, -30, 30)))
-    for language in {x for x in languages if x}:
-        own = np.array([x == language for x in languages])
-        if min((y[own] > 0).sum(), (y[own] == 0).sum()) < LEAST_FOR_LANGUAGE:
-            continue
-        # The F1 of each cut; among equal ones the cut nearest to the global threshold.
-        cuts = [*np.unique(p[own]), GLOBAL_THRESHOLD]
-        f1 = [2 * (w * y)[own & (p >= c)].sum() / max(1e-9, w[own & (p >= c)].sum() + (w * y)[own].sum()) for c in cuts]
-        best = max(f1)
-        model.thresholds[language] = float(min((c for c, f in zip(cuts, f1, strict=True) if f > best - 1e-9), key=lambda c: abs(c - GLOBAL_THRESHOLD)))
+    model.scale, model.shift = float(max(a, 1e-3)), float(b)
+
+
+def _cut(model: Model, language: str, low: np.ndarray, clean: np.ndarray, toxic: np.ndarray, weights: tuple[float, float]) -> None:
+    """The best cut of a language with enough rows, from the rows of each class in bins with these least logits."""
+    if min(toxic.sum(), clean.sum()) < LEAST_FOR_LANGUAGE:
+        return
+    p, bad, all_ = np.array([model.chance(x) for x in low]), weights[1] * toxic, weights[0] * clean + weights[1] * toxic
+    # The F1 of each cut; among equal ones the cut nearest to the global threshold.
+    cuts = [*np.unique(p), GLOBAL_THRESHOLD]
+    f1 = [2 * bad[p >= c].sum() / max(1e-9, all_[p >= c].sum() + bad.sum()) for c in cuts]
+    best = max(f1)
+    model.thresholds[language] = float(min((c for c, f in zip(cuts, f1, strict=True) if f > best - 1e-9), key=lambda c: abs(c - GLOBAL_THRESHOLD)))
+
+
+def _calibrate_on(model: Model, texts: DataFrame, usable: DataFrame, counts: dict[int, int]) -> None:
+    """Scale and thresholds from all texts (label_id, t, g) with a label in ``usable`` (label_id, y)."""
+    # Logits, not texts, meet the labels: no text is shuffled.
+    raw = score(texts, model, text="t", name="raw", raw=True).select("label_id", "g", "raw")
+    known = stage(raw.join(usable, "label_id").select("g", "y", "raw"), "toxic-raw")
+
+    def cells(*keys):
+        toxic = F.sum(F.col("y").cast("long"))
+        return known.groupBy(*keys).agg(F.min("raw").alias("low"), F.avg("raw").alias("mean"), (F.count(F.lit(1)) - toxic).alias("clean"), toxic.alias("toxic"))
+
+    def arrays(got, *names):
+        return [np.array([r[k] for r in got], np.float64) for k in names]
+
+    # Sixteen times finer than the bins of the cuts, as the scale isn't known yet.
+    total = cells(F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("raw"))) * BINS * 16).alias("bin")).collect()
+    mean, clean, toxic = arrays(total, "mean", "clean", "toxic")
+    if not (clean.sum() and toxic.sum()):
+        return
+    weights = counts[0] / clean.sum(), counts[1] / toxic.sum()
+    _scale(model, mean, clean, toxic, weights)
+    model.thresholds = {}
+    enough = cells("g").filter((F.col("clean") >= LEAST_FOR_LANGUAGE) & (F.col("toxic") >= LEAST_FOR_LANGUAGE) & (F.col("g") != "")).select("g")
+    z = F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("raw") * model.scale + model.shift))
+    # The global threshold is a bin's edge too.
+    split = (z >= float(np.log(GLOBAL_THRESHOLD / (1 - GLOBAL_THRESHOLD)))).alias("over")
+    languages: dict[str, list] = {}
+    for r in cells("g", F.floor(z * BINS).alias("bin"), split).join(enough, "g", "left_semi").collect():
+        languages.setdefault(r["g"], []).append(r)
+    for language, got in languages.items():
+        _cut(model, language, *arrays(got, "low", "clean", "toxic"), weights)
 
 
 def held_out(id: str = "doc_id"):
@@ -228,22 +285,27 @@ def held_out(id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", rows: int = ROWS_PER_CLASS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on the bounded sample of ``labels`` (id, label) that is not held out."""
+    """Fit on a bounded sample of ``labels`` (id, label) that is not held out, calibrate on all the others."""
     usable = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull() & ~held_out(id)).groupBy(F.col(id).alias("label_id")).agg(F.max(label).alias("y"))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("label_id", F.lit(11)), F.col("label_id")]
     chosen = usable.filter("y = 0").orderBy(*order).limit(rows).unionByName(usable.filter("y = 1").orderBy(*order).limit(rows))
     # At most 2 * rows ids: the broadcast has a fixed bound.
-    sample = docs.select(F.col(id).alias("label_id"), F.col(text).alias("t"), F.col(lang).alias("g")).filter(F.coalesce(F.length("t"), F.lit(0)) <= chars)
+    texts = docs.select(F.col(id).alias("label_id"), F.col(text).alias("t"), F.col(lang).alias("g"))
+    sample = texts.filter(F.coalesce(F.length("t"), F.lit(0)) <= chars)
     sample = sample.join(F.broadcast(chosen), "label_id").orderBy("label_id", "t").toArrow().to_pylist()
     sample = list({r["label_id"]: r for r in sample}.values())
     n = [sum(r["y"] == k for r in sample) for k in (0, 1)]
     weights = tuple(counts.get(k, 0) / max(1, n[k]) for k in (0, 1))
-    return fit([r["t"] for r in sample], [r["y"] for r in sample], [r["g"] for r in sample], weights)
+    model = fit([r["t"] for r in sample], [r["y"] for r in sample], [r["g"] for r in sample], weights)
+    if not model.empty:
+        fitted = docs.sparkSession.createDataFrame([(sample[k]["label_id"],) for k in model.fitted], texts.select("label_id").schema)
+        _calibrate_on(model, texts.filter(~held_out("label_id")), usable.join(F.broadcast(fitted), "label_id", "left_anti"), counts)
+    return model
 
 
-def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``df`` with the toxicity score of each whole text as its last column."""
+def score(df: DataFrame, model: Model, text: str = "text", name: str = "score", raw: bool = False) -> DataFrame:
+    """``df`` with the toxicity score (or the logit before scaling) of each whole text as its last column."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
     inner = df.toDF(*(f"_{k}" for k in range(len(df.columns))))
@@ -251,9 +313,9 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]):
         own = shipped.value
-        vocabulary = Vocabulary(own)
+        vocabulary, of = Vocabulary(own), own.logit if raw else own.score
         for batch in batches:
-            scores = [own.score(maxima_of(own, vocabulary, words_of(t.as_py()))) for t in batch.column(at)]
+            scores = [of(maxima_of(own, vocabulary, words_of(t.as_py()))) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "s"])
 
     return mapped(inner, run, schema).toDF(*df.columns, name)
