@@ -21,9 +21,13 @@ MARTS = {"TC": "s_tc", "PP": "s_pp", "CD": "s_cd", "EC": "s_ec", "CON": "s_con",
          "TCA": "(SELECT CODDOC, CODPROMOT, MONTO_APROB, FECDESEMB, DIA FROM r_sales WHERE PRODUCTO = 'TCA')"}
 
 
+def _talk(micros: str) -> str:
+    """Seconds from a sum of whole microseconds, which no order of the rows can change."""
+    return f"CAST(sum(CAST({micros} AS BIGINT)) AS DOUBLE) / 1000000"
+
+
 def _secs(s: str, e: str) -> str:
-    return (f"((hour({e}) - hour({s})) * 3600 + (minute({e}) - minute({s})) * 60 "
-            f"+ (microsecond({e}) / 1000000.0 - microsecond({s}) / 1000000.0))")
+    return _talk(f"((hour({e}) - hour({s})) * 3600 + (minute({e}) - minute({s})) * 60) * 1000000 + microsecond({e}) - microsecond({s})")
 
 
 STAGES: dict[str, str] = dict(_k.STAGES)
@@ -35,20 +39,20 @@ for prod, ca_types, ca_phone, enr_types, enr_min, camp, nph, rule in PRODUCTS:
     S = f"ph_{x}_sales"
     STAGES[f"ph_{x}_talk"] = f"""
 SELECT 1 AS SRC, A.NUM_DOCUMENTO, A.REG_EJECUTIVO, A.TELEFONO AS NUM_TELEFONO,
-       sum(CAST(A.DURACION_LLAMADA AS DOUBLE)) AS TIEMPO
+       {_talk('round(CAST(A.DURACION_LLAMADA AS DECIMAL(20,6)) * 1000000)')} AS TIEMPO
 FROM k_traffic A, {S} B WHERE A.NUM_DOCUMENTO = B.CODDOC AND A.REG_EJECUTIVO = B.CODPROMOT GROUP BY 2, 3, 4
 UNION ALL
-SELECT 2, A.DNI, A.USERNAME, A.ANI, sum({_secs('A.sessionstarttime', 'A.sessionendtime')})
+SELECT 2, A.DNI, A.USERNAME, A.ANI, {_secs('A.sessionstarttime', 'A.sessionendtime')}
 FROM k_reg2 A, {S} B WHERE A.ANI IS NOT NULL AND A.DNI = B.CODDOC AND A.USERNAME = B.CODPROMOT GROUP BY 2, 3, 4
 UNION ALL
-SELECT 3, A.DNI, A.USERNAME, A.DNIS, sum({_secs('A.sessionstarttime', 'A.sessionendtime')})
+SELECT 3, A.DNI, A.USERNAME, A.DNIS, {_secs('A.sessionstarttime', 'A.sessionendtime')}
 FROM k_reg2 A, {S} B WHERE A.DNIS IS NOT NULL AND A.DNI = B.CODDOC AND A.USERNAME = B.CODPROMOT GROUP BY 2, 3, 4
 UNION ALL
-SELECT 4, A.DNI, A.REG_EJECUTIVO, A.TELF_ANI, sum({_secs('A.sessionstarttime', 'A.sessionendtime')})
+SELECT 4, A.DNI, A.REG_EJECUTIVO, A.TELF_ANI, {_secs('A.sessionstarttime', 'A.sessionendtime')}
 FROM r_traffic_derived A, {S} B WHERE A.DNI = B.CODDOC AND A.REG_EJECUTIVO = B.CODPROMOT
   AND A.TELF_ANI IS NOT NULL AND A.TELF_ANI NOT IN ('localhost') AND A.TELF_ANI NOT LIKE '%.%' GROUP BY 2, 3, 4
 UNION ALL
-SELECT 5, A.DNI, A.REG_EJECUTIVO, A.TELF_DNIS, sum({_secs('A.sessionstarttime', 'A.sessionendtime')})
+SELECT 5, A.DNI, A.REG_EJECUTIVO, A.TELF_DNIS, {_secs('A.sessionstarttime', 'A.sessionendtime')}
 FROM r_traffic_derived A, {S} B WHERE A.DNI = B.CODDOC AND A.REG_EJECUTIVO = B.CODPROMOT
   AND A.TELF_DNIS IS NOT NULL AND A.DNI IS NOT NULL AND A.TELF_DNIS NOT IN ('localhost')
   AND A.TELF_DNIS NOT LIKE '%.%' AND A.TELF_DNIS NOT LIKE '%11311%' AND A.REG_EJECUTIVO NOT LIKE '%TLV_%'

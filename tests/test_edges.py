@@ -216,3 +216,39 @@ def test_each_report_keeps_its_own_header(spark, tmp_path):
     df = read_report_with_preamble(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], header_line=3)
     assert df.columns == ["x", "y", "column_3", "z"]
     assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, [("1", "2", "3", None), ("4", None, None, None), (None, "5", None, "6"), (None, None, None, "7")]))
+
+
+def test_identities_stay_whole_beyond_a_hundred_thousand_agents(spark, duck):
+    """Codes and documents of keys beyond five and eight digits are unique, and the same in both engines."""
+    from vigia.sources.fixtures import ROLE_SQL, _agent, _doc
+    keys = [*range(0, 300), *range(99_990, 100_310), *range(2_599_900, 2_600_200), *range(10**8 - 5, 10**8 + 300), 1_100_000_000]
+    assert "WHERE" not in ROLE_SQL["r_agent"]
+    at = spark.createDataFrame([(k,) for k in keys], "k long").selectExpr(f"{_agent('k')} AS a", f"{_doc('k')} AS d").collect()
+    duck.execute("CREATE OR REPLACE TEMP TABLE keys AS SELECT unnest(?)::BIGINT AS k", [keys])
+    assert [tuple(r) for r in at] == duck.execute(f"SELECT {_agent('k')}, {_doc('k')} FROM keys").fetchall()
+    assert len({r["a"] for r in at}) == len({r["d"] for r in at}) == len(keys)
+    assert all(len(r["a"]) == 6 for r in at) and at[7]["a"] == "B00007" and at[7]["d"] == "00000007"
+
+
+def test_phone_results_do_not_depend_on_row_order(spark):
+    """Calls of fractional seconds whose double sums differ by order: equal totals fall to the smallest phone every time."""
+    import random
+    from vigia.operators import kri_phone as K
+    rng = random.Random(5)
+    calls = []
+    for doc in range(40):
+        spent = [rng.randrange(1, 90_000_000) for _ in range(14)]
+        for phone in ("900000002", "900000001", "900000003"):
+            calls += [(f"D{doc:02}", f"A{doc:02}", phone, dt.datetime(2000, 3, 1, 9, 0, 0, 123_457), us) for us in rng.sample(spent, len(spent))]
+    calls = [(d, a, p, t, t + dt.timedelta(microseconds=us)) for d, a, p, t, us in calls]
+    sales = spark.createDataFrame([("CD", f"D{k:02}", f"A{k:02}") for k in range(40)], "PRODUCTO string, CODDOC string, CODPROMOT string")
+    platform = spark.createDataFrame([], "DNI string, USERNAME string, ANI string, DNIS string, sessionstarttime timestamp_ntz, sessionendtime timestamp_ntz")
+    batch = spark.createDataFrame([], "NUM_DOCUMENTO string, REG_EJECUTIVO string, TELEFONO string, DURACION_LLAMADA int")
+    seen = set()
+    for turn in range(20):
+        random.Random(turn).shuffle(calls)
+        derived = spark.createDataFrame(calls, "DNI string, REG_EJECUTIVO string, TELF_ANI string, sessionstarttime timestamp_ntz, sessionendtime timestamp_ntz")
+        derived = derived.selectExpr("*", "CAST(NULL AS STRING) AS TELF_DNIS").repartition((1, 8, 64)[turn % 3])
+        best = K.phone_longest(K.phone_talk_time(sales, K.traffic_sources(batch, platform, derived)))
+        seen.add(tuple(sorted(tuple(r) for r in best.collect())))
+    assert len(seen) == 1 and {r[3] for r in next(iter(seen))} == {"900000001"}

@@ -58,36 +58,41 @@ BANDS = (  # (label, low, high) inclusive; later bands win at shared limits
 LABEL_GD, LABEL_CA, LABEL_ENR, LABEL_FB = "GOB DATOS", "CARGA ACTUAL", "ENRICHMENT", "FB_LEADS"
 
 
-def session_seconds(start: Column, end: Column) -> Column:
-    """Seconds from hour/minute/second field differences (negative across midnight, as the reference)."""
-    sec = lambda c: F.extract(F.lit("SECOND"), c).cast("double")
-    return ((F.hour(end) - F.hour(start)) * 3600 + (F.minute(end) - F.minute(start)) * 60
-            + (sec(end) - sec(start)))
+MICROS = 1_000_000
+
+
+def session_micros(start: Column, end: Column) -> Column:
+    """Whole microseconds from hour/minute/second field differences (negative across midnight, as the reference)."""
+    part = lambda c: (F.extract(F.lit("SECOND"), c) * MICROS).cast("bigint")
+    return (((F.hour(end) - F.hour(start)) * 3600 + (F.minute(end) - F.minute(start)) * 60).cast("bigint") * MICROS
+            + (part(end) - part(start)))
 
 
 def traffic_sources(batch: DataFrame, platform: DataFrame, derived: DataFrame) -> DataFrame:
-    """The five talk-time sources as one frame: (SRC, DOC, AGENT, PHONE, SECS)."""
-    cols = ["SRC", "DOC", "AGENT", "PHONE", "SECS"]
+    """The five talk-time sources as one frame: (SRC, DOC, AGENT, PHONE, MICROS).
+
+    Talk time travels as whole microseconds, so that its sums don't depend on the order of the calls.
+    """
+    cols = ["SRC", "DOC", "AGENT", "PHONE", "MICROS"]
     b = batch.select(F.lit(1).alias("SRC"), F.col("NUM_DOCUMENTO").alias("DOC"),
                      F.col("REG_EJECUTIVO").alias("AGENT"), F.col("TELEFONO").alias("PHONE"),
-                     F.col("DURACION_LLAMADA").cast("double").alias("SECS"))
-    psecs = session_seconds(F.col("sessionstarttime"), F.col("sessionendtime"))
+                     F.round(F.col("DURACION_LLAMADA").cast("decimal(20,6)") * MICROS).cast("bigint").alias("MICROS"))
+    spent = session_micros(F.col("sessionstarttime"), F.col("sessionendtime"))
     pa = platform.where(F.col("ANI").isNotNull()).select(
         F.lit(2).alias("SRC"), F.col("DNI").alias("DOC"), F.col("USERNAME").alias("AGENT"),
-        F.col("ANI").alias("PHONE"), psecs.alias("SECS"))
+        F.col("ANI").alias("PHONE"), spent.alias("MICROS"))
     pd_ = platform.where(F.col("DNIS").isNotNull()).select(
         F.lit(3).alias("SRC"), F.col("DNI").alias("DOC"), F.col("USERNAME").alias("AGENT"),
-        F.col("DNIS").alias("PHONE"), psecs.alias("SECS"))
-    dsecs = session_seconds(F.col("sessionstarttime"), F.col("sessionendtime"))
+        F.col("DNIS").alias("PHONE"), spent.alias("MICROS"))
     ok = lambda c: c.isNotNull() & (c != JUNK_PHONE) & ~c.like("%.%")
     da = derived.where(ok(F.col("TELF_ANI"))).select(
         F.lit(4).alias("SRC"), F.col("DNI").alias("DOC"), F.col("REG_EJECUTIVO").alias("AGENT"),
-        F.col("TELF_ANI").alias("PHONE"), dsecs.alias("SECS"))
+        F.col("TELF_ANI").alias("PHONE"), spent.alias("MICROS"))
     dd = derived.where(ok(F.col("TELF_DNIS")) & F.col("DNI").isNotNull()
                        & ~F.col("TELF_DNIS").like(f"%{JUNK_PHONE_DNIS_PART}%")
                        & ~F.col("REG_EJECUTIVO").like(JUNK_AGENT_LIKE)).select(
         F.lit(5).alias("SRC"), F.col("DNI").alias("DOC"), F.col("REG_EJECUTIVO").alias("AGENT"),
-        F.col("TELF_DNIS").alias("PHONE"), dsecs.alias("SECS"))
+        F.col("TELF_DNIS").alias("PHONE"), spent.alias("MICROS"))
     return b.select(*cols).unionByName(pa).unionByName(pd_).unionByName(da).unionByName(dd)
 
 
@@ -105,11 +110,11 @@ def product_sales(marts: dict[str, DataFrame]) -> DataFrame:
 
 def phone_talk_time(sales: DataFrame, traffic: DataFrame) -> DataFrame:
     """Seconds per (product, source, document, agent, phone); duplicated sales multiply the time."""
-    t = traffic.groupBy("SRC", "DOC", "AGENT", "PHONE").agg(F.sum("SECS").alias("SECS"))
+    t = traffic.groupBy("SRC", "DOC", "AGENT", "PHONE").agg(F.sum("MICROS").alias("MICROS"))
     n = sales.groupBy("PRODUCTO", "CODDOC", "CODPROMOT").agg(F.count(F.lit(1)).alias("N"))
     j = t.join(n, (t["DOC"] == n["CODDOC"]) & (t["AGENT"] == n["CODPROMOT"]))
     return j.select("PRODUCTO", "SRC", F.col("DOC").alias("NUM_DOCUMENTO"), F.col("AGENT").alias("REG_EJECUTIVO"),
-                    F.col("PHONE").alias("NUM_TELEFONO"), (F.col("SECS") * F.col("N")).alias("TIEMPO"))
+                    F.col("PHONE").alias("NUM_TELEFONO"), ((F.col("MICROS") * F.col("N")).cast("double") / MICROS).alias("TIEMPO"))
 
 
 def phone_longest(talk: DataFrame) -> DataFrame:

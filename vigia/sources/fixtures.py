@@ -34,12 +34,33 @@ _M1 = "DATE '2000-04-01'"
 _MONTH_NO = int(_P[:4]) * 12 + int(_P[4:])
 
 
+_LETTERS, _PLACES = "BCDEFGHIJKLMNOPQRSTUVWXYZA", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Keys that a letter and five digits name; later ones get two letters and four places of base 36.
+_PLAIN_AGENTS = 26 * 100_000
+
+
 def _agent(key: str) -> str:
-    return f"('B' || lpad(CAST({key} % 100000 AS STRING), 5, '0'))"
+    """Six characters made of the whole key: unique for 1.1e9 agents, ``B`` and five digits for the first 100,000."""
+    def place(symbols: str, below: int) -> str:
+        return f"substring('{symbols}', CAST(floor((({key}) - {_PLAIN_AGENTS}) / {below}) AS BIGINT) % {len(symbols)} + 1, 1)"
+
+    late = [place(_LETTERS, 26 * 36**4), place(_LETTERS, 36**4), *(place(_PLACES, 36**k) for k in (3, 2, 1, 0))]
+    plain = f"substring('{_LETTERS}', CAST(floor(({key}) / 100000) AS BIGINT) + 1, 1) || lpad(CAST(({key}) % 100000 AS STRING), 5, '0')"
+    return f"(CASE WHEN {key} < {_PLAIN_AGENTS} THEN {plain} ELSE {' || '.join(late)} END)"
+
+
+def _pad(key: str, n: int) -> str:
+    """``key`` with leading zeros; longer keys stay whole (``lpad`` alone would cut them)."""
+    return f"(CASE WHEN length(CAST({key} AS STRING)) > {n} THEN CAST({key} AS STRING) ELSE lpad(CAST({key} AS STRING), {n}, '0') END)"
 
 
 def _doc(key: str) -> str:
-    return f"lpad(CAST({key} AS STRING), 8, '0')"
+    return _pad(key, 8)
+
+
+def _cents(amount: str) -> str:
+    """Whole cents: what is derived from them is the same number in every engine."""
+    return f"CAST(round({amount} * 100) AS BIGINT)"
 
 
 def _phone(key: str) -> str:
@@ -67,7 +88,6 @@ SELECT {_agent('c_custkey')} AS REG_EJECUTIVO,
        'EQ' || CAST(n_regionkey AS STRING) AS EQUIPO,
        '{_P}' AS PERIODO
 FROM customer JOIN nation ON c_nationkey = n_nationkey
-WHERE c_custkey < 100000  -- an agent code has five digits: later customers share the agents, not the register
 """
 
 # Hierarchy by month: the fixture month and the previous one (a tenth of the
@@ -91,8 +111,8 @@ SELECT CAST(l.l_orderkey AS STRING) AS conversationId,
        'COLA_' || o.o_orderstatus AS queueName,
        {_agent('o.o_custkey')} || ' AGENTE ' || CAST(o.o_custkey AS STRING) AS agentName,
        'E' || lpad(CAST(l.l_suppkey AS STRING), 5, '0') || ' EVALUADOR' AS evaluatorName,
-       CASE WHEN o.o_custkey % 2 = 0 THEN 'venta ok DNI ' || lpad(CAST(o.o_custkey AS STRING), 8, '0') || ' conforme'
-            WHEN o.o_custkey % 3 = 0 THEN 'RUC ' || lpad(CAST(o.o_custkey AS STRING), 11, '0') || chr(10) || 'fin'
+       CASE WHEN o.o_custkey % 2 = 0 THEN 'venta ok DNI ' || {_pad('o.o_custkey', 8)} || ' conforme'
+            WHEN o.o_custkey % 3 = 0 THEN 'RUC ' || {_pad('o.o_custkey', 11)} || chr(10) || 'fin'
        END AS evaluationComments,
        o.o_orderpriority || CASE WHEN l.l_orderkey % 17 = 0 THEN chr(13) || chr(10) ELSE '' END AS evaluationFormName,
        CASE l.l_linestatus WHEN 'O' THEN 'Protocolo' ELSE 'Caracteristicas Obligatorias' END AS questionGroupName,
@@ -294,10 +314,10 @@ SELECT o_orderkey AS ID,
        CASE WHEN o_orderkey % 5 = 1 THEN '0' ELSE '1' END AS VALIDO_IL,
        CASE WHEN o_custkey % 6 = 0 THEN 'X' END AS TIPONOCOMISION,
        'SOL' || lpad(CAST(o_orderkey AS STRING), 12, '0') AS NRO_SOLICITUD,
-       CAST(round(1.0 + (o_totalprice % 300) / 100.0, 2) AS DOUBLE) AS TASA_MENSUAL,
+       CAST(100 + {_cents('o_totalprice')} % 300 AS DOUBLE) / 100.0 AS TASA_MENSUAL,
        CAST(6 + o_orderkey % 30 AS INT) AS CANT_CUOTAS,
        CASE WHEN o_orderkey % 2 = 0 THEN 'TOTAL' ELSE 'PARCIAL' END AS TIPO_CD,
-       '4' || lpad(CAST(o_custkey AS STRING), 15, '0') AS NUM_TARJETA,
+       '4' || {_pad('o_custkey', 15)} AS NUM_TARJETA,
        CASE o_custkey % 5 WHEN 0 THEN 'ADICIONAL' WHEN 1 THEN NULL ELSE 'TITULAR' END AS BENEFICIARIO_DSC,
        CAST(o_custkey % 25 AS STRING) AS RUBRO_CD,
        CAST(CAST(o_orderdate AS DATE) AS STRING) AS SOLICITUD_FC,
@@ -309,11 +329,11 @@ SELECT o_orderkey AS ID,
        CASE WHEN o_custkey % 3 = 0 THEN 'NUEVO' ELSE 'RECURRENTE' END AS TIPO_VENTA,
        'FAMILIA ' || CAST(o_custkey % 4 AS STRING) AS FAMILIA_DSC,
        CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS SEGURO_FLG,
-       'CUC' || lpad(CAST(o_custkey AS STRING), 9, '0') AS CUC_NUM,
+       'CUC' || {_pad('o_custkey', 9)} AS CUC_NUM,
        CASE WHEN o_orderkey % 4 = 0 THEN 'S' ELSE 'N' END AS REENGANCHE_FLG,
        CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END AS REENGANCHE_NUM,
        CASE WHEN o_orderkey % 6 = 0 THEN 'AF/CD' ELSE 'AF' END AS OPERACION_DSC,
-       CAST(round(10.0 + (o_totalprice % 4000) / 100.0, 2) AS DOUBLE) AS TASA_PE,
+       CAST(1000 + {_cents('o_totalprice')} % 4000 AS DOUBLE) / 100.0 AS TASA_PE,
        CAST(o_custkey % 2 AS INT) AS CAMP_FLG
 FROM (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority,
              CASE WHEN (o_orderkey + o_custkey) % 3 = 0 THEN o_orderdate + INTERVAL '1' MONTH *
@@ -324,7 +344,7 @@ FROM (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority
 
 # Debt-purchase lines (one per line item; the application key is the order).
 ROLE_SQL["r_debt_lines"] = """
-SELECT lpad(CAST(l_orderkey AS STRING), 8, '0') AS NE_COD_EXPE,
+SELECT right('0000000' || CAST(l_orderkey AS STRING), 8) AS NE_COD_EXPE,
        l_extendedprice AS ND_MONTO,
        CASE WHEN l_linenumber = 3 THEN NULL ELSE '4' || lpad(CAST(l_partkey AS STRING), 15, '0') END
            AS CA_NRO_TARJ_PREST,
@@ -410,8 +430,8 @@ def _stamp(ts: str) -> str:
 
 
 def _eval_doc(key: str) -> str:
-    return (f"CASE WHEN {key} % 2 = 0 THEN lpad(CAST({key} AS STRING), 8, '0') "
-            f"WHEN {key} % 3 = 0 THEN lpad(CAST({key} AS STRING), 11, '0') END")
+    return (f"CASE WHEN {key} % 2 = 0 THEN {_pad(key, 8)} "
+            f"WHEN {key} % 3 = 0 THEN {_pad(key, 11)} END")
 
 
 # "Not To Do" evaluation form: every order is an evaluated call, one row per question.
@@ -422,8 +442,8 @@ SELECT CAST(o.o_orderkey AS STRING) AS conversationId,
        o.o_orderdate + INTERVAL '3' HOUR AS conversationStartTime,
        {_agent('o.o_custkey')} || ' AGENTE' AS agentName,
        'E' || lpad(CAST(o.o_custkey % 97 AS STRING), 5, '0') || ' EVALUADOR' AS evaluatorName,
-       CASE WHEN o.o_custkey % 2 = 0 THEN 'obs DNI ' || lpad(CAST(o.o_custkey AS STRING), 8, '0')
-            WHEN o.o_custkey % 3 = 0 THEN 'RUC ' || lpad(CAST(o.o_custkey AS STRING), 11, '0') END AS evaluationComments,
+       CASE WHEN o.o_custkey % 2 = 0 THEN 'obs DNI ' || {_pad('o.o_custkey', 8)}
+            WHEN o.o_custkey % 3 = 0 THEN 'RUC ' || {_pad('o.o_custkey', 11)} END AS evaluationComments,
        'NTD ' || o.o_orderpriority AS evaluationFormName,
        q.GRP AS questionGroupName,
        q.QTXT AS questionText,
@@ -593,7 +613,7 @@ FROM customer
 """
 
 ROLE_SQL["r_portfolio"] = f"""
-SELECT lpad(CAST(c_custkey AS STRING), 10, '0') AS codunico, m.M AS codmes,
+SELECT {_pad('c_custkey', 10)} AS codunico, m.M AS codmes,
        {_agent('c_custkey + 3')} AS regejecutivo,
        'S' || lpad(CAST(c_nationkey AS STRING), 5, '0') AS regsupervisor,
        CASE WHEN (c_custkey + m.M) % 4 = 0 THEN 'CANAL SELECT' ELSE 'CANAL MASIVO' END AS MODELO,
@@ -602,8 +622,8 @@ FROM customer CROSS JOIN (VALUES (200002), (200003)) AS m(M)
 """
 
 # Consolidated sales of all channels (premium team label is configuration).
-ROLE_SQL["r_consolidated"] = """
-SELECT 'CU' || lpad(CAST(o_custkey AS STRING), 12, '0') AS codunicocli,
+ROLE_SQL["r_consolidated"] = f"""
+SELECT 'CU' || {_pad('o_custkey', 12)} AS codunicocli,
        year(o_orderdate) * 100 + month(o_orderdate) AS CODMES,
        CASE WHEN o_orderkey % 2 = 0 THEN 'BANCA SELECT' ELSE 'BANCA MASIVA' END AS EQUIPO,
        CASE o_orderkey % 8 WHEN 0 THEN 'TARJETAS ACTIVADAS' WHEN 1 THEN 'TARJETAS APROBADAS'
@@ -617,7 +637,7 @@ FROM orders
 # Card-cancellation claims (claim = order, detail = line, typology = part, area = nation).
 ROLE_SQL["r_claim"] = f"""
 SELECT o_orderkey AS ID_RECLAMO, {_doc('o_custkey')} AS NRO_DOCUMENTO,
-       CASE WHEN o_orderkey % 3 = 0 THEN {_agent('o_custkey')} ELSE 'U' || lpad(CAST(o_custkey AS STRING), 5, '0') END
+       CASE WHEN o_orderkey % 3 = 0 THEN {_agent('o_custkey')} ELSE 'U' || {_pad('o_custkey', 5)} END
            AS USUARIO_ALTA,
        'USUARIO ' || CAST(o_custkey AS STRING) AS NOMBRE_USUARIO_ALTA,
        CASE o_orderkey % 5 WHEN 0 THEN 'EP' WHEN 1 THEN 'PF' WHEN 2 THEN 'DP' ELSE 'NF' END AS estado_reclamo,
@@ -679,9 +699,9 @@ SELECT o_orderkey AS MSG_ID, o_orderdate AS RECEIVED,
             WHEN 4 THEN 'Fwd: pedido de audio prestamo' WHEN 5 THEN 'Solicitud de audio tarjeta'
             WHEN 6 THEN 'Reunion semanal' ELSE 'SOLICITUD-DE-AUDIO' END AS SUBJECT,
        '<div>Hola,<br/>audio del asesor ' || {_agent('o_custkey')} || ' cliente '
-       || CASE WHEN o_orderkey % 3 = 0 THEN 'DNI: ' ELSE 'doc ' END || lpad(CAST(o_custkey AS STRING), 8, '0')
+       || CASE WHEN o_orderkey % 3 = 0 THEN 'DNI: ' ELSE 'doc ' END || {_pad('o_custkey', 8)}
        || ' &amp; gracias</div><p>Tambi&eacute;n <b>' || lower({_agent('o_custkey + 1')}) || '</b> con '
-       || lpad(CAST(o_custkey + 1 AS STRING), 8, '0') || ' y ref ' || lpad(CAST(o_orderkey % 100000000 AS STRING), 8, '0')
+       || {_pad('o_custkey + 1', 8)} || ' y ref ' || lpad(CAST(o_orderkey % 100000000 AS STRING), 8, '0')
        || '</p>' AS BODY_HTML
 FROM orders
 """
@@ -708,22 +728,22 @@ FROM lineitem
 
 ROLE_SQL["r_paste"] = f"""
 SELECT o_orderkey AS PASTE_ID,
-       {_agent('o_custkey')} || ' ' || lpad(CAST(o_custkey AS STRING), 7, '0') || chr(10) || 'linea sin codigo'
-       || chr(10) || lower({_agent('o_custkey + 2')}) || ' dni ' || lpad(CAST(o_custkey + 2 AS STRING), 8, '0')
-       || chr(10) || '   ' || chr(10) || {_agent('o_custkey')} || ' ' || lpad(CAST(o_custkey AS STRING), 7, '0')
+       {_agent('o_custkey')} || ' ' || {_pad('o_custkey', 7)} || chr(10) || 'linea sin codigo'
+       || chr(10) || lower({_agent('o_custkey + 2')}) || ' dni ' || {_pad('o_custkey + 2', 8)}
+       || chr(10) || '   ' || chr(10) || {_agent('o_custkey')} || ' ' || {_pad('o_custkey', 7)}
        || ' repetido' AS TEXT
 FROM orders
 """
 
 ROLE_SQL["r_tracking"] = f"""
-SELECT {_agent('c_custkey')} AS reg_ev, lpad(CAST(c_custkey AS STRING), 8, '0') AS dni,
+SELECT {_agent('c_custkey')} AS reg_ev, {_pad('c_custkey', 8)} AS dni,
        CASE c_custkey % 3 WHEN 0 THEN 'descargado' WHEN 1 THEN 'pendiente' ELSE 'no_encontrado' END AS estado,
        '2000-03-' || lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0') || 'T10:00:00' AS timestamp
 FROM customer
 """
 
 ROLE_SQL["r_tracking_events"] = f"""
-SELECT {_agent('o_custkey')} AS reg_ev, lpad(CAST(o_custkey AS STRING), 8, '0') AS dni,
+SELECT {_agent('o_custkey')} AS reg_ev, {_pad('o_custkey', 8)} AS dni,
        CASE o_orderkey % 3 WHEN 0 THEN 'descargado' WHEN 1 THEN 'pendiente' ELSE 'no_encontrado' END AS estado,
        '2000-03-' || lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0') || 'T' || lpad(CAST(o_orderkey % 24 AS STRING), 2, '0')
        || ':00:00' AS timestamp
@@ -732,7 +752,7 @@ FROM orders
 
 # Contact history: phones by document and campaign date.
 ROLE_SQL["r_feedback"] = f"""
-SELECT lpad(CAST({_EVK} AS STRING), 8, '0') AS NUM_DOCUMENTO,
+SELECT {_doc(_EVK)} AS NUM_DOCUMENTO,
        CAST(year({_EV_TS}) * 10000 + month({_EV_TS}) * 100 + day({_EV_TS}) AS STRING) AS GESTION,
        CASE WHEN event_id % 9 = 0 THEN NULL ELSE {_phone(_EVK + ' + event_id % 3')} END AS NUM_TELEFONO
 FROM events
@@ -771,8 +791,8 @@ SELECT conv_id AS CALL_ID, turn AS TURN,
 FROM conversations
 """
 
-ROLE_SQL["r_done_files"] = """
-SELECT 'TC_' || lpad(CAST(o_custkey AS STRING), 8, '0') || '_' || CAST(o_orderkey AS STRING)
+ROLE_SQL["r_done_files"] = f"""
+SELECT 'TC_' || {_pad('o_custkey', 8)} || '_' || CAST(o_orderkey AS STRING)
        || CASE WHEN o_orderkey % 3 = 0 THEN '.txt' ELSE '.wav' END AS FILE_NAME
 FROM orders
 """
@@ -780,9 +800,9 @@ FROM orders
 # Disbursements of another database (the JDBC source), and a load ledger.
 ROLE_SQL["r_bpe_raw"] = f"""
 SELECT o_orderdate AS FECHA_DESEMBOLSADO, 'CU' || CAST(o_custkey AS STRING) AS COD_UNICO,
-       lpad(CAST(o_custkey AS STRING), 8, '0') AS COD_DOC, 'CLIENTE ' || CAST(o_custkey AS STRING) AS CLIENTE,
-       CASE o_orderkey % 3 WHEN 0 THEN lpad(CAST(o_custkey AS STRING), 8, '0')
-            WHEN 1 THEN ' ' || lpad(CAST(o_custkey AS STRING), 11, '0') ELSE CAST(o_custkey AS STRING) END AS NUM_RUC,
+       {_pad('o_custkey', 8)} AS COD_DOC, 'CLIENTE ' || CAST(o_custkey AS STRING) AS CLIENTE,
+       CASE o_orderkey % 3 WHEN 0 THEN {_pad('o_custkey', 8)}
+            WHEN 1 THEN ' ' || {_pad('o_custkey', 11)} ELSE CAST(o_custkey AS STRING) END AS NUM_RUC,
        'CANAL ' || o_orderstatus AS CANAL, {_agent('o_custkey')} || 'XYZ' AS REG_EJECUTIVO,
        'EJECUTIVO ' || CAST(o_custkey % 97 AS STRING) AS NOM_EJECUTIVO, o_totalprice AS COLOCACION_NETA,
        'VPC' || CAST(o_orderkey % 4 AS STRING) AS CAMPANA_VPC,
@@ -790,8 +810,8 @@ SELECT o_orderdate AS FECHA_DESEMBOLSADO, 'CU' || CAST(o_custkey AS STRING) AS C
 FROM orders
 """
 
-ROLE_SQL["r_ledger"] = """
-SELECT 'TC_' || lpad(CAST(o_custkey AS STRING), 8, '0') || '_' || CAST(o_orderkey AS STRING) || '.txt' AS ARCHIVO,
+ROLE_SQL["r_ledger"] = f"""
+SELECT 'TC_' || {_pad('o_custkey', 8)} || '_' || CAST(o_orderkey AS STRING) || '.txt' AS ARCHIVO,
        CASE WHEN o_orderkey % 2 = 0 THEN 'TRANSCRIPCIONES' ELSE 'OTRO' END AS DESTINO
 FROM orders
 """
