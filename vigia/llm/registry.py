@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and DuckDB SQL for those that SQL expresses."""
 
-from vigia.llm import bpe, conversation_repair, decontamination, fingerprints, license_scan, near_dedup, sharding, substring_dedup, token_counts, token_files, toxicity, url_filters
+from vigia.llm import bpe, conversation_repair, decontamination, fingerprints, license_scan, near_dedup, prefix_trie, sharding, substring_dedup, token_counts, token_files, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_extendible_shards": sharding.op9,
     "op10_decontamination": decontamination.op10,
     "op11_conversation_repair": conversation_repair.op11,
+    "op12_prefix_trie": prefix_trie.op12,
     "op13_token_files": token_files.op13,
 }
 
