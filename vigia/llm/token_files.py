@@ -27,8 +27,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,7 @@ BLOCK, SEGMENT = 8192, 1 << 18
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Pieces and chunks that a worker remembers.
-ROOM = 150_000
+ROOM = 400_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,6 +124,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Remembered(dict):
+    """piece -> its ids as 4-byte words, found once; emptied between texts when it holds over ROOM pieces."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = array("I", self.find(piece)).tobytes()
+        return ids
+
+    def of(self, pieces: list[str]) -> np.ndarray:
+        if len(self) > ROOM:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.uint32).astype(np.uint64)
+
+
 class Encoder:
     """Texts -> ids as the tokenizers library gives them, one encoding for each remembered piece."""
 
@@ -133,8 +148,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model, self.letters = self.library.model, _byte_letters()
-        self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self.pieces, self.chunks = _Remembered(self._piece), _Remembered(self._chunk)
 
     def _piece(self, piece: str) -> list[int]:
         if not (piece.isascii() and piece.isprintable()):
@@ -144,20 +158,10 @@ class Encoder:
     def _chunk(self, chunk: str) -> list[int]:
         return self.library.encode(chunk, add_special_tokens=False).ids
 
-    @staticmethod
-    def _known(keys: list[str], known: dict, find) -> Iterator[list[int]]:
-        if len(known) > ROOM:
-            known.clear()
-        for key in set(keys).difference(known):
-            known[key] = find(key)
-        return map(known.__getitem__, keys)
-
     def encode(self, text: str) -> np.ndarray:
         if _PLAIN.fullmatch(text) and "<|" not in text:  # special tokens' own strings are the library's matter
-            found = self._known(_PIECE.findall(text.lower()), self.pieces, self._piece)
-        else:
-            found = self._known(_CHUNK.findall(text), self.chunks, self._chunk)
-        return np.fromiter(chain.from_iterable(found), np.uint64)
+            return self.pieces.of(_PIECE.findall(text.lower()))
+        return self.chunks.of(_CHUNK.findall(text))
 
 
 _SEGMENT = "part int, segment int, ids array<long>, counts array<long>, words binary, escapes binary, offsets array<long>"
