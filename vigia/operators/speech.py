@@ -187,23 +187,46 @@ def speech_marked(speech: DataFrame, sales: DataFrame, leads: DataFrame,
 
 # --------------------------------------------------------------------------- scoring
 
-def speech_average(marked: DataFrame, metrics: Sequence[str], period: Period) -> DataFrame:
-    """Mean detection per (product, agent, evaluation) for every metric + max consent flag."""
-    prod = F.expr("substring(VENTA, 1, length(VENTA) - 2)")
-    return (marked.groupBy(prod.alias("PRODUCTO"), "REG_EV", "NEVALUACION")
-                  .agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics],
-                       F.max("FLAG_LPDP").alias("FLAG_LPDP"))
-                  .select(F.lit(period.periodo).alias("PERIODO"), "*"))
+METRICS_PACKED = "METRICAS"
 
 
-def speech_unpivot(avg: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Wide → long in a single scan (``Expand``); NULL averages are kept."""
-    long = avg.unpivot(["PERIODO", "PRODUCTO", "REG_EV", "NEVALUACION"], list(metrics),
-                       "CATEGORIA", "OBTENIDO")
-    return long.select(
-        "PERIODO", "PRODUCTO", "REG_EV", "CATEGORIA", F.col("OBTENIDO").cast("double").alias("OBTENIDO"),
-        "NEVALUACION",
-        F.concat_ws("_", "PERIODO", "REG_EV").alias("CODIGO"))
+def pack_metrics(speech: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The metric columns as one array: rows of over 100 fields leave Spark's generated code, an array is one field."""
+    keep = [c for c in speech.columns if c not in set(metrics)]
+    return speech.select(*keep, F.array(*metrics).alias(METRICS_PACKED))
+
+
+def unpack_metrics(packed: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """One column a metric again."""
+    keep = [c for c in packed.columns if c != METRICS_PACKED]
+    return packed.select(*[F.col(METRICS_PACKED)[k].alias(m) for k, m in enumerate(metrics)], *keep)
+
+
+def speech_averages(marked: DataFrame, period: Period) -> DataFrame:
+    """Mean detection per (product, agent, evaluation, metric position) + max consent flag, from packed metrics.
+
+    Unpivoted before averaging: one row a metric has few fields at any number of metrics, so the scan, the
+    explode and the partial averages are one generated stage; averages of 0/1 don't depend on row order.
+    """
+    each = marked.select(F.expr("substring(VENTA, 1, length(VENTA) - 2)").alias("PRODUCTO"), "REG_EV", "NEVALUACION", "FLAG_LPDP",
+                         F.posexplode(METRICS_PACKED).alias("POS", "DETECTADO"))
+    return (each.groupBy("PRODUCTO", "REG_EV", "NEVALUACION", "POS")
+                .agg(F.avg("DETECTADO").alias("OBTENIDO"), F.max("FLAG_LPDP").alias("FLAG_LPDP"))
+                .select(F.lit(period.periodo).alias("PERIODO"), "*"))
+
+
+def speech_average(averages: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The averages with one column a metric (the wide table); an entry a metric, so the list is bounded."""
+    wide = averages.groupBy("PERIODO", "PRODUCTO", "REG_EV", "NEVALUACION").agg(
+        F.array_sort(F.collect_list(F.struct("POS", "OBTENIDO"))).alias("_M"), F.max("FLAG_LPDP").alias("FLAG_LPDP"))
+    return wide.select("PERIODO", "PRODUCTO", "REG_EV", "NEVALUACION", *[F.col("_M")[k]["OBTENIDO"].alias(m) for k, m in enumerate(metrics)], "FLAG_LPDP")
+
+
+def speech_unpivot(averages: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The long table: one row per (product, agent, evaluation, category); NULL averages are kept."""
+    return averages.select(
+        "PERIODO", "PRODUCTO", "REG_EV", F.element_at(F.array(*map(F.lit, metrics)), F.col("POS") + 1).alias("CATEGORIA"),
+        "OBTENIDO", "NEVALUACION", F.concat_ws("_", "PERIODO", "REG_EV").alias("CODIGO"))
 
 
 def speech_weights(long: DataFrame, master: DataFrame) -> DataFrame:
@@ -260,7 +283,7 @@ DETAIL_SA_COLUMNS = ["PERIODO", "PRODUCTO", "REG_EV", "CATEGORIA", "OBTENIDO", "
 
 def speech_detail(marked: DataFrame, master: DataFrame, metrics: Sequence[str], period: Period) -> DataFrame:
     """Average → unpivot → weights → detail scores → group scores (the speech detail table)."""
-    long = speech_unpivot(speech_average(marked, metrics, period), metrics)
+    long = speech_unpivot(speech_averages(marked, period), metrics)
     return speech_score_group(speech_score_detail(speech_weights(long, master))).select(*DETAIL_SA_COLUMNS)
 
 
@@ -298,6 +321,12 @@ def speech_curve_cap(detail: DataFrame, agents: DataFrame, apply_curve: bool = T
              .select(*DETAIL_SA_COLUMNS))
 
 
+#: Scores are totalled as whole units, so that neither the best agent nor a zero depends on row order.
+SCORE_UNITS = 10**12
+#: Agents who receive rows are spread over so many parts of their (product, evaluation).
+PATCH_SALTS = 32
+
+
 def zero_score_patch(detail: DataFrame, agents: DataFrame, manual_detail: DataFrame,
                      period: Period) -> DataFrame:
     """Replace zero-total (and missing) speech evaluations of non-SELECT agents by the best agent's rows."""
@@ -306,7 +335,7 @@ def zero_score_patch(detail: DataFrame, agents: DataFrame, manual_detail: DataFr
     cur = detail.where(F.col("PERIODO") == p)
     tot = (cur.join(ag, cur["REG_EV"] == ag["REG_EJECUTIVO"])
               .groupBy("PERIODO", "PRODUCTO", "NEVALUACION", "REG_EV", "CODIGO", "SUB_EQUIPO")
-              .agg(F.sum("PUNTAJE").alias("TOT")))
+              .agg(F.sum(F.round(F.col("PUNTAJE") * SCORE_UNITS).cast("bigint")).alias("TOT")))
     non_sel = tot.where(F.col("SUB_EQUIPO") != K.SELECT_SUBTEAM)
 
     # Best agent per (period, product, evaluation): total desc, code asc; only totals > 0.
@@ -344,14 +373,18 @@ def zero_score_patch(detail: DataFrame, agents: DataFrame, manual_detail: DataFr
     kept = detail.join(zk, is_cur & (detail["PRODUCTO"] == zk["_ZP"]) & (detail["NEVALUACION"] == zk["_ZN"])
                        & (detail["REG_EV"] == zk["_ZR"]), "left_anti")
 
+    # The donor's rows of a (product, evaluation) are one row a category: folded to one list, laid out once a salt.
+    given = [c for c in DETAIL_SA_COLUMNS if c not in ("PERIODO", "PRODUCTO", "NEVALUACION", "REG_EV", "CODIGO")]
     donors = kept.join(best, (kept["PERIODO"] == best["PERIODO"]) & (kept["PRODUCTO"] == best["PRODUCTO"])
                        & (kept["NEVALUACION"] == best["NEVALUACION"]) & (kept["REG_EV"] == best["BASE_REG_EV"]))
-    donors = donors.select(*[kept[c] for c in DETAIL_SA_COLUMNS if c not in ("REG_EV", "CODIGO")])
-    z = zero.select(F.col("PERIODO").alias("_ZP"), F.col("PRODUCTO").alias("_ZPR"),
-                    F.col("NEVALUACION").alias("_ZN"), F.col("REG_EV").alias("_ZR"))
+    donors = (donors.groupBy(kept["PERIODO"], kept["PRODUCTO"], kept["NEVALUACION"])
+                    .agg(F.collect_list(F.struct(*[kept[c] for c in given])).alias("_ROWS"))
+                    .withColumn("_S", F.explode(F.sequence(F.lit(0), F.lit(PATCH_SALTS - 1)))))
+    z = zero.select(F.col("PERIODO").alias("_ZP"), F.col("PRODUCTO").alias("_ZPR"), F.col("NEVALUACION").alias("_ZN"),
+                    F.col("REG_EV").alias("_ZR"), F.pmod(F.xxhash64("REG_EV"), F.lit(PATCH_SALTS)).cast("int").alias("_ZS"))
     copies = donors.join(z, (donors["PERIODO"] == z["_ZP"]) & (donors["PRODUCTO"] == z["_ZPR"])
-                         & (donors["NEVALUACION"] == z["_ZN"]))
-    copies = copies.select(*[F.col("_ZR").alias("REG_EV") if c == "REG_EV"
-                             else F.concat(F.col("PERIODO"), F.lit("_"), F.col("_ZR")).alias("CODIGO")
-                             if c == "CODIGO" else F.col(c) for c in DETAIL_SA_COLUMNS])
+                         & (donors["NEVALUACION"] == z["_ZN"]) & (donors["_S"] == z["_ZS"]))
+    copies = copies.select("PERIODO", "PRODUCTO", "NEVALUACION", F.col("_ZR").alias("REG_EV"),
+                           F.concat(F.col("PERIODO"), F.lit("_"), F.col("_ZR")).alias("CODIGO"), F.explode("_ROWS").alias("_ROW"))
+    copies = copies.select("PERIODO", "PRODUCTO", "NEVALUACION", "REG_EV", "CODIGO", "_ROW.*").select(*DETAIL_SA_COLUMNS)
     return kept.select(*DETAIL_SA_COLUMNS).unionByName(copies)

@@ -88,18 +88,25 @@ class QualityMonth:
         return S.sale_mark_priority(self.speech_clean, S.sale_hits(self.i.sales, self.p),
                                     S.consent_by_document(self.consent))
 
+    @cached_property
+    def marked_packed(self) -> DataFrame:
+        return S.speech_marked(S.pack_metrics(self.i.speech, self.i.metrics), self.i.sales, self.i.leads, self.i.leads_digital, self.p)
+
     @cached_property
     def marked(self) -> DataFrame:
-        return cut_lineage(S.speech_marked(self.i.speech, self.i.sales, self.i.leads, self.i.leads_digital,
-                                           self.p))
+        return S.unpack_metrics(self.marked_packed, self.i.metrics)
+
+    @cached_property
+    def averages(self) -> DataFrame:
+        return S.speech_averages(self.marked_packed, self.p)
 
     @cached_property
     def average(self) -> DataFrame:
-        return S.speech_average(self.marked, self.i.metrics, self.p)
+        return S.speech_average(self.averages, self.i.metrics)
 
     @cached_property
     def unpivoted(self) -> DataFrame:
-        return S.speech_unpivot(self.average, self.i.metrics)
+        return S.speech_unpivot(self.averages, self.i.metrics)
 
     @cached_property
     def sa_weighted(self) -> DataFrame:

@@ -101,6 +101,9 @@ SELECT '{_PREV}' AS PERIODO, REG_EJECUTIVO, NOM_EJECUTIVO,
 FROM r_agent
 """
 
+# Synonym lists of real size (17, 204 and 36 rows): evaluations also use numbered spellings of the same names.
+_GROUP_SPELLINGS, _QUESTION_SPELLINGS, _ANSWER_SPELLINGS = 7, 49, 11
+
 # Manual evaluations: one row per (conversation = order, question = line).
 ROLE_SQL["r_eval"] = f"""
 SELECT CAST(l.l_orderkey AS STRING) AS conversationId,
@@ -115,32 +118,44 @@ SELECT CAST(l.l_orderkey AS STRING) AS conversationId,
             WHEN o.o_custkey % 3 = 0 THEN 'RUC ' || {_pad('o.o_custkey', 11)} || chr(10) || 'fin'
        END AS evaluationComments,
        o.o_orderpriority || CASE WHEN l.l_orderkey % 17 = 0 THEN chr(13) || chr(10) ELSE '' END AS evaluationFormName,
-       CASE l.l_linestatus WHEN 'O' THEN 'Protocolo' ELSE 'Caracteristicas Obligatorias' END AS questionGroupName,
+       CASE l.l_linestatus WHEN 'O' THEN 'Protocolo' ELSE 'Caracteristicas Obligatorias' END
+       || CASE WHEN l.l_suppkey % 6 = 5 THEN ' v' || CAST(l.l_partkey % {_GROUP_SPELLINGS} AS STRING) ELSE '' END AS questionGroupName,
        CASE l.l_linenumber WHEN 1 THEN ' num. evaluacion ' WHEN 2 THEN 'lpdp'
-            ELSE 'pregunta ' || CAST(l.l_linenumber AS STRING) END AS questionText,
+            ELSE 'pregunta ' || CAST(l.l_linenumber AS STRING)
+                 || CASE WHEN l.l_partkey % 3 = 1 THEN ' v' || CAST(l.l_partkey % {_QUESTION_SPELLINGS} AS STRING) ELSE '' END END AS questionText,
        CASE WHEN l.l_linenumber = 1 THEN CAST((l.l_orderkey % 5) % 3 AS STRING)
-            WHEN l.l_returnflag = 'R' THEN 'No' WHEN l.l_returnflag = 'A' THEN 'Si' ELSE 'N.A.' END AS answerText,
+            ELSE CASE WHEN l.l_returnflag = 'R' THEN 'No' WHEN l.l_returnflag = 'A' THEN 'Si' ELSE 'N.A.' END
+                 || CASE WHEN l.l_partkey % 4 = 3 THEN ' v' || CAST(l.l_partkey % {_ANSWER_SPELLINGS} AS STRING) ELSE '' END END AS answerText,
        'Q' || CAST(l.l_linenumber AS STRING) AS questionid,
        CASE WHEN l.l_returnflag = 'N' AND l.l_linenumber <> 1 THEN '' ELSE l.l_returnflag END AS answerId
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 
-ROLE_SQL["r_syn_group"] = """
-SELECT * FROM (VALUES ('PROTOCOLO', 'PROTOCOLO'),
+
+
+def _spelled(targets: dict[str, str], n: int) -> str:
+    return ", ".join(f"('{name} V{v}', '{target}')" for name, target in targets.items() for v in range(n))
+
+
+ROLE_SQL["r_syn_group"] = f"""
+SELECT * FROM (VALUES {_spelled({'PROTOCOLO': 'PROTOCOLO', 'CARACTERISTICAS OBLIGATORIAS': 'CARACTERISTICAS OBLIGATORIAS'}, _GROUP_SPELLINGS)},
+                      ('PROTOCOLO', 'PROTOCOLO'),
                       ('CARACTERISTICAS OBLIGATORIAS', 'CARACTERISTICAS OBLIGATORIAS'),
                       ('GESTION', 'PROTOCOLO')) AS t(ORIGINAL, TARGET)
 """
 
-ROLE_SQL["r_syn_question"] = """
-SELECT * FROM (VALUES ('PREGUNTA 3', 'SALUDO'),
+ROLE_SQL["r_syn_question"] = f"""
+SELECT * FROM (VALUES {_spelled({'PREGUNTA 3': 'SALUDO', 'PREGUNTA 4': 'LLAMADA DE RETENCION', 'PREGUNTA 5': 'OFERTA', 'PREGUNTA 6': 'CIERRE'}, _QUESTION_SPELLINGS)},
+                      ('LPDP V1', 'LPDP'), ('LPDP V2', 'LPDP'), ('LPDP V3', 'LPDP'),
+                      ('PREGUNTA 3', 'SALUDO'),
                       ('PREGUNTA 4', 'LLAMADA DE RETENCION'),
                       ('PREGUNTA 5', 'OFERTA'),
                       ('PREGUNTA 5', 'OFERTA COMERCIAL'),
                       ('PREGUNTA 6', 'CIERRE')) AS t(ORIGINAL, TARGET)
 """
 
-ROLE_SQL["r_syn_answer"] = """
-SELECT * FROM (VALUES ('NO', 'NO'), ('SI', 'SI'), ('N.A.', 'NO APLICA')) AS t(ORIGINAL, TARGET)
+ROLE_SQL["r_syn_answer"] = f"""
+SELECT * FROM (VALUES {_spelled({'NO': 'NO', 'SI': 'SI', 'N.A.': 'NO APLICA'}, _ANSWER_SPELLINGS)}, ('NO', 'NO'), ('SI', 'SI'), ('N.A.', 'NO APLICA')) AS t(ORIGINAL, TARGET)
 """
 
 # Question master: forms x (group, question) with weights; the LOW form has no
@@ -168,8 +183,22 @@ WHERE NOT (f.PLANTILLA = '5-LOW' AND q.PREGUNTA = 'pregunta 6')
 """
 
 # Speech analytics export (wide): one row per call = line item.
+_MORE_METRICS = range(9, 103)  # generated neutral categories, up to the full width of a real feed
 SPEECH_METRICS = ("AGRADECE_ESPERA", "BENEFIT", "BN_MANEJA_OBJECIONES", "PERFILAMIENTO",
-                  "LEVANT_INF", "CO_CTA_NEG", "CIERRE_COMERCIAL", "COMPRA_PROTEGIDA")
+                  "LEVANT_INF", "CO_CTA_NEG", "CIERRE_COMERCIAL", "COMPRA_PROTEGIDA",
+                  *(f"CATEGORIA_{k:03d}" for k in _MORE_METRICS))
+
+
+def _more_metric(k: int) -> str:
+    """A 0/1 detection that differs from call to call; every thirteenth part gives none."""
+    test = f"(l.l_partkey * {k} + l.l_suppkey + l.l_linenumber) % {2 + k % 3} = 0"
+    return f"CASE WHEN (l.l_partkey + {k}) % 13 = 0 THEN NULL WHEN {test} THEN 1 ELSE 0 END AS CATEGORIA_{k:03d}"
+
+
+def _more_weight(k: int) -> str:
+    group = ("PROTOCOLO", "COMERCIAL", "CIERRE", "LEGAL")[k % 4]
+    return f"('CATEGORIA_{k:03d}', '{group}', 0.002, {0.2 + k % 5 / 10:.1f}, {int(k % 10 == 0)})"
+
 
 ROLE_SQL["r_speech"] = f"""
 SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) AS CONID,
@@ -188,11 +217,12 @@ SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) AS
        CASE WHEN l.l_extendedprice > 30000 THEN 1 ELSE 0 END AS LEVANT_INF,
        CASE WHEN l.l_partkey % 9 = 0 THEN NULL ELSE CAST(l.l_partkey % 2 AS INT) END AS CO_CTA_NEG,
        CASE WHEN l.l_returnflag = 'A' THEN 1 ELSE 0 END AS CIERRE_COMERCIAL,
-       CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 0 END AS COMPRA_PROTEGIDA
+       CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 0 END AS COMPRA_PROTEGIDA,
+       {", ".join(map(_more_metric, _MORE_METRICS))}
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 
-ROLE_SQL["r_speech_master"] = """
+ROLE_SQL["r_speech_master"] = f"""
 SELECT c.CATEGORIA, p.PRODUCTO, c.GRUPO_CATEGORIA, CAST(c.PESO_CATEGORIA AS DOUBLE) AS PESO_CATEGORIA,
        CAST(p.PESO_GRUPO AS DOUBLE) AS PESO_GRUPO, CAST(c.ESPERADO AS DOUBLE) AS ESPERADO, c.FLAG
 FROM (VALUES
@@ -203,7 +233,8 @@ FROM (VALUES
   ('LEVANT_INF', 'CIERRE', 0.08, 0.70, 1),
   ('CO_CTA_NEG', 'LEGAL', 0.05, NULL, 0),
   ('CIERRE_COMERCIAL', 'CIERRE', 0.07, 0.30, 1),
-  ('COMPRA_PROTEGIDA', 'LEGAL ', 0.10, 0.50, 0)
+  ('COMPRA_PROTEGIDA', 'LEGAL ', 0.10, 0.50, 0),
+  {", ".join(map(_more_weight, _MORE_METRICS))}
 ) AS c(CATEGORIA, GRUPO_CATEGORIA, PESO_CATEGORIA, ESPERADO, FLAG)
 CROSS JOIN (VALUES ('TC', 0.3), ('PP', 0.3), ('EC', 0.2), ('CD', 0.2), ('CON', 0.2), ('SEG', 0.1),
                    ('PRT', 0.1), ('RCO', 0.1), ('RTC', 0.1), ('CHIP', 0.1), ('BNC', 0.1)) AS p(PRODUCTO, PESO_GRUPO)
