@@ -38,8 +38,10 @@ FROM documents""",
     "sink_append_or_replace": "SELECT ID_DOC, IDIOMA, FUENTE FROM r_upload UNION ALL SELECT ID_DOC, IDIOMA, FUENTE FROM r_upload",
     "sink_replace_period": _q.FINAL["final_note"],
     "load_ledger": """
-SELECT FILE_NAME AS ARCHIVO, 'TRANSCRIPCIONES' AS DESTINO FROM r_done_files
-WHERE NOT EXISTS (SELECT 1 FROM r_ledger l WHERE l.ARCHIVO = FILE_NAME AND l.DESTINO = 'TRANSCRIPCIONES')""",
+SELECT min(FILE_NAME) AS ARCHIVO, 'TRANSCRIPCIONES' AS DESTINO, HUELLA FROM r_done_files
+WHERE FILE_NAME NOT IN (SELECT ARCHIVO FROM r_ledger WHERE DESTINO = 'TRANSCRIPCIONES') AND HUELLA NOT IN
+  (SELECT HUELLA FROM r_ledger WHERE DESTINO = 'TRANSCRIPCIONES' AND HUELLA IS NOT NULL)
+GROUP BY HUELLA""",
     "drop_empty_unnamed": "SELECT ID_DOC, Unnamed_2 FROM r_upload",
     "export_distinct_keys": "SELECT DISTINCT trim(REG_EJECUTIVO) AS REG_EJECUTIVO FROM r_agent WHERE trim(REG_EJECUTIVO) <> ''",
 }

@@ -89,13 +89,33 @@ def test_not_in_drops_null_types(spark):
     assert [(r["DURACION_LLAMADA"], r["TIP_CLIENTE"]) for r in out] == [(11, "TC")]
 
 
-def test_speech_unpivot_single_scan(spark):
-    avg = spark.createDataFrame([("200003", "TC", "B00001", 1, 0.5, None)],
-                                "PERIODO string, PRODUCTO string, REG_EV string, NEVALUACION int, A double, B double")
-    long = S.speech_unpivot(avg, ["A", "B"])
-    assert long.count() == 2                      # NULL averages are kept
-    plan = long._jdf.queryExecution().executedPlan().toString()
-    assert "Expand" in plan and "Union" not in plan
+def test_speech_averages_stay_in_generated_code(spark, tmp_path):
+    """102 metrics: one scan, and explode and averages in one generated stage; averages equal the plain ones."""
+    metrics = [f"M{k}" for k in range(102)]
+    wide = spark.range(400).select(F.lit("TC01").alias("VENTA"), F.concat(F.lit("B"), F.col("id") % 3).alias("REG_EV"), F.lit(1).alias("NEVALUACION"), F.lit("x").alias("FLAG_LPDP"),
+                                   *[F.when(F.col("id") % 7 != k % 7, (F.col("id") * k % 3 == 0).cast("int")).alias(m) for k, m in enumerate(metrics)])
+    wide.write.parquet(str(tmp_path / "wide"))
+    feed = spark.read.parquet(str(tmp_path / "wide"))
+    long = S.speech_averages(S.pack_metrics(feed, metrics), P)
+    got = {(r["REG_EV"], r["CATEGORIA"]): r["OBTENIDO"] for r in S.speech_unpivot(long, metrics).collect()}
+    plain = feed.groupBy("REG_EV").agg(*[F.avg(m).alias(m) for m in metrics]).collect()
+    assert got == {(r["REG_EV"], m): r[m] for r in plain for m in metrics}
+    again = S.speech_average(long, metrics).collect()
+    assert {(r["REG_EV"], m): r[m] for r in again for m in metrics} == got
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = S.speech_unpivot(S.speech_averages(S.pack_metrics(feed, metrics), P), metrics)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = plan.splitlines()
+    assert sum("Scan" in x for x in lines) == 1 and "Union" not in plan
+    assert all("*(" in x for x in lines if "HashAggregate" in x or "Generate" in x)
+
+
+def test_null_averages_are_kept(spark):
+    packed = spark.createDataFrame([("TC01", "B1", 1, "x", [1, None])], "VENTA string, REG_EV string, NEVALUACION int, FLAG_LPDP string, METRICAS array<int>")
+    long = S.speech_unpivot(S.speech_averages(packed, P), ["A", "B"])
+    assert {(r["CATEGORIA"], r["OBTENIDO"]) for r in long.collect()} == {("A", 1.0), ("B", None)}
 
 
 def test_request_from_text_matches_brute_force(spark):
@@ -252,3 +272,95 @@ def test_phone_results_do_not_depend_on_row_order(spark):
         best = K.phone_longest(K.phone_talk_time(sales, K.traffic_sources(batch, platform, derived)))
         seen.add(tuple(sorted(tuple(r) for r in best.collect())))
     assert len(seen) == 1 and {r[3] for r in next(iter(seen))} == {"900000001"}
+
+
+def _failing(spark, schema):
+    """Rows of which the last one fails, after the others have been written."""
+    good = spark.createDataFrame([("200003", 7)], schema)
+    return good.unionByName(spark.createDataFrame([("200004", 8)], schema).withColumn("V", F.expr("raise_error('torn row')").cast("int")))
+
+
+def test_failed_writes_leave_the_old_rows(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from vigia.operators.sinks import sink_append_or_replace, sink_replace_period
+    schema, flat, parted = "PERIODO string, V int", str(tmp_path / "flat"), str(tmp_path / "parted")
+    old = spark.createDataFrame([("200002", 1), ("200003", 2)], schema)
+    sink_append_or_replace(old, flat)
+    sink_replace_period(old, parted)
+    rows = lambda path: sorted((r["PERIODO"], r["V"]) for r in spark.read.schema(schema).parquet(path).collect())
+    for write in (lambda: sink_append_or_replace(_failing(spark, schema), flat, replace=True), lambda: sink_append_or_replace(_failing(spark, schema), flat),
+                  lambda: sink_replace_period(_failing(spark, schema), parted)):
+        with pytest.raises(PySparkException):
+            write()
+        assert rows(flat) == rows(parted) == [("200002", 1), ("200003", 2)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["flat", "parted"]  # nothing staged is left
+    # A table may be replaced by what was read from it; other periods stay; a named period is cleared.
+    sink_append_or_replace(spark.read.parquet(flat).where("V = 1"), flat, replace=True)
+    sink_replace_period(spark.createDataFrame([("200003", 5)], schema), parted)
+    assert rows(flat) == [("200002", 1)] and rows(parted) == [("200002", 1), ("200003", 5)]
+    sink_replace_period(spark.createDataFrame([], schema), parted, periods=["200003"])
+    assert rows(parted) == [("200002", 1)]
+
+
+def test_publication_is_undone_when_a_move_fails(spark, tmp_path, monkeypatch):
+    from vigia.operators.sinks import sink_replace_period
+    from vigia.sources import folders
+    schema, path = "PERIODO string, V int", str(tmp_path / "t")
+    old = [("200002", 1), ("200003", 2)]
+    sink_replace_period(spark.createDataFrame(old, schema), path)
+    move = folders._move
+
+    def torn(spark, a, b):
+        if ".staged-" in a and b.endswith("PERIODO=200003"):
+            monkeypatch.setattr(folders, "_move", move)
+            raise OSError("store is gone")
+        move(spark, a, b)
+
+    monkeypatch.setattr(folders, "_move", torn)
+    with pytest.raises(OSError):
+        sink_replace_period(spark.createDataFrame([("200002", 8), ("200003", 9)], schema), path)
+    assert sorted((r["PERIODO"], r["V"]) for r in spark.read.schema(schema).parquet(path).collect()) == old
+
+
+def test_files_load_once(spark, tmp_path, monkeypatch):
+    from vigia.operators import sinks as L
+    folder, table, ledger = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "ledger")
+    folder.mkdir()
+    (folder / "a.txt").write_text("one\ntwo\n")
+    (folder / "copy_of_a.txt").write_text("one\ntwo\n")
+    (folder / "b.txt").write_text("three\n")
+    read = lambda spark, paths: spark.read.text(paths)
+    load = lambda: L.load_files(spark, str(folder), table, ledger, "T", read, "*.txt")
+    rows = lambda: sorted(r["value"] for r in L.loaded_rows(spark, table, ledger, "T", "value string").collect())
+    assert rows() == []
+    publish = L.publish
+    monkeypatch.setattr(L, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        load()
+    assert rows() == []                                   # a load that ends before publication shows nothing
+    monkeypatch.setattr(L, "publish", publish)
+    first = load()
+    assert rows() == ["one", "three", "two"]              # offered twice in the run, loaded once
+    assert load() is None and rows() == ["one", "three", "two"]
+    (folder / "late_copy.txt").write_text("three\n")
+    (folder / "c.txt").write_text("four\n")
+    assert load() not in (None, first) and rows() == ["four", "one", "three", "two"]
+    assert len(L.drop_unpublished(spark, table, ledger, "T")) == 1 and rows() == ["four", "one", "three", "two"]
+    assert L.load_files(spark, str(folder), table, ledger, "OTHER", read, "*.txt") is not None  # another target
+
+
+def test_skip_done_makes_one_suffix_a_length(spark):
+    from vigia.operators.transcripts import transcript_skip_done
+    pending = spark.createDataFrame([("77",), ("123",), ("9",), ("55",)], "call_id string")
+    done = spark.createDataFrame([("TC_x_123.txt",), ("TC_55.wav",), ("77.txt",), ("",), (None,)], "FILE_NAME string")
+    out = transcript_skip_done(pending, done)
+    assert sorted(r[0] for r in out.collect()) == ["55", "9"]
+    assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert transcript_skip_done(pending, done.limit(0)).count() == 4 and transcript_skip_done(pending.limit(0), done).isEmpty()
+
+
+def test_patch_receivers_of_one_key_are_spread(spark):
+    """A (product, evaluation) that holds most agents without a score: its receivers fall into many join keys."""
+    from vigia.operators.speech import PATCH_SALTS
+    salts = spark.range(3000).select(F.concat(F.lit("B"), "id").alias("REG_EV")).groupBy(F.pmod(F.xxhash64("REG_EV"), F.lit(PATCH_SALTS))).count().collect()
+    assert len(salts) == PATCH_SALTS and max(r["count"] for r in salts) < 200

@@ -51,13 +51,15 @@ def pending_transcripts(manual_detail: DataFrame, agents: DataFrame, period: Per
 def transcript_skip_done(pending: DataFrame, done_files: DataFrame) -> DataFrame:
     """Drop calls whose id ends an existing output name (``…{call_id}.txt``).
 
-    The suffix test is made an equi-join: every ``.txt`` name contributes all
-    suffixes of its stem (bounded by the name length), joined on equality.
+    The suffix test is made an equi-join by length: every ``.txt`` name gives one suffix for each length that a
+    pending id has (mostly one), and those are joined on equality.
     """
     stems = done_files.where(F.col("FILE_NAME").endswith(".txt")).select(
         F.expr("substring(FILE_NAME, 1, length(FILE_NAME) - 4)").alias("_S"))
-    suffixes = stems.select(F.explode(F.expr("transform(sequence(1, length(_S)), i -> substring(_S, i))")).alias("_X"))
-    return pending.join(suffixes.distinct(), pending["call_id"] == F.col("_X"), "left_anti")
+    lengths = pending.select(F.collect_set(F.length("call_id"))).scalar()   # one small list, read as a subquery
+    ends = stems.select("_S", F.explode(lengths).alias("_N")).where(F.col("_N") <= F.length("_S"))
+    suffixes = ends.select(F.expr("right(_S, _N)").alias("_X")).distinct()
+    return pending.join(suffixes, pending["call_id"] == F.col("_X"), "left_anti")
 
 
 def transcript_lines(turns: DataFrame) -> DataFrame:

@@ -992,8 +992,8 @@ def _q(spark, d):
 def _q(spark, d):
     from vigia.operators.sinks import load_ledger
     R = Roles(spark, d)
-    cand = R.r_done_files.select(F.col("FILE_NAME").alias("ARCHIVO"), F.lit("TRANSCRIPCIONES").alias("DESTINO"))
-    return load_ledger(cand, R.r_ledger)
+    cand = R.r_done_files.select(F.col("FILE_NAME").alias("ARCHIVO"), F.lit("TRANSCRIPCIONES").alias("DESTINO"), "HUELLA")
+    return load_ledger(cand.unionByName(cand), R.r_ledger)   # every file is offered twice in the run
 
 
 @register("export_distinct_keys")

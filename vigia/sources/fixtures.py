@@ -824,7 +824,8 @@ FROM conversations
 
 ROLE_SQL["r_done_files"] = f"""
 SELECT 'TC_' || {_pad('o_custkey', 8)} || '_' || CAST(o_orderkey AS STRING)
-       || CASE WHEN o_orderkey % 3 = 0 THEN '.txt' ELSE '.wav' END AS FILE_NAME
+       || CASE WHEN o_orderkey % 3 = 0 THEN '.txt' ELSE '.wav' END AS FILE_NAME,
+       md5('contenido ' || CAST(CAST(floor(o_orderkey / 3) AS BIGINT) AS STRING)) AS HUELLA
 FROM orders
 """
 
@@ -843,7 +844,8 @@ FROM orders
 
 ROLE_SQL["r_ledger"] = f"""
 SELECT 'TC_' || {_pad('o_custkey', 8)} || '_' || CAST(o_orderkey AS STRING) || '.txt' AS ARCHIVO,
-       CASE WHEN o_orderkey % 2 = 0 THEN 'TRANSCRIPCIONES' ELSE 'OTRO' END AS DESTINO
+       CASE WHEN o_orderkey % 2 = 0 THEN 'TRANSCRIPCIONES' ELSE 'OTRO' END AS DESTINO,
+       CASE WHEN o_orderkey % 5 > 0 THEN md5('contenido ' || CAST(CAST(floor(o_orderkey / 3) AS BIGINT) AS STRING)) END AS HUELLA
 FROM orders
 """
 
