@@ -11,7 +11,8 @@ FINAL = {
     "read_csv_tolerant": f"SELECT ID, ESTADO, PRIORIDAD, 'x' AS EXTRA FROM ({_O})",
     "read_tsv_all_string": _O,
     "read_report_with_preamble": """
-SELECT CAST(o_orderkey AS VARCHAR) AS ID, o_orderstatus AS ESTADO,
+SELECT CAST(o_orderkey AS VARCHAR) AS ID,
+       o_orderstatus || CASE WHEN o_orderkey % 4 = 1 THEN ', "' || o_orderstatus || '"' ELSE '' END AS ESTADO,
        CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 THEN NULL ELSE 'v' END AS column_3,
        o_orderpriority AS PRIORIDAD,
        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS FECHA

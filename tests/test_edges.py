@@ -364,3 +364,84 @@ def test_patch_receivers_of_one_key_are_spread(spark):
     from vigia.operators.speech import PATCH_SALTS
     salts = spark.range(3000).select(F.concat(F.lit("B"), "id").alias("REG_EV")).groupBy(F.pmod(F.xxhash64("REG_EV"), F.lit(PATCH_SALTS))).count().collect()
     assert len(salts) == PATCH_SALTS and max(r["count"] for r in salts) < 200
+
+
+def test_tracking_merge_rewrites_only_touched_buckets(spark, tmp_path):
+    from vigia.operators import requests as RQ
+    path = str(tmp_path / "tracking")
+    schema = "reg_ev string, dni string, estado string, timestamp string"
+    first = [(f"B{k:05}", f"{k:08}", "pendiente", "2000-03-01T10:00:00") for k in range(300)]
+    RQ.tracking_merge(spark, path, spark.createDataFrame(first, schema))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before = files()
+    events = spark.createDataFrame([("B00007", "00000007", "no_encontrado", "2000-03-02T10:00:00"), ("B00007", "00000007", "old", "2000-02-02T10:00:00")], schema)
+    assert len(RQ.tracking_merge(spark, path, events)) == 1
+    after = files()
+    changed = {p for p in before.keys() | after.keys() if before.get(p) != after.get(p)}
+    assert len({p.rsplit("/", 2)[1] for p in changed}) == 1      # one CUBO= folder
+    rows = {r["dni"]: (r["estado"], r["NO_ENCONTRADO"]) for r in RQ.read_tracking(spark, path).collect()}
+    assert len(rows) == 300 and rows.pop("00000007")[0] == "no_encontrado" and {v[0] for v in rows.values()} == {"pendiente"}
+    assert RQ.tracking_merge(spark, path, events.limit(0)) == []
+    plan = RQ.read_tracking(spark, path, only=[3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(CUBO" in plan or "PartitionFilters: [(CUBO" in plan
+
+
+def test_consent_history_is_read_without_an_exchange(spark, tmp_path):
+    from vigia.operators import consent as C
+    leads = spark.createDataFrame([("PP", f"{k:08}", "S", "UF1", None, None) for k in range(50)], "TIP_CLIENTE string, NUMERO_DOCUMENTO string, VARIABLE_26 string, USERFIELD5 string, VARIABLE_3 string, VARIABLE_4 string")
+    name = C.consent_history(spark, str(tmp_path / "hist_a"), 8)
+    C.append_consent(spark.createDataFrame([("PP", f"PP_{k:08}_S_UF1") for k in range(0, 50, 2)] + [("PP", None)], "TABLA string, CODE string"), name)
+    C.append_consent(spark.createDataFrame([("PP", "PP_00000001_S_UF1"), ("TC", "PP_00000003_S_UF1")], "TABLA string, CODE string"), name)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = C.consent_increment(leads, leads.limit(0), spark.table(name), P)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(int(r["NUM_DOCUMENTO"]) for r in out.collect()) == list(range(3, 50, 2))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = plan.splitlines()
+    at = next(k for k, x in enumerate(lines) if "hist_a" in x and "Scan" in x or name in x)
+    # Going up from the history's scan to the join, nothing is exchanged.
+    depth, up = len(lines[at]) - len(lines[at].lstrip(" :+-")), []
+    for x in reversed(lines[:at]):
+        d = len(x) - len(x.lstrip(" :+-"))
+        if d < depth:
+            depth = d
+            up.append(x)
+            if "SortMergeJoin" in x:
+                break
+    assert "SortMergeJoin" in up[-1] and not any("Exchange" in x for x in up), plan
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_observed_feeds_are_not_scanned_again(spark):
+    from vigia.operators import audit as A
+    feed = spark.createDataFrame([(k, dt.datetime(2000, 3, 1 + k)) for k in range(9)], "DIA int, D timestamp_ntz")
+    watched, stored = A.FeedAudit({"ALL": "TRUE", "LOW": "DIA < 3", "NONE": "DIA > 99"}, "FEED", "D").on(feed)
+    empty, nothing = A.FeedAudit({}, "EMPTY", "D").on(feed.limit(0))
+    for df in (watched, empty):
+        df.write.format("noop").mode("overwrite").save()
+    counts = A.source_counts(spark, [stored])
+    assert [tuple(r) for r in counts.collect()] == [("ALL", 9, "OK"), ("LOW", 3, "OK"), ("NONE", 0, "VACIA")]
+    checks = A.feed_periods(spark, [stored, nothing], P)
+    assert [tuple(r) for r in checks.collect()] == [("FEED", 9, dt.datetime(2000, 3, 9), "200003", True), ("EMPTY", 0, None, None, False)]
+    assert "FileScan" not in counts._jdf.queryExecution().executedPlan().toString()
+    same = A.audit_feed_period(feed, "D", P, "FEED").collect()
+    assert [tuple(r) for r in same] == [tuple(checks.collect()[0])]
+
+
+def test_report_cells_in_quotes(spark, tmp_path):
+    from vigia.sources.readers import read_report_with_preamble
+    rows = [("1", 'a, "b"', "x"), ("2", "plain", ""), ("3", '""', "y,z"), ("4", ",", None)]
+    def cell(v):
+        return "" if v is None else '"' + v.replace('"', '""') + '"' if any(c in v for c in ',"') else v
+    lines = ["title, with comma"] + ['ID,"NAME, FULL",'] + [",".join(map(cell, r)) for r in rows] * 400
+    (tmp_path / "r.csv").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = read_report_with_preamble(spark, str(tmp_path / "r.csv"), header_line=2)
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert df.columns == ["ID", "NAME, FULL", "column_3"]
+    assert got == sorted([("1", 'a, "b"', "x"), ("2", "plain", None), ("3", '""', "y,z"), ("4", ",", None)] * 400, key=lambda r: (r[0], r[1], r[2]))

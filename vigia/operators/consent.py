@@ -8,9 +8,10 @@ table in one pass and the whole increment is one ``left_anti`` join on
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.params import Period
@@ -70,10 +71,32 @@ def consent_candidates(leads: DataFrame, leads_digital: DataFrame, period: Perio
     return out.distinct()
 
 
+#: Hash buckets of a stored history: at least the tasks that a month's join should have.
+HISTORY_BUCKETS = 64
+
+
+def consent_history(spark: SparkSession, path: str, buckets: int = HISTORY_BUCKETS) -> str:
+    """Name of the history table at ``path``, bucketed by (table, code); it is created when missing.
+
+    A month's candidates are then dealt out by those buckets and meet the stored codes where they lie: the
+    history is read without an exchange. The session's catalog knows the table, the files are at ``path``.
+    """
+    name = "consent_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (TABLA STRING, CODE STRING) USING parquet "
+              f"CLUSTERED BY (TABLA, CODE) SORTED BY (TABLA, CODE) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return name
+
+
+def append_consent(rows: DataFrame, name: str) -> None:
+    """Append codes to a stored history; rows without a code are never found again, so they need no place in it."""
+    rows.where(F.col("CODE").isNotNull()).select("TABLA", "CODE").write.insertInto(name)
+
+
 def consent_increment(leads: DataFrame, leads_digital: DataFrame, history: DataFrame, period: Period) -> DataFrame:
     """Rows to append: codes not yet stored in their table (NULL codes are always appended)."""
     cand = consent_candidates(leads, leads_digital, period)
-    stored = history.select(F.col("TABLA").alias("_T"), F.col("CODE").alias("_C")).where(F.col("_C").isNotNull())
+    # Merged in place: a history that is bucketed by (table, code) moves neither by shuffle nor by broadcast.
+    stored = history.select(F.col("TABLA").alias("_T"), F.col("CODE").alias("_C")).where(F.col("_C").isNotNull()).hint("merge")
     return cand.join(stored, (cand["TABLA"] == stored["_T"]) & (cand["CODE"] == stored["_C"]), "left_anti")
 
 

@@ -510,9 +510,11 @@ def _q(spark, d):
 
 @register("consent_increment")
 def _q(spark, d):
-    from vigia.operators.consent import consent_increment
+    from vigia.operators.consent import append_consent, consent_history, consent_increment
     R = Roles(spark, d)
-    return consent_increment(R.r_leads, R.r_leads_digital, R.r_consent_hist, FIXTURE_PERIOD)
+    stored = consent_history(spark, _scratch(spark, "consent"))
+    append_consent(R.r_consent_hist, stored)
+    return consent_increment(R.r_leads, R.r_leads_digital, spark.table(stored), FIXTURE_PERIOD)
 
 
 @register("consent_reset")
@@ -767,7 +769,10 @@ def _q(spark, d):
 @register("tracking_upsert")
 def _q(spark, d):
     R, RQ = _rq(spark, d)
-    return RQ.tracking_upsert(R.r_tracking, R.r_tracking_events)
+    path = _scratch(spark, "tracking")
+    for events in (R.r_tracking, R.r_tracking_events):
+        RQ.tracking_merge(spark, path, events)
+    return RQ.read_tracking(spark, path).drop("CUBO")
 
 
 @register("phones_recent_campaigns")
@@ -825,25 +830,16 @@ def _q(spark, d):
 
 @register("audit_source_counts")
 def _q(spark, d):
-    from vigia.operators.audit import audit_source_counts
+    from vigia.operators.audit import source_counts
     R = Roles(spark, d)
-    p = FIXTURE_PERIOD
-    day, sales = F.col("DIA").between(p.corte_dia_inicio_1, p.corte_dia_fin_2), R.r_sales
-    srcs = [("SPEECH", R.r_speech, None), ("EVALUACIONES", R.r_eval, None),
-            *((f"VENTAS_{k}", sales, (F.col("PRODUCTO") == k) & cond) for k, cond in (
-                ("TC", day), ("PP", day), ("CON", day), ("BNB", day), ("BNC", F.col("DIA").between(1, 31)),
-                ("EC", F.col("DIA").between(1, 31)), ("CHIP", F.col("MESDESEMBOLSO") == p.periodo), ("XX", F.lit(True))))]
-    return audit_source_counts(srcs)
+    return source_counts(spark, [R.observed(feed) for feed in ("r_speech", "r_eval", "r_sales")])
 
 
 @register("audit_feed_period")
 def _q(spark, d):
-    from vigia.operators.audit import audit_feed_period
+    from vigia.operators.audit import feed_periods
     R = Roles(spark, d)
-    p = FIXTURE_PERIOD
-    return (audit_feed_period(R.r_eval, "conversationStartTime", p, "EVALUACIONES")
-            .unionByName(audit_feed_period(R.r_observation, "FECHA_CREADO", p, "OBSERVACIONES"))
-            .unionByName(audit_feed_period(R.r_traffic_batch, "FEC_LLAMADA", p, "TRAFICO")))
+    return feed_periods(spark, [R.observed(feed) for feed in ("r_eval", "r_observation", "r_traffic_batch")], FIXTURE_PERIOD)
 
 
 @register("reporting_window")
@@ -869,15 +865,15 @@ def _orders_text(spark):
                     F.col("o_orderdate").cast("date").cast("string").alias("FECHA"), F.col("o_orderkey").alias("_K"))
 
 
-def _write_text_files(spark, lines, name: str, files: int = 4) -> str:
-    """Write ``lines`` (R = file number, ORD = order within the file, value) as ``files`` text files."""
-    keys = {r[1]: r[0] for r in spark.range(0, 64).select(
-        "id", F.expr(f"pmod(hash(id), {files})").alias("pp")).collect()}
-    key_map = F.create_map(*[x for i in range(files) for x in (F.lit(i), F.lit(keys[i]).cast("bigint"))])
+def _write_text_files(spark, lines, name: str) -> str:
+    """Write ``lines`` (R = file number, ORD = order within the file, value) as a text file for each R, in many tasks."""
     path = _scratch(spark, name)
-    (lines.withColumn("PK", key_map[F.col("R")]).repartition(files, "PK").sortWithinPartitions("R", "ORD")
-          .select("value").write.text(path))
-    return path
+    (lines.repartitionByRange(_text_files(spark), "R").sortWithinPartitions("R", "ORD").select("R", "value").write.partitionBy("R").text(path))
+    return f"{path}/*"
+
+
+def _text_files(spark) -> int:
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @register("read_csv_tolerant")
@@ -888,8 +884,9 @@ def _q(spark, d):
     # Every fifth line carries two more fields than the header.
     line = F.concat_ws(",", "ID", "ESTADO", "PRIORIDAD",
                        F.when(F.col("_K") % 5 == 0, F.lit("x,sobra1,sobra2")).otherwise(F.lit("x")))
-    data = o.select((F.col("_K") % 4).alias("R"), F.col("_K").alias("ORD"), line.alias("value"))
-    head = spark.range(4).select(F.col("id").alias("R"), F.lit(-1).cast("bigint").alias("ORD"),
+    n = _text_files(spark)
+    data = o.select((F.col("_K") % n).alias("R"), F.col("_K").alias("ORD"), line.alias("value"))
+    head = spark.range(n).select(F.col("id").alias("R"), F.lit(-1).cast("bigint").alias("ORD"),
                                  F.lit("ID,ESTADO,PRIORIDAD,EXTRA").alias("value"))
     return read_csv_tolerant(spark, _write_text_files(spark, data.unionByName(head), "csv"))
 
@@ -903,26 +900,26 @@ def _q(spark, d):
     return read_tsv_all_string(spark, path)
 
 
-REPORT_FILES = 4
-
-
 @register("read_report_with_preamble")
 def _q(spark, d):
     from vigia.sources.readers import read_report_with_preamble
     Roles(spark, d)
     o = _orders_text(spark)
+    # Some cells hold separators and quotes, as a report writes them: in quotes, inner quotes doubled.
+    quoted_state = F.when(F.col("_K") % 4 == 1, F.concat(F.lit('"'), "ESTADO", F.lit(', ""'), "ESTADO", F.lit('"""'))).otherwise(F.col("ESTADO"))
     data_line = F.concat_ws(
-        ",", "ID", "ESTADO", F.when(F.col("_K") % 5 == 0, F.lit(" ")).otherwise(F.lit("v")), "PRIORIDAD",
+        ",", "ID", quoted_state, F.when(F.col("_K") % 5 == 0, F.lit(" ")).otherwise(F.lit("v")), "PRIORIDAD",
         F.when(F.col("_K") % 7 == 0, F.lit(None)).otherwise(F.col("FECHA")),
         F.when(F.col("_K") % 11 == 0, F.lit("sobra")).otherwise(F.lit(None)))
-    data_line = F.when(F.col("_K") % 7 == 0, F.concat_ws(",", "ID", "ESTADO", F.lit("v"), "PRIORIDAD")) \
+    data_line = F.when(F.col("_K") % 7 == 0, F.concat_ws(",", "ID", quoted_state, F.lit("v"), "PRIORIDAD")) \
         .otherwise(data_line)
-    data = o.select((F.col("_K") % REPORT_FILES).alias("R"), F.col("_K").alias("ORD"), data_line.alias("value"))
-    pre = spark.range(REPORT_FILES).select(F.col("id").alias("R"), F.explode(F.sequence(F.lit(1), F.lit(29))).alias("N"))
+    n = _text_files(spark)
+    data = o.select((F.col("_K") % n).alias("R"), F.col("_K").alias("ORD"), data_line.alias("value"))
+    pre = spark.range(n).select(F.col("id").alias("R"), F.explode(F.sequence(F.lit(1), F.lit(29))).alias("N"))
     pre = pre.select("R", (F.col("N") - 100).alias("ORD"),
                      F.when(F.col("N") == 29, F.lit("ID,ESTADO,,PRIORIDAD,FECHA"))
                       .otherwise(F.concat(F.lit("Reporte de gestion - linea "), F.col("N").cast("string"))).alias("value"))
-    path = _write_text_files(spark, data.unionByName(pre), "report", REPORT_FILES)
+    path = _write_text_files(spark, data.unionByName(pre), "report")
     return read_report_with_preamble(spark, path, header_line=29)
 
 

@@ -17,6 +17,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigia.operators.audit import FeedAudit
 from vigia.params import Period
 
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -850,6 +851,21 @@ FROM orders
 """
 
 
+def _audited() -> dict[str, FeedAudit]:
+    p = FIXTURE_PERIOD
+    day, whole, product = f"DIA BETWEEN {p.corte_dia_inicio_1} AND {p.corte_dia_fin_2}", "DIA BETWEEN 1 AND 31", "PRODUCTO = '{}' AND {}".format
+    sales = {"TC": day, "PP": day, "CON": day, "BNB": day, "BNC": whole, "EC": whole, "CHIP": f"MESDESEMBOLSO = '{p.periodo}'", "XX": "TRUE"}
+    return {"r_speech": FeedAudit({"SPEECH": "TRUE"}),
+            "r_eval": FeedAudit({"EVALUACIONES": "TRUE"}, "EVALUACIONES", "conversationStartTime"),
+            "r_sales": FeedAudit({f"VENTAS_{k}": product(k, cond) for k, cond in sales.items()}),
+            "r_observation": FeedAudit({}, "OBSERVACIONES", "FECHA_CREADO"),
+            "r_traffic_batch": FeedAudit({}, "TRAFICO", "FEC_LLAMADA")}
+
+
+#: What is counted of a feed while it is stored.
+AUDITED = _audited()
+
+
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the driver's parquet tables as temp views (lazy: nothing is read)."""
     for t in BASE_TABLES:
@@ -879,9 +895,19 @@ class Roles:
         from vigia.session import cut_lineage
         key = (id(self.spark._jsparkSession), self.sf_dir, name)
         if key not in Roles._stored:
-            Roles._stored[key] = cut_lineage(self.spark.table(name), name)
+            feed = self.spark.table(name)
+            if name in AUDITED:
+                feed, Roles._audits[key] = AUDITED[name].on(feed)
+            Roles._stored[key] = cut_lineage(feed, name)
         return Roles._stored[key]
 
+    _audits: dict[tuple, object] = {}
+
+    def observed(self, name: str):
+        """What was counted while the feed was stored (see :mod:`vigia.operators.audit`)."""
+        self.table(name)
+        return Roles._audits[(id(self.spark._jsparkSession), self.sf_dir, name)]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLE_SQL:
             return self.table(name)

@@ -7,6 +7,7 @@ one header line are looked at on the driver.
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,9 @@ def read_report_with_preamble(spark: SparkSession, paths: str | list[str], heade
     is data. Each file has its own header: columns are the names of all headers,
     in order of first appearance by file, and a row's cells go to the names of
     its file. Blank header cells become ``column_{i}``; missing cells and blank
-    values become NULL, cells beyond the header are cut.
+    values become NULL, cells beyond the header are cut. A cell in double quotes may
+    hold separators and doubled quotes (not line ends: a line is a row). The driver
+    holds the header lines, one a file.
     """
     raw = spark.read.text(paths).select(
         F.col("value").alias("_L"), F.col("_metadata.file_path").alias("_F"),
@@ -46,12 +49,13 @@ def read_report_with_preamble(spark: SparkSession, paths: str | list[str], heade
     starts = raw.where(F.col("_B") == 0).groupBy(F.col("_F").alias("_SF")).agg(F.min("_ID").alias("_FIRST"))
     numbered = raw.join(starts, raw["_F"] == starts["_SF"], "left").drop("_SF")
     line = F.when(F.col("_B") == 0, F.col("_ID") - F.col("_FIRST") + 1)
-    cells = F.split(F.col("_L"), re.escape(sep))
-    names = F.transform(cells, lambda x, i: F.when(F.trim(x) == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(F.trim(x)))
-    # One row per file; the driver needs the names to make columns of them.
-    found = numbered.where(line == header_line).select(F.col("_F").alias("_HF"), names.alias("_H")).orderBy("_HF").collect()
+    found = numbered.where(line == header_line).select(F.col("_F").alias("_HF"), F.col("_L").alias("_H")).orderBy("_HF").collect()
     if not found:
         raise ValueError(f"no line {header_line} in {paths}")
+    found = [{"_HF": r["_HF"], "_H": [x.strip() or f"column_{k}" for k, x in enumerate(next(csv.reader([r["_H"]], delimiter=sep), [""]), 1)]} for r in found]
+    width = max(len(r["_H"]) for r in found)
+    parsed = F.from_csv("_L", ", ".join(f"c{k} string" for k in range(width)), {"sep": sep, "quote": '"', "escape": '"'})
+    cells = F.array(*[parsed[f"c{k}"] for k in range(width)])
     order = list(dict.fromkeys(n for r in found for n in r["_H"]))
     per_file = spark.createDataFrame([(r["_HF"], r["_H"]) for r in found], "_HF string, _H array<string>")
     data = numbered.where(F.coalesce(line > header_line, F.lit(True)))
