@@ -44,9 +44,10 @@ def test_near_duplicates_match_all_pairs(spark, size):
     assert near_dedup.near_duplicates(empty(spark)).isEmpty()
 
 
-def test_group_around_a_base_and_common_passage(spark, monkeypatch):
+@pytest.mark.parametrize("turns", [0, 1, 2])
+def test_group_around_a_base_and_common_passage(spark, monkeypatch, turns):
     """Many copies on both sides of the threshold, and unlike texts with one passage: hubs, bounds and the last pairs."""
-    monkeypatch.setattr(near_dedup, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(near_dedup, "HUB_TURNS", turns)
     base, passage = prose(5, 200), prose(6, 60)
     rows = [(7, base)] + [(10 + k, edited(base, k, 0.002 * k)) for k in range(60)]
     rows += [(100 + k, f"{passage} {prose(900 + k, 25)}") for k in range(40)]

@@ -25,13 +25,21 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node that hangs on none: one aggregate."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 OR hangs = 1 AND holds = 1").isEmpty()
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of ``links`` (u, v) that are not their component's smallest node."""
+    now = stage(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    while not _are_stars(now):
+        now = stage(_small_star(_large_star(now)), "links")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (u, v); the component is its smallest node."""
-    now, before = stage(links.select("u", "v").filter("u != v").distinct(), "links"), None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-        now = stage(_small_star(_large_star(now)), "links")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    own = stars(links)
+    return own.unionByName(own.select(F.col("component").alias("node"), "component").distinct())

@@ -8,15 +8,16 @@
    of the hash range. A text with too many of its own leaves, and a pair whose bounds and sizes exclude the
    threshold is not made. Both tests are exact.
    Then each row of a bucket is paired with one hub, the member with most partners; links form
-   components, and rows of one component need no further comparison. Another hub follows while that
-   halves the open pairs. The pairs between components that the bounds still allow are compared
-   one by one, so no link is lost beyond the banding's stated probability, and the copies of a group are
-   not paired with each other.
+   components, and rows of one component need no further comparison. In a second turn the rows of buckets
+   that still hold several components meet another hub. The pairs between components that the bounds still
+   allow are then compared one by one, so no link is lost beyond the banding's stated probability, and the
+   copies of a group are not paired with each other. Each turn joins the components found before it: only
+   its own links, between components, form the next ones.
 4. A candidate's signatures are compared batch by batch; after each, it is dropped when the posterior
-   probability of reaching the threshold (uniform prior) is under MISS. Survivors are confirmed exactly
-   on the full shingle sets of the texts.
+   probability of reaching the threshold (uniform prior) is under MISS. Survivors are confirmed on the
+   full shingle sets of the texts, as 64-bit hashes of their shingles.
 
-Defined results: null and empty texts have no shingles and stay alone; fewer words than a shingle form
+Defined results: ids are integers; null and empty texts have no shingles and stay alone; fewer words than a shingle form
 one shingle; rows with a null id stay alone (component null); rows that share an id are one document,
 whose links are united; an empty table gives no rows; other columns are not read.
 """
@@ -32,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigia.llm.common import WordHashes, lists, mapped, prune_scans_at_run_time, shingles, stage, table
-from vigia.llm.components import components
+from vigia.llm.components import stars
 
 SIZE, PERCENT = 5, 80
 BANDS, ROWS, BATCH, MISS = 30, 5, 30, 1e-6
 HASHES = BANDS * ROWS
 CELLS = 32
-#: Over so many open pairs for each row of the bucket table, another hub comes before comparing one by one.
-PAIRS_PER_ROW = 4
+#: Turns in which the rows of a bucket meet one of them, before the rest is compared one by one.
+HUB_TURNS = 2
 
 
 def missed(similarity: float) -> float:
@@ -102,6 +103,11 @@ def _signed(size: int):
     return run
 
 
+#: Two ids, the smaller one first, and the components that they are in so far.
+_PAIR = ["a", "b", "la", "lb"]
+_PAIRS = "a long, b long, la long, lb long"
+
+
 def _likely(batches):
     """Sequential test of candidate pairs on their signatures."""
     need = least_matches(PERCENT / 100)
@@ -112,7 +118,7 @@ def _likely(batches):
             at = slice(k * BATCH, (k + 1) * BATCH)
             agree[alive] += (a[alive, at] == b[alive, at]).sum(1, dtype=np.int32)
             alive = alive[agree[alive] >= least]
-        yield batch.select(["a", "b"]).take(pa.array(alive))
+        yield batch.select(_PAIR).take(pa.array(alive))
 
 
 def _confirmed(size: int, percent: int):
@@ -128,56 +134,44 @@ def _confirmed(size: int, percent: int):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both and 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield batch.select(_PAIR).take(pa.array(keep, pa.int64()))
 
     return run
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach the threshold; staged."""
+    """Pairs whose sets reach the threshold; staged. Pairs of an id with several texts may be repeated."""
     left, right = (sigs.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    likely = stage(mapped(pairs.join(left, "a").join(right, "b"), _likely, "a long, b long").distinct(), "near-likely")
+    likely = stage(mapped(pairs.join(left, "a").join(right, "b"), _likely, _PAIRS), "near-likely")
     likely = prune_scans_at_run_time(likely).filter("a < b")
     own = docs.select("id", "t")
     wide = likely.join(own.select(F.col("id").alias("a"), F.col("t").alias("text_a")), "a")
     wide = wide.join(own.select(F.col("id").alias("b"), F.col("t").alias("text_b")), "b")
-    return stage(mapped(wide, _confirmed(size, percent), "a long, b long").distinct(), "near-links")
+    return stage(mapped(wide, _confirmed(size, percent), _PAIRS), "near-links")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("l", F.col("c"))
-    return members.join(labels.select(F.col("node").alias("c"), F.col("component").alias("l")), "c", "left").withColumn("l", F.coalesce("l", "c"))
+def _relabelled(df: DataFrame, step: DataFrame) -> DataFrame:
+    """``df`` with its components l mapped by (node, component)."""
+    return df.join(step.withColumnRenamed("node", "l"), "l", "left").withColumn("l", F.coalesce("component", "l")).drop("component")
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component, with how many rows each component has there."""
+    """Rows of buckets that hold more than one component."""
     live = members.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("bucket")
     return members.join(live, "bucket", "left_semi")
 
 
-def _crossing(members: DataFrame) -> float:
-    """Pairs of rows that share a bucket and not a component."""
-    each = members.groupBy("bucket", "l").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    total = each.groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("p"))
-    return total.agg(F.sum("p")).first()[0] or 0.0
-
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _pair(c: str, l: str, c2: str, l2: str) -> list:
+    first = F.col(c) < F.col(c2)
+    return [F.least(c, c2).alias("a"), F.greatest(c, c2).alias("b"), F.when(first, F.col(l)).otherwise(F.col(l2)).alias("la"), F.when(first, F.col(l2)).otherwise(F.col(l)).alias("lb")]
 
 
 def _hub_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each row with its bucket's hub: first the member with most bucket partners, later another one each turn."""
-    if turn == 0:
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
-        weight = members.join(sizes, "bucket").groupBy("c").agg((-F.sum("k")).alias("w"))
-        members = members.join(weight, "c")
-    else:
-        members = members.withColumn("w", F.xxhash64("c", F.lit(turn)))
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("w", "c", "l", "n", "m", "cells")).alias("hub"))
+    """Each row with its bucket's hub: first the member with most bucket partners, then another one."""
+    rank = -F.col("w") if turn == 0 else F.xxhash64("c", F.lit(turn))
+    hubs = members.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "c", "l", "n", "m", "cells")).alias("hub"))
     pairs = members.join(hubs, "bucket").filter((F.col("l") != F.col("hub.l")) & _allowed(("n", "m", "cells"), ("hub.n", "hub.m", "hub.cells"), percent))
-    return pairs.select(*_ordered("c", "hub.c")).distinct()
+    return pairs.select(*_pair("c", "l", "hub.c", "hub.l")).distinct()
 
 
 def _allowed(one: tuple, two: tuple, percent: int):
@@ -195,7 +189,7 @@ def _pairs_between(members: DataFrame, percent: int) -> DataFrame:
     """The pairs of a bucket's rows in different components that their bounds allow."""
     two = members.select("bucket", *(F.col(k).alias(f"{k}2") for k in ("c", "l", "n", "m", "cells")))
     allowed = _allowed(("n", "m", "cells"), ("n2", "m2", "cells2"), percent)
-    return members.join(two, (members["bucket"] == two["bucket"]) & (F.col("l") < F.col("l2")) & allowed).select(*_ordered("c", "c2")).distinct()
+    return members.join(two, (members["bucket"] == two["bucket"]) & (F.col("l") < F.col("l2")) & allowed).select(*_pair("c", "l", "c2", "l2")).distinct()
 
 
 def _items(size: int):
@@ -210,22 +204,23 @@ def _items(size: int):
 
 
 def _bounded(members: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
-    """``members`` with n (shingles) and m (those that another candidate text holds too), where m allows a link.
+    """``members`` with n (shingles), m (those that another candidate text holds too) and w (partners), where m allows a link.
 
     All counts are of one text (d, from the digest of its shingles), never of all texts of an id.
     """
-    some = stage(members.select("c", "d").distinct(), "near-some")
+    some = stage(members.groupBy("c", "d").agg(F.sum("k").alias("w")), "near-some")
     known = prune_scans_at_run_time(some.select(F.col("c").alias("id"))).filter("id >= 0 OR id < 0")
     items = mapped(docs.select("id", "t").join(known, "id", "left_semi"), _items(size), "digest binary, items array<long>").select(F.xxhash64("digest").alias("d"), "items")
     owners = items.select("d", F.explode("items").alias("s")).groupBy("s").agg(F.min("d").alias("d"), F.max("d").alias("hi"))
     # s is signed: its cell is that of the unsigned hash.
-    own = owners.filter("d = hi").groupBy("d", F.expr(f"int(pmod(s, {CELLS}))").alias("cell")).agg(F.count(F.lit(1)).cast("int").alias("u"))
-    own = own.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("cell", "u"))).alias("own"))
-    shared = F.transform("cells", lambda v, k: v - F.coalesce(F.col("own")[k], F.lit(0)))
-    bound = some.select("d").join(sizes, "d").join(own, "d", "left").withColumn("cells", F.when(F.col("own").isNull(), F.col("cells")).otherwise(shared))
+    cell = F.expr(f"int(pmod(s, {CELLS}))")
+    own = owners.filter("d = hi").groupBy("d").agg(*[F.count_if(cell == k).cast("int").alias(f"u{k}") for k in range(CELLS)])
+    own = own.select("d", F.array(*[f"u{k}" for k in range(CELLS)]).alias("own"))
+    shared = F.zip_with("cells", "own", lambda v, u: v - u)
+    bound = some.select("d", "w").join(sizes, "d").join(own, "d", "left").withColumn("cells", F.when(F.col("own").isNull(), F.col("cells")).otherwise(shared))
     bound = bound.withColumn("m", F.aggregate("cells", F.lit(0).cast("long"), lambda t, v: t + v))
-    bound = bound.filter(100 * F.col("m") >= percent * F.col("n")).select("d", "n", "m", "cells")
-    return stage(members.join(bound, "d").drop("d"), "near-bounded")
+    bound = bound.filter(100 * F.col("m") >= percent * F.col("n")).select("d", "n", "m", "w", "cells")
+    return members.drop("k").join(bound, "d").drop("d").withColumn("l", F.col("c"))
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -233,40 +228,38 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", size:
     docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     signed = stage(mapped(docs, _signed(size), "id long, n long, digest binary, cells array<int>, bands array<long>, sig array<smallint>"), "near-signed")
     full = signed.filter("n > 0 AND id IS NOT NULL")
-    classes = stage(full.groupBy("n", "digest").agg(F.min("id").alias("c")), "near-classes")
-    leaders = stage(full.join(classes.select(F.col("c").alias("id"), "n", "digest"), ["id", "n", "digest"], "left_semi").select("id", F.xxhash64("digest").alias("d"), "n", "cells", "bands", "sig"), "near-leaders")
-    sigs = leaders.select("id", "sig")
+    # The leader of each class with what it brings along: copies are combined before they move.
+    led = full.groupBy("n", "digest").agg(F.min(F.struct("id", "cells", "bands", "sig")).alias("x"))
+    leaders = stage(led.select("n", "digest", F.xxhash64("digest").alias("d"), "x.*"), "near-leaders")
+    classes = leaders.select("n", "digest", F.col("id").alias("c"))
     rows = leaders.select(F.col("id").alias("c"), "d", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    members = stage(rows.join(shared, "bucket", "left_semi").select("bucket", "c", "d").distinct(), "near-members")
+    shared = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo < hi").select("bucket", "k")
+    members = stage(rows.join(shared, "bucket").select("bucket", "c", "d", "k"), "near-members")
 
     known = docs.filter("id IS NOT NULL")
-    members = _bounded(members, known, leaders.select("d", "n", "cells"), size, percent)
-    links, labels, tested, turn, before = None, None, None, 0, float("inf")
-    while True:
-        live = stage(_open(_labelled(members, labels)), "near-open")
-        left = _crossing(live)
-        if not left:
+    live = stage(_bounded(members, known, leaders.select("d", "n", "cells"), size, percent), "near-bounded")
+    links, steps = None, []
+    for turn in range(HUB_TURNS + 1):
+        if turn:
+            live = stage(_open(_relabelled(live, steps[-1])), "near-open")
+        if live.isEmpty():
             break
-        last = turn > 0 and (left > before / 2 or left <= PAIRS_PER_ROW * live.count())
-        pairs = _pairs_between(live, percent) if last else _hub_pairs(live, turn, percent)
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = _verify(pairs, sigs, known, size, percent)
+        pairs = _hub_pairs(live, turn, percent) if turn < HUB_TURNS else _pairs_between(live, percent)
+        found = _verify(stage(pairs, "near-pairs"), leaders.select("id", "sig"), known, size, percent)
         links = found if links is None else links.unionByName(found)
-        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if last:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        before, turn = left, turn + 1
+        steps.append(stars(found.select(F.col("la").alias("u"), F.col("lb").alias("v"))))
 
     # Rows -> class -> component; classes of one id are one document.
-    at = signed.select("id", "n", "digest").join(classes, ["n", "digest"], "left")
-    same = at.filter("id != c").select(F.col("id").alias("u"), F.col("c").alias("v"))
+    at = signed.select("id", "n", "digest").join(classes, ["n", "digest"], "left").withColumn("l", F.col("c"))
     repeated = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("id")
-    if not repeated.isEmpty():  # an id with several texts joins their classes
-        links = same if links is None else same.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        labels, at = components(links), at.withColumn("c", F.when(F.col("c").isNotNull(), F.col("id")))
-    out = _labelled(at, labels).withColumn("component_id", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("l", "id")))
+    if repeated.isEmpty():
+        for step in steps:
+            at = _relabelled(at, step)
+    else:  # an id with several texts joins their classes
+        same = at.filter("id != c").select(F.col("id").alias("u"), F.col("c").alias("v"))
+        both = same if links is None else same.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        at = _relabelled(at.withColumn("l", F.when(F.col("c").isNotNull(), F.col("id"))), stars(both))
+    out = at.withColumn("component_id", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("l", "id")))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
 
 
