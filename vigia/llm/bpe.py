@@ -32,7 +32,7 @@ from vigia.llm.common import mapped, table, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what a worker remembers (states, pieces): about 260 MB, or 140 MB where memory is shared with more.
-ROOM, SMALL_ROOM = (300_000, 400_000), (100_000, 150_000)
+ROOM, SMALL_ROOM = (300_000, 400_000), (60_000, 80_000)
 LONGEST_KEPT_PIECE = 40
 
 
@@ -293,7 +293,13 @@ _codecs: dict[tuple, Codec] = {}
 
 
 def codec(content: bytes, pattern: str, room: tuple[int, int]) -> Codec:
-    """One codec per Python worker: its tables serve all batches and tasks."""
+    """One codec per Python worker: its tables serve all batches and tasks.
+
+    The small one, for workers that serve other operators too, goes with its task.
+    """
+    if room == SMALL_ROOM:
+        _codecs.clear()
+        return Codec(content, pattern, room)
     if (content, pattern, room) not in _codecs:
         _codecs.clear()
         _codecs[content, pattern, room] = Codec(content, pattern, room)

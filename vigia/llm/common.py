@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vigia.session import cut_lineage
 
 # Rows per Arrow batch: texts are long, so a batch of the default 10,000 rows could fill a worker.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,13 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return small_batches(df).mapInArrow(task, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
     """The strings of an Arrow column one at a time; null counts as empty."""
     for value in column:

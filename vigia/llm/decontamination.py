@@ -21,8 +21,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from vigia.llm.common import mapped, stage, table
+from vigia.llm.common import free_name, mapped, stage, table
 
 ERRORS_PERCENT, LEAST_PIECE, BLOCK_CHARS = 8, 8, 4_000_000
 
@@ -134,7 +135,8 @@ def _blocks(items: DataFrame, chars: int) -> Iterator[list[tuple[int, str]]]:
 def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = ERRORS_PERCENT) -> DataFrame:
     """(id, item_id, distance, start, end): each document and item within the budget, its closest place in normal form."""
     kind = docs.schema[id].dataType.simpleString()
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    item_kind, item_type = items.schema["item_id"].dataType.simpleString(), to_arrow_type(items.schema["item_id"].dataType)
     wide = docs.select(F.col(id).alias("id"), F.col(text).alias("t"))
     out = None
     for block in _blocks(items, BLOCK_CHARS):
@@ -148,13 +150,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
                     for match in matcher.matches(normal(batch.column("t")[k].as_py())):
                         rows.append(k)
                         found.append(match)
-                own = [pa.array([m[j] for m in found], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+                own = [pa.array([m[j] for m in found], t) for j, t in enumerate((item_type, pa.int32(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *own], ["id", "item_id", "distance", "start", "end"])
 
-        part = mapped(wide, run, f"id {kind}, item_id long, distance int, start long, end long")
+        part = mapped(wide, run, f"id {kind}, item_id {item_kind}, distance int, start long, end long")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = wide.limit(0).selectExpr("id", "0L AS item_id", "0 AS distance", "0L AS start", "0L AS `end`")
+        out = wide.limit(0).selectExpr("id", f"CAST(NULL AS {item_kind}) AS item_id", "0 AS distance", "0L AS start", "0L AS `end`")
     return out.withColumnRenamed("id", id)
 
 
@@ -166,5 +168,6 @@ def stage_decontamination(spark, docs, sf_dir):
     """Pipeline: documents that hold a benchmark item within its budget go; a null id is told by its text."""
     found = contaminated(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text"), table(spark, sf_dir, "benchmark"), id="key")
     # Stored first: its size then decides, before any text moves, whether it is broadcast.
-    bad = stage(found.select(F.col("key.doc_id").alias("bad_id"), F.col("key.h").alias("bad_h")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_h")), "left_anti").select(*docs.columns)
+    bad_id, bad_h = free_name(docs, "bad_id"), free_name(docs, "bad_h")
+    bad = stage(found.select(F.col("key.doc_id").alias(bad_id), F.col("key.h").alias(bad_h)).distinct(), "leaks")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_h)), "left_anti").select(*docs.columns)

@@ -9,7 +9,7 @@ J = (m - c) / (1 - c) with m the share of agreeing bins, cut to 0..1.
 ``with_next_edited`` sorts by descending id once (range partitioning) and streams every partition, holding one
 row; the one row at each partition's edge is joined to the next partition's first row by id.
 
-Defined results: null and empty texts have no shingles and an empty fingerprint, alike (1) to each other and
+Defined results: ids are integers; null and empty texts have no shingles and an empty fingerprint, alike (1) to each other and
 unlike (0) any other; fewer words than a shingle make one shingle; rows with a null id come after all others;
 ties are ordered by text; a table's only row is next to itself; extra columns are not read.
 """

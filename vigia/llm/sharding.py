@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigia.llm.common import stage, table
+from vigia.llm.common import free_name, stage, table
 
 HASH_BITS = 60
 #: Bits that one histogram looks beyond the depth an even spread would need.
@@ -70,10 +70,13 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> None:
-    """Write ``df`` as one Parquet folder per shard (``shard=<depth>-<prefix>``); a shard is one task's file."""
-    shards = assign_shards(df, key, text, limit).select(key, F.concat_ws("-", "depth", "prefix").alias("shard")).distinct()
-    shards = shards.withColumnRenamed(key, "__key")
-    df.join(shards, F.col(key).eqNullSafe(F.col("__key"))).drop("__key").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``df`` as one Parquet folder per shard (``shard=<depth>-<prefix>``); a shard is one task's file.
+
+    The folders' column is named ``shard``, with underscores after it where ``df`` has such a column.
+    """
+    shard, own = free_name(df, "shard"), free_name(df, "shard_key")
+    shards = assign_shards(df, key, text, limit).select(F.col(key).alias(own), F.concat_ws("-", "depth", "prefix").alias(shard)).distinct()
+    df.join(shards, F.col(key).eqNullSafe(F.col(own))).drop(own).repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def op9(spark, sf_dir):

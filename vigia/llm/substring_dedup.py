@@ -17,7 +17,7 @@ smaller id. Its method, linear in the text:
 Only documents with a recurring phrase have their text shuffled (a run-time Bloom filter prunes the
 rest). No list is longer than the document it belongs to.
 
-Defined results: null and empty texts have no words; texts under WINDOW words lose none; a row with a
+Defined results: ids are integers; null and empty texts have no words; texts under WINDOW words lose none; a row with a
 null id neither loses words nor makes others lose them; rows that share an id do not shorten each other;
 an empty table gives no rows; extra columns are not read.
 """
@@ -210,8 +210,10 @@ def removed(spans) -> Column:
 def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``df`` with the words of repeated windows taken out; texts that lose none stay as they are, null included.
 
-    ``n_gone`` (words taken out) is added as the last column; a text that loses all words becomes empty.
+    ``n_gone`` (words taken out) is added as the last column, in place of an own column of that name; a text
+    that loses all words becomes empty.
     """
+    df = df.drop("n_gone")
     spans = stage(_by_id(repeated_spans(df, scan(df, id, text, window, seed), id, text, window, seed)), "repeat-by-id")
     names = {c: f"_{k}" for k, c in enumerate(df.columns) if c != text}
     wide = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(text).cast("binary").alias("t"), F.col(id).cast("long").alias("join_id"))

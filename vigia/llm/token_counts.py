@@ -91,15 +91,25 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def given_sections(value: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    rows = value or []
-    return np.array([r["start"] for r in rows], np.int64), np.array([r["end"] for r in rows], np.int64)
+    """Bounds as given; a section with a null bound is empty."""
+    rows = [(r["start"], r["end"]) if r and r["start"] is not None and r["end"] is not None else (0, 0) for r in value or []]
+    return np.array([a for a, _ in rows], np.int64), np.array([b for _, b in rows], np.int64)
+
+
+def in_order(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Places of the sections by start; overlapping or reversed sections are an error."""
+    order = np.lexsort((high, low))
+    if np.any(high < low) or np.any(high[order][:-1] > low[order][1:]):
+        raise ValueError("sections overlap or end before they start")
+    return order
 
 
 def section_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", sections: str | Callable = line_sections, rule: str = "most", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(id, section, start, end, n_tokens, n_crossing_doc) per document and section.
 
-    ``sections`` is the name of an array<struct<start, end>> column (sorted, disjoint, in characters), or
-    a function of the text. Section -1 holds what lies in none, where there is any.
+    ``sections`` is the name of an array<struct<start, end>> column (in characters, in any order), or a function
+    of the text; ``section`` is the place in it. A section with a null bound is empty; overlapping or reversed
+    ones raise an error. Section -1 holds what lies in none, where there is any.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -116,8 +126,9 @@ def section_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", sectio
             for k in range(batch.num_rows):
                 value = batch.column("t")[k].as_py() or ""
                 low, high = given_sections(batch.column("s")[k].as_py()) if named else sections(value)
+                number = in_order(low, high)
+                low, high = low[number], high[number]
                 counts, outside, crossing = attribute(*spans.of(value), low, high, rule)
-                number = np.arange(len(low))
                 if outside > 1e-12:
                     number, low, high, counts = np.append(number, -1), np.append(low, 0), np.append(high, len(value)), np.append(counts, outside)
                 rows.append(np.full(len(number), k))

@@ -293,8 +293,9 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     # At most 2 * rows ids: the broadcast has a fixed bound.
     texts = docs.select(F.col(id).alias("label_id"), F.col(text).alias("t"), F.col(lang).alias("g"))
     sample = texts.filter(F.coalesce(F.length("t"), F.lit(0)) <= chars)
-    sample = sample.join(F.broadcast(chosen), "label_id").orderBy("label_id", "t").toArrow().to_pylist()
-    sample = list({r["label_id"]: r for r in sample}.values())
+    # One text an id before anything reaches the driver, however often the id stands in ``docs``.
+    sample = sample.join(F.broadcast(chosen), "label_id").groupBy("label_id", "y").agg(F.max(F.struct("t", "g")).alias("x"))
+    sample = sample.select("label_id", "y", "x.t", "x.g").orderBy("label_id").toArrow().to_pylist()
     n = [sum(r["y"] == k for r in sample) for k in (0, 1)]
     weights = tuple(counts.get(k, 0) / max(1, n[k]) for k in (0, 1))
     model = fit([r["t"] for r in sample], [r["y"] for r in sample], [r["g"] for r in sample], weights)
@@ -305,7 +306,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score", raw: bool = False) -> DataFrame:
-    """``df`` with the toxicity score (or the logit before scaling) of each whole text as its last column."""
+    """``df`` with the toxicity score (or the logit before scaling) of each whole text as its last column, in place of one of that name."""
+    df = df.select(*(c for c in df.columns if c != name or c == text))
     shipped = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
     inner = df.toDF(*(f"_{k}" for k in range(len(df.columns))))

@@ -56,14 +56,20 @@ def validity(events: DataFrame) -> DataFrame:
 
 
 def decide(captures: DataFrame, events: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:
-    """``captures`` with decision (allow, block, none), list, kind, key and valid_from of the deciding entry."""
+    """``captures`` with decision (allow, block, none), list, kind, key and valid_from of the deciding entry.
+
+    Own columns of those five names are replaced; other columns stay.
+    """
     seen = captures.select(F.col(url).alias("u"), F.col(day).alias("d")).filter("u IS NOT NULL AND d IS NOT NULL").distinct()
     asked = seen.withColumn("k", F.explode(keys(F.col("u")))).select("u", "d", "k.kind", "k.key")
     active = asked.join(validity(events), ["kind", "key"]).filter("valid_from <= d AND (valid_until IS NULL OR d < valid_until)")
     rank = F.struct(F.length("key").alias("size"), (F.col("kind") == "host").alias("exact"), (F.col("action") == "allow").alias("allow"), "valid_from", "list", "kind", "key", "action")
-    best = active.groupBy("u", "d").agg(F.max(rank).alias("b")).select("u", "d", "b.action", "b.list", "b.kind", "b.key", "b.valid_from")
-    out = captures.join(best, (captures[url] == best["u"]) & (captures[day] == best["d"]), "left")
-    return out.select(*(captures[c] for c in captures.columns), F.coalesce("action", F.lit("none")).alias("decision"), best["list"], best["kind"], best["key"], best["valid_from"])
+    best = active.groupBy("u", "d").agg(F.max(rank).alias("b"))
+    made = {"decision": F.coalesce("b.action", F.lit("none")), **{c: F.col(f"b.{c}") for c in ("list", "kind", "key", "valid_from")}}
+    inner = captures.toDF(*(f"_{k}" for k in range(len(captures.columns))))
+    at = {c: F.col(f"_{k}") for k, c in enumerate(captures.columns)}
+    out = inner.join(best, (at[url] == F.col("u")) & (at[day] == F.col("d")), "left")
+    return out.select(*(x.alias(c) for c, x in at.items() if c not in made), *(x.alias(c) for c, x in made.items()))
 
 
 def _number(text: Column, of: int) -> Column:
