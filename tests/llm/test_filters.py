@@ -21,7 +21,7 @@ def test_query_matches_sql(spark, duck, key):
 
 
 def test_registration():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-dedup", "substring-dedup", "decontamination", "byte-level-bpe"]
 
