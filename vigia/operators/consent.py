@@ -87,9 +87,12 @@ def consent_history(spark: SparkSession, path: str, buckets: int = HISTORY_BUCKE
     return name
 
 
-def append_consent(rows: DataFrame, name: str) -> None:
-    """Append codes to a stored history; rows without a code are never found again, so they need no place in it."""
-    rows.where(F.col("CODE").isNotNull()).select("TABLA", "CODE").write.insertInto(name)
+def append_consent(rows: DataFrame, name: str, buckets: int = HISTORY_BUCKETS) -> None:
+    """Append codes to a stored history; rows without a code are never found again, so they need no place in it.
+
+    New rows, not stored ones, are dealt out as the table is, so that an append adds one file a bucket.
+    """
+    rows.where(F.col("CODE").isNotNull()).select("TABLA", "CODE").repartition(buckets, "TABLA", "CODE").write.insertInto(name)
 
 
 def consent_increment(leads: DataFrame, leads_digital: DataFrame, history: DataFrame, period: Period) -> DataFrame:

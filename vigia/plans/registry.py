@@ -508,13 +508,18 @@ def _q(spark, d):
 
 # ----------------------------------------------------------------- consent history
 
+#: Stored consent history of each data directory.
+_CONSENT: dict[tuple, str] = {}
+
+
 @register("consent_increment")
 def _q(spark, d):
     from vigia.operators.consent import append_consent, consent_history, consent_increment
-    R = Roles(spark, d)
-    stored = consent_history(spark, _scratch(spark, "consent"))
-    append_consent(R.r_consent_hist, stored)
-    return consent_increment(R.r_leads, R.r_leads_digital, spark.table(stored), FIXTURE_PERIOD)
+    R, key = Roles(spark, d), (id(spark._jsparkSession), d)
+    if key not in _CONSENT:   # the stored history is an input, made once like the other ones
+        _CONSENT[key] = consent_history(spark, _scratch(spark, "consent"))
+        append_consent(R.r_consent_hist, _CONSENT[key])
+    return consent_increment(R.r_leads, R.r_leads_digital, spark.table(_CONSENT[key]), FIXTURE_PERIOD)
 
 
 @register("consent_reset")
