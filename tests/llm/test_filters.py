@@ -112,6 +112,37 @@ def test_url_filters(spark):
     assert {r["decision"] for r in url_filters.decide(got.select("page_id", "url", "fetched"), history.limit(0)).collect()} == {"none"}
 
 
+def test_url_filters_match_brute_force(spark):
+    """Every capture against every event by plain loops; one key has most of the events and captures."""
+    rng = random.Random(12)
+    start, hosts = dt.date(2024, 1, 1), ["hot.example.com"] * 6 + ["a.example.com", "example.com", "b.example.org"]
+    events = [(rng.choice(["l", "m"]), "host", rng.choice(hosts), rng.choice(["allow", "block"]), start + dt.timedelta(rng.randrange(120)), rng.random() < 0.6) for _ in range(400)]
+    events += [("l", "domain", "example.com", "block", start + dt.timedelta(k), k % 20 == 0) for k in range(0, 100, 10)]
+    captures = [(k, f"http://{rng.choice(hosts)}/{k % 3}", start + dt.timedelta(rng.randrange(-5, 130))) for k in range(500)]
+    out = url_filters.decide(
+        spark.createDataFrame(captures, "page_id long, url string, fetched date"), spark.createDataFrame(events, "list string, kind string, key string, action string, day date, added boolean")
+    )
+    state = {}
+    for name, kind, key, action, day, added in events:
+        at = state.setdefault((name, kind, key, action), {})
+        at[day] = at.get(day, True) and added
+
+    def want(url, fetched):
+        host, found = url.split("/")[2], []
+        for (name, kind, key, action), days in state.items():
+            if host == key or (kind == "domain" and host.endswith("." + key)):
+                began = None
+                for day in sorted(d for d in days if d <= fetched):
+                    began = (began or day) if days[day] else None
+                if began:
+                    found.append((len(key), kind == "host", action == "allow", began, name, kind, key, action))
+        best = max(found, default=None)
+        return (best[7], best[4], best[6], best[3]) if best else ("none", None, None, None)
+
+    got = {r["page_id"]: (r["decision"], r["list"], r["key"], r["valid_from"]) for r in out.collect()}
+    assert got == {k: want(u, d) for k, u, d in captures} and len({g[:2] for g in got.values()}) == 5
+
+
 def test_license_scan(spark):
     texts = [(1, "Released UNDER the MIT\nlicense, under-the mit license"), (2, "Apache License; Version 2.0"), (3, "cc by nc cc by nc"), (4, None), (5, ""),
              (6, "under the mit licenses"), (7, "x\nThis work is licensed under the GNU General Public License version 2"), (None, "cc by nc"),

@@ -2,12 +2,15 @@
 
 Dated list events (an entry is added or removed on a day) become validity intervals [valid_from,
 valid_until). A capture has one key for its host, one for each domain above it and one for each path prefix; an
-as-of join on the key evaluates every capture against the entries that were active when it was fetched.
+as-of join evaluates every capture against the entries that were active when it was fetched: the distinct days
+on which a key is asked for are merged with the spans of the key's entries in order of time, and the span that began last
+is carried forward.
 The most specific active entry decides (longest key, a host before a domain of equal length); among lists
 that hold the same key an allow entry wins, then the interval that began last.
 
-Native DataFrame work. Captures are reduced to distinct (url, day) before the join; a hot host is a skewed
-join key, which Spark splits (the list side has a few rows a key). Only URL and id are read of the pages.
+Native DataFrame work. Captures are reduced to distinct (url, day), and to distinct (key, day) before the as-of
+join, so a hot host has no more rows there than days; where its answers meet its URLs it is a skewed
+join key with one answer a day, which Spark splits. Only URL and id are read of the pages.
 
 Defined results: a null or unparsable URL has no keys and the decision "none", as has a null day; adding
 an active entry again or removing an inactive one changes nothing; events of one entry, list and day are
@@ -55,6 +58,21 @@ def validity(events: DataFrame) -> DataFrame:
     return spans.filter("added").drop("added")
 
 
+def as_of(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """(list, kind, key, action, d, valid_from) of the ``spans`` that are valid on the days of ``asked`` (kind, key, d).
+
+    Days and spans of one entry are put in order and the last span that has begun is carried forward, so no day
+    meets the whole history of its key: it meets each entry of the key (one a list and action) once.
+    """
+    entries = spans.select("kind", "key", "list", "action").distinct()
+    days = asked.join(entries, ["kind", "key"]).select("list", "kind", "key", "action", F.col("d").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("struct<valid_from:date,valid_until:date>").alias("span"))
+    begun = spans.select("list", "kind", "key", "action", F.col("valid_from").alias("at"), F.lit(0).alias("asks"), F.struct("valid_from", "valid_until").alias("span"))
+    w = Window.partitionBy("list", "kind", "key", "action").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = begun.unionByName(days).withColumn("span", F.last("span", ignorenulls=True).over(w))
+    valid = carried.filter("asks = 1 AND span IS NOT NULL AND (span.valid_until IS NULL OR at < span.valid_until)")
+    return valid.select("list", "kind", "key", "action", F.col("at").alias("d"), "span.valid_from")
+
+
 def decide(captures: DataFrame, events: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:
     """``captures`` with decision (allow, block, none), list, kind, key and valid_from of the deciding entry.
 
@@ -62,9 +80,10 @@ def decide(captures: DataFrame, events: DataFrame, url: str = "url", day: str =
     """
     seen = captures.select(F.col(url).alias("u"), F.col(day).alias("d")).filter("u IS NOT NULL AND d IS NOT NULL").distinct()
     asked = seen.withColumn("k", F.explode(keys(F.col("u")))).select("u", "d", "k.kind", "k.key")
-    active = asked.join(validity(events), ["kind", "key"]).filter("valid_from <= d AND (valid_until IS NULL OR d < valid_until)")
+    active = as_of(asked.select("kind", "key", "d").distinct(), validity(events))
     rank = F.struct(F.length("key").alias("size"), (F.col("kind") == "host").alias("exact"), (F.col("action") == "allow").alias("allow"), "valid_from", "list", "kind", "key", "action")
-    best = active.groupBy("u", "d").agg(F.max(rank).alias("b"))
+    by_key = active.groupBy("kind", "key", "d").agg(F.max(rank).alias("b"))
+    best = asked.join(by_key, ["kind", "key", "d"]).groupBy("u", "d").agg(F.max("b").alias("b"))
     made = {"decision": F.coalesce("b.action", F.lit("none")), **{c: F.col(f"b.{c}") for c in ("list", "kind", "key", "valid_from")}}
     inner = captures.toDF(*(f"_{k}" for k in range(len(captures.columns))))
     at = {c: F.col(f"_{k}") for k, c in enumerate(captures.columns)}
