@@ -9,7 +9,9 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from tests.llm.helpers import corpus, empty, table
+from tests.conftest import SF
+from tests.helpers import same_rows
+from tests.llm.helpers import corpus, empty, prose, table
 from vigia.llm import bpe, fingerprints, sharding, token_counts
 from vigia.llm.common import WordHashes
 
@@ -142,27 +144,50 @@ def test_likeness_estimates_jaccard():
 
 
 def test_shards_fit_and_match_a_recursive_split(spark):
-    rows = corpus() + [(1000 + k, "x" * (k % 50)) for k in range(500)]
+    """Null keys hold much of the bytes: their rows split by text, copies of one text stay together."""
+    rows = corpus() + [(1000 + k, "x" * (k % 50)) for k in range(500)] + [(None, prose(k % 90, 40)) for k in range(100)]
+
+    def number(value):
+        return int(hashlib.md5(("" if value is None else str(value)).encode()).hexdigest()[:15], 16)
+
     for limit in (300, 4000, 10**9):
         got = sharding.assign_shards(table(spark, rows), limit=limit).collect()
-        hashed = [(int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:15], 16), d, len((t or "").encode())) for d, t in rows]
         want = []
 
-        def split(part, depth, prefix):
-            if sum(b for _, _, b in part) > limit and len({h for h, _, _ in part}) > 1 and depth < 60:
+        def split(part, by, depth, prefix, above):
+            total = sum(x[3] for x in part)
+            if total > limit and len({x[by] for x in part}) > 1 and depth < 60:
                 for bit in (0, 1):
-                    half = [x for x in part if x[0] >> (59 - depth) & 1 == bit]
+                    half = [x for x in part if x[by] >> (59 - depth) & 1 == bit]
                     if half:
-                        split(half, depth + 1, prefix * 2 + bit)
+                        split(half, by, depth + 1, prefix * 2 + bit, above)
+            elif by == 0 and total > limit and len(part) > 1:
+                split(part, 1, 0, 0, (depth, prefix))
             else:
-                want.extend((str(d), b, depth, prefix, sum(x[2] for x in part), len(part), sum(x[2] for x in part) > limit) for _, d, b in part)
+                at = (*above, depth, prefix) if by else (depth, prefix, 0, 0)
+                want.extend((str(d), b, *at, total, len(part), total > limit) for _, _, d, b in part)
 
-        split(hashed, 0, 0)
-        assert sorted(want) == sorted((str(r["doc_id"]), r["n_bytes"], r["depth"], r["prefix"], r["shard_bytes"], r["shard_rows"], r["oversize"]) for r in got)
-        assert any(r["oversize"] for r in got) == (limit < 10**9)
+        split([(number(d), number(t), d, len((t or "").encode())) for d, t in rows], 0, 0, 0, None)
+        assert sorted(want) == sorted((str(r["doc_id"]), r["n_bytes"], r["depth"], r["prefix"], r["sub_depth"], r["sub_prefix"], r["shard_bytes"], r["shard_rows"], r["oversize"]) for r in got)
+        assert any(r["oversize"] for r in got) == (limit < 10**9) and any(r["sub_depth"] for r in got) == (limit < 10**9)
     assert sharding.assign_shards(empty(spark)).isEmpty()
 
 
+@pytest.mark.parametrize("limit", [5_000, 40_000])
+def test_many_splits_match_sql(spark, duck, limit):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert same_rows(sharding.assign_shards(docs, limit=limit), duck.execute(sharding.ORACLE.replace(str(sharding.LIMIT_BYTES), str(limit))))
+
+
+def test_a_hot_key_is_written_to_several_shards(spark, tmp_path):
+    rows = [(7, prose(k, 30)) for k in range(80)] + [(k, prose(k, 30)) for k in range(100, 140)]
+    sharding.write_shards(table(spark, rows, extra=False), str(tmp_path / "out"), limit=1000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == sorted(rows)
+    assert back.filter("doc_id = 7").select("shard").distinct().count() > 8
+    assert back.groupBy("shard").agg({"n_chars": "sum"}).filter("`sum(n_chars)` > 1000").isEmpty()
+
+
 def test_written_shards_hold_every_row(spark, tmp_path):
     rows = [(k, "x" * k) for k in range(1, 60)]
     sharding.write_shards(table(spark, rows, extra=False), str(tmp_path / "out"), limit=300)
