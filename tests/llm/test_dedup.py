@@ -117,6 +117,31 @@ def test_query_six_digests(spark, tmp_path):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted((d, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for d, kept, n in without_repeats(rows))
 
 
+def test_many_small_shards_give_the_same_spans(spark, tmp_path, monkeypatch):
+    for name, value in (("PHRASES", 3), ("OCCURRENCES", 4), ("HOT", 2), ("SALTS", 3), ("PIECE", 8)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    shared = prose(60, 90)
+    rows = [r for r in corpus() if r[0] is not None] + [(400 + k, f"{prose(500 + k, 20 * k)} {shared} {prose(600 + k, 15)}") for k in range(9)]
+    table(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = substring_dedup.op6(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted((d, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for d, kept, n in without_repeats(rows))
+
+
+def test_automaton_of_a_shard_finds_every_place():
+    rng = random.Random(12)
+    words = [rng.choice([b"a", b"b", b"ab"]) for _ in range(400)]
+    phrases = sorted({tuple(words[k : k + 4]) for k in range(0, 60, 3)})
+    shard = substring_dedup._Shard(substring_dedup.WordHashes(), 4)
+    for part in (phrases[:5], phrases[3:]):  # repeated phrases too
+        shard.add(b"\n".join(b" ".join(p) for p in part), [False] * len(part))
+    shard.compile()
+    text = [*words[200:], b"new", *words[:30]]
+    starts, numbers = shard.occurrences(text)
+    assert starts.tolist() == [k for k in range(len(text) - 3) if tuple(text[k : k + 4]) in phrases]
+    keys = substring_dedup.run_hashes(shard.hashes.of(text), 4)
+    assert (shard.keys[numbers] == keys[starts]).all()
+
+
 def distance(pattern, text):
     """Least edits between the pattern and any stretch of the text."""
     row = list(range(len(pattern) + 1))
