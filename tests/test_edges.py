@@ -445,3 +445,53 @@ def test_report_cells_in_quotes(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert df.columns == ["ID", "NAME, FULL", "column_3"]
     assert got == sorted([("1", 'a, "b"', "x"), ("2", "plain", None), ("3", '""', "y,z"), ("4", ",", None)] * 400, key=lambda r: (r[0], r[1], r[2]))
+
+
+def test_copies_of_the_best_agent_are_written_by_many_tasks(spark):
+    """One (product, evaluation) with one donor and many receivers: the copies stand in more than one partition, each once."""
+    n, columns = 300, "PERIODO string, PRODUCTO string, REG_EV string, CATEGORIA string, OBTENIDO double, NEVALUACION int, ESPERADO double, PESO_CATEGORIA double, PESO_GRUPO double, PUNTAJE double, FLAG int, GRUPO_CATEGORIA string, CODIGO string"
+
+    def row(agent, category, score):
+        return (P.periodo, "TC", agent, category, 1.0, 1, 0.5, 0.1, 0.2, score, 0, "G", f"{P.periodo}_{agent}")
+
+    rows = [row("B00000", c, 0.2) for c in ("A", "C")] + [row(f"B{k:05d}", "A", 0.0) for k in range(1, n)]
+    detail = spark.createDataFrame(rows, columns).repartition(2)
+    agents = spark.createDataFrame([(f"B{k:05d}", "TC") for k in range(n)], "REG_EJECUTIVO string, SUB_EQUIPO string")
+    manual = spark.createDataFrame([], "PERIODO string, REG_EJECUTIVO string, NUM_EVALUACION int, CODIGO string")
+    out = S.zero_score_patch(detail, agents, manual, P).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r["REG_EV"], r["CATEGORIA"], r["PUNTAJE"]) for r in out) == sorted((f"B{k:05d}", c, 0.2) for k in range(n) for c in ("A", "C"))
+    assert len({r["part"] for r in out if r["REG_EV"] != "B00000"}) > 1
+
+
+def test_group_scores_read_stored_averages(spark, monkeypatch):
+    """The scores and their groups' factors come from stored rows, so the calls are averaged once."""
+    from tests.conftest import SF
+    from vigia.plans import quality
+    from vigia.plans.registry import quality_month
+    seen = []
+    score = S.speech_score_group
+    monkeypatch.setattr(quality.S, "speech_score_group", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or score(df))
+    assert quality_month(spark, SF).sa_group_scores.count() > 0
+    assert "Generate" not in seen[0] and "Aggregate" not in seen[0]
+
+
+def test_notes_store_no_texts_of_the_manual_detail(spark):
+    """What the notes read of the manual detail is stored without the other columns, and gives the same notes."""
+    from tests.conftest import SF
+    from vigia.operators.consolidation import manual_note
+    from vigia.plans.registry import quality_month
+    month = quality_month(spark, SF)
+    assert set(month.manual_scores.columns) == {"PERIODO", "CODIGO", "REG_EJECUTIVO", "NUM_EVALUACION", "PESO_PREGUNTA_OBT"}
+    assert "manual_detail" not in month.__dict__
+    note = [(r["CODIGO"], r["NUM_EVALUACION"], round(r["NOTA_PC_RAW"] or 0, 9)) for r in month.pc_note.collect()]
+    assert sorted(note) == sorted((r["CODIGO"], r["NUM_EVALUACION"], round(r["NOTA_PC_RAW"] or 0, 9)) for r in manual_note(month.manual_detail).collect())
+
+
+def test_averages_of_any_number_of_metrics(spark):
+    """Position and mean of every metric where the last row of a call holds fewer than the others; no metric, no row."""
+    for n in (0, 1, S.METRICS_WIDTH, 2 * S.METRICS_WIDTH + 3):
+        calls = [[(i * k) % 5 if (i + k) % 4 else None for k in range(n)] for i in range(12)]
+        packed = spark.createDataFrame([("TC01", "B1", 1, "x", c) for c in calls], "VENTA string, REG_EV string, NEVALUACION int, FLAG_LPDP string, METRICAS array<int>")
+        got = {r["POS"]: r["OBTENIDO"] for r in S.speech_averages(packed, P).collect()}
+        known = [[c[k] for c in calls if c[k] is not None] for k in range(n)]
+        assert got == {k: sum(v) / len(v) if v else None for k, v in enumerate(known)}
