@@ -495,3 +495,12 @@ def test_averages_of_any_number_of_metrics(spark):
         got = {r["POS"]: r["OBTENIDO"] for r in S.speech_averages(packed, P).collect()}
         known = [[c[k] for c in calls if c[k] is not None] for k in range(n)]
         assert got == {k: sum(v) / len(v) if v else None for k, v in enumerate(known)}
+
+
+def test_metrics_are_made_of_marked_calls_only(spark):
+    """No filter of the plan tests the metrics: it would be pushed to the scan, and make them for every call."""
+    from tests.conftest import SF
+    from vigia.plans.registry import quality_month
+    plan = quality_month(spark, SF).averages._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x.split("Filter ", 1)[1] for x in plan.splitlines() if "Filter " in x]
+    assert filters and not any("l_tax" in x or "METRICAS" in x for x in filters)
