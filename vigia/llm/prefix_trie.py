@@ -207,7 +207,9 @@ def prefix_trie(placed: DataFrame, convs: DataFrame, limit: int = SHARD_MEMBERS,
     (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256).
     """
     starts = convs.select("conv", F.lit(-1).cast("long").alias("k"), F.lit(None).cast("binary").alias("d"), F.lit(0).cast("long").alias("b"))
-    ordered = starts.unionByName(placed.select("conv", "k", "d", "b")).repartition("conv").sortWithinPartitions("conv", "k")
+    # By a hash: where both sides are already dealt by ``conv``, Spark takes their union to be so too and shuffles
+    # nothing, but AQE joins the partitions of each side on its own, and a conversation is cut in two.
+    ordered = starts.unionByName(placed.select("conv", "k", "d", "b")).repartition(F.xxhash64("conv")).sortWithinPartitions("conv", "k")
     ways = stage(mapped(ordered, _chained, _CHAINED), "trie-ways")
     nodes = ways.groupBy("node").agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n"), F.min("depth").alias("depth"), F.min("parent").alias("parent"), F.min("b").alias("b"))
     nodes = stage(nodes.withColumn("layer", _layer(F.col("n"), limit)), "trie-nodes")
