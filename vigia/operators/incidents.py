@@ -1,8 +1,9 @@
 """"Not To Do" incidents: evaluation rows pivoted to one incident per conversation.
 
-The pivot is a conditional aggregation over the month's evaluation rows,
-restricted first (left-semi) to the conversations flagged as incidents, so only
-those rows are shuffled. Level lookups go against a small master table.
+The pivot is a conditional aggregation over the month's evaluation rows, folded
+by conversation inside each map task, so that question rows are not shuffled as
+they are; the conversations flagged as incidents take theirs from it. Level
+lookups go against a small master table.
 """
 
 from __future__ import annotations
@@ -102,51 +103,59 @@ def _doc_in_comment() -> Column:
     return F.when(dni > 0, c.substr(dni + 4, F.lit(8))).when(ruc > 0, c.substr(ruc + 4, F.lit(11)))
 
 
-def incident_pivot(base: DataFrame, evals: DataFrame, period: Period) -> DataFrame:
-    """One row per flagged conversation from its question rows (conditional max/min)."""
-    e = evals.join(base.select(F.col("CONID").alias("_C")).distinct(),
-                   evals["conversationId"] == F.col("_C"), "left_semi")
-    g, q, a = F.col("questionGroupName"), F.col("questionText"), F.col("answerText")
+#: Questions laid out as columns: (column, question, its group; None: of any group).
+PIVOT_QUESTIONS = (("ORIGEN", "ORIGEN", None), ("_NUM", "NumEvaluacion", DATA_GROUP),
+                   *((f"{column}{k}", question.format(k), INCIDENT_GROUP) for k in SLOTS for column, question in (
+                       ("_AP", "APLICA_NTD_{}"), ("_RE", "REINCIDENCIA_NTD_{}"),
+                       ("_GR", "NTD_0{}_CASUISTICA_GRUPO"), ("_DE", "NTD_0{}_CASUISTICA_DETALLE"))))
+
+
+def _pivot_rows(evals: DataFrame) -> DataFrame:
+    """What the pivot takes of each question row, cut out before the shuffle: the question as a number and its answer."""
+    g, q = F.col("questionGroupName"), F.col("questionText")
+    number = None
+    for i, (_, question, group) in enumerate(PIVOT_QUESTIONS):
+        cond = q == question if group is None else (q == question) & (g == group)
+        number = F.when(cond, i) if number is None else number.when(cond, i)
     ntd = g == INCIDENT_GROUP
+    return evals.select(F.col("conversationId").alias("_CONID"), number.alias("_Q"), F.col("answerText").alias("_A"),
+                        F.when(ntd, F.substring("agentName", 1, 6)).alias("REG_EJECUTIVO"),
+                        F.when(ntd, _doc_in_comment()).alias("DNI"), F.col("conversationStartTime").alias("FECHA_AUDIO"),
+                        F.col("assignedDate").alias("FECHA_CREADO"), F.substring("evaluatorName", 1, 6).alias("REG_CREADO"),
+                        F.col("changedDate").alias("FECHA_MODIFICADO"))
 
-    def qa(text, group=INCIDENT_GROUP):
-        return F.max(F.when((g == group) & (q == text), a))
-
-    aggs = [
-        F.max(F.when(ntd, F.substring("agentName", 1, 6))).alias("REG_EJECUTIVO"),
-        F.min(F.when(ntd, _doc_in_comment())).alias("DNI"),
-        F.min("conversationStartTime").alias("FECHA_AUDIO"),
-        F.min("assignedDate").alias("FECHA_CREADO"),
-        F.max(F.substring("evaluatorName", 1, 6)).alias("REG_CREADO"),
-        F.min("changedDate").alias("FECHA_MODIFICADO"),
-        F.max(F.when(q == "ORIGEN", a)).alias("ORIGEN"),
-        qa("NumEvaluacion", DATA_GROUP).alias("_NUM"),
-    ]
-    for k in SLOTS:
-        aggs += [qa(f"APLICA_NTD_{k}").alias(f"_AP{k}"), qa(f"REINCIDENCIA_NTD_{k}").alias(f"_RE{k}"),
-                 qa(f"NTD_0{k}_CASUISTICA_GRUPO").alias(f"_GR{k}"),
-                 qa(f"NTD_0{k}_CASUISTICA_DETALLE").alias(f"_DE{k}")]
-    piv = e.groupBy(F.col("conversationId").alias("_CONID")).agg(*aggs)
+
+def incident_pivot(base: DataFrame, evals: DataFrame, period: Period) -> DataFrame:
+    """One row per flagged conversation from its question rows (conditional max/min).
+
+    What needs no column of ``base`` is a result of the aggregation, so that no stage's generated code gets too long
+    for the JVM to compile.
+    """
+    aggs = [F.max("REG_EJECUTIVO").alias("REG_EJECUTIVO"), F.min("DNI").alias("DNI"),
+            F.min("FECHA_AUDIO").alias("FECHA_AUDIO"), F.min("FECHA_CREADO").alias("FECHA_CREADO"),
+            F.max("REG_CREADO").alias("REG_CREADO"), F.min("FECHA_MODIFICADO").alias("FECHA_MODIFICADO")]
+    aggs += [F.max(F.when(F.col("_Q") == i, F.col("_A"))).alias(name) for i, (name, *_) in enumerate(PIVOT_QUESTIONS)]
+    code = F.concat(F.col("REG_EJECUTIVO"), F.lit("_"), F.trim(F.coalesce(F.col("DNI"), F.lit(""))), F.lit("_"),
+                    F.date_format("FECHA_CREADO", "yyyyMMddHHmm"))
+    slots = [_nullif_blank(F.col(f"{column}{k}")).alias(f"{column}{k}") for k in SLOTS for column in ("_AP", "_RE", "_GR", "_DE")]
+    num = _case(F.col("_NUM"), EVAL_NUMBER_SYNONYMS, F.col("_NUM")).alias("_NUM")
+    piv = _pivot_rows(evals).groupBy("_CONID").agg(*aggs).select(
+        "_CONID", "REG_EJECUTIVO", "DNI", "FECHA_AUDIO", "FECHA_CREADO", "REG_CREADO", "FECHA_MODIFICADO", "ORIGEN", num,
+        *slots, code.alias("CODIGO_NTD"))
     j = base.join(piv, base["CONID"] == piv["_CONID"], "left")
-    num = F.col("_NUM")
-    detail = (F.when(F.col("ORIGEN") == ORIGIN_QUALITY, _case(num, EVAL_NUMBER_SYNONYMS, num))
+    detail = (F.when(F.col("ORIGEN") == ORIGIN_QUALITY, F.col("_NUM"))
                .when(F.col("ORIGEN") == ORIGIN_CLAIMS, F.lit("RECLAMOS")).otherwise(F.lit("AUDITORIA")))
-    fc = F.col("FECHA_CREADO")
-    code = F.concat(F.col("REG_EJECUTIVO"), F.lit("_"), F.trim(F.coalesce(F.col("DNI"), F.lit(""))), F.lit("_"),
-                    F.date_format(fc, "yyyyMMddHHmm"))
     cols = [F.col("CONID"), F.col("PERIODO"), F.col("PLANTILLA"), F.col("REG_EJECUTIVO"),
             F.concat(F.lit(period.periodo + "_"), F.coalesce(F.col("REG_EJECUTIVO"), F.lit(""))).alias("CODIGO"),
-            F.col("DNI"), F.col("FECHA_AUDIO"), fc, F.col("REG_CREADO"), F.col("REG_CREADO").alias("REG_MODIFICADO"),
-            F.col("FECHA_MODIFICADO"), F.col("ORIGEN"), F.upper(detail).alias("ORIGEN_DETALLE")]
+            F.col("DNI"), F.col("FECHA_AUDIO"), F.col("FECHA_CREADO"), F.col("REG_CREADO"),
+            F.col("REG_CREADO").alias("REG_MODIFICADO"), F.col("FECHA_MODIFICADO"), F.col("ORIGEN"),
+            F.upper(detail).alias("ORIGEN_DETALLE")]
     for k in SLOTS:
-        cols += [_nullif_blank(F.col(f"_AP{k}")).alias(f"APLICA_NTD_{k}"),
-                 _nullif_blank(F.col(f"_RE{k}")).alias(f"REINCIDENCIA_NTD_{k}")]
+        cols += [F.col(f"_AP{k}").alias(f"APLICA_NTD_{k}"), F.col(f"_RE{k}").alias(f"REINCIDENCIA_NTD_{k}")]
     sfx = {1: "", 2: "_2", 3: "_3"}
     for k in SLOTS:
-        cols += [_nullif_blank(F.col(f"_GR{k}")).alias(f"CASUISTICA_GRUPO{sfx[k]}"),
-                 _nullif_blank(F.col(f"_DE{k}")).alias(f"CASUISTICA_DETALLE{sfx[k]}")]
-    cols.append(code.alias("CODIGO_NTD"))
-    return j.select(*cols)
+        cols += [F.col(f"_GR{k}").alias(f"CASUISTICA_GRUPO{sfx[k]}"), F.col(f"_DE{k}").alias(f"CASUISTICA_DETALLE{sfx[k]}")]
+    return j.select(*cols, "CODIGO_NTD")
 
 
 _SFX = {1: "", 2: "_2", 3: "_3"}
