@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.functions.core import keep_first, strip_crlf
+from vigia.functions.core import by_rows, keep_first, strip_crlf
 from vigia.operators.speech import DETAIL_SA_COLUMNS
 
 
@@ -15,7 +15,7 @@ def close_month(final_notes: DataFrame, agent_month: DataFrame, prev_period: str
     h = keep_first(agent_month.where(F.col("PERIODO") == prev_period)
                    .select("REG_EJECUTIVO", "NOM_EJECUTIVO", "NOM_SUPERVISOR", "NOM_JEFE", "EQUIPO", "SUB_EQUIPO"),
                    ["REG_EJECUTIVO"])
-    h = h.select(F.col("REG_EJECUTIVO").alias("_R"), *[c for c in h.columns if c != "REG_EJECUTIVO"])
+    h = by_rows(h.select(F.col("REG_EJECUTIVO").alias("_R"), *[c for c in h.columns if c != "REG_EJECUTIVO"]))
     j = notes.join(h, notes["REG_EJECUTIVO"] == h["_R"], "left")
     return j.select("PERIODO", F.lit(None).cast("int").alias("EVALUACIONES"), "REG_EJECUTIVO",
                     F.col("NOM_EJECUTIVO").alias("EJECUTIVO"), F.col("NOM_SUPERVISOR").alias("SUPERVISOR"),
