@@ -181,6 +181,42 @@ def contained(words):
     return found
 
 
+def test_license_join_reads_every_document(spark):
+    """Templates are joined with the blocks of all documents; the words that must be present decide on links, not on what is read."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(9)]
+    templates = (license_scan.Template("five", "w0 w1 w2 w3 w4"), license_scan.Template("seven", "w2 w3 w4 w5 w6 w7 w8"), license_scan.Template("long", " ".join(words + [f"v{k}" for k in range(3)])),
+                 license_scan.Template("told", "w0 w1 w2 w3 w5", ("w5",)))
+    texts = [(k, " ".join(rng.choice([*words, "x", "v0", "v1"]) for _ in range(rng.randrange(0, 60)))) for k in range(60)]
+    got = {r["doc_id"]: (r["template_labels"], r["score"]) for r in license_scan.scan(table(spark, texts, extra=False), phrases={"no such phrase": "none"}, templates=templates).collect()}
+    assert len(got) == len(texts)
+    kinds = set()
+    for k, text in texts:
+        w, labels, best = text.split(), set(), 0.0
+        for t in templates:
+            for start in range(0, len(w), t.span):
+                block = set(w[start : start + 2 * t.span])
+                share = len(block & set(t.words)) / len(t.words)
+                if share >= license_scan.CONTAINMENT and set(t.needs) <= block:
+                    labels, best = labels | {t.label}, max(best, share)
+        assert got[k] == (",".join(sorted(labels)), best)
+        kinds |= labels
+    assert kinds == {"five", "seven", "long", "told"}
+    # A document without a word that its notice needs: its blocks are made and joined, and the link gets no label.
+    notice = next(t for t in license_scan.TEMPLATES if t.label == "bsd")
+    docs = spark.createDataFrame([(1, 1, " " + notice.text.replace("binary ", "") + " ")], "id long, h long, w string")
+    blocks = license_scan.blocks_of(docs)
+    assert blocks.filter(f"span = {notice.span}").count() == 1 and license_scan.template_blocks(blocks).isEmpty()
+    assert {r["label"] for r in license_scan.template_blocks(blocks, templates=(notice._replace(needs=()),)).collect()} == {"bsd"}
+
+
+def test_phrase_places_inside_each_other(spark):
+    texts = [(1, "a a a"), (2, "b a a"), (3, "a b a"), (4, "a a b a a a a")]
+    got = license_scan.scan(table(spark, texts, extra=False), phrases={"a a": "x", "a b a": "y"}).collect()
+    assert {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got} == {
+        1: (2, 0, 1, "x"), 2: (1, 1, 1, "x"), 3: (1, 0, 0, "y"), 4: (5, 0, 5, "x,y")}
+
+
 def test_license_join_matches_brute_force(spark):
     rng = random.Random(9)
     words = sorted({w for t in license_scan.TEMPLATES for w in t.words}) + ["x", "y", "z"]
